@@ -216,7 +216,10 @@ class _Merged(dict):
         return found
 
 
-codec = cache(ByteBPE)
+@cache
+def codec(path: str) -> ByteBPE:
+    """The vocabulary at a path, read once in each worker."""
+    return ByteBPE(path)
 
 
 def blocks(texts: list[str], most: int = 4_000_000) -> Iterator[list[str]]:

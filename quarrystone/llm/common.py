@@ -40,13 +40,18 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:
-    """Joins on one key that may be null and may hold a third of big's rows.
+def is_small(df: DataFrame) -> bool:
+    """Whether a count shows few enough rows to broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-    small is broadcast if a count shows it to be small; else both sides are salted, so that no key lands in one task.
+
+def small_join(big: DataFrame, small: DataFrame, key: str, how: str, fits: bool, salts: int = 64) -> DataFrame:
+    """Joins on one key that may be null and may hold a third of big's rows; small has each key once.
+
+    small is broadcast if its count has been found to fit; else both sides are salted, so that no key lands in one task.
     """
     right = small.withColumnRenamed(key, "_key")
-    if small.count() <= BROADCAST_ROWS:
+    if fits:
         return big.join(F.broadcast(right), F.col(key).eqNullSafe(F.col("_key")), how).drop("_key")
     left = big.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
     right = right.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from quarrystone.llm.bpe import op6_bpe
+from quarrystone.llm.mixing import op3_mix
+from quarrystone.llm.secrets import op4_secrets
 
 QUERIES = {
+    "op3_mix": op3_mix,
+    "op4_secrets": op4_secrets,
     "op6_bpe": op6_bpe,
 }
 ORACLES: dict[str, str] = {}
