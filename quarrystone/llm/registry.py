@@ -5,8 +5,10 @@ from __future__ import annotations
 from quarrystone.llm.bpe import op6_bpe
 from quarrystone.llm.mixing import op3_mix
 from quarrystone.llm.secrets import op4_secrets
+from quarrystone.llm.urls import op1_urls
 
 QUERIES = {
+    "op1_urls": op1_urls,
     "op3_mix": op3_mix,
     "op4_secrets": op4_secrets,
     "op6_bpe": op6_bpe,
