@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from quarrystone.llm.bpe import op6_bpe
+from quarrystone.llm.language import op7_language
 from quarrystone.llm.mixing import op3_mix
+from quarrystone.llm.neardup import op10_neardup
 from quarrystone.llm.secrets import op4_secrets
+from quarrystone.llm.toxicity import op9_toxicity
 from quarrystone.llm.urls import op1_urls
 
 QUERIES = {
@@ -12,5 +15,8 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op4_secrets": op4_secrets,
     "op6_bpe": op6_bpe,
+    "op7_language": op7_language,
+    "op9_toxicity": op9_toxicity,
+    "op10_neardup": op10_neardup,
 }
 ORACLES: dict[str, str] = {}
