@@ -7,6 +7,7 @@ from quarrystone.llm.language import op7_language
 from quarrystone.llm.mixing import op3_mix
 from quarrystone.llm.neardup import op10_neardup
 from quarrystone.llm.secrets import op4_secrets
+from quarrystone.llm.suffixes import op8_suffixes
 from quarrystone.llm.toxicity import op9_toxicity
 from quarrystone.llm.urls import op1_urls
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
+    "op8_suffixes": op8_suffixes,
     "op9_toxicity": op9_toxicity,
     "op10_neardup": op10_neardup,
 }
