@@ -281,6 +281,28 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def checked(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:
+    """docs with the text replaced by ids array<int>, n_tokens, and round_trip: whether the ids decode to the text's bytes (empty for null)."""
+    names = [c for c in docs.columns if c != text_column]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text_column).to_pylist()]
+            low = 0
+            for block in blocks(texts, 1_000_000):
+                ids = own.encode(block)
+                same = [own.decode(x) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, block, strict=True)]
+                part = batch.slice(low, len(block))
+                low += len(block)
+                flat = np.fromiter(chain.from_iterable(ids), np.int32)
+                cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat)), pa.array([len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())], [*names, "ids", "n_tokens", "round_trip"])
+
+    return docs.mapInArrow(run, f"{kinds}, ids array<int>, n_tokens long, round_trip boolean")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
