@@ -26,8 +26,8 @@ from quarrystone.llm.common import WORD, documents, is_small, small_join, stored
 
 #: Documents of a stratum, about.
 STRATUM = 4_000
-#: Newton steps between two looks at the error, and the most looks.
-STEPS, LOOKS, CLOSE = 6, 8, 1e-7
+#: Newton steps at most, and the relative error at which they end.
+LOOKS, CLOSE = 40, 1e-6
 
 
 def words(text: str | Column) -> Column:
@@ -54,27 +54,25 @@ def targets(sizes: DataFrame, pattern: tuple[int, ...] = (3, 1, 2), share: float
 
 def tilts(histogram: DataFrame, wanted: DataFrame, most: float, fits: bool) -> DataFrame:
     """Of each source the tilt at which its rates meet its target. histogram: source, size, n (sizes above 0); wanted: source, n, source_size, target."""
-    total = wanted.where("source_size > 0").select("source", (F.col("source_size") / F.col("n")).alias("mean"), "target", "source_size")
-    now = total.select("source", "mean", "target", (F.col("target") >= most * F.col("source_size") * (1 - 1e-12)).alias("full"), F.lit(-1e4).alias("low"), F.lit(1e4).alias("high"), F.lit(0.0).alias("tilt"), F.lit(1.0).alias("error"))
-    for _ in range(LOOKS):
-        for _ in range(STEPS):
-            rows = small_join(histogram, now.where("not full").select("source", "mean", "tilt"), "source", "inner", fits)
-            rate = most / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("tilt") * F.col("size") / F.col("mean")))))
-            sums = rows.withColumn("rate", rate).groupBy("source").agg(
-                F.sum(F.col("n") * F.col("size") * F.col("rate")).alias("got"),
-                F.sum(F.col("n") * F.col("size") * F.col("size") / F.col("mean") * F.col("rate") * (most - F.col("rate")) / most).alias("slope"),
-            )
-            s = sums.withColumnRenamed("source", "_s")
-            now = now.join(s, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("off", F.col("got") - F.col("target"))
-            now = now.withColumn("low", F.when(F.col("off") < 0, F.col("tilt")).otherwise(F.col("low"))).withColumn("high", F.when(F.col("off") > 0, F.col("tilt")).otherwise(F.col("high")))
-            step = F.col("tilt") - F.col("off") / F.nullif(F.col("slope"), F.lit(0.0))
-            inside = (step > F.col("low")) & (step < F.col("high"))
-            middle = F.when(F.col("low") <= -1e4, 2 * F.col("tilt") - 1).when(F.col("high") >= 1e4, 2 * F.col("tilt") + 1).otherwise((F.col("low") + F.col("high")) / 2)
-            now = now.select("source", "mean", "target", "full", "low", "high", F.when(F.col("off").isNull() | (F.col("off") == 0), F.col("tilt")).when(inside, step).otherwise(middle).alias("tilt"), F.abs(F.coalesce(F.col("off"), F.lit(0.0)) / F.greatest(F.col("target"), F.lit(1.0))).alias("error"))
-        now = stored(now, "tilts")
+    full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
+    facts = wanted.where("source_size > 0").select("source", (F.col("source_size") / F.col("n")).alias("mean"), "target", full.alias("full"), (F.col("target") / F.col("source_size")).alias("rate"))
+    start = F.log(F.col("rate") / (most - F.col("rate")))  # the solution if all sizes were equal
+    now = facts.where("not full").select("source", "mean", "target", F.lit(-1e4).alias("low"), F.lit(1e4).alias("high"), start.alias("tilt"), F.lit(1.0).alias("error"))
+    x = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("tilt") * F.col("size") / F.col("mean")))
+    got = F.sum(F.col("n") * F.col("size") * F.col("rate")).alias("got")
+    slope = F.sum(F.col("n") * F.col("size") * F.col("size") / F.col("mean") * F.col("rate") * (most - F.col("rate")) / most).alias("slope")
+    for _ in range(LOOKS):  # one plan for all steps, so that its code is compiled once
+        rows = small_join(histogram, now.drop("error"), "source", "inner", fits).withColumn("rate", most / (1 + F.exp(-x)))
+        sums = rows.groupBy("source", "mean", "target", "low", "high", "tilt").agg(got, slope).withColumn("off", F.col("got") - F.col("target"))
+        sums = sums.withColumn("low", F.when(F.col("off") < 0, F.col("tilt")).otherwise(F.col("low"))).withColumn("high", F.when(F.col("off") > 0, F.col("tilt")).otherwise(F.col("high")))
+        step = F.col("tilt") - F.col("off") / F.nullif(F.col("slope"), F.lit(0.0))
+        inside = (step > F.col("low")) & (step < F.col("high"))
+        middle = F.when(F.col("low") <= -1e4, 2 * F.col("tilt") - 1).when(F.col("high") >= 1e4, 2 * F.col("tilt") + 1).otherwise((F.col("low") + F.col("high")) / 2)
+        tilt = F.when(F.col("off") == 0, F.col("tilt")).when(inside, step).otherwise(middle)
+        now = stored(sums.select("source", "mean", "target", "low", "high", tilt.alias("tilt"), (F.abs("off") / F.greatest("target", F.lit(1.0))).alias("error")), "tilts")
         if (now.agg(F.max("error")).first()[0] or 0.0) < CLOSE:
             break
-    return now.select("source", "mean", "full", "tilt")
+    return now.select("source", "mean", F.lit(False).alias("full"), "tilt").unionByName(facts.where("full").select("source", "mean", "full", F.lit(0.0).alias("tilt")))
 
 
 def strata(rated: DataFrame, most: float) -> DataFrame:
