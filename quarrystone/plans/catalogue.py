@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarrystone.plans import customers, documents, graphs, records, retrieval, workflows
+from quarrystone.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "panorama_sections"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "customers", "documents", "graphs", "records", "retrieval", "workflows"]
