@@ -7,6 +7,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarrystone.functions.text import first_rule
 
@@ -49,7 +50,7 @@ def redact_display(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.str.normalize("NFKC")
