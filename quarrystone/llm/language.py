@@ -58,7 +58,7 @@ def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def automaton(symbols: list[int], size: int) -> np.ndarray:
-    """The suffix automaton's transitions, row-major; where there is none, FAILED and the transition from the root. States are multiplied by size."""
+    """The suffix automaton's transitions, row-major; where there is none, FAILED and the transition from the root, or to the last state, from which none leads on. States are multiplied by size."""
     links, lengths, nexts = [-1], [0], [{}]
     last = 0
     for c in symbols:
@@ -84,10 +84,11 @@ def automaton(symbols: list[int], size: int) -> np.ndarray:
                     p = links[p]
                 links[q] = links[now] = copy
         last = now
-    table = np.full((len(nexts), size), -1, np.int64)
+    dead = len(nexts)
+    table = np.full((dead + 1, size), -1, np.int64)
     at = np.repeat(np.arange(len(nexts)), [len(x) for x in nexts])
     table[at, [c for x in nexts for c in x]] = [s for x in nexts for s in x.values()]
-    root = np.maximum(table[0], 0)
+    root = np.where(table[0] < 0, dead, table[0])
     table = np.where(table >= 0, table * size, root * size + FAILED)
     return table.reshape(-1).astype(np.int32)
 
@@ -107,13 +108,13 @@ class Parser:
         self.code = np.where(np.arange(sys.maxunicode + 1) == 0, 0, self.size - 1).astype(np.uint8)
         self.code[letters] = np.arange(1, len(letters) + 1)
         most = max(1_000, min(LETTERS, ALL_LETTERS // max(1, len(samples))))
-        tables, self.weights, self.roots, start = [], [], [], 0
+        tables, self.weights, self.starts, start = [], [], [], 0
         for p in parsed:
             known = self.code[p[:most]]
             t = automaton(known.tolist(), self.size)
-            tables.append(np.where(t >= FAILED, t + start, t + start).astype(np.int32))
-            self.roots.append(start)
+            tables.append(t + np.int32(start))
             start += len(t)
+            self.starts.append(start - self.size)  # from there any symbol starts a phrase
             self.weights.append(math.log2(len(known) + 2))
         if start >= FAILED:
             raise ValueError("the samples of all languages together are too large")
@@ -136,8 +137,8 @@ class Parser:
         k, rows = len(self.languages), len(owner)
         grid = symbols[np.minimum(starts + np.arange(BLOCK)[:, None], max(0, len(symbols) - 1))] if rows else np.zeros((BLOCK, 0), np.uint8)
         active = np.searchsorted(-lengths, -np.arange(BLOCK), side="left")  # blocks longer than each step
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], rows, 1)
-        ends = np.ones((k, rows), np.int32)
+        state = np.repeat(np.array(self.starts, np.int32)[:, None], rows, 1)
+        ends = np.zeros((k, rows), np.int32)
         for j in range(BLOCK):
             if not (m := int(active[j])):
                 break
