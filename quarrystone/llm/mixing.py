@@ -10,8 +10,9 @@ The tilt of each source solves the convex dual; Newton steps, guarded by an inte
 at once over counts of equal sizes.
 
 Copies: floor and ceiling of the rates, decided by running sums over documents in order of size within strata of a source
-(`strata`), so that sums stay near and no task gets a source whole. A second pass in each stratum then moves its smallest
-undecided documents by one copy while that brings the stratum nearer to its sum.
+(`strata`), so that sums stay near and no task gets a source whole. Each stratum then moves its smallest documents by one
+copy while that brings it nearer to its sum: first from floor to ceiling or back, then, where one document outweighs all
+that, any that can still be moved.
 
 Edge cases. Null text: size 0, no words taken. A null source is a source of its own. A source of size 0 has target 0.
 Repeated rows count each. Empty tables give empty results. Results depend on the rows alone, not on their partitions.
@@ -84,12 +85,14 @@ def strata(rated: DataFrame, most: float) -> DataFrame:
     df = rated.withColumn("fraction", F.col("rate") - low).withColumn("sum", F.round(F.sum("fraction").over(running), 9))
     df = df.withColumn("up", F.floor(F.col("sum") + 0.5) > F.floor(F.col("sum") - F.col("fraction") + 0.5))
     df = df.withColumn("up", F.col("up") & (F.col("fraction") > 1e-9)).withColumn("copies", low + F.col("up").cast("long"))
-    df = df.withColumn("off", F.sum((F.col("rate") - F.col("copies")) * F.col("size")).over(own))
-    may = F.when(F.col("off") > 0, ~F.col("up")).otherwise(F.col("up")) & (F.col("fraction") > 1e-9)
-    df = df.withColumn("may", may)
-    moved = Window.partitionBy("source", "part", "may").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    move = F.col("may") & (F.sum("size").over(moved) <= F.abs("off") + F.col("size") / 2)
-    return df.withColumn("copies", F.col("copies") + F.when(move, F.signum("off").cast("long")).otherwise(0))
+    for rounding in (True, False):
+        df = df.withColumn("off", F.sum((F.col("rate") - F.col("copies")) * F.col("size")).over(own))
+        more, less = (F.col("copies") < F.ceil("rate"), F.col("copies") > F.floor("rate")) if rounding else (F.col("copies") < most, F.col("copies") > 0)
+        df = df.withColumn("may", F.when(F.col("off") > 0, more).otherwise(less) & (F.col("fraction") > 1e-9 if rounding else F.abs("off") >= 1))
+        moved = Window.partitionBy("source", "part", "may").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        move = F.col("may") & (F.sum("size").over(moved) <= F.abs("off") + F.col("size") / 2)
+        df = df.withColumn("copies", F.col("copies") + F.when(move, F.signum("off").cast("long")).otherwise(0))
+    return df
 
 
 def mix(docs: DataFrame, pattern: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
