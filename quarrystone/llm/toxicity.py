@@ -293,7 +293,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
         y.append(toxic)
     x, y = np.array(x).reshape(-1, 3), np.array(y, float)
     times = np.where(y == 1, n1 / max(1, (y == 1).sum()), n0 / max(1, (y == 0).sum()))
-    times /= times.mean()
+    times /= max(times.sum() / max(1, len(times)), 1e-300)
     w = np.zeros(3)
     for _ in range(50):  # Newton
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
