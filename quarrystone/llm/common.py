@@ -84,7 +84,7 @@ class RollingHash:
 
     def powers(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 1 << 16, 2 * len(self.up))
+            n = (n + (1 << 20) - 1) >> 20 << 20
             for name, base in (("up", self.PRIME), ("down", pow(self.PRIME, -1, 2**64))):
                 x = np.full(n, base, np.uint64)
                 x[0] = 1

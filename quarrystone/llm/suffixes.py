@@ -34,6 +34,8 @@ from quarrystone.llm.neardup import chunks
 LENGTH, GRAM = 50, 16
 WIDTH = LENGTH - GRAM + 1
 LAST = 2**63 - 1
+#: Bytes of text that a worker looks at together, about.
+CHUNK = 1_500_000
 WHOLE = np.uint64(2**64 - 1)
 ENTRY = np.dtype([("anchor", "<u4"), ("low", "<u4"), ("high", "<u2")])
 MARKS = "doc_id long, send boolean, cids binary, masks binary"
@@ -117,7 +119,7 @@ def exchange(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             low = 0
-            for block in chunks([(t or "").encode() for t in batch.column(1).to_pylist()], 8_000_000):
+            for block in chunks([(t or "").encode() for t in batch.column(1).to_pylist()], CHUNK):
                 own, low = ids[low : low + len(block)], low + len(block)
                 f = Fragments(block)
                 bucket, anchor, content, cid = f.cids(buckets)
@@ -224,7 +226,7 @@ def lookup(f: Fragments, buckets: int, marked: list) -> tuple[np.ndarray, np.nda
 def blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes], list]]:
     """ids, texts, marks of a batch (doc_id, text, marks) in blocks."""
     ids, marked, low = batch.column(0), batch.column(2).to_pylist(), 0
-    for block in chunks([(t or "").encode() for t in batch.column(1).to_pylist()], 8_000_000):
+    for block in chunks([(t or "").encode() for t in batch.column(1).to_pylist()], CHUNK):
         yield ids.slice(low, len(block)), block, marked[low : low + len(block)]
         low += len(block)
 
