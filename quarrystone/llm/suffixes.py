@@ -12,7 +12,7 @@ smaller document give its longest previous factor; where that reaches `LENGTH`,
 document is decided that way or by its fragment, so later copies go and the first one stays.
 
 Scale. Equal fragments within a batch are sent once. Anchors are dealt by hash; a task sorts arrays and doesn't mind how
-often an anchor occurs. Texts are joined with their marks by document.
+often an anchor occurs. Texts meet their marks in small teams of documents.
 
 Edge cases. Null text is empty; texts shorter than LENGTH lose nothing. Rows that share an id don't remove each other's
 bytes. A null id counts as later than all others. Empty tables give empty results; extra columns are left out.
@@ -31,15 +31,18 @@ from pyspark.sql import functions as F
 from quarrystone.llm.common import RollingHash, documents, mixed, parts, stored
 from quarrystone.llm.neardup import chunks
 
-LENGTH, GRAM = 50, 16
+#: Longer grams make more anchors but fewer that texts share by chance; that share grows with the corpus.
+LENGTH, GRAM = 50, 24
 WIDTH = LENGTH - GRAM + 1
 LAST = 2**63 - 1
 #: Bytes of text that a worker looks at together, about.
 CHUNK = 1_500_000
 WHOLE = np.uint64(2**64 - 1)
 ENTRY = np.dtype([("anchor", "<u4"), ("low", "<u4"), ("high", "<u2")])
-MARKS = "doc_id long, send boolean, cids binary, masks binary"
-NAMES = ["doc_id", "send", "cids", "masks"]
+MARKS = "team int, send boolean, ids binary, cids binary, masks binary"
+NAMES = ["team", "send", "ids", "cids", "masks"]
+#: Documents of a team, about: their texts and marks meet in one call.
+TEAM = 400
 
 _hash = RollingHash()
 _u = np.uint64
@@ -99,18 +102,28 @@ def runs(*sorted_keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def marks(docs: np.ndarray, cids: np.ndarray, masks: np.ndarray | None, send: bool) -> pa.RecordBatch:
-    """One row per document. masks: None for whole fragments."""
-    order = np.argsort(docs, kind="stable")
-    docs, cids = docs[order], cids[order]
-    first = np.flatnonzero(runs(docs))
+def team_of(ids: np.ndarray, teams: int) -> np.ndarray:
+    return ((ids ^ ids >> 17) % teams).astype(np.int32)
+
+
+def teamed(docs: DataFrame, teams: int) -> DataFrame:
+    """docs with the column that team_of gives."""
+    return docs.withColumn("team", F.pmod(F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", 17)), F.lit(teams)).cast("int"))
+
+
+def marks(docs: np.ndarray, cids: np.ndarray, masks: np.ndarray | None, send: bool, teams: int) -> pa.RecordBatch:
+    """One row per team of documents. masks: None for whole fragments."""
+    team = team_of(docs, teams)
+    order = np.argsort(team, kind="stable")
+    docs, cids, team = docs[order], cids[order], team[order]
+    first = np.flatnonzero(runs(team))
     cut = [*first.tolist(), len(docs)]
-    packed = [cids[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-    masked = [None] * len(packed) if masks is None else [masks[order][a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-    return pa.RecordBatch.from_arrays([pa.array(docs[first]), pa.array([send] * len(packed), pa.bool_()), pa.array(packed, pa.binary()), pa.array(masked, pa.binary())], NAMES)
+    split = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
+    masked = pa.nulls(len(first), pa.binary()) if masks is None else split(masks[order])
+    return pa.RecordBatch.from_arrays([pa.array(team[first]), pa.array([send] * len(first), pa.bool_()), split(docs), split(cids), masked], NAMES)
 
 
-def exchange(docs: DataFrame, buckets: int) -> DataFrame:
+def exchange(docs: DataFrame, buckets: int, teams: int) -> DataFrame:
     """bucket, docs, counts, entries: the fragments of each batch, each kind once by its least document; or marks of the other documents (bucket null)."""
     schema = f"bucket int, docs binary, counts binary, entries binary, {MARKS}"
 
@@ -130,7 +143,7 @@ def exchange(docs: DataFrame, buckets: int) -> DataFrame:
                 least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
                 later = (doc > least) & runs(cid, doc)
                 if later.any():
-                    m = marks(doc[later], cid[later], None, False)
+                    m = marks(doc[later], cid[later], None, False, teams)
                     n = m.num_rows
                     yield pa.RecordBatch.from_arrays([none(n, pa.int32()), none(n, pa.binary()), none(n, pa.binary()), none(n, pa.binary()), *m.columns], ["bucket", "docs", "counts", "entries", *NAMES])
                 kept = order[new]
@@ -149,12 +162,12 @@ def exchange(docs: DataFrame, buckets: int) -> DataFrame:
                     rows["counts"].append(counts[x:y].tobytes())
                     rows["entries"].append(entry[p[0] : p[0] + int(counts[x:y].sum())].tobytes())
                 n = len(rows["bucket"])
-                yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *[pa.array(rows[k], pa.binary()) for k in ("docs", "counts", "entries")], none(n, pa.int64()), none(n, pa.bool_()), none(n, pa.binary()), none(n, pa.binary())], ["bucket", "docs", "counts", "entries", *NAMES])
+                yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *[pa.array(rows[k], pa.binary()) for k in ("docs", "counts", "entries")], none(n, pa.int32()), none(n, pa.bool_()), none(n, pa.binary()), none(n, pa.binary()), none(n, pa.binary())], ["bucket", "docs", "counts", "entries", *NAMES])
 
     return docs.mapInArrow(run, schema)
 
 
-def decided(found: DataFrame, buckets: int) -> DataFrame:
+def decided(found: DataFrame, buckets: int, teams: int) -> DataFrame:
     """Marks of whole fragments that an earlier document has, and requests to send fragments that must be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,85 +196,75 @@ def decided(found: DataFrame, buckets: int) -> DataFrame:
         least = doc[first]
         later = doc > np.repeat(least, np.diff(np.append(first, len(doc))))
         if later.any():
-            yield marks(doc[later], cid[later], None, False)
+            yield marks(doc[later], cid[later], None, False, teams)
         kinds = key[first]
         group = np.flatnonzero(runs(kinds))
         if len(group):
             low, high, n = np.minimum.reduceat(least, group), np.maximum.reduceat(least, group), np.diff(np.append(group, len(kinds)))
             unlike = np.repeat(high > low, n)
             if unlike.any():
-                yield marks(least[unlike], cid[first][unlike], None, True)
+                yield marks(least[unlike], cid[first][unlike], None, True, teams)
 
-    return found.repartition(buckets, F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))).mapInArrow(run, MARKS)
+    return found.repartition(buckets, F.coalesce("bucket", F.col("team") % buckets)).mapInArrow(run, MARKS)
 
 
-def gathered(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("cids", F.coalesce("masks", F.lit(b"")).alias("masks"))).alias("marks"))
-
-
-def lookup(f: Fragments, buckets: int, marked: list) -> tuple[np.ndarray, np.ndarray]:
-    """Of each fragment the mask of its windows that marks of its own text name, 0 for none; and the cids."""
-    bucket, anchor, content, cid = f.cids(buckets)
-    owner, cids, masks = [], [], []
-    for i, rows in enumerate(marked):
-        for r in rows or ():
-            c = np.frombuffer(r["cids"], np.uint64)
-            cids.append(c)
-            masks.append(np.frombuffer(r["masks"], np.uint64) if r["masks"] else np.full(len(c), WHOLE))
-            owner.append(np.full(len(c), i))
+def lookup(f: Fragments, buckets: int, ids: np.ndarray, marked: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of each fragment the mask of its windows that marks (ids, cids, masks) of its own document name, 0 for none; and the cids. ids: of the texts."""
+    cid = f.cids(buckets)[3]
     out = np.zeros(len(cid), np.uint64)
-    if cids and len(cid):
-        salt = mixed(np.arange(1, len(marked) + 1, dtype=np.uint64))
-        keys = np.concatenate(cids) ^ salt[np.concatenate(owner)]
+    if marked.num_rows and len(cid):
+        cids = [np.frombuffer(x, np.uint64) for x in marked["cids"].to_pylist()]
+        masks = [np.full(len(c), WHOLE) if m is None else np.frombuffer(m, np.uint64) for c, m in zip(cids, marked["masks"].to_pylist(), strict=True)]
+        owner = np.frombuffer(b"".join(marked["ids"].to_pylist()), np.int64)
+        keys = np.concatenate(cids) ^ mixed(owner.astype(np.uint64))
         order = np.argsort(keys, kind="stable")
         keys, values = keys[order], np.concatenate(masks)[order]
         first = np.flatnonzero(runs(keys))
         keys, values = keys[first], np.bitwise_or.reduceat(values, first)
-        own = cid ^ salt[f.of]
+        own = cid ^ mixed(ids.astype(np.uint64))[f.of]
         at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
         out = np.where(keys[at] == own, values[at], _u(0))
     return out, cid
 
 
-def blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes], list]]:
-    """ids, texts, marks of a batch (doc_id, text, marks) in blocks."""
-    ids, marked, low = batch.column(0), batch.column(2).to_pylist(), 0
-    for block in chunks([(t or "").encode() for t in batch.column(1).to_pylist()], CHUNK):
-        yield ids.slice(low, len(block)), block, marked[low : low + len(block)]
+def blocks_of(table: pa.Table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """ids and texts of a team in blocks."""
+    ids, low = table["doc_id"].to_numpy(), 0
+    for block in chunks([(t or "").encode() for t in table["text"].to_pylist()], CHUNK):
+        yield ids[low : low + len(block)], block
         low += len(block)
 
 
-def sent(joined: DataFrame, buckets: int) -> DataFrame:
-    """bucket and fragments as arrays: keys (bucket and anchor), docs, cids, sizes, data."""
+def sent(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
+    """bucket and fragments as arrays: keys (bucket and anchor), docs, cids, sizes, data. docs and marks have teams."""
     kinds = ("keys", "docs", "cids", "sizes", "data")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, block, marked in blocks_of(batch):
-                f = Fragments(block)
-                wanted, cid = lookup(f, buckets, marked)
-                pick = np.flatnonzero(wanted)
-                if not len(pick):
-                    continue
-                doc = ids.to_numpy()[f.of[pick]]
-                order = np.lexsort((cid[pick], doc))
-                pick, doc = pick[order], doc[order]
-                once = runs(doc, cid[pick])
-                pick, doc = pick[once], doc[once]
-                bucket = (f.anchor[pick] >> _u(40)) % _u(buckets)
-                order = np.argsort(bucket, kind="stable")
-                pick, doc, bucket = pick[order], doc[order], bucket[order]
-                key = bucket << _u(32) | f.anchor[pick] & _u(0xFFFFFFFF)
-                size = (f.windows[pick] + LENGTH - 1).astype(np.int64)
-                ends = np.cumsum(size)
-                data = f.data[np.repeat(f.begin[pick] - (ends - size), size) + np.arange(ends[-1])]
-                heads = np.flatnonzero(runs(bucket)).tolist()
-                rows = []
-                for x, y in zip(heads, [*heads[1:], len(pick)], strict=True):
-                    rows.append((int(bucket[x]), key[x:y].tobytes(), doc[x:y].tobytes(), cid[pick[x:y]].tobytes(), size[x:y].astype(np.uint16).tobytes(), data[ends[x] - size[x] : ends[y - 1]].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6)]], ["bucket", *kinds])
-
-    return joined.mapInArrow(run, "bucket int, " + ", ".join(f"{k} binary" for k in kinds))
+    def solve(texts: pa.Table, marked: pa.Table) -> pa.Table:
+        rows = []
+        for ids, block in blocks_of(texts) if marked.num_rows else ():
+            f = Fragments(block)
+            wanted, cid = lookup(f, buckets, ids, marked)
+            pick = np.flatnonzero(wanted)
+            if not len(pick):
+                continue
+            doc = ids[f.of[pick]]
+            order = np.lexsort((cid[pick], doc))
+            pick, doc = pick[order], doc[order]
+            once = runs(doc, cid[pick])
+            pick, doc = pick[once], doc[once]
+            bucket = (f.anchor[pick] >> _u(40)) % _u(buckets)
+            order = np.argsort(bucket, kind="stable")
+            pick, doc, bucket = pick[order], doc[order], bucket[order]
+            key = bucket << _u(32) | f.anchor[pick] & _u(0xFFFFFFFF)
+            size = (f.windows[pick] + LENGTH - 1).astype(np.int64)
+            ends = np.cumsum(size)
+            data = f.data[np.repeat(f.begin[pick] - (ends - size), size) + np.arange(ends[-1])]
+            heads = np.flatnonzero(runs(bucket)).tolist()
+            for x, y in zip(heads, [*heads[1:], len(pick)], strict=True):
+                rows.append((int(bucket[x]), key[x:y].tobytes(), doc[x:y].tobytes(), cid[pick[x:y]].tobytes(), size[x:y].astype(np.uint16).tobytes(), data[ends[x] - size[x] : ends[y - 1]].tobytes()))
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6)]], names=["bucket", *kinds])
+
+    return docs.groupBy("team").cogroup(marks.select("team", "ids", "cids", "masks").groupBy("team")).applyInArrow(lambda a, b: solve(a, b), "bucket int, " + ", ".join(f"{k} binary" for k in kinds))
 
 
 def dense(keys: np.ndarray) -> np.ndarray:
@@ -332,7 +335,7 @@ def longest_previous(data: np.ndarray, at: np.ndarray, docs: np.ndarray, length:
     return out
 
 
-def compared(fragments: DataFrame, buckets: int) -> DataFrame:
+def compared(fragments: DataFrame, buckets: int, teams: int) -> DataFrame:
     """Marks of the windows that fragments of smaller documents hold."""
 
     def solve(key: np.ndarray, doc: np.ndarray, cid: np.ndarray, size: np.ndarray, start: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -365,12 +368,12 @@ def compared(fragments: DataFrame, buckets: int) -> DataFrame:
         out = [solve(key[a:b], doc[a:b], cid[a:b], size[a:b], start[a:b], data) for a, b in zip(cut, cut[1:], strict=False)]
         doc, cid, mask = (np.concatenate(x) for x in zip(*out, strict=True))
         if len(doc):
-            yield marks(doc, cid, mask, False)
+            yield marks(doc, cid, mask, False, teams)
 
     return fragments.repartition(buckets, "bucket").mapInArrow(run, MARKS)
 
 
-def covered(f: Fragments, mask: np.ndarray, texts: int) -> np.ndarray:
+def covered(f: Fragments, mask: np.ndarray) -> np.ndarray:
     """Which bytes of the chunk the masked windows cover."""
     hit = np.flatnonzero(mask)
     of = np.repeat(hit, f.windows[hit])
@@ -383,39 +386,36 @@ def covered(f: Fragments, mask: np.ndarray, texts: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def kept(joined: DataFrame, buckets: int) -> DataFrame:
+def kept(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, block, marked in blocks_of(batch):
-                sizes, removed, spans, left = [len(t) for t in block], [0] * len(block), [0] * len(block), list(block)
-                some = [i for i, m in enumerate(marked) if m]
-                if some:
-                    f = Fragments([block[i] for i in some])
-                    gone = covered(f, lookup(f, buckets, [marked[i] for i in some])[0], len(some))
-                    for i, a, b in zip(some, f.starts.tolist(), f.ends.tolist(), strict=True):
-                        g = gone[a:b]
-                        removed[i] = int(g.sum())
-                        if removed[i]:
-                            spans[i] = int(g[0]) + int((g[1:] & ~g[:-1]).sum())
-                            left[i] = f.data[a:b][~g].tobytes()
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.int64()) for x in (sizes, removed, spans)], pa.array(left, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    def solve(texts: pa.Table, marked: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], [], [], []]
+        for ids, block in blocks_of(texts):
+            sizes, removed, spans, left = [len(t) for t in block], [0] * len(block), [0] * len(block), list(block)
+            f = Fragments(block) if marked.num_rows else None
+            gone = covered(f, lookup(f, buckets, ids, marked)[0]) if f else None
+            for i, (a, b) in enumerate(zip(f.starts.tolist(), f.ends.tolist(), strict=True)) if f else ():
+                g = gone[a:b]
+                removed[i] = int(g.sum())
+                if removed[i]:
+                    spans[i] = int(g[0]) + int((g[1:] & ~g[:-1]).sum())
+                    left[i] = f.data[a:b][~g].tobytes()
+            for column, values in zip(out, (ids.tolist(), sizes, removed, spans, left), strict=True):
+                column += values
+        return pa.table([*[pa.array(x, pa.int64()) for x in out[:4]], pa.array(out[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return docs.groupBy("team").cogroup(marks.select("team", "ids", "cids", "masks").groupBy("team")).applyInArrow(lambda a, b: solve(a, b), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept, the bytes that stay, for every row of docs (doc_id, text)."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = parts(docs.sparkSession)
-    first = stored(decided(exchange(docs, buckets), buckets), "fragments")
-
-    def joined(marks: DataFrame, how: str) -> DataFrame:
-        return docs.join(gathered(marks).hint("shuffle_hash"), "doc_id", how).select("doc_id", "text", "marks")
-
-    unlike = stored(compared(sent(joined(first.where("send"), "inner"), buckets), buckets), "windows")
-    out = kept(joined(first.where("not send").unionByName(unlike), "left"), buckets)
+    buckets, teams = parts(docs.sparkSession), max(1, -(-docs.count() // TEAM))
+    first = stored(decided(exchange(docs, buckets, teams), buckets, teams), "fragments")
+    own = teamed(docs, teams)
+    unlike = stored(compared(sent(own, first.where("send"), buckets), buckets, teams), "windows")
+    out = kept(own, first.where("not send").unionByName(unlike), buckets)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
 
 
