@@ -93,8 +93,11 @@ def restored(rows: DataFrame, names: DataFrame, column: str, person: str = "pers
 
 
 def prohibited(text: Column, terms: Column) -> Column:
-    """Terms of an array that occur in a text: digits and ASCII words between boundaries, others anywhere once spaces are out."""
-    low, compact = F.lower(security.normalized(text)), F.lower(F.regexp_replace(security.normalized(text), GAP, ""))
+    """Terms of an array that occur in a text: digits and ASCII words between boundaries, others anywhere once spaces are out.
+
+    text is a column that security.normalized has made; a Python function can't stand within the search of an array.
+    """
+    low, compact = F.lower(text), F.lower(F.regexp_replace(text, GAP, ""))
 
     def hit(term: Column) -> Column:
         t = F.lower(term)
