@@ -6,13 +6,15 @@ of equal sets are one class from the start: its smallest id stands for it, and c
 Forest. `HASHES` minima form a signature. Each of `TREES` trees orders the classes by a label of `LEVELS` minima, in an order
 of its own. The rows of all trees are range-partitioned and sorted, so a label that many share is split like any other data.
 Neighbours in an order are candidates if their labels share a prefix. The depth adapts to the region, a run of rows that
-share `SHALLOW` levels: in a small run rows up to `NEAR` apart are candidates at that depth; in a larger one, rows that are
-not adjacent must share one level more for every doubling. Rows at the ends of partitions meet in a second pass.
+share `SHALLOW` levels: in a small run rows up to `NEAR` apart are candidates at that depth; in a larger one rows up to `FAR`
+apart, which if not adjacent must share one level more for every doubling. Rows at the ends of partitions meet in a second pass.
 
 Confirmation. Candidates whose signatures agree in too few places are dropped (at the threshold, fewer than one link in a
-million), the rest are compared on their full sets, in rounds: the links of highest agreement of each class first, then more
-and more of those that still join different components, until none is undecided. So a group of many near copies costs about
-its size, not the square of it, and no link that would join two components is left out.
+million), the rest are compared on their full sets; if they are many for the number of classes, those of highest agreement of
+each class first, and of the others only those that still join different components. In a large region a document's only
+link may be to one far away in every order. So where candidates lie in two components at the end, the documents of the
+smaller one are compared with all of the larger one (`bordering`). A group of near copies costs about its size and its
+border, not the square of it, and no link that would join two components is left out.
 
 Edge cases. Null or empty text, or white space alone: an empty set, linked with nothing, its own component. Fewer words than
 a shingle has: all of them are the one shingle. Rows that share an id are one document as far as links go. A null id has
@@ -32,13 +34,16 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm.common import SPACES, RollingHash, documents, mixed, stored
 
-HASHES, TREES, LEVELS, SHALLOW, NEAR = 64, 16, 8, 3, 7
+HASHES, TREES, LEVELS, SHALLOW, NEAR, FAR = 64, 16, 8, 3, 7, 3
 #: Places of a signature in which links at 0.8 agree, all but one in a million.
 AGREE = 0.56
 #: Ids up to which a set of them may be broadcast.
 BROADCAST_IDS = 500_000
-#: Links of a class to confirm in each round.
-ROUNDS = (1, 4, 32, None)
+#: Candidates per class up to which all are confirmed at once; beyond, so many of each class in each round.
+AT_ONCE = 8
+ROUNDS = (1, 8)
+#: Documents of a block of a large component; size up to which all documents of a component are compared with a larger one.
+MEMBERS, ASKED = 1_000, 256
 
 _hash = RollingHash()
 _white = np.zeros(256, bool)
@@ -56,7 +61,7 @@ def levels_of(tree: int) -> list[int]:
     return [(tree * own + i) % HASHES if i < own else (tree * own + i * 5 + 7) % HASHES for i in range(LEVELS)]
 
 
-def chunks(texts: list[bytes], most: int = 3_000_000) -> Iterator[list[bytes]]:
+def chunks(texts: list[bytes], most: int = 1_500_000) -> Iterator[list[bytes]]:
     block, n = [], 0
     for t in texts:
         if block and n + len(t) > most:
@@ -161,9 +166,10 @@ def near(tree: np.ndarray, label: np.ndarray, ids: np.ndarray) -> tuple[np.ndarr
     run = np.cumsum(np.concatenate([[True], shared[0] < SHALLOW])) - 1
     size = np.bincount(run)[run]
     deeper = np.minimum(LEVELS, SHALLOW + np.ceil(np.log2(np.maximum(1, size / (NEAR + 1)))).astype(int))
+    reach = np.where(size <= 2 * NEAR, NEAR, FAR)
     a, b = [], []
     for s, depth in enumerate(shared, 1):
-        hit = np.flatnonzero(depth >= (SHALLOW if s == 1 else deeper[:-s]))
+        hit = np.flatnonzero((depth >= (SHALLOW if s == 1 else deeper[:-s])) & (reach[:-s] >= s))
         a.append(ids[hit])
         b.append(ids[hit + s])
     a, b = np.concatenate(a), np.concatenate(b)
@@ -269,13 +275,13 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct()
     seen = None
     while True:
-        for _ in range(2):
-            both = edges.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(edges.select(F.col("m").alias("u"), F.col("v").alias("w")))
-            least = both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m"))
-            edges = both.join(least, "u").where("w > u").select(F.col("w").alias("v"), "m").distinct()
-            least = edges.groupBy("v").agg(F.min("m").alias("least"))
-            down = edges.join(least, "v")
-            edges = down.select(F.col("m").alias("v"), F.col("least").alias("m")).unionByName(down.select("v", F.col("least").alias("m"))).where("v <> m").distinct()
+        ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("w")), F.struct(F.col("m").alias("u"), F.col("v").alias("w"))))
+        both = edges.select(ends.alias("x")).select("x.u", "x.w")
+        least = both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m"))
+        edges = both.join(least, "u").where("w > u").select(F.col("w").alias("v"), "m").distinct()
+        least = edges.groupBy("v").agg(F.min("m").alias("least"))
+        down = F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("least").alias("m")), F.struct("v", F.col("least").alias("m"))))
+        edges = edges.join(least, "v").select(down.alias("x")).select("x.v", "x.m").where("v <> m").distinct()
         edges = stored(edges, "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if now == seen:
@@ -283,6 +289,53 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
+def bordering(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """a, b: the links that candidates missed. Where a candidate pair still lies in two components, the documents of the smaller one are compared with every document of the larger one.
+
+    nodes: id, root. A large component is dealt out in blocks, and each document asked for goes to all of them; shared
+    shingles are counted through the block's postings, so no pairs are made. Of a small component all documents are asked
+    for, of one beyond `ASKED` those in such pairs.
+    """
+    sizes = nodes.groupBy("root").agg(F.count("*").alias("size"))
+    sized = stored(nodes.join(sizes, "root"), "sized")
+    x, y = (sized.select(F.col("id").alias(k), F.struct("size", "root").alias(f"side_{k}")) for k in "ab")
+    cross = pairs.join(x, "a").join(y, "b").where("side_a.root <> side_b.root")
+    first = F.col("side_a") < F.col("side_b")
+    ask = F.struct(F.when(first, F.col("a")).otherwise(F.col("b")).alias("end"), F.when(first, F.col("side_a")).otherwise(F.col("side_b")).alias("own"), F.when(first, F.col("side_b")).otherwise(F.col("side_a")).alias("other"))
+    asks = stored(cross.select(ask.alias("x")).select("x.end", "x.own", "x.other").distinct(), "asks")
+    whole = asks.where(F.col("own.size") <= ASKED).select(F.col("own.root").alias("root"), "other").distinct().join(nodes, "root").select("id", "other")
+    ends = asks.where(F.col("own.size") > ASKED).select(F.col("end").alias("id"), "other")
+    blocks = F.ceil(F.col("other.size") / MEMBERS).cast("int")
+    asked = whole.unionByName(ends).distinct().select("id", F.col("other.root").alias("root"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    goals = asks.select(F.col("other.root").alias("root")).distinct()
+    members = sized.join(goals, "root", "left_semi").select("id", "root", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / MEMBERS)).cast("int").alias("block"))
+
+    def solve(own: pa.Table, other: pa.Table) -> pa.Table:
+        a, b = [], []
+        if own.num_rows and other.num_rows:
+            own = own.sort_by("id")
+            ids, items = own["id"].to_numpy(), [np.frombuffer(x, np.uint64) for x in own["items"].to_pylist()]
+            sizes = np.array([len(x) for x in items])
+            hashes, of = np.concatenate(items), np.repeat(np.arange(len(items)), sizes)
+            order = np.argsort(hashes, kind="stable")
+            hashes, of = hashes[order], of[order]
+            for i, raw in zip(other["id"].to_pylist(), other["body"].to_pylist(), strict=True):
+                mine = np.frombuffer(raw, np.uint64)
+                low, high = np.searchsorted(hashes, mine, "left"), np.searchsorted(hashes, mine, "right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                shared = np.bincount(of[at], minlength=len(items))
+                hit = np.flatnonzero(100 * shared >= similar * (len(mine) + sizes - shared))
+                if len(hit):
+                    a.append(i)
+                    b.append(int(ids[hit[0]]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    left = members.join(sets, "id").groupBy("root", "block")
+    right = asked.join(sets.withColumnRenamed("items", "body"), "id").select("id", F.col("root").alias("goal"), F.col("block").alias("part"), "body").groupBy("goal", "part")
+    return left.cogroup(right).applyInArrow(lambda own, other: solve(own, other), "a long, b long")
+
+
 def linked(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame | None:
     """id, root of the classes that links join; None if there are none."""
     pairs = stored(agreeing(neighbours(labels(classes)), classes), "candidates")
@@ -290,22 +343,27 @@ def linked(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> Data
         return None
     ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     sets = stored(sets_of(docs, ids, size), "sets")
-    left, links, roots = pairs, None, None
-    for most in ROUNDS:
+
+    def named(roots: DataFrame) -> DataFrame:
+        return stored(ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "nodes")
+
+    def edges(roots: DataFrame) -> DataFrame:
+        return roots.select(F.col("id").alias("a"), F.col("root").alias("b"))  # stands for all links so far
+
+    left, roots = pairs, ids.select("id", F.col("id").alias("root")).limit(0)
+    for most in (None,) if pairs.count() <= AT_ONCE * ids.count() else ROUNDS:
         now = left
         if most:
             best = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
             now = left.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most).drop("n")
-        good = stored(confirmed(now, sets, similar), "links")
-        links = good if links is None else links.unionByName(good)
-        roots = components(links)
-        if not most:
-            break
-        x, y = (roots.select(F.col("id").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
-        rest = left.join(now.select("a", "b"), ["a", "b"], "left_anti").join(x, "a", "left").join(y, "b", "left")
-        left = stored(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "agree"), "left")
-        if not left.limit(1).count():
-            break
+        roots = components(edges(roots).unionByName(stored(confirmed(now, sets, similar), "links")))
+        nodes = named(roots)
+        x, y = (nodes.select(F.col("id").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
+        left = stored(left.join(x, "a").join(y, "b").where("root_a <> root_b").select("a", "b", "agree"), "left")
+    if left.limit(1).count():
+        missed = stored(bordering(left, nodes, sets, similar), "missed")
+        if missed.limit(1).count():
+            roots = components(edges(roots).unionByName(missed))
     return roots
 
 
@@ -317,7 +375,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = 80) -> DataFr
     classes = stored(sig.join(firsts.withColumnRenamed("first", "doc_id"), ["key", "doc_id"]).groupBy(F.col("doc_id").alias("id")).agg(F.first("sig").alias("sig")), "classes")
     roots = linked(docs, classes, size, similar)
     own = sig.select("doc_id", "n_shingles", "key").join(firsts, "key", "left")
-    rows = own.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("id"))
+    rows = own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("id"))
     # rows that share an id but not a text tie their classes together
     mixed_ids = sig.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if mixed_ids:
