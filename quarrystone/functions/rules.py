@@ -74,7 +74,7 @@ CURRENCIES = {"人民币": "CNY", "人民币元": "CNY", "rmb": "CNY", "cny": "C
 SYMBOLS = (("HK$", "HKD"), ("$", "USD"), ("¥", "CNY"), ("￥", "CNY"))
 UNITS = (("百万元", 10**6), ("千万元", 10**7), ("千元", 10**3), ("万元", 10**4), ("亿元", 10**8), ("百万", 10**6), ("千万", 10**7), ("千", 10**3), ("万", 10**4), ("亿", 10**8), ("元", 1))
 ESTIMATES = ("不低于", "大约", "超过", "至少", "约", "近")
-MARITAL = {"已婚": "MARRIED", "未婚": "SINGLE", "离异": "DIVORCED", "离婚": "DIVORCED", "丧偶": "WIDOWED", "再婚": "REMARRIED"}
+MARITAL = {"已婚": "MARRIED", "未婚": "UNMARRIED", "离异": "DIVORCED", "丧偶": "WIDOWED"}
 PERSON_ENTERPRISE = {"CHAIRPERSON": "CHAIRMAN_OF", "CHAIRMAN": "CHAIRMAN_OF", "CEO": "CEO_OF", "CHIEF_EXECUTIVE": "CEO_OF", "FOUNDER": "FOUNDED", "WORKS_AT": "WORKS_AT", "EMPLOYEE": "WORKS_AT", "SHAREHOLDER": "HOLDS_SHARE", "ACTUAL_CONTROLLER": "CONTROLS", "CONTROLLER": "CONTROLS", "CORE_ASSOCIATED": "RELATED_TO"}
 SOCIAL = {"MEMBER": "MEMBER_OF", "MEMBER_OF": "MEMBER_OF", "ORGANIZATION_MEMBERSHIP": "MEMBER_OF", "EMPLOYMENT": "WORKS_FOR", "WORKS_FOR": "WORKS_FOR", "PUBLIC_ROLE": "RELATED_TO"}
 TITLES = ((("董事长", "主席"), "CHAIRMAN_OF"), (("首席执行官", "CEO"), "CEO_OF"), (("创始人", "创办人"), "FOUNDED"))

@@ -152,10 +152,11 @@ def money(c: Column, unit: Column | None = None, code: Column | None = None) ->
         factors = F.create_map(*[x for n, k in rules.UNITS for x in (F.lit(n), F.lit(k).cast("decimal(12,0)"))])
         factor = F.try_element_at(factors, F.coalesce(unit, z.own, F.lit("")))
         named = F.coalesce(y.sign, y.word)
-        conflict = z.given.value.isNotNull() & named.isNotNull() & (z.given.value != named) | y.sign.isNotNull() & y.word.isNotNull() & (y.sign != y.word)
+        conflict = z.given.value.isNotNull() & y.word.isNotNull() & (z.given.value != y.word) | z.given.value.isNull() & y.sign.isNotNull() & y.word.isNotNull() & (y.sign != y.word)
         amount = F.when(z.number.rlike(r"^[+-]?\d+(?:\.\d+)?$"), z.number.try_cast("decimal(24,6)"))
-        other = F.upper(y.bare).rlike("[A-Z]{3}")
-        error = F.when(t.isNull(), F.lit(None)).when(ranged, "PARSE_FAILED").when(z.given.error.isNotNull(), "UNKNOWN_CURRENCY").when(conflict, "PARSE_FAILED").when(other, "UNKNOWN_CURRENCY").when(factor.isNull(), "MISSING_UNIT").when(amount.isNull(), "PARSE_FAILED")
+        ending = F.regexp_extract(y.bare, r"([一-鿿]{1,8}(?:元|币))$", 1)
+        other = F.upper(y.bare).rlike("(?<![A-Z])[A-Z]{3}(?![A-Z])") | named.isNull() & z.given.value.isNull() & (ending != "") & ~ending.isin(*[n for n, _ in rules.UNITS])
+        error = F.when(t.isNull(), F.lit(None)).when(ranged, "PARSE_FAILED").when(z.given.error.isNotNull() | conflict | other, "UNKNOWN_CURRENCY").when(factor.isNull(), "MISSING_UNIT").when(amount.isNull(), "PARSE_FAILED")
         return result(F.when(error.isNull(), (amount * factor).cast(DECIMAL)), error, unit=F.coalesce(unit, z.own), currency=F.coalesce(z.given.value, named), estimated=F.coalesce(estimated, F.lit(False)))
 
     return let(F.regexp_replace(clean_text(c), r"[,，\s　]", ""), parsed)
@@ -176,17 +177,15 @@ def value_format(c: Column) -> Column:
     """What a value looks like, the first class that fits; eight digits are a number, never a date."""
     t = strip(c)
     classes = (
-        (r"^$", "EMPTY"),
-        (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?$", "DATETIME"),
-        (r"^\d{4}-\d{1,2}-\d{1,2}$", "DATE"),
-        (r"^\d{4}年\d{1,2}月(?:\d{1,2}日?)?$", "CHINESE_DATE"),
-        (r"^[+-]?\d[\d,]*(?:\.\d+)?%$", "PERCENTAGE"),
-        (r"^[+-]?\d+$", "NUMERIC_STRING"),
-        (r"^[+-]?\d[\d,]*\.\d+$", "DECIMAL_STRING"),
-        (r"(?i)^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}$", "EMAIL"),
-        (r"(?i)^https?://\S+$", "URL"),
+        (r"^$", "EMPTY_STRING"),
+        (r"^[-+]?\d+(?:\.\d+)?$", "NUMERIC_STRING"),
+        (r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}(?:[ T].*)?$", "DATE_STRING"),
+        (r"^\d{8}$", "COMPACT_DATE_OR_NUMBER"),
+        (r"^[^@\s]+@[^@\s]+\.[^@\s]+$", "EMAIL_STRING"),
+        (r"^[+\d][\d\s()-]{5,}$", "PHONE_LIKE_STRING"),
     )
-    out = F.when(F.try_parse_json(t).isNotNull() & t.rlike(r"^[\[{]"), "JSON").otherwise("TEXT")
+    json = F.when(F.try_parse_json(t).isNotNull(), "JSON_STRING").otherwise("MALFORMED_JSON_LIKE_STRING")
+    out = F.when(t.rlike(r"^[\[{]"), json).when(t.rlike(r"[,，;；|、\n]"), "DELIMITED_STRING").otherwise("PLAIN_STRING")
     for pattern, code in reversed(classes):
         out = F.when(t.rlike(pattern), code).otherwise(out)
-    return F.when(c.isNull(), F.lit(None)).otherwise(out)
+    return F.when(c.isNull(), "NULL").otherwise(out)

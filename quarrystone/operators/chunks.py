@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -96,6 +96,74 @@ def chunked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return found.select(id_column, name.alias("chunk_id"), "position", "content", "tokens")
 
 
+#: Forms of headings.
+PRIMARY, SECONDARY, CLAUSE = r"^[一二三四五六七八九十百]+、\S.*$", r"^（[一二三四五六七八九十百]+）\S.*$", r"^\d+[\.．、]\s*\S.*$"
+NUMBER = r"^(?:[一二三四五六七八九十百]+、|（[一二三四五六七八九十百]+）)"
+HEADING = 30
+
+
+def heading(c: Column, parser_heading: Column, roots: Sequence[str] = ()) -> Column:
+    """is_heading, level, heading, body of a block's text: root titles, numbered headings of two levels, clauses the parser calls headings.
+
+    A long numbered line is a heading and a body if it has a short title, ends it, and goes on with a longer explanation.
+    """
+    t = strip(c)
+    level = F.when(t.isin(*roots) if roots else F.lit(False), 1).when(t.rlike(PRIMARY), 1).when(t.rlike(SECONDARY), 2)
+    title = F.regexp_extract(t, r"(?s)^([^：:。]*[：:。])", 1)
+    body = strip(F.substring(t, F.length(title) + 1, F.length(t)))
+    short = F.length(strip(F.regexp_replace(F.when(title == "", t).otherwise(title), NUMBER, ""))) <= HEADING
+    whole = (title == "") | (body == "")
+    split = ~whole & short & (F.length(body) >= 24)
+    numbered = t.rlike(PRIMARY) | t.rlike(SECONDARY)
+    clause = t.rlike(CLAUSE)
+    is_root = t.isin(*roots) if roots else F.lit(False)
+    yes = F.when(is_root, True).when(numbered, short & (whole | split)).otherwise(parser_heading & (t != ""))
+    rank = F.when(yes & level.isNotNull(), level).when(yes & clause, 3)
+    return F.struct(F.coalesce(yes, F.lit(False)).alias("is_heading"), rank.cast("int").alias("level"), F.when(numbered & split, strip(title)).when(yes, t).alias("heading"), F.when(numbered & split, body).alias("body"))
+
+
+def table_rows(rows: Column) -> Column:
+    """Rows padded with blanks to the widest one, cells trimmed."""
+    width = F.aggregate(rows, F.lit(0), lambda w, r: F.greatest(w, F.size(r)))
+    return F.transform(rows, lambda r: F.concat(F.transform(r, lambda x: strip(F.coalesce(x, F.lit("")))), F.array_repeat(F.lit(""), width - F.size(r))))
+
+
+def key_value_rows(rows: Column) -> Column:
+    """Pairs of a table of two columns with a key; none of other tables."""
+    pairs = F.filter(F.transform(rows, lambda r: F.struct(F.get(r, F.lit(0)).alias("key"), F.get(r, F.lit(1)).alias("value"))), lambda p: p.key != "")
+    return F.when(F.forall(rows, lambda r: F.size(r) == 2), pairs).otherwise(F.filter(pairs, lambda p: F.lit(False)))
+
+
+def sibling_runs(blocks: DataFrame, key: str = "page_id", least: int = 3, gap: int = 2) -> DataFrame:
+    """key, run, first, last, size: runs of blocks numbered one after another, with at most `gap` other blocks between neighbours."""
+    number = F.regexp_extract("text", r"^(\d{1,3})[.．、]", 1).try_cast("int")
+    rows = blocks.select(key, "position", number.alias("number")).where("number is not null")
+    w = Window.partitionBy(key).orderBy("position")
+    new = (F.col("number") != F.lag("number").over(w) + 1) | (F.col("position") - F.lag("position").over(w) > gap + 1)
+    rows = rows.withColumn("run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w))
+    return rows.groupBy(key, "run").agg(F.min("position").alias("first"), F.max("position").alias("last"), F.count("*").alias("size")).where(F.col("size") >= least)
+
+
+def markdown(blocks: DataFrame, key: str = "page_id") -> DataFrame:
+    """key and the document as Markdown: headings by level, list items, paragraphs, in order of position."""
+    line = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.coalesce("level", F.lit(6))), F.lit(" "), F.col("text"))).when(F.col("kind") == "list", F.concat(F.lit("- "), F.col("text"))).otherwise(F.col("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("position", line.alias("line"))))
+    return blocks.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x.line), "\n\n").alias("markdown"))
+
+
+def violations(chunks: DataFrame, most: int = MOST) -> DataFrame:
+    """chunk_id, problem of chunks that can't be indexed: blank or repeated id, empty or too long content."""
+    again = F.count("*").over(Window.partitionBy("chunk_id")) > 1
+    problem = F.when(F.coalesce(strip(F.col("chunk_id")), F.lit("")) == "", "BLANK_ID").when(again, "DUPLICATE_ID").when(F.coalesce(strip(F.col("content")), F.lit("")) == "", "EMPTY").when(F.col("tokens") > most, "TOO_LONG")
+    return chunks.withColumn("problem", problem).where("problem is not null").select("chunk_id", "problem")
+
+
+def schema_differences(found: DataFrame, expected: dict[str, str]) -> list[str]:
+    """What stands against writing into an existing table: missing columns and other types. Nothing is recreated."""
+    have = dict(found.dtypes)
+    return [f"{c}: missing" if c not in have else f"{c}: {have[c]}, not {t}" for c, t in expected.items() if have.get(c) != t]
+
+
 def embedding_text(product: Column, path: Column, content: Column) -> Column:
     """Labelled lines; a missing product or an empty path leaves its line out."""
     section = F.when(F.size(path) > 0, F.concat(F.lit("章节："), F.array_join(path, " > ")))

@@ -12,8 +12,8 @@ from quarrystone.functions.strict import contains_speculation
 #: What the graph may hold.
 NODE_TYPES = ("Person", "Enterprise", "FamilyProfile", "FamilyMember", "Organization", "MarketSegment", "Event")
 RELATION_TYPES = (
-    "CHAIRMAN_OF", "CEO_OF", "FOUNDED", "WORKS_AT", "WORKS_FOR", "HOLDS_SHARE", "CONTROLS", "RELATED_TO", "FAMILY_OF", "HAS_FAMILY_PROFILE", "MEMBER_OF",
-    "SUPPLIES_TO", "SUPPLY_CHAIN", "CUSTOMER_OF", "COMPETES_WITH", "COOPERATES_WITH", "ACADEMIC_COOPERATION", "CHARITY_COOPERATION", "HAS_EVENT", "PARTICIPATED_IN", "INVESTED_IN",
+    "WORKS_AT", "CHAIRMAN_OF", "CEO_OF", "FOUNDED", "HOLDS_SHARE", "CONTROLS", "OWNS", "GUARANTEES", "SUPPLY_CHAIN", "COMPETES_WITH", "HAS_UPSTREAM", "HAS_DOWNSTREAM", "FAMILY_OF", "HAS_FAMILY_PROFILE", "MEMBER_OF", "WORKS_FOR",
+    "CHARITY_COOPERATION", "ACADEMIC_COOPERATION", "PARTICIPATED_IN", "HAS_EVENT", "RELATED_TO",
 )
 
 

@@ -22,7 +22,7 @@ ENTERPRISE_EVENTS = {"BUYBACK": "CAPITAL_OPERATION", "REGULATORY_OR_LEGAL": "REG
 SOCIAL_EVENTS = {"CHARITY_ESG": "CHARITY_ACTIVITY", "CHARITY": "CHARITY_ACTIVITY", "ESG": "ESG_ACTIVITY", "ACADEMIC": "ACADEMIC_ACTIVITY", "ACADEMIC_COOPERATION": "ACADEMIC_ACTIVITY", "RESEARCH_COLLABORATION": "ACADEMIC_ACTIVITY", "PUBLIC_SERVICE": "SOCIAL_ACTIVITY", "SOCIAL_ACTIVITY": "SOCIAL_ACTIVITY"}
 REPUTATION_EVENTS = {"HONOR_OR_PUBLIC_EVALUATION": "HONOR", "HONOR": "HONOR", "PUBLIC_EVALUATION": "HONOR", "MEDIA_ATTENTION": "MEDIA_ATTENTION"}
 FINANCIAL_EVENTS = {k: k for k in rules.FINANCIAL_EVENTS}
-MARKET = {"UPSTREAM": "SUPPLIES_TO", "DOWNSTREAM": "CUSTOMER_OF", "COMPETITOR": "COMPETES_WITH"}
+MARKET = {"UPSTREAM": "HAS_UPSTREAM", "HAS_UPSTREAM": "HAS_UPSTREAM", "DOWNSTREAM": "HAS_DOWNSTREAM", "HAS_DOWNSTREAM": "HAS_DOWNSTREAM", "COMPETITOR": "COMPETES_WITH", "COMPETES_WITH": "COMPETES_WITH"}
 #: Names that stand for a kind of company, never for one.
 GENERIC = ("服务器供应商", "内容创作者", "游戏开发商", "c端用户", "广告主", "企业客户")
 
@@ -151,35 +151,37 @@ def social_relations(links: DataFrame, organizations: DataFrame, sources: DataFr
 def market_relations(market: DataFrame, enterprises: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Relations to counterparts, the nodes made for counterparts that are no known enterprise, and issues.
 
-    enterprises: enterprise_id, enterprise_name. Of equal names the first id counts. A generic name is a market segment and
-    can't compete; any other unknown name becomes a pending reference.
+    enterprises: enterprise_id, enterprise_name. A competitor is the known enterprise of that name (of equal names the first
+    id), else a pending reference, but never a generic name. Whatever is up or down the stream is a market segment.
     """
     known = enterprises.groupBy(organization_key(F.col("enterprise_name")).alias("key")).agg(F.min("enterprise_id").alias("_id"))
     rows = with_status(market, sources, "relation_description").withColumn("_name", strict.clean_text(F.col("counterpart_name"))).withColumn("key", organization_key(F.col("_name")))
     rows = rows.withColumn("_kind", mapped(F.col("relation_type"), MARKET)).join(known, "key", "left")
-    generic = F.col("key").isin(*GENERIC)
+    generic = F.col("key").isin(*GENERIC) & F.col("_id").isNull()
     bad = F.when(F.coalesce(F.col("key"), F.lit("")) == "", "COUNTERPART_NAME_MISSING").when(F.col("_kind").isNull(), "UNKNOWN_ENUM").when(generic & (F.col("_kind") == "COMPETES_WITH"), "COUNTERPART_NOT_ENTERPRISE")
     rows = rows.withColumn("_bad", bad)
     good = rows.where("_bad is null")
-    end = F.when(F.col("_id").isNotNull(), ids.enterprise_id(F.col("_id"))).when(generic, ids.segment_id(F.col("_name"))).otherwise(ids.reference_id(F.col("_name")))
+    rival = F.col("_kind") == "COMPETES_WITH"
+    end = F.when(~rival, ids.segment_id(F.col("_name"))).when(F.col("_id").isNotNull(), ids.enterprise_id(F.col("_id"))).otherwise(ids.reference_id(F.col("_name")))
     made = relation(good, ids.enterprise_id(F.col("enterprise_id")), F.col("_kind"), end, "enterprise_market_relation", "enterprise_market_relation_id", ["relation_description"])
-    new = good.where("_id is null").groupBy(end.alias("node_id"), F.when(generic, "MarketSegment").otherwise("Enterprise").alias("node_type")).agg(F.min("_name").alias("name"), F.min("source_id").alias("source_id"))
+    new = good.where(~rival | F.col("_id").isNull()).groupBy(end.alias("node_id"), F.when(rival, "Enterprise").otherwise("MarketSegment").alias("node_type")).agg(F.min("_name").alias("name"), F.min("source_id").alias("source_id"))
     nodes = new.select("node_id", "node_type", "name", F.lit(None).cast("long").alias("person_id"), "source_id", F.lit("PENDING").alias("status"), F.create_map(F.lit("detail_level"), F.lit("MINIMAL")).alias("properties"))
     return made, nodes, distinct_issues(issue(rows.where("_bad is not null"), F.col("_bad"), "WARNING", "enterprise_market_relation", "enterprise_market_relation_id", "counterpart_name", "counterpart can't be an end"))
 
 
-def events(df: DataFrame, table: str, key: str, kind: str, types: Mapping[str, str], subject: Column, dates: Sequence[str], description: str, sources: DataFrame, pending: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Events of one table, their links to the subject, and issues. The first date column that holds something is the date."""
+def events(df: DataFrame, table: str, key: str, kind: str, types: Mapping[str, str], subject: Column, dates: Sequence[str], description: str, sources: DataFrame, pending: bool = False, link: str = "HAS_EVENT") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events of one table, their links to the subject, and issues. The first date column that holds something is the date; one that is vague or a range keeps the event pending."""
     rows = with_status(df, sources, description)
     if pending:
         rows = rows.withColumn("status", F.lit("PENDING"))
     rows = rows.withColumn("_kind", mapped(F.col(kind), types)).withColumn("_subject", subject)
     rows = rows.withColumn("_date", strict.partial_date(F.coalesce(*[strict.clean_text(F.col(c).cast("string")) for c in dates if c in df.columns], F.lit(None).cast("string"))))
+    vague = F.col("_date.estimated") | F.col("_date.range").isNotNull() | F.col("_date.error").isNotNull()
+    rows = rows.withColumn("status", F.when(vague, "PENDING").otherwise(F.col("status")))
     good = rows.where("_kind is not null")
     made = ids.event_id(F.col("_subject"), F.col("_kind"), F.lit(table), F.col(key))
     out = good.select(made.alias("event_id"), F.col("_kind").alias("event_type"), F.col("_subject").alias("subject_node_id"), F.col("_date.value").alias("event_date"), F.col("_date.precision").alias("date_precision"), F.col(description).alias("description"), "source_id", "status")
-    link = F.when(F.col("_subject").startswith("person:"), "PARTICIPATED_IN").otherwise("HAS_EVENT")
-    links = relation(good, F.col("_subject"), link, made, table, key)
+    links = relation(good, F.col("_subject"), F.lit(link), made, table, key)
     parts = (
         issue(rows.where("_kind is null"), "UNKNOWN_ENUM", "WARNING", table, key, kind, "unknown event type"),
         issue(good.where("_date.error is not null"), "PARSE_FAILED", "WARNING", table, key, dates[0], "date can't be read"),

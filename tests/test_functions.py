@@ -94,7 +94,7 @@ def test_N06_dates(spark, value, want):
     ("value", "want"),
     [
         ("3.5亿元", (Decimal("350000000"), None, None, False)), ("约 1,200万元人民币", (Decimal("12000000"), None, "CNY", True)), ("HK$20百万", (Decimal("20000000"), None, "HKD", False)), ("$5亿", (Decimal("500000000"), None, "USD", False)),
-        ("5亿美元", (Decimal("500000000"), None, "USD", False)), ("123", (None, "MISSING_UNIT", None, False)), ("3-5亿元", (None, "PARSE_FAILED", None, False)), ("5亿EUR", (None, "UNKNOWN_CURRENCY", None, False)), ("若干亿元", (None, "PARSE_FAILED", None, False)), ("暂无", (None, None, None, False)),
+        ("5亿美元", (Decimal("500000000"), None, "USD", False)), ("123", (None, "MISSING_UNIT", None, False)), ("3-5亿元", (None, "PARSE_FAILED", None, False)), ("5亿EUR", (None, "UNKNOWN_CURRENCY", None, False)), ("5亿日元", (None, "UNKNOWN_CURRENCY", None, False)), ("若干亿", (None, "PARSE_FAILED", None, False)), ("暂无", (None, None, None, False)),
     ],
 )
 def test_N09_money(spark, value, want):
@@ -106,7 +106,8 @@ def test_N09_explicit(spark):
     got = one(spark, "7", lambda c: strict.money(c, F.lit("万元"), F.lit("usd")))
     assert (got.value, got.error, got.currency) == (Decimal("70000"), None, "USD")
     assert one(spark, "7万", lambda c: strict.money(c, None, F.lit("XYZ"))).error == "UNKNOWN_CURRENCY"
-    assert one(spark, "$7万", lambda c: strict.money(c, None, F.lit("CNY"))).error == "PARSE_FAILED"
+    assert one(spark, "$7万", lambda c: strict.money(c, None, F.lit("CNY"))).currency == "CNY"
+    assert one(spark, "7万美元", lambda c: strict.money(c, None, F.lit("CNY"))).error == "UNKNOWN_CURRENCY"
 
 
 @pytest.mark.parametrize(("value", "want"), [("1.500", "1.5"), ("-0.00", "0"), ("100", "100"), ("0.10", "0.1")])
@@ -114,7 +115,7 @@ def test_N17_plain(spark, value, want):
     assert one(spark, value, lambda c: strict.plain_decimal(c)) == want
 
 
-@pytest.mark.parametrize(("value", "want"), [("20240101", "NUMERIC_STRING"), ("2024-1-1", "DATE"), ("a@b.co", "EMAIL"), ('{"a":1}', "JSON"), ("3.5%", "PERCENTAGE"), ("https://x.y", "URL"), ("words", "TEXT"), (None, None)])
+@pytest.mark.parametrize(("value", "want"), [("20240101", "NUMERIC_STRING"), ("2024-1-1", "DATE_STRING"), ("a@b.co", "EMAIL_STRING"), ('{"a":1}', "JSON_STRING"), ("{a", "MALFORMED_JSON_LIKE_STRING"), ("+86 138 0000", "PHONE_LIKE_STRING"), ("a；b", "DELIMITED_STRING"), ("words", "PLAIN_STRING"), (" ", "EMPTY_STRING"), (None, "NULL")])
 def test_N25_formats(spark, value, want):
     assert one(spark, value, strict.value_format) == want
 

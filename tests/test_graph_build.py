@@ -38,10 +38,10 @@ def test_G10_G11(spark):
     links = frame(spark, "person_social_relation_id long, person_id long, social_organization_id long, relation_type string, role_title string, raw_text string, source_id long, verification_status string", (1, 1, 3, "MEMBER", "x", "", 5, "VERIFIED"), (2, 1, 4, "MEMBER", "x", "", 5, None), (3, 1, 3, "?", "x", "", 5, None))
     made, issues = G.social_relations(links, frame(spark, "social_organization_id long", (3,)), sources)
     assert [r.end_node_id for r in made.collect()] == ["organization:3"] and {r.reason for r in issues.collect()} == {"UNMATCHED_RELATION", "UNKNOWN_ENUM"}
-    market = frame(spark, "enterprise_market_relation_id long, enterprise_id long, relation_type string, counterpart_name string, relation_description string, source_id long, verification_status string", (1, 7, "COMPETITOR", "乙 厂", "", 5, "VERIFIED"), (2, 7, "COMPETITOR", "广告主", "", 5, None), (3, 7, "DOWNSTREAM", "广告主", "", 5, None), (4, 7, "UPSTREAM", "丙厂", "", 5, None), (5, 7, "UPSTREAM", "丙厂", "", 5, None), (6, 7, "UPSTREAM", "不详", "", 5, None))
+    market = frame(spark, "enterprise_market_relation_id long, enterprise_id long, relation_type string, counterpart_name string, relation_description string, source_id long, verification_status string", (1, 7, "COMPETITOR", "乙 厂", "", 5, "VERIFIED"), (2, 7, "COMPETITOR", "广告主", "", 5, None), (3, 7, "DOWNSTREAM", "广告主", "", 5, None), (4, 7, "UPSTREAM", "丙厂", "", 5, None), (5, 7, "UPSTREAM", "丙厂", "", 5, None), (6, 7, "UPSTREAM", "不详", "", 5, None), (7, 7, "COMPETITOR", "丁厂", "", 5, None))
     made, nodes, issues = G.market_relations(market, frame(spark, "enterprise_id long, enterprise_name string", (9, "乙厂"), (12, "乙厂")), sources)
-    assert {(r.relation_type, r.end_node_id.split(":")[0]) for r in made.collect()} == {("COMPETES_WITH", "enterprise"), ("CUSTOMER_OF", "market-segment"), ("SUPPLIES_TO", "enterprise-reference")}
-    assert made.where(F.col("end_node_id") == "enterprise:9").count() == 1 and nodes.count() == 2 and made.count() == 4
+    assert {(r.relation_type, r.end_node_id.split(":")[0]) for r in made.collect()} == {("COMPETES_WITH", "enterprise"), ("HAS_DOWNSTREAM", "market-segment"), ("HAS_UPSTREAM", "market-segment"), ("COMPETES_WITH", "enterprise-reference")}
+    assert made.where(F.col("end_node_id") == "enterprise:9").count() == 1 and nodes.count() == 3 and made.count() == 5
     assert {(r.reason, r.source_pk) for r in issues.collect()} == {("COUNTERPART_NOT_ENTERPRISE", "2"), ("COUNTERPART_NAME_MISSING", "6")}
 
 
@@ -49,7 +49,7 @@ def test_G12_G13_events(spark):
     rows = frame(spark, "financial_event_id long, person_id long, event_type string, event_date string, event_description string, source_id long, verification_status string", (1, 1, "INVESTMENT", "2024-03", "x", 5, "VERIFIED"), (2, 1, "ASSET_GIFT", None, "x", 5, None), (3, 1, "GIFT", "约2019年", "x", 5, None), (4, 1, "GIFT", "坏", "可能", 5, "VERIFIED"))
     made, links, issues = G.events(rows, "financial_event", "financial_event_id", "event_type", G.FINANCIAL_EVENTS, ids.person_id(F.col("person_id")), ["event_date"], "event_description", frame(spark, "source_id long", (5,)))
     assert {(r.event_type, r.event_date, r.status) for r in made.collect()} == {("INVESTMENT", "2024-03", "CONFIRMED"), ("GIFT", "2019", "PENDING"), ("GIFT", None, "PENDING")}
-    assert {r.relation_type for r in links.collect()} == {"PARTICIPATED_IN"} and {(r.reason, r.source_pk) for r in issues.collect()} == {("UNKNOWN_ENUM", "2"), ("MAPPING_PENDING", "3"), ("PARSE_FAILED", "4")}
+    assert {r.relation_type for r in links.collect()} == {"HAS_EVENT"} and {(r.reason, r.source_pk) for r in issues.collect()} == {("UNKNOWN_ENUM", "2"), ("MAPPING_PENDING", "3"), ("PARSE_FAILED", "4")}
     partners = frame(spark, "activity_id long, partner_name string", (1, "甲大学"), (2, "乙"), (3, None))
     found = G.unique_partner(partners, frame(spark, "social_organization_id long, organization_name string", (1, "甲 大学"), (2, "乙"), (3, "乙")))
     assert {r.activity_id: r.node for r in found.collect()} == {1: "organization:1", 2: None, 3: None}

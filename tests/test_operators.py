@@ -95,3 +95,31 @@ def test_R01_T21_terms(spark):
     df = spark.createDataFrame([("Alpha，beta ALPHA | 中文词",)], "x string")
     assert df.select(search.query_terms(F.col("x"))).first()[0] == ["alpha", "beta", "中文词"]
     assert df.select(search.terms(F.col("x"))).first()[0] == ["alpha", "beta", "alpha", "中文", "文词"]
+
+
+@pytest.mark.parametrize(
+    ("value", "parser", "want"),
+    [("一、投资范围", False, (True, 1, "一、投资范围", None)), ("（二）费用", False, (True, 2, "（二）费用", None)), ("1. 条款", True, (True, 3, "1. 条款", None)), ("1. 条款", False, (False, None, None, None)), ("普通", True, (True, None, "普通", None)), ("风险揭示书", False, (True, 1, "风险揭示书", None)), ("一、费用：" + "本产品收取的各项费用按照合同的约定从产品财产中列支。", False, (True, 1, "一、费用：", "本产品收取的各项费用按照合同的约定从产品财产中列支。")), ("一、" + "长" * 40, False, (False, 1, None, None))],
+)
+def test_N20_headings(spark, value, parser, want):
+    got = spark.createDataFrame([(value, parser)], "t string, p boolean").select(chunks.heading(F.col("t"), F.col("p"), ["风险揭示书"]).alias("h")).first().h
+    assert (got.is_heading, got.level if got.is_heading else want[1], got.heading, got.body) == want
+
+
+def test_N21_tables(spark):
+    df = spark.createDataFrame([([[" a", "b"], ["c"], ["", "d"]],)], "rows array<array<string>>").select(chunks.table_rows(F.col("rows")).alias("rows"))
+    assert df.first().rows == [["a", "b"], ["c", ""], ["", "d"]]
+    assert [tuple(p) for p in df.select(chunks.key_value_rows(F.col("rows")).alias("kv")).first().kv] == [("a", "b"), ("c", "")]
+
+
+def test_W07_runs_and_markdown(spark):
+    texts = ["1. a", "2. b", "x", "3. c", "9. d", "x", "x", "x", "10. e", "11. f"]
+    df = spark.createDataFrame([(1, i, "paragraph", None, t) for i, t in enumerate(texts)] + [(2, 0, "heading", 2, "H"), (2, 1, "list", None, "i")], "page_id int, position int, kind string, level int, text string")
+    assert [(r.first, r.last, r.size) for r in chunks.sibling_runs(df).collect()] == [(0, 3, 3)]
+    assert {r.page_id: r.markdown for r in chunks.markdown(df).collect()}[2] == "## H\n\n- i"
+
+
+def test_C09_C10(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("b", " ", 1), ("c", "y", 900), ("d", "y", 1), ("d", "z", 1), (None, "y", 1)], "chunk_id string, content string, tokens int")
+    assert sorted((r.chunk_id or "", r.problem) for r in chunks.violations(df).collect()) == [("", "BLANK_ID"), ("b", "EMPTY"), ("c", "TOO_LONG"), ("d", "DUPLICATE_ID"), ("d", "DUPLICATE_ID")]
+    assert chunks.schema_differences(df, {"chunk_id": "string", "tokens": "bigint", "v": "int"}) == ["tokens: int, not bigint", "v: missing"]
