@@ -1,5 +1,6 @@
 """Cells to facts, staging files, masking and streams on invented records."""
 
+import zipfile
 from decimal import Decimal
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.operators import etl, masking
 from quarrystone.sources import staging
+from quarrystone.sources.workbook import read_workbooks
 from quarrystone.streaming import events
 
 
@@ -169,3 +171,30 @@ def test_E04_resume(spark):
     cached = spark.createDataFrame([("a", "m", "h", [1.0, 2.0]), ("b", "m", "old", [1.0, 2.0]), ("c", "m", "h", [1.0]), ("d", "m", "h", [1.0, 2.0]), ("d", "m", "h", [1.0, 2.0])], "chunk_id string, model string, source_hash string, vector array<double>")
     todo, use = events.resumable(chunks, cached, "m", 2, "h")
     assert sorted(r.chunk_id for r in todo.collect()) == ["b", "c", "d"] and [r.chunk_id for r in use.collect()] == ["a"]
+
+
+def workbook(path, rows):
+    cell = lambda r, c, v: "" if v is None else f'<c r="{chr(65 + c)}{r}" t="s"><v>{v}</v></c>' if isinstance(v, int) else f'<c r="{chr(65 + c)}{r}" t="inlineStr"><is><t>{v}</t></is></c>'
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    body = "".join(f'<row r="{i}">' + "".join(cell(i, j, v) for j, v in enumerate(row)) + "</row>" for i, row in enumerate(rows, 1))
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><bookViews><workbookView activeTab="1"/></bookViews><sheets><sheet name="x" r:id="r1"/><sheet name="S" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="y"><Relationship Id="r1" Target="worksheets/none.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>甲</t></si><si><r><t>乙</t></r><r><t>丙</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+
+
+def test_S01_workbooks(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx", [["姓名", "企业", "注"], [0, 1, None], [None, " ", None], [0, "某司", "n"], [None, "某司", "n"], ["a", "b", "c", "d"]])
+    workbook(tmp_path / "b.xlsx", [["姓名", "姓名"]])
+    (tmp_path / "c.xlsx").write_bytes(b"no workbook")
+    rows = workbooks(spark, tmp_path)
+    assert [(r.file_name, r.source_row_number, r.cells, r.problem) for r in rows] == [
+        ("a.xlsx", 2, ["甲", "乙丙", None], None), ("a.xlsx", 4, ["甲", "某司", "n"], None), ("a.xlsx", 5, [None, "某司", "n"], "missing 姓名"), ("a.xlsx", 6, ["a", "b", "c", "d"], "row is wider than the header"),
+        ("b.xlsx", 1, None, "header must be complete and unique"), ("c.xlsx", None, None, "unreadable workbook: BadZipFile"),
+    ]
+    assert rows[0].sheet_name == "S"
+
+
+def workbooks(spark, path):
+    return read_workbooks(spark, f"{path}/*.xlsx", ["姓名", "企业"]).orderBy("file_name", "source_row_number").collect()
