@@ -7,9 +7,11 @@ from quarrystone.llm.kdtree import ORACLE as OP2
 from quarrystone.llm.kdtree import op2_topk
 from quarrystone.llm.language import op7_language
 from quarrystone.llm.mixing import op3_mix
+from quarrystone.llm.neardup import ORACLE as OP10
 from quarrystone.llm.neardup import op10_neardup
 from quarrystone.llm.permutations import op5_nearest
 from quarrystone.llm.secrets import op4_secrets
+from quarrystone.llm.suffixes import ORACLE as OP8
 from quarrystone.llm.suffixes import op8_suffixes
 from quarrystone.llm.toxicity import op9_toxicity
 from quarrystone.llm.urls import op1_urls
@@ -26,4 +28,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_neardup": op10_neardup,
 }
-ORACLES = {"op2_topk": OP2}
+ORACLES = {"op2_topk": OP2, "op8_suffixes": OP8, "op10_neardup": OP10}

@@ -65,7 +65,7 @@ class Fragments:
         prefix = _hash.prefix(self.data)
         at = np.arange(len(self.data) - GRAM + 1)
         grams = _hash.slices(prefix, at, at + GRAM)
-        key = grams & ~_u(0xFFFFFF) | at.astype(np.uint64)  # chunks are shorter than 2**24
+        key = grams & ~_u(0xFFFFFFFF) | at.astype(np.uint64)
         least, width = key, 1
         while 2 * width <= WIDTH:
             least = np.minimum(least[:-width], least[width:])
@@ -74,7 +74,7 @@ class Fragments:
             least = np.minimum(least[: -(WIDTH - width)], least[WIDTH - width :])
         of = np.repeat(np.arange(len(texts)), usable)
         window = self.starts[of] + np.arange(n) - np.repeat(np.cumsum(usable) - usable, usable)
-        anchor = (least[window] & _u(0xFFFFFF)).astype(np.int64)
+        anchor = (least[window] & _u(0xFFFFFFFF)).astype(np.int64)
         new = np.ones(n, bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])
         first = np.flatnonzero(new)
@@ -422,3 +422,28 @@ def dedup(docs: DataFrame) -> DataFrame:
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 49))) AS i FROM t)
+), f AS (
+  SELECT s, min(doc_id) AS first FROM w GROUP BY s
+), r AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w JOIN f USING (s) WHERE doc_id > first
+), n AS (
+  SELECT doc_id, i, sum(CASE WHEN i - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM r
+), p AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY doc_id, span
+), g AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM p
+), k AS (
+  SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
+         string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest
+  FROM g JOIN t USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM t LEFT JOIN k USING (doc_id)
+"""
