@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 TERM = r"[\p{L}\p{N}]+"
+#: Blocks of queries and their size up to which queries are broadcast to the rows.
+BLOCKS, BLOCK = 16, 500
 
 
 def terms(c: Column) -> Column:
@@ -48,8 +50,10 @@ def cosine_top(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def norm(c: str) -> Column:
         return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
 
-    block = queries.withColumn("q_norm", norm("q")).agg(F.collect_list(F.struct("query_id", "q", "q_norm")).alias("block"))
-    pairs = rows.withColumn("v_norm", norm("v")).crossJoin(F.broadcast(block)).select("vec_id", "v", "v_norm", F.explode("block").alias("x"))
+    few = queries.limit(BLOCKS * BLOCK + 1).count() <= BLOCKS * BLOCK
+    part = F.pmod(F.xxhash64("query_id"), F.lit(BLOCKS)) if few else F.xxhash64("query_id") % F.lit(10_000)
+    block = queries.withColumn("q_norm", norm("q")).groupBy(part.alias("part")).agg(F.collect_list(F.struct("query_id", "q", "q_norm")).alias("block"))
+    pairs = rows.withColumn("v_norm", norm("v")).crossJoin(F.broadcast(block) if few else block).select("vec_id", "v", "v_norm", F.explode("block").alias("x"))
     dot = F.aggregate(F.zip_with("v", F.col("x.q"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     scored = pairs.select("vec_id", F.col("x.query_id").alias("query_id"), F.round(dot / (F.col("v_norm") * F.col("x.q_norm")), 6).alias("score")).where("vec_id <> query_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
