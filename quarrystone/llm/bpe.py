@@ -25,14 +25,14 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import documents
+from quarrystone.llm.common import documents, sliced
 
 L, N, P, W, O, C2, C3, E = range(8)  # noqa: E741
 STATES = S_E, S_L, S_N, S_P, S_W, S_O, S_K2, S_K1, S_KE = range(9)
 END = sys.maxunicode + 1
 BLOCK = 256
 #: Pieces a worker remembers; beyond that it starts anew.
-CACHED = 300_000
+CACHED = 200_000
 
 
 def steps() -> np.ndarray:
@@ -239,7 +239,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     """id, ids array<int>, offsets array<int>: where each piece starts, in code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids, offsets = [], []
             for block in blocks(texts):
@@ -256,7 +256,7 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id") -> DataFram
     """id, decoded binary: the bytes of ids array<int>; null ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec(path).decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], [id_column, "decoded"])
 
     kind = encoded.schema[id_column].dataType.simpleString()
@@ -268,7 +268,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sha = codec(path), hashlib.sha256
-        for batch in batches:
+        for batch in sliced(batches):
             counts, ids_sha, text_sha = [], [], []
             for block in blocks([t or "" for t in batch.column(1).to_pylist()]):
                 for found, _ in own.pieces(block):
@@ -288,7 +288,7 @@ def checked(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(text_column).to_pylist()]
             low = 0
             for block in blocks(texts, 1_000_000):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm.bpe import blocks
-from quarrystone.llm.common import documents, fold
+from quarrystone.llm.common import documents, fold, sliced
 
 DOCUMENTS, LETTERS, ALL_LETTERS = 48, 40_000, 2_000_000
 #: Letters told apart; rarer ones are one symbol that no sample holds.
@@ -185,7 +185,7 @@ def predict(docs: DataFrame, learned: tuple[tuple[str, str], ...]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = parser(learned)
-        for batch in batches:
+        for batch in sliced(batches):
             names, scores = [], []
             for block in blocks([t or "" for t in batch.column(1).to_pylist()]):
                 a, b = own.predict(block)

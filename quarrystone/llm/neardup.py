@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import SPACES, RollingHash, documents, mixed, stored
+from quarrystone.llm.common import SPACES, RollingHash, documents, mixed, sliced, stored
 
 HASHES, TREES, LEVELS, SHALLOW, NEAR, FAR = 64, 16, 8, 3, 7, 3
 #: Places of a signature in which links at 0.8 agree, all but one in a million.
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, key (of the set; null if empty), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts, keys, sigs = [], [], []
             for block in chunks([(t or "").encode() for t in batch.column(1).to_pylist()]):
                 sets, begins = shingles(block, size)
@@ -239,7 +239,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """id, items: the shingle hashes of each document in ids, which has distinct ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             items = []
             for block in chunks([(t or "").encode() for t in batch.column(1).to_pylist()]):
                 sets, begins = shingles(block, size)

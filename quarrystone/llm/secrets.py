@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import documents
+from quarrystone.llm.common import documents, sliced
 
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "openssh", "hexkey")
 BASE = KINDS[:3]
@@ -154,7 +154,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """id and spans, an array of kind, start and end, of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans(t)] if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, ARROW_SPANS)], [id_column, "spans"])
 
@@ -178,7 +178,7 @@ def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
     at = names.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t and redacted(t) for t in batch.column(at).to_pylist()]
             columns = [pa.array(texts, batch.schema.field(i).type) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)

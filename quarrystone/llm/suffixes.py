@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import RollingHash, documents, mixed, parts, stored
+from quarrystone.llm.common import RollingHash, documents, mixed, parts, sliced, stored
 from quarrystone.llm.neardup import chunks
 
 #: Longer grams make more anchors but fewer that texts share by chance; that share grows with the corpus.
@@ -129,7 +129,7 @@ def exchange(docs: DataFrame, buckets: int, teams: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = pa.nulls
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(0).to_numpy()
             low = 0
             for block in chunks([(t or "").encode() for t in batch.column(1).to_pylist()], CHUNK):

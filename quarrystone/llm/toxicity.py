@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import documents, fold
+from quarrystone.llm.common import documents, fold, sliced
 
 #: Labelled rows of either label to learn from, at most.
 SAMPLE = 5_000
@@ -43,7 +43,7 @@ BEGINNINGS = (3, 4, 5, 6)
 RUN = 64
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
-CACHED = 400_000
+CACHED = 150_000
 SPANS = "array<struct<start:int,end:int,marginal:double>>"
 ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
@@ -69,7 +69,7 @@ def counted(rows: DataFrame) -> list[tuple[str, int, int]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = Counter(), Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found[toxic].update({f for w in set(WORD.findall(text or "")) for f in features(w)})
         names = [*found[1]]  # what no toxic row of this part has, only matters where another part's toxic rows have it
@@ -86,7 +86,7 @@ def hits_of(rows: DataFrame, index: dict[str, int]) -> list[tuple[int, int, list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {}
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text in batch.column(0).to_pylist():
                 words, hits = WORD.findall(text or ""), []
@@ -307,7 +307,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, score and spans (start, end, marginal; code points) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [scorer.document(t or "") for t in batch.column(1).to_pylist()]
             spans = [[dict(zip(("start", "end", "marginal"), s, strict=True)) for s in x] for _, x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(spans, ARROW_SPANS)], ["doc_id", "score", "spans"])
@@ -320,7 +320,7 @@ def clean(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> Data
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [scorer.document(t or "")[0] < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
