@@ -44,6 +44,12 @@ AT_ONCE = 8
 ROUNDS = (1, 8)
 #: Documents of a block of a large component; size up to which all documents of a component are compared with a larger one.
 MEMBERS, ASKED = 1_000, 256
+#: Shingles of a block of a region.
+ITEMS = 1_000_000
+#: Documents sampled and shingles kept to tell the common ones: this only orders shingles, any order gives the same links.
+SAMPLE, COMMON = 10_000, 200_000
+#: Documents of one shingle up to which they are paired at once; beyond, they become a region.
+LONG = 64
 
 _hash = RollingHash()
 _white = np.zeros(256, bool)
@@ -336,8 +342,193 @@ def bordering(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similar: int)
     return left.cogroup(right).applyInArrow(lambda own, other: solve(own, other), "a long, b long")
 
 
+def commons(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of docs (text) holds more than twice, sorted, and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            for block in chunks([(t or "").encode() for t in batch.column(0).to_pylist()]):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(block, size)[0].view(np.int64))], ["token"])
+
+    share = max(1, docs.count() // SAMPLE)
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    found = some.mapInArrow(run, "token long").groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(COMMON).toArrow()
+    known, counts = found["token"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(known)
+    return known[order], counts[order]
+
+
+def postings(docs: DataFrame, nodes: DataFrame, size: int, similar: int) -> DataFrame:
+    """token, id, root, n, place: of each document the n - ceil(similar * n / 100) + 1 first of its n shingles, the rarest first.
+
+    Of two linked documents these share one at least, whatever the order is, as long as it is the same for all.
+    """
+    known, counts = commons(docs, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            row = 0
+            for block in chunks([(t or "").encode() for t in batch.column(2).to_pylist()]):
+                sets, begins = shingles(block, size)
+                n = np.diff(begins)
+                of = np.repeat(np.arange(len(block)), n)
+                often = np.zeros(len(sets), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, sets), len(known) - 1)
+                    often = np.where(known[at] == sets, counts[at], 0)
+                tokens = sets[np.lexsort((sets, often, of))]
+                place, width = np.arange(len(sets)) - begins[:-1][of], n[of]
+                keep = np.flatnonzero(place < width + similar * width // -100 + 1)
+                rows = pa.array(row + of[keep])
+                row += len(block)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tokens[keep].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(width[keep].astype(np.int32)), pa.array(place[keep].astype(np.int32))],
+                    ["token", "id", "root", "n", "place"],
+                )
+
+    few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    chosen = docs.join(F.broadcast(nodes) if few else nodes.hint("shuffle_hash"), docs.doc_id == nodes.id).select("id", "root", "text")
+    return chosen.mapInArrow(run, "token long, id long, root long, n int, place int")
+
+
+def meeting(rows: DataFrame, similar: int) -> DataFrame:
+    """a, b, region of postings, for shingles that several components hold: pairs of different components where few documents hold it; else, with region true, each document beside the first one.
+
+    Pairs are left out only if their sizes, or what comes after the shingle, make a link impossible.
+    """
+
+    def solve(token: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # a shingle's documents by size, cut where the next one is too large for a link
+        cut = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (100 * n[:-1] < similar * n[1:])]))
+        size = np.diff(np.append(cut, len(token)))
+        several = np.minimum.reduceat(root, cut) < np.maximum.reduceat(root, cut)
+        group, many = np.repeat(np.arange(len(cut)), size), np.repeat(size > LONG, size)
+        kept = np.repeat(several, size)
+        a, b = [], []
+        x = np.flatnonzero(kept & ~many)
+        for s in range(1, LONG):
+            i, j = x[:-s], x[s:]
+            near = group[i] == group[j]
+            if not near.any():
+                break
+            i, j = i[near], j[near]
+            most = np.minimum(n[i] - place[i], n[j] - place[j])  # shared ones, if this is the first
+            fits = (root[i] != root[j]) & (100 * n[i] >= similar * n[j]) & ((100 + similar) * most >= similar * (n[i] + n[j]))
+            a.append(ids[i[fits]])
+            b.append(ids[j[fits]])
+        y = np.flatnonzero(kept & many)
+        a.append(ids[cut[group[y]]])
+        b.append(ids[y])
+        ends, region = np.stack([np.concatenate(a), np.concatenate(b)]), np.repeat([False, True], [sum(map(len, a[:-1])), len(y)])
+        ends.sort(axis=0)
+        got = np.unique(np.vstack([ends, region]), axis=1) if len(region) else np.zeros((3, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(got[0].astype(np.int64)), pa.array(got[1].astype(np.int64)), pa.array(got[2].astype(bool))], ["a", "b", "region"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            now = [batch.column(i).to_numpy().astype(np.int64) for i in range(5)]
+            held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
+            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if done:
+                yield from solve(*(x[:done] for x in held))
+                held = [x[done:] for x in held]
+        if held and len(held[0]):
+            yield from solve(*held)
+
+    ordered = rows.repartition("token").sortWithinPartitions("token", "n", "id")
+    return ordered.mapInArrow(run, "a long, b long, region boolean").where("a <> b").distinct()
+
+
+def compared(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """a, b: links that join different components (root) of a region, enough to join all that are linked; members: id, region, root.
+
+    All documents of a region are compared, those of a large component with those of others only. Regions are dealt out
+    in blocks, of which every two meet; shared shingles are counted through a block's postings.
+    """
+    measured = members.join(sets.select("id", F.expr("length(items) / 8").alias("n")), "id")
+    blocks = F.ceil(F.greatest(F.sum("docs") / MEMBERS, F.sum("items") / ITEMS)).cast("int").alias("blocks")
+    own = measured.groupBy("region", "root").agg(F.count("*").alias("docs"), F.sum("n").alias("items"))
+    own = own.groupBy("region", "root", "docs", "items").agg(blocks)
+    rest = own.where("blocks = 1").groupBy("region").agg(blocks.alias("shared"))
+    large = F.col("blocks") > 1
+    owner = F.when(large, F.concat(F.lit("own "), F.col("root").cast("string"))).otherwise("shared").alias("owner")
+    block = F.when(large, F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("root"), F.col("shared")))
+    dealt = members.join(own.select("region", "root", "blocks"), ["region", "root"]).join(rest, "region", "left").select("id", "region", "root", owner, block.alias("block"))
+    dealt = stored(dealt.withColumn("block", F.concat_ws(" ", "owner", "block")), "dealt")
+    x, y = (dealt.select("region", F.col("owner").alias(f"owner_{k}"), F.col("block").alias(k)).distinct() for k in "xy")
+    meet = x.join(y, "region").where("x <= y and (owner_x <> owner_y or owner_x = 'shared')").select("region", "x", "y", F.xxhash64("region", "x", "y").alias("task"))
+    meet = stored(meet.withColumn("alone", F.col("x") == F.col("y")), "meet")
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if not right.num_rows:  # a block with itself
+            right = left
+        if left.num_rows:
+            ids, label, items = right["id"].to_numpy(), right["root"].to_numpy().copy(), [np.frombuffer(x, np.uint64) for x in right["items"].to_pylist()]
+            mine, named, bodies = left["id"].to_numpy(), left["root"].to_numpy().copy(), left["items"].to_pylist()
+            sizes = np.array([len(x) for x in items])
+            hashes, of = np.concatenate(items), np.repeat(np.arange(len(items), dtype=np.int32), sizes)
+            order = np.argsort(hashes, kind="stable")
+            hashes, of = hashes[order], of[order]
+            for i, raw in enumerate(bodies):
+                if (label == named[i]).all():
+                    continue
+                body = np.frombuffer(raw, np.uint64)
+                low, high = np.searchsorted(hashes, body, "left"), np.searchsorted(hashes, body, "right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                shared = np.bincount(of[at], minlength=len(items))
+                for j in np.flatnonzero((label != named[i]) & (100 * shared >= similar * (len(body) + sizes - shared))):
+                    old, now = label[j], named[i]
+                    if old != now:  # joined from here on
+                        a.append(int(mine[i]))
+                        b.append(int(ids[j]))
+                        label[label == old] = now
+                        named[named == old] = now
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def side(k: str, tasks: DataFrame) -> DataFrame:
+        rows = dealt.select("id", "region", "root", F.col("block").alias(k)).join(tasks, ["region", k]).select("id", "root", "task")
+        few = rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        return sets.join(F.broadcast(rows) if few else rows, "id").select("task", "id", "root", "items")
+
+    left = side("x", meet).groupBy("task")
+    right = side("y", meet.where("not alone")).toDF("other", "id2", "root2", "items2").groupBy("other")
+    return left.cogroup(right).applyInArrow(lambda one, two: solve(one, two.rename_columns(["other", "id", "root", "items"])), "a long, b long")
+
+
+def exact(docs: DataFrame, nodes: DataFrame, size: int, similar: int) -> DataFrame:
+    """a, b: links between the components of nodes (id, root) that have been found so far; enough to join all that are linked."""
+    met = stored(meeting(postings(docs, nodes, size, similar), similar), "met")
+    crowd = met.where("region").select("a", "b")
+    some = crowd.limit(1).count() > 0
+    pairs = met.where("not region").select("a", "b")
+    need = stored(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need")
+    sets = stored(sets_of(docs, need, size), "sets")
+    links = confirmed(pairs, sets, similar)
+    if some:
+        regions = components(crowd).withColumnRenamed("root", "region")
+        ids = crowd.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        members = stored(ids.join(regions, "id", "left").withColumn("region", F.coalesce("region", "id")).join(nodes, "id"), "members")
+        links = links.unionByName(compared(members, sets, similar))
+    return stored(links, "exact")
+
+
 def linked(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame | None:
     """id, root of the classes that links join; None if there are none."""
+    every = classes.select("id")
+    roots = joined(docs, classes, size, similar)
+    nodes = every.withColumn("root", F.col("id")) if roots is None else every.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    nodes = stored(nodes, "nodes")
+    missed = exact(docs, nodes, size, similar)
+    if missed.limit(1).count():
+        roots = components(missed.unionByName(nodes.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+    return roots
+
+
+def joined(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame | None:
+    """id, root of the classes that links among the forest's candidates join, and those at borders; None if there are no candidates."""
     pairs = stored(agreeing(neighbours(labels(classes)), classes), "candidates")
     if not pairs.limit(1).count():
         return None

@@ -316,3 +316,34 @@ def test_longest_previous_factors():
                     k += 1
                 best = max(best, k)
             assert min(got[i], 20) == best
+
+
+def variants(rng: np.random.Generator, n: int, slots: int) -> np.ndarray:
+    """Documents of one template: which of two words each slot holds."""
+    return rng.random((n, slots)) < 0.1
+
+
+def with_components(rows: np.ndarray) -> tuple[list, dict]:
+    """Texts of the documents, and the component of each by comparing all of them: sets of single words at 0.8."""
+    same = rows.astype(np.float32) @ rows.T.astype(np.float32) + (~rows).astype(np.float32) @ (~rows).T.astype(np.float32)
+    link = 100 * same >= 80 * (2 * rows.shape[1] - same)
+    root = np.arange(len(rows))
+    while True:
+        now = np.array([root[link[i]].min() for i in range(len(rows))])
+        if (now == root).all():
+            break
+        root = now
+    return [(i, " ".join(f"{'t' if x else 's'}{k}" for k, x in enumerate(r))) for i, r in enumerate(rows.tolist())], dict(enumerate(root.tolist()))
+
+
+def test_near_duplicates_among_unlinked_ones(spark):
+    """Linked pairs amid many documents of a template, all similar but not linked."""
+    rng = np.random.default_rng(3)
+    rows = variants(rng, 1_200, 1_000)
+    planted = rows[:40].copy()
+    for r in planted:
+        r[rng.choice(1_000, 100, replace=False)] ^= True
+    texts, want = with_components(np.vstack([rows, planted]))
+    assert sum(want[1_200 + i] == want[i] for i in range(40)) == 40
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), 1, 80).collect()}
+    assert got == want
