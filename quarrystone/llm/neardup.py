@@ -11,10 +11,12 @@ apart, which if not adjacent must share one level more for every doubling. Rows
 
 Confirmation. Candidates whose signatures agree in too few places are dropped (at the threshold, fewer than one link in a
 million), the rest are compared on their full sets; if they are many for the number of classes, those of highest agreement of
-each class first, and of the others only those that still join different components. In a large region a document's only
-link may be to one far away in every order. So where candidates lie in two components at the end, the documents of the
-smaller one are compared with all of the larger one (`bordering`). A group of near copies costs about its size and its
-border, not the square of it, and no link that would join two components is left out.
+each class first, and of the others only those that still join different components.
+
+Exact pass. The forest misses links, most of them in large regions, so all classes are searched once more (`exact`): of two
+linked sets the rarest fifths share a shingle. Documents of different components that share one are compared in pairs, or,
+where many share it, in blocks, of any size of component. A group of near copies costs about its size and its border, a
+region of many similar documents that are not linked the square of its size.
 
 Edge cases. Null or empty text, or white space alone: an empty set, linked with nothing, its own component. Fewer words than
 a shingle has: all of them are the one shingle. Rows that share an id are one document as far as links go. A null id has
@@ -42,10 +44,8 @@ BROADCAST_IDS = 500_000
 #: Candidates per class up to which all are confirmed at once; beyond, so many of each class in each round.
 AT_ONCE = 8
 ROUNDS = (1, 8)
-#: Documents of a block of a large component; size up to which all documents of a component are compared with a larger one.
-MEMBERS, ASKED = 1_000, 256
-#: Shingles of a block of a region.
-ITEMS = 1_000_000
+#: Documents and shingles of a block of a region.
+MEMBERS, ITEMS = 1_000, 1_000_000
 #: Documents sampled and shingles kept to tell the common ones: this only orders shingles, any order gives the same links.
 SAMPLE, COMMON = 10_000, 200_000
 #: Documents of one shingle up to which they are paired at once; beyond, they become a region.
@@ -295,53 +295,6 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def bordering(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """a, b: the links that candidates missed. Where a candidate pair still lies in two components, the documents of the smaller one are compared with every document of the larger one.
-
-    nodes: id, root. A large component is dealt out in blocks, and each document asked for goes to all of them; shared
-    shingles are counted through the block's postings, so no pairs are made. Of a small component all documents are asked
-    for, of one beyond `ASKED` those in such pairs.
-    """
-    sizes = nodes.groupBy("root").agg(F.count("*").alias("size"))
-    sized = stored(nodes.join(sizes, "root"), "sized")
-    x, y = (sized.select(F.col("id").alias(k), F.struct("size", "root").alias(f"side_{k}")) for k in "ab")
-    cross = pairs.join(x, "a").join(y, "b").where("side_a.root <> side_b.root")
-    first = F.col("side_a") < F.col("side_b")
-    ask = F.struct(F.when(first, F.col("a")).otherwise(F.col("b")).alias("end"), F.when(first, F.col("side_a")).otherwise(F.col("side_b")).alias("own"), F.when(first, F.col("side_b")).otherwise(F.col("side_a")).alias("other"))
-    asks = stored(cross.select(ask.alias("x")).select("x.end", "x.own", "x.other").distinct(), "asks")
-    whole = asks.where(F.col("own.size") <= ASKED).select(F.col("own.root").alias("root"), "other").distinct().join(nodes, "root").select("id", "other")
-    ends = asks.where(F.col("own.size") > ASKED).select(F.col("end").alias("id"), "other")
-    blocks = F.ceil(F.col("other.size") / MEMBERS).cast("int")
-    asked = whole.unionByName(ends).distinct().select("id", F.col("other.root").alias("root"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    goals = asks.select(F.col("other.root").alias("root")).distinct()
-    members = sized.join(goals, "root", "left_semi").select("id", "root", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / MEMBERS)).cast("int").alias("block"))
-
-    def solve(own: pa.Table, other: pa.Table) -> pa.Table:
-        a, b = [], []
-        if own.num_rows and other.num_rows:
-            own = own.sort_by("id")
-            ids, items = own["id"].to_numpy(), [np.frombuffer(x, np.uint64) for x in own["items"].to_pylist()]
-            sizes = np.array([len(x) for x in items])
-            hashes, of = np.concatenate(items), np.repeat(np.arange(len(items)), sizes)
-            order = np.argsort(hashes, kind="stable")
-            hashes, of = hashes[order], of[order]
-            for i, raw in zip(other["id"].to_pylist(), other["body"].to_pylist(), strict=True):
-                mine = np.frombuffer(raw, np.uint64)
-                low, high = np.searchsorted(hashes, mine, "left"), np.searchsorted(hashes, mine, "right")
-                n = high - low
-                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                shared = np.bincount(of[at], minlength=len(items))
-                hit = np.flatnonzero(100 * shared >= similar * (len(mine) + sizes - shared))
-                if len(hit):
-                    a.append(i)
-                    b.append(int(ids[hit[0]]))
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    left = members.join(sets, "id").groupBy("root", "block")
-    right = asked.join(sets.withColumnRenamed("items", "body"), "id").select("id", F.col("root").alias("goal"), F.col("block").alias("part"), "body").groupBy("goal", "part")
-    return left.cogroup(right).applyInArrow(lambda own, other: solve(own, other), "a long, b long")
-
-
 def commons(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample of docs (text) holds more than twice, sorted, and how often."""
 
@@ -528,7 +481,7 @@ def linked(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> Data
 
 
 def joined(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame | None:
-    """id, root of the classes that links among the forest's candidates join, and those at borders; None if there are no candidates."""
+    """id, root of the classes that links among the forest's candidates join; None if there are no candidates."""
     pairs = stored(agreeing(neighbours(labels(classes)), classes), "candidates")
     if not pairs.limit(1).count():
         return None
@@ -551,10 +504,6 @@ def joined(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> Data
         nodes = named(roots)
         x, y = (nodes.select(F.col("id").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
         left = stored(left.join(x, "a").join(y, "b").where("root_a <> root_b").select("a", "b", "agree"), "left")
-    if left.limit(1).count():
-        missed = stored(bordering(left, nodes, sets, similar), "missed")
-        if missed.limit(1).count():
-            roots = components(edges(roots).unionByName(missed))
     return roots
 
 

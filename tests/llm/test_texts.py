@@ -347,3 +347,28 @@ def test_near_duplicates_among_unlinked_ones(spark):
     assert sum(want[1_200 + i] == want[i] for i in range(40)) == 40
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), 1, 80).collect()}
     assert got == want
+
+
+def test_near_duplicates_of_two_large_groups(spark):
+    """Pairs of groups of over 256 near copies each, linked by one document of either only."""
+    rng = np.random.default_rng(8)
+    texts, want = [], {}
+    for case in range(6):
+        base = rng.random(1_000) < 0.1
+        apart = rng.choice(1_000, 310, replace=False)
+        groups = []
+        for side in range(2):
+            middle = base.copy()
+            middle[apart] ^= bool(side)
+            rows = np.repeat(middle[None], 300, 0)
+            for r in rows:
+                r[rng.choice(1_000, 10, replace=False)] ^= True
+            edge = middle.copy()
+            edge[apart[100 * side : 100 * side + 100]] ^= True
+            groups += [rows, edge[None]]
+        some, roots = with_components(np.vstack(groups))
+        assert set(roots.values()) == {0}
+        texts += [(1_000 * case + i, " ".join(f"{w}c{case}" for w in t.split())) for i, t in some]
+        want |= {1_000 * case + i: 1_000 * case for i in roots}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), 1, 80).collect()}
+    assert got == want
