@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.text import first_rule
 from quarrystone.operators import search as S
-from quarrystone.plans.registry import query
+from quarrystone.plans.registry import ORACLES, query
 from quarrystone.sources.tables import table
 
 _TERMS = "list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
@@ -60,6 +60,32 @@ def vector_self_search(spark: SparkSession, d: str) -> DataFrame:
     return S.cosine_top(e, shifted, 1).select((F.col("query_id") - 1_000_000_000).alias("vec_id"), F.col("vec_id").alias("nearest"))
 
 
+@query("bm25_topk_all", ORACLES["bm25_topk"].replace(" WHERE item_id < 5", ""))
+def bm25_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    """All benchmark items as queries."""
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = S.bm25(table(spark, d, "documents").select("doc_id", "text"), queries, 10)
+    return found.select("query_id", "doc_id", F.round("score", 4).alias("score"))
+
+
+def every_50th(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and those of ids divisible by 50 as queries."""
+    e = vectors(spark, d)[0]
+    return e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+
+
+@query("vector_topk_all", ORACLES["vector_topk"].replace("q.vec_id < 8", "q.vec_id % 50 = 0"))
+def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    return S.cosine_top(*every_50th(spark, d), 10).select("query_id", "vec_id", F.round("score", 4).alias("score"))
+
+
+@query("vector_self_search_all", ORACLES["vector_self_search"].replace("vec_id < 8", "vec_id % 50 = 0"))
+def vector_self_search_all(spark: SparkSession, d: str) -> DataFrame:
+    e, q = every_50th(spark, d)
+    shifted = q.select((F.col("query_id") + 1_000_000_000).alias("query_id"), "q")
+    return S.cosine_top(e, shifted, 1).select((F.col("query_id") - 1_000_000_000).alias("vec_id"), F.col("vec_id").alias("nearest"))
+
+
 def lists(spark: SparkSession, d: str) -> DataFrame:
     """Two ranked lists of orders for each customer: by price and by date."""
     o = table(spark, d, "orders")

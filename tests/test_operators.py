@@ -123,3 +123,10 @@ def test_C09_C10(spark):
     df = spark.createDataFrame([("a", "x", 1), ("b", " ", 1), ("c", "y", 900), ("d", "y", 1), ("d", "z", 1), (None, "y", 1)], "chunk_id string, content string, tokens int")
     assert sorted((r.chunk_id or "", r.problem) for r in chunks.violations(df).collect()) == [("", "BLANK_ID"), ("b", "EMPTY"), ("c", "TOO_LONG"), ("d", "DUPLICATE_ID"), ("d", "DUPLICATE_ID")]
     assert chunks.schema_differences(df, {"chunk_id": "string", "tokens": "bigint", "v": "int"}) == ["tokens: int, not bigint", "v: missing"]
+
+
+def test_search_queries_are_whole(spark):
+    items = {r[0] for r in spark.read.parquet(str(SF / "benchmark.parquet")).select("item_id").collect()}
+    vecs = {r[0] for r in spark.read.parquet(str(SF / "embeddings.parquet")).where("vec_id % 50 = 0").select("vec_id").collect()}
+    found = {name: {r[0] for r in catalogue.QUERIES[name](spark, str(SF)).select(key).collect()} for name, key in (("bm25_topk_all", "query_id"), ("vector_topk_all", "query_id"), ("vector_self_search_all", "vec_id"))}
+    assert found == {"bm25_topk_all": items, "vector_topk_all": vecs, "vector_self_search_all": vecs}
