@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import ids
 from quarrystone.operators import graph as G
-from quarrystone.plans.registry import query
+from quarrystone.plans.registry import ORACLES, query
 from quarrystone.sources.tables import table
 
 FP = "substr(sha256(concat_ws(chr(31), {})), 1, 24)"
@@ -136,6 +136,19 @@ def preflight_issues(spark: SparkSession, d: str) -> DataFrame:
     return G.preflight(n, r, e)
 
 
+@query("preflight_issues_all", ORACLES["preflight_issues"].replace(" WHERE p_partkey % 37 = 0", "").replace(" WHERE l_orderkey % 101 = 0", "").replace(" WHERE event_id % 53 = 0", ""))
+def preflight_issues_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same checks over all parts, line items and events."""
+
+    def name(c: Column) -> Column:
+        return F.concat(F.lit("n"), c.cast("string"))
+
+    n = table(spark, d, "part").select(name(F.col("p_size")).alias("node_id"), F.when(F.col("p_size") > 48, "Alien").otherwise("Person").alias("node_type"))
+    r = table(spark, d, "lineitem").select(F.concat(F.lit("r"), (F.col("l_orderkey") % 50).cast("string")).alias("relation_id"), name(F.col("l_linenumber")).alias("start_node_id"), name(F.col("l_suppkey") % 60).alias("end_node_id"), F.when(F.col("l_tax") > 0.07, "HATES").otherwise("WORKS_AT").alias("relation_type"))
+    e = table(spark, d, "events").select(name(F.col("event_id") % 900).alias("event_id"), name(F.col("user_id") % 70).alias("subject_node_id"))
+    return G.preflight(n, r, e)
+
+
 def supply(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Edges between nations by orders across them, and the regions' first nations as roots."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("src"))
