@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side of a join may be broadcast.
 BROADCAST_ROWS = 50_000
+#: Of each Spark application the tables that its operators have stored.
+_stored: dict[str, set[str]] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -24,18 +27,49 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; the session names it, tests fall back to /tmp."""
-    with suppress(Exception):
-        if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-            return found.rstrip("/")
-    return "file:///tmp/checkpoints"
+    """The folder that all executors share, as spark.checkpoint.dir names it. A session on one machine may do without: there /tmp is shared."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if re.match(r"local($|\[)", spark.sparkContext.master):
+        return "file:///tmp/checkpoints"
+    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
-    path = f"{scratch(df.sparkSession)}/quarrystone-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs nothing.
+
+    Operators drop what they no longer read with `forget`; tables that a returned plan reads stay until `forget_all`.
+    """
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/quarrystone-{name}-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+    except BaseException:
+        _delete(spark, path)
+        raise
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    _stored.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _stored.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `stored` returned; no plan may read them afterwards."""
+    for df in tables:
+        _delete(df.sparkSession, df.stored_at)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Deletes all that operators of this session have stored; call it when their results are written."""
+    for path in list(_stored.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
 
 
 def parts(spark: SparkSession) -> int:
@@ -108,3 +142,32 @@ class RollingHash:
 
     def slices(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((prefix[end] - prefix[start]) * self.down[start])
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a slice beyond which it is hashed alone.
+_LONG = 512
+
+
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of slices of a byte array; the same bytes hash alike everywhere.
+
+    Eight bytes at a time are mixed in by steps that are one to one for given bytes before them, so slices of up to eight
+    bytes never collide and no structure of longer ones (as of sums of powers) makes them.
+    """
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    n = end - start
+
+    def part(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return eights[at].view("<u8")[:, 0] & _MASKS[np.minimum(left, 8)]
+
+    out = mixed(part(start, n) + mixed(n.astype(np.uint64)))
+    open_ = np.flatnonzero((n > 8) & (n <= _LONG))
+    at, left = start[open_] + 8, n[open_] - 8
+    while len(open_):
+        out[open_] = mixed(out[open_] * np.uint64(0x9E3779B97F4A7C15) + part(at, left))
+        more = left > 8
+        open_, at, left = open_[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(n > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return out
