@@ -1,24 +1,29 @@
 """Language identification by cross-parsing: a text is cut greedily into the longest phrases that occur in a language's sample.
 
-Learning. Of the rows with a language outside the held-out fold, those whose ids hash lowest in each of `DOCUMENTS` classes
-of a language are its sample, up to `LETTERS` symbols in all; that bound is a parameter, and the choice needs only minima per
-language and class. Each sample becomes a suffix automaton, whose paths from the root are exactly the sample's substrings.
+Learning. The texts with a language outside the held-out fold are seen as segments of `SEGMENT` characters, every part of
+every text. Of each language those segments whose hash is least in each of `SEGMENTS` classes are its sample; that bound (and
+`ALL_SEGMENTS`, of all languages together) is a parameter, and the choice needs only minima per language and class. Each
+sample becomes a suffix automaton, whose paths from the root are exactly the sample's substrings.
+
+Letters. Every letter that a language's sample holds is told apart. The `COMMON` most frequent ones have columns in a dense
+table of transitions; transitions by the others are sorted keys, looked up where such letters occur. A letter that the sample
+doesn't hold is a phrase of its own.
 
 Parsing. Letters are lower-cased, runs of anything else are one gap. A text, in blocks of `BLOCK` symbols, is read by every
-language's automaton: where no transition leads on, a phrase ends and the next begins. Blocks of many texts advance together.
-A language's cost is its number of phrases times the logarithm of its sample's size, over the text's symbols; the least wins,
-ties going to the lower code. The score is 1 - least / next: 0 if two languages are equal, towards 1 the clearer it is.
+language's automaton: where no transition leads on, or a block ends, a phrase ends and the next begins. Blocks of many texts
+advance together. A language's cost is its number of phrases times the logarithm of its sample's size, over the text's
+symbols; the least wins, ties going to the lower code. The score is 1 - least / next: 0 if two languages are equal, towards 1
+the clearer it is.
 
 Edge cases. Null text, or text without a letter, or nothing learned: `und` and 0. One language learned: that one and 1. Null
-ids are neither learned from nor held out. Texts of any length are read whole. Repeated rows are judged alike; extra columns
-are left out.
+ids are neither learned from nor held out. Of different texts under one id a class takes the least segment. Texts of any
+length are read whole. Repeated rows are judged alike; extra columns are left out.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,11 +35,13 @@ from pyspark.sql import functions as F
 from quarrystone.llm.bpe import blocks
 from quarrystone.llm.common import documents, fold, sliced
 
-DOCUMENTS, LETTERS, ALL_LETTERS = 48, 40_000, 2_000_000
-#: Letters told apart; rarer ones are one symbol that no sample holds.
-ALPHABET = 60
+SEGMENTS, SEGMENT, ALL_SEGMENTS = 40, 1_000, 2_000
+#: Letters of a language with columns of their own in its table.
+COMMON = 60
 BLOCK = 512
 FAILED = 1 << 30
+RARE, UNKNOWN = COMMON + 1, COMMON + 2
+SIZE = COMMON + 3
 
 
 @cache
@@ -57,8 +64,8 @@ def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return low[~again], of[~again]
 
 
-def automaton(symbols: list[int], size: int) -> np.ndarray:
-    """The suffix automaton's transitions, row-major; where there is none, FAILED and the transition from the root, or to the last state, from which none leads on. States are multiplied by size."""
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton's transitions of each state."""
     links, lengths, nexts = [-1], [0], [{}]
     last = 0
     for c in symbols:
@@ -84,46 +91,62 @@ def automaton(symbols: list[int], size: int) -> np.ndarray:
                     p = links[p]
                 links[q] = links[now] = copy
         last = now
-    dead = len(nexts)
-    table = np.full((dead + 1, size), -1, np.int64)
-    at = np.repeat(np.arange(len(nexts)), [len(x) for x in nexts])
-    table[at, [c for x in nexts for c in x]] = [s for x in nexts for s in x.values()]
-    root = np.where(table[0] < 0, dead, table[0])
-    table = np.where(table >= 0, table * size, root * size + FAILED)
-    return table.reshape(-1).astype(np.int32)
+    return nexts
+
+
+class Language:
+    """A sample's automaton as tables. States are multiplied by SIZE; the last one leads nowhere, so from it any symbol starts a phrase."""
+
+    def __init__(self, letters: np.ndarray) -> None:
+        """letters: code points of the sample, 0 for gaps."""
+        found, counts = np.unique(letters[letters > 0], return_counts=True)
+        order = np.lexsort((found, -counts))
+        self.code = np.full(sys.maxunicode + 1, UNKNOWN, np.uint8)
+        self.code[0] = 0
+        self.code[found[order[COMMON:]]] = RARE
+        self.code[found[order[:COMMON]]] = np.arange(1, min(COMMON, len(found)) + 1)
+        nexts = automaton(letters.tolist())
+        at = np.repeat(np.arange(len(nexts)), [len(x) for x in nexts])
+        by = np.array([c for x in nexts for c in x], np.int64)
+        to = np.array([s for x in nexts for s in x.values()], np.int64)
+        column, self.dead = self.code[by], len(nexts) * SIZE
+        table = np.full((len(nexts) + 1, SIZE), -1, np.int64)
+        common = column != RARE
+        table[at[common], column[common]] = to[common]
+        root = np.where(table[0] < 0, len(nexts), table[0])
+        self.table = np.where(table >= 0, table * SIZE, root * SIZE + FAILED).reshape(-1).astype(np.int32)
+        keys = at[~common] * SIZE << 21 | by[~common]
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], (to[~common] * SIZE)[order].astype(np.int32)
+        self.weight = math.log2(len(letters) + 2)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray, letter: np.ndarray, rare: bool) -> np.ndarray:
+        """The next states, with FAILED where a phrase ended before the symbol."""
+        out = self.table[state + symbol]
+        if rare:
+            pick = np.flatnonzero(symbol == RARE)
+            wanted = letter[pick].astype(np.int64)
+            for base, failed in ((0, FAILED), (state[pick].astype(np.int64) << 21, 0)):  # from the root, then from the state itself
+                key = base | wanted
+                where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[where] == key
+                out[pick[hit]] = self.to[where[hit]] + failed
+        return out
 
 
 class Parser:
-    """Automata of all languages side by side, and the code of each letter."""
+    """Automata of all languages."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]) -> None:
         """samples: (language, text), languages in order."""
         self.languages = [k for k, _ in samples]
-        parsed = [points([t])[0] for _, t in samples]
-        counts: Counter = Counter()
-        for p in parsed:
-            counts.update(p[p > 0].tolist())
-        letters = sorted(x for x, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
-        self.size = len(letters) + 2
-        self.code = np.where(np.arange(sys.maxunicode + 1) == 0, 0, self.size - 1).astype(np.uint8)
-        self.code[letters] = np.arange(1, len(letters) + 1)
-        most = max(1_000, min(LETTERS, ALL_LETTERS // max(1, len(samples))))
-        tables, self.weights, self.starts, start = [], [], [], 0
-        for p in parsed:
-            known = self.code[p[:most]]
-            t = automaton(known.tolist(), self.size)
-            tables.append(t + np.int32(start))
-            start += len(t)
-            self.starts.append(start - self.size)  # from there any symbol starts a phrase
-            self.weights.append(math.log2(len(known) + 2))
-        if start >= FAILED:
-            raise ValueError("the samples of all languages together are too large")
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.parsers = [Language(points([t])[0]) for _, t in samples]
+        self.weights = [p.weight for p in self.parsers]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases of each text and language, symbols of each text, and whether it has a letter."""
         low, of = points(texts)
-        symbols, n = self.code[low], len(texts)
+        n = len(texts)
         sizes = np.bincount(of, minlength=n)
         lettered = np.bincount(of, low > 0, minlength=n) > 0
         first = np.cumsum(sizes) - sizes
@@ -134,18 +157,21 @@ class Parser:
         lengths = np.minimum(BLOCK, first[owner] + sizes[owner] - starts)
         order = np.argsort(-lengths, kind="stable")
         owner, starts, lengths = owner[order], starts[order], lengths[order]
-        k, rows = len(self.languages), len(owner)
-        grid = symbols[np.minimum(starts + np.arange(BLOCK)[:, None], max(0, len(symbols) - 1))] if rows else np.zeros((BLOCK, 0), np.uint8)
-        active = np.searchsorted(-lengths, -np.arange(BLOCK), side="left")  # blocks longer than each step
-        state = np.repeat(np.array(self.starts, np.int32)[:, None], rows, 1)
-        ends = np.zeros((k, rows), np.int32)
-        for j in range(BLOCK):
-            if not (m := int(active[j])):
-                break
-            x = self.table[state[:, :m] + grid[j, :m]]
-            ends[:, :m] += x >= FAILED
-            state[:, :m] = x & (FAILED - 1)
-        out = np.stack([np.bincount(owner, e, minlength=n) for e in ends]) if k else np.zeros((0, n))
+        rows = len(owner)
+        letters = low[np.minimum(starts + np.arange(BLOCK)[:, None], max(0, len(low) - 1))] if rows else np.zeros((BLOCK, 0), np.uint32)
+        active = np.searchsorted(-lengths, -np.arange(BLOCK), side="left").tolist()  # blocks longer than each step
+        out = np.zeros((len(self.parsers), n))
+        for k, own in enumerate(self.parsers):
+            grid = own.code[letters]
+            rare = (grid == RARE).any(1).tolist() if len(own.keys) else [False] * BLOCK
+            state, ends = np.full(rows, own.dead, np.int32), np.zeros(rows, np.int32)
+            for j, m in enumerate(active):
+                if not m:
+                    break
+                x = own.step(state[:m], grid[j, :m], letters[j, :m], rare[j])
+                ends[:m] += x >= FAILED
+                state[:m] = x & (FAILED - 1)
+            out[k] = np.bincount(owner, ends, minlength=n)
         return out, sizes, lettered
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -167,15 +193,21 @@ def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(samples)
 
 
-def samples(docs: DataFrame, count: int = DOCUMENTS, letters: int = LETTERS) -> tuple[tuple[str, str], ...]:
-    """Each language's sample text. Only minima of hashes are gathered over all rows, then the chosen rows' texts."""
-    own = docs.where("lang is not null and text is not null and doc_id is not null").where(fold() % 4 != 2)
-    own = own.select("lang", "text", F.xxhash64("doc_id").alias("hash"))
-    least = own.groupBy("lang", F.pmod("hash", F.lit(count)).alias("class")).agg(F.min("hash").alias("hash")).select("lang", "hash")
-    length = F.lit(2 * letters // count)
-    rows = own.join(F.broadcast(least), ["lang", "hash"]).select("lang", "hash", F.substring("text", F.lit(1), length).alias("text")).distinct().collect()
+def samples(docs: DataFrame, count: int = SEGMENTS, length: int = SEGMENT, most: int = ALL_SEGMENTS) -> tuple[tuple[str, str], ...]:
+    """Each language's sample text: at most `count` segments of a language and about `most` of all. Only minima of hashes are gathered over all texts, then the chosen segments."""
+    own = docs.where("lang is not null and text is not null and doc_id is not null").where(fold() % 4 != 2).select("lang", "text", F.col("doc_id").cast("long").alias("doc_id"))
+    languages = own.select("lang").distinct().limit(most + 1).count()
+    if languages > most:
+        raise ValueError(f"more than {most} languages; raise `most`, each worker holds all their samples")
+    count = max(1, min(count, most // max(1, languages)))
+    pieces = own.select("lang", "doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / length).cast("int"))).alias("part"))
+    hashes = pieces.withColumn("hash", F.xxhash64("doc_id", "part"))
+    least = hashes.groupBy("lang", F.pmod("hash", F.lit(count)).alias("class")).agg(F.min("hash").alias("hash"))
+    least = hashes.join(F.broadcast(least), ["lang", "hash"]).select("lang", "class", "doc_id", "part").distinct()  # about `most` rows, at most
+    text = F.substring(F.col("text"), F.col("part") * length + 1, F.lit(length))
+    chosen = own.join(F.broadcast(least), ["lang", "doc_id"]).groupBy("lang", "class").agg(F.min(text).alias("text"))
     by: dict[str, list[str]] = {}
-    for r in sorted(rows):
+    for r in sorted(chosen.collect()):
         by.setdefault(r.lang, []).append(r.text)
     return tuple((k, "\n".join(by[k])) for k in sorted(by))
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -146,9 +147,11 @@ def test_language(spark):
 
 def test_language_parsing_is_greedy():
     rng = random.Random(2)
-    samples = (("a", "".join(rng.choices("ab ", k=300))), ("b", "".join(rng.choices("bc ", k=300))))
+    wide = [chr(0x4E00 + i) for i in range(150)]  # more letters than have columns
+    samples = (("a", "".join(rng.choices("ab ", k=300))), ("b", "".join(rng.choices("bc ", k=300))), ("c", "".join(rng.choices([*wide, *"ab "] + wide[:40] * 20, k=900))))
     parser = language.Parser(samples)
-    texts = ["".join(rng.choices("abcd ", k=rng.randint(1, 400))) for _ in range(50)]
+    texts = ["".join(rng.choices("abcd ", k=rng.randint(1, 400))) for _ in range(50)] + ["".join(rng.choices([*wide[:40], *"abd "], k=rng.randint(1, 1_200))) for _ in range(50)]
+    texts += ["".join(samples[2][1][a : a + 30] for a in rng.choices(range(870), k=9)) for _ in range(20)]
     found, sizes, _ = parser.phrases(texts)
     for i, (_, sample) in enumerate(samples):
         sample = re.sub(" +", " ", sample)
@@ -165,6 +168,39 @@ def test_language_parsing_is_greedy():
             assert found[i, j] == n
 
 
+def test_language_tells_all_scripts_apart(spark):
+    """Six languages of over a thousand letters together; and letters that only stand at the ends of long texts."""
+    rng = random.Random(12)
+    ranges = {"am": (0x1200, 0x1240), "el": (0x3B1, 0x3C9), "en": (0x61, 0x7A), "ko": (0xAC00, 0xB0FF), "ru": (0x430, 0x44F), "zh": (0x4E00, 0x52FF)}
+
+    def words(lang, n):
+        low, high = ranges[lang]
+        letters = [c for c in map(chr, range(low, high + 1)) if c.isalpha()]
+        return " ".join("".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(n))
+
+    rows = [(i, words(lang := rng.choice(list(ranges)), 400), lang) for i in range(240)]
+    learned = language.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    fresh = [(i, words(lang, 60), lang) for i, lang in enumerate(list(ranges) * 20)]
+    got = {r.doc_id: r.lang_pred for r in language.predict(spark.createDataFrame(fresh, "doc_id long, text string, lang string"), learned).collect()}
+    assert got == {i: lang for i, _, lang in fresh}
+    digits = [(i, "1 " * 3_000 + words(lang, 200), lang) for i, lang in enumerate(["en", "ru", "zh"] * 40)]
+    learned = language.samples(spark.createDataFrame(digits, "doc_id long, text string, lang string"))
+    assert sorted(k for k, t in learned if any(c.isalpha() for c in t)) == ["en", "ru", "zh"]
+
+
+def test_language_query(spark, tmp_path):
+    """The contract's columns, with repeated ids, nulls and rows of one hot id."""
+    rng = random.Random(13)
+    text = lambda lang: " ".join("".join(rng.choices("abcde" if lang == "x" else "vwxyz", k=5)) for _ in range(30))
+    rows = [(i, text(lang := rng.choice("xy")), lang) for i in range(200)] + [(3, text("x"), "x") for _ in range(50)] + [(None, text("y"), "y"), (900, None, "x"), (901, "7", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = language.op7_language(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and got[0].__fields__ == ["doc_id", "held_out", "lang_pred", "score"]
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    want = {d: lang for d, t, lang in rows if d != 3}
+    assert all(r.lang_pred == want[r.doc_id] for r in got if r.doc_id not in (3, 900, 901)) and all(r.lang_pred == "und" and r.score == 0 for r in got if r.doc_id in (900, 901))
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     bad, rows, labels = ["vilegon", "grumlock", "stinkar"], [], []
