@@ -11,29 +11,35 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm.common import parts, stored
 
-#: Rows of a shard and queries of a block, at most, about.
-SHARD, BLOCK = 20_000, 5_000
+#: Rows of a shard and queries of a block, at most, about. Every shard meets every block, so large blocks mean few copies.
+SHARD, BLOCK = 20_000, 20_000
 #: Rows of a shard of a small table, about: enough to be worth a task.
 LEAST = 2_000
 
 
 def packed(df: DataFrame, change: Callable[[np.ndarray], np.ndarray], nonzero: bool) -> DataFrame:
-    """vec_id, v (float64 bytes): rows with an id whose vector is whole and finite, and not zero if asked for; of rows that share an id the one of least bytes."""
+    """vec_id, v (float64 bytes): rows with an id whose vector is whole and finite, and not zero if asked for; of rows that share an id the one of least bytes. change works on components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if i is None or x is None or None in x:
-                    continue
-                v = np.array(x, np.float64)
-                if np.isfinite(v).all() and (not nonzero or v.any()):
-                    ids.append(i)
-                    out.append(change(v).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "v"])
-
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, v binary")
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+            ids, lists = batch.column(0), batch.column(1)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null is NaN here
+            ends = np.cumsum(sizes)
+            among = lambda flags, a=ends - sizes, b=ends: (lambda c: c[b] - c[a])(np.concatenate([[0], np.cumsum(flags)]))
+            good = (ids.is_valid().to_numpy(zero_copy_only=False)) & lists.is_valid().to_numpy(zero_copy_only=False) & (among(~np.isfinite(flat)) == 0)
+            if nonzero:
+                good &= among(flat != 0) > 0
+            sent = change(flat[np.repeat(good, sizes)]).astype(np.float64).tobytes()
+            cuts = np.concatenate([[0], 8 * np.cumsum(sizes[good])]).astype(np.int32)
+            out = pa.Array.from_buffers(pa.binary(), int(good.sum()), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(sent)])
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), out], ["vec_id", "v"])
+
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    packs = rows.mapInArrow(run, "vec_id long, v binary")
+    if rows.where("vec_id is not null").groupBy("vec_id").count().where("count > 1").limit(1).count():  # ids alone are cheap to compare
+        return packs.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return packs
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, width: int = 0) -> np.ndarray:
@@ -51,8 +57,8 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int = 0) -> np.ndarray:
 def searched(rows: DataFrame, queries: DataFrame, solve: Callable[[pa.Table, pa.Table], pa.Table], k: int, score: str) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of what solve finds in each cell, ties to the smaller vec_id.
 
-    rows: vec_id, v; queries: query_id and more columns. A cell is a shard of rows with a block of queries, both bounded.
-    solve gets both and returns query_id, vec_id, score, at most a few rows a query.
+    rows: vec_id, v and more columns; queries: query_id and more. A cell is a shard of rows with a block of queries, both
+    bounded. solve gets both and returns query_id, vec_id, score, at most a few rows a query.
     """
     n, q = rows.count(), queries.count()
     tasks = parts(rows.sparkSession)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.llm import kdtree, permutations, urls
+from quarrystone.llm.common import stored
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +109,60 @@ def test_urls(spark):
         assert r.verdict == ({"com/en/": "block", "org/es/": "block", "net/de/": "allow", "example.com/en/7": "allow", "example.net/de/8": "block"}[r.rule] if r.rule else "block" if share > 0.5 else "allow")
     assert urls.judge(df.limit(0)).count() == 0
     assert urls.judge(df.withColumn("html", F.lit(None).cast("string"))).count() == len(rows)
+
+
+def test_url_ranks_converge(spark):
+    """A cycle of two hosts: trust of the seed a is (1 - d) / (1 - d * d)."""
+    seeds = spark.createDataFrame([("allow", "a", 1.0)], "kind string, host string, mass double")
+    edges = spark.createDataFrame([("allow", "a", "b", 1.0), ("allow", "b", "a", 1.0)], "kind string, src string, dst string, share double")
+    got = {r.host: r.mass for r in urls.ranks(stored(seeds, "seeds"), edges, 0.85).collect()}
+    assert abs(got["a"] - 0.15 / (1 - 0.85**2)) < 1e-6 and abs(got["b"] - 0.85 * got["a"]) < 1e-6
+
+
+def test_url_links(spark):
+    long = "x" * 2_500
+    html = f"<a title='{long}' href='https://far.org/a'> <a data-href='http://no.org'> <A\nHREF = \"//near.org:8080?q\"> <a href='/own'> <a href=mailto:x@y.org> <b href='http://no.net'> <a class='k'href=averyverylongschemename+that-goes.on:{'//' + 'h' * 300 + '.org'}>"
+    rows = [(1, "http://Me.org/x", html), (2, "http://me.org", None), (3, None, html), (4, "http://me.org/y", "<a href='//far.org'>")]
+    got = {(r.src, r.dst): r.share for r in urls.links(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {("me.org", "far.org"): 0.5, ("me.org", "near.org:8080"): 0.25, ("me.org", "h" * 300 + ".org"): 0.25}
+
+
+def test_equal_vectors_score_alike(spark):
+    """Equal rows have equal last bits, wherever they stand, so ties go to the smaller id."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 33))
+    for size in (3, 7, 13):
+        x[20 : 20 + size] = x[5]
+        rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+        found = permutations.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 50, 59).orderBy("query_id", "rank").collect()
+        for q in (0, 50):
+            own = [r for r in found if r.query_id == q]
+            same = [r.vec_id for r in own if r.vec_id == 5 or 20 <= r.vec_id < 20 + size]
+            assert len({r.score for r in own if r.vec_id in same}) == 1 and same == sorted(same)
+            assert [r.vec_id for r in own] == [r.vec_id for r in sorted(own, key=lambda r: (-r.score, r.vec_id))]
+
+
+def test_permutation_postings():
+    """Nearness is the footrule distance's complement, by definition; and a query meets a part of the postings only."""
+    rng = np.random.default_rng(5)
+    order = np.argsort(rng.random((200, 40)), axis=1)[:, :6].astype(np.int16)
+    index, mine = permutations.Postings(order, 40), [3, 17, 22, 5, 39, 0]
+    want = [sum(6 - abs(list(r).index(p) - j) for j, p in enumerate(mine) if p in r) for r in order.tolist()]
+    assert index.nearness(mine).tolist() == want and len(index.row) == 200 * 6
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_permutation_recall(spark, sf):
+    """At least 0.9 of the true 20 nearest, and what the contract asks of the rest."""
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toPandas()
+    ids, v = table.vec_id.to_numpy(), np.array(table.embedding.tolist(), float)
+    at = {int(i): k for k, i in enumerate(ids)}
+    got = permutations.op5_nearest(spark, f"/root/testdata/{sf}").toPandas()
+    assert list(got.columns) == ["query_id", "rank", "vec_id", "score"] and sorted(set(got.query_id)) == sorted(i for i in at if i % 20 == 0)
+    recall = []
+    for q, g in got.groupby("query_id"):
+        s = (v * v[at[q]]).sum(1)
+        assert g.sort_values("rank").vec_id.tolist() == sorted(g.vec_id, key=lambda i: (-s[at[i]], i)) and [s[at[i]] for i in g.vec_id] == g.score.tolist()
+        s[at[q]] = -np.inf
+        recall.append(len(set(ids[np.lexsort((ids, -s))[:20]]) & set(g.vec_id)) / 20)
+    assert np.mean(recall) >= 0.9
