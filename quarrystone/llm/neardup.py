@@ -14,13 +14,15 @@ million), the rest are compared on their full sets; if they are many for the num
 each class first, and of the others only those that still join different components.
 
 Exact pass. The forest misses links, most of them in large regions, so all classes are searched once more (`exact`): of two
-linked sets the rarest fifths share a shingle. Documents of different components that share one are compared in pairs, or,
-where many share it, in blocks, of any size of component. A group of near copies costs about its size and its border, a
-region of many similar documents that are not linked the square of its size.
+linked sets the rarest fifths share a shingle, whatever the order of rarity, if it is one for all. Those fifths are stored
+with the signatures, so texts are read once. A shingle whose holders are all of one component is dropped by partial sums
+before anything is gathered. Documents of different components that share another are compared in pairs, or, where more than
+`LONG` share it, in blocks, of any size of component and without gathering the holders. A group of near copies costs about
+its size and its border, a region of many similar documents that are not linked the square of its size.
 
 Edge cases. Null or empty text, or white space alone: an empty set, linked with nothing, its own component. Fewer words than
-a shingle has: all of them are the one shingle. Rows that share an id are one document as far as links go. A null id has
-component null and is kept. Empty tables give empty results; extra columns are left out.
+a shingle has: all of them are the one shingle. Rows that share an id are one document as far as links go: what links with
+one of its texts is linked with it. A null id has component null and is kept. Empty tables give empty results; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -34,13 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import SPACES, RollingHash, documents, mixed, sliced, stored
+from quarrystone.llm.common import SPACES, documents, forget, hashed, is_small, mixed, sliced, stored
 
 HASHES, TREES, LEVELS, SHALLOW, NEAR, FAR = 64, 16, 8, 3, 7, 3
-#: Places of a signature in which links at 0.8 agree, all but one in a million.
+#: Places of a signature in which candidates must agree: links at 0.8 do, all but about four in a million, which the exact pass finds.
 AGREE = 0.56
-#: Ids up to which a set of them may be broadcast.
+#: Ids, and shingles, up to which a set of them may be broadcast.
 BROADCAST_IDS = 500_000
+BROADCAST_TOKENS = 2_000_000
 #: Candidates per class up to which all are confirmed at once; beyond, so many of each class in each round.
 AT_ONCE = 8
 ROUNDS = (1, 8)
@@ -51,7 +54,6 @@ SAMPLE, COMMON = 10_000, 200_000
 #: Documents of one shingle up to which they are paired at once; beyond, they become a region.
 LONG = 64
 
-_hash = RollingHash()
 _white = np.zeros(256, bool)
 _white[list(SPACES)] = True
 _low = np.arange(256, dtype=np.uint8)
@@ -89,7 +91,7 @@ def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     last = word.copy()
     last[:-1] &= white[1:]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    words = _hash.slices(_hash.prefix(data), a, b)
+    words = hashed(data, a, b)
     ends = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(a, ends)
     n = np.diff(upto, prepend=0)
@@ -124,21 +126,41 @@ def signature(sets: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, key (of the set; null if empty), sig."""
+def prefixes(sets: np.ndarray, begins: np.ndarray, similar: int, known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the n - ceil(similar * n / 100) + 1 first of its n shingles, the rarest first, and where each set's begin.
+
+    Of two linked sets these share one at least. known, counts: shingles known to be common and how often, sorted.
+    """
+    n = np.diff(begins)
+    of = np.repeat(np.arange(len(n)), n)
+    often = np.zeros(len(sets), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, sets), len(known) - 1)
+        often = np.where(known[at] == sets, counts[at], 0)
+    tokens = sets[np.lexsort((sets, often, of))]
+    keep = np.arange(len(sets)) - begins[:-1][of] < n[of] + similar * n[of] // -100 + 1
+    return tokens[keep], np.concatenate([[0], np.cumsum(np.bincount(of[keep], minlength=len(n)))])
+
+
+def signatures(docs: DataFrame, size: int, similar: int) -> DataFrame:
+    """doc_id, n_shingles, key (of the set; null if empty), sig, tokens (see prefixes)."""
+    known, counts = commons(docs, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            counts, keys, sigs = [], [], []
+            sizes, keys, sigs, tokens = [], [], [], []
             for block in chunks([(t or "").encode() for t in batch.column(1).to_pylist()]):
                 sets, begins = shingles(block, size)
                 cut = begins.tolist()
-                counts += np.diff(begins).tolist()
+                sizes += np.diff(begins).tolist()
                 keys += [xxhash.xxh128_digest(sets[a:b]) if b > a else None for a, b in zip(cut, cut[1:], strict=False)]
                 sigs += [r.tobytes() for r in signature(sets, begins)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "key", "sig"])
+                rare, at = prefixes(sets, begins, similar, known, counts)
+                cut = at.tolist()
+                tokens += [rare[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (keys, sigs, tokens)]], ["doc_id", "n_shingles", "key", "sig", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary, tokens binary")
 
 
 def labels(classes: DataFrame) -> DataFrame:
@@ -279,7 +301,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """id, root of every id in links (a, b): root is the smallest id reachable. Large and small stars alternate until nothing changes."""
     edges = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct()
-    seen = None
+    seen = before = None
     while True:
         ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("w")), F.struct(F.col("m").alias("u"), F.col("v").alias("w"))))
         both = edges.select(ends.alias("x")).select("x.u", "x.w")
@@ -289,6 +311,9 @@ def components(links: DataFrame) -> DataFrame:
         down = F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("least").alias("m")), F.struct("v", F.col("least").alias("m"))))
         edges = edges.join(least, "v").select(down.alias("x")).select("x.v", "x.m").where("v <> m").distinct()
         edges = stored(edges, "stars")
+        if before is not None:
+            forget(before)
+        before = edges
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("v").alias("id"), F.col("m").alias("root"))
@@ -311,57 +336,44 @@ def commons(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return known[order], counts[order]
 
 
-def postings(docs: DataFrame, nodes: DataFrame, size: int, similar: int) -> DataFrame:
-    """token, id, root, n, place: of each document the n - ceil(similar * n / 100) + 1 first of its n shingles, the rarest first.
-
-    Of two linked documents these share one at least, whatever the order is, as long as it is the same for all.
-    """
-    known, counts = commons(docs, size)
+def postings(sig: DataFrame, nodes: DataFrame) -> DataFrame:
+    """token, id, root, n, place: a row for each of the tokens of each document in nodes (id, root), and its place among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            row = 0
-            for block in chunks([(t or "").encode() for t in batch.column(2).to_pylist()]):
-                sets, begins = shingles(block, size)
-                n = np.diff(begins)
-                of = np.repeat(np.arange(len(block)), n)
-                often = np.zeros(len(sets), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, sets), len(known) - 1)
-                    often = np.where(known[at] == sets, counts[at], 0)
-                tokens = sets[np.lexsort((sets, often, of))]
-                place, width = np.arange(len(sets)) - begins[:-1][of], n[of]
-                keep = np.flatnonzero(place < width + similar * width // -100 + 1)
-                rows = pa.array(row + of[keep])
-                row += len(block)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens[keep].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(width[keep].astype(np.int32)), pa.array(place[keep].astype(np.int32))],
-                    ["token", "id", "root", "n", "place"],
-                )
+        for batch in sliced(batches, 500):
+            raw = batch.column(3).to_pylist()
+            sizes = np.array([len(x) // 8 for x in raw], np.int64)
+            rows, tokens = np.repeat(np.arange(len(raw)), sizes), np.frombuffer(b"".join(raw), np.int64)
+            place = (np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), *[batch.column(i).take(pa.array(rows)) for i in range(3)], pa.array(place)], ["token", "id", "root", "n", "place"])
 
     few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    chosen = docs.join(F.broadcast(nodes) if few else nodes.hint("shuffle_hash"), docs.doc_id == nodes.id).select("id", "root", "text")
+    own = sig.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"), "key", "tokens").where("key is not null")
+    chosen = own.join(F.broadcast(nodes) if few else nodes.hint("shuffle_hash"), ["id", "key"]).select("id", "root", "n", "tokens")
     return chosen.mapInArrow(run, "token long, id long, root long, n int, place int")
 
 
+def contested(rows: DataFrame) -> DataFrame:
+    """The rows of tokens that documents of several components hold. Sums are partial, so a token of very many documents is no hot key."""
+    sums = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    tokens = stored(sums, "tokens")
+    few = tokens.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+    out = stored(rows.join(F.broadcast(tokens) if few else tokens, "token", "left_semi"), "contested")
+    forget(tokens)
+    return out
+
+
 def meeting(rows: DataFrame, similar: int) -> DataFrame:
-    """a, b, region of postings, for shingles that several components hold: pairs of different components where few documents hold it; else, with region true, each document beside the first one.
+    """a, b, region of contested postings: pairs of different components where up to LONG documents hold a token; else, with region true, each document beside the first one.
 
-    Pairs are left out only if their sizes, or what comes after the shingle, make a link impossible.
+    Pairs are left out only if their sizes, or what comes after the token, make a link impossible.
     """
 
-    def solve(token: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # a shingle's documents by size, cut where the next one is too large for a link
-        cut = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (100 * n[:-1] < similar * n[1:])]))
-        size = np.diff(np.append(cut, len(token)))
-        several = np.minimum.reduceat(root, cut) < np.maximum.reduceat(root, cut)
-        group, many = np.repeat(np.arange(len(cut)), size), np.repeat(size > LONG, size)
-        kept = np.repeat(several, size)
-        a, b = [], []
-        x = np.flatnonzero(kept & ~many)
+    def solve(token: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        a, b = [ids[:0]], [ids[:0]]
         for s in range(1, LONG):
-            i, j = x[:-s], x[s:]
-            near = group[i] == group[j]
+            i, j = np.arange(len(ids) - s), np.arange(s, len(ids))
+            near = token[i] == token[j]
             if not near.any():
                 break
             i, j = i[near], j[near]
@@ -369,13 +381,10 @@ def meeting(rows: DataFrame, similar: int) -> DataFrame:
             fits = (root[i] != root[j]) & (100 * n[i] >= similar * n[j]) & ((100 + similar) * most >= similar * (n[i] + n[j]))
             a.append(ids[i[fits]])
             b.append(ids[j[fits]])
-        y = np.flatnonzero(kept & many)
-        a.append(ids[cut[group[y]]])
-        b.append(ids[y])
-        ends, region = np.stack([np.concatenate(a), np.concatenate(b)]), np.repeat([False, True], [sum(map(len, a[:-1])), len(y)])
+        ends = np.stack([np.concatenate(a), np.concatenate(b)])
         ends.sort(axis=0)
-        got = np.unique(np.vstack([ends, region]), axis=1) if len(region) else np.zeros((3, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(got[0].astype(np.int64)), pa.array(got[1].astype(np.int64)), pa.array(got[2].astype(bool))], ["a", "b", "region"])
+        ends = np.unique(ends, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -384,13 +393,18 @@ def meeting(rows: DataFrame, similar: int) -> DataFrame:
             held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
             done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if done:
-                yield from solve(*(x[:done] for x in held))
+                yield solve(*(x[:done] for x in held))
                 held = [x[done:] for x in held]
         if held and len(held[0]):
-            yield from solve(*held)
+            yield solve(*held)
 
-    ordered = rows.repartition("token").sortWithinPartitions("token", "n", "id")
-    return ordered.mapInArrow(run, "a long, b long, region boolean").where("a <> b").distinct()
+    many = stored(rows.groupBy("token").agg(F.count("*").alias("holders"), F.min("id").alias("first")).where(F.col("holders") > LONG).select("token", "first"), "many")
+    few = many.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+    side = F.broadcast(many) if few else many
+    ordered = rows.join(side, "token", "left_anti").select(*rows.columns).repartition("token").sortWithinPartitions("token", "n", "id")
+    pairs = ordered.mapInArrow(run, "a long, b long").distinct().withColumn("region", F.lit(False))
+    crowd = rows.join(side, "token").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct().withColumn("region", F.lit(True))
+    return pairs.unionByName(crowd)
 
 
 def compared(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -451,30 +465,34 @@ def compared(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return left.cogroup(right).applyInArrow(lambda one, two: solve(one, two.rename_columns(["other", "id", "root", "items"])), "a long, b long")
 
 
-def exact(docs: DataFrame, nodes: DataFrame, size: int, similar: int) -> DataFrame:
-    """a, b: links between the components of nodes (id, root) that have been found so far; enough to join all that are linked."""
-    met = stored(meeting(postings(docs, nodes, size, similar), similar), "met")
+def exact(docs: DataFrame, sig: DataFrame, nodes: DataFrame, size: int, similar: int) -> DataFrame:
+    """a, b: links between the components of nodes (id, key, root) that have been found so far; enough to join all that are linked."""
+    rows = contested(postings(sig, nodes))
+    met = stored(meeting(rows, similar), "met")
+    forget(rows)
     crowd = met.where("region").select("a", "b")
     some = crowd.limit(1).count() > 0
-    pairs = met.where("not region").select("a", "b")
+    pairs = met.where("not region and a <> b").select("a", "b")
     need = stored(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need")
     sets = stored(sets_of(docs, need, size), "sets")
     links = confirmed(pairs, sets, similar)
     if some:
         regions = components(crowd).withColumnRenamed("root", "region")
         ids = crowd.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        members = stored(ids.join(regions, "id", "left").withColumn("region", F.coalesce("region", "id")).join(nodes, "id"), "members")
+        members = stored(ids.join(regions, "id", "left").withColumn("region", F.coalesce("region", "id")).join(nodes.select("id", "root"), "id"), "members")
         links = links.unionByName(compared(members, sets, similar))
-    return stored(links, "exact")
+    links = stored(links, "exact")
+    forget(met, need, sets)
+    return links
 
 
-def linked(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame | None:
+def linked(docs: DataFrame, sig: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame | None:
     """id, root of the classes that links join; None if there are none."""
-    every = classes.select("id")
+    every = classes.select("id", "key")
     roots = joined(docs, classes, size, similar)
-    nodes = every.withColumn("root", F.col("id")) if roots is None else every.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    nodes = every.withColumn("root", F.col("id")) if roots is None else every.join(roots, "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
     nodes = stored(nodes, "nodes")
-    missed = exact(docs, nodes, size, similar)
+    missed = exact(docs, sig, nodes, size, similar)
     if missed.limit(1).count():
         roots = components(missed.unionByName(nodes.select(F.col("id").alias("a"), F.col("root").alias("b"))))
     return roots
@@ -504,26 +522,41 @@ def joined(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> Data
         nodes = named(roots)
         x, y = (nodes.select(F.col("id").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
         left = stored(left.join(x, "a").join(y, "b").where("root_a <> root_b").select("a", "b", "agree"), "left")
+    forget(pairs, sets)
     return roots
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similar: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = stored(signatures(docs, size), "signatures")
-    firsts = sig.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
-    classes = stored(sig.join(firsts.withColumnRenamed("first", "doc_id"), ["key", "doc_id"]).groupBy(F.col("doc_id").alias("id")).agg(F.first("sig").alias("sig")), "classes")
-    roots = linked(docs, classes, size, similar)
-    own = sig.select("doc_id", "n_shingles", "key").join(firsts, "key", "left")
-    rows = own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("id"))
-    # rows that share an id but not a text tie their classes together
-    mixed_ids = sig.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if mixed_ids:
-        ties = own.where("doc_id is not null and first is not null").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-        roots = components(ties if roots is None else ties.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+    sig = stored(signatures(docs, size, similar), "signatures")
+    sets = sig.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("key")).alias("least"), F.max(F.xxhash64("key")).alias("most"))
+    if sets.where("least <> most").limit(1).count():
+        return of_rows(docs, sig, size, similar)
+    # of each set that several rows have, the smallest id; a set of one row only is a class without that
+    groups = sig.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    groups = stored(groups.where("n > 1").select("key", "first"), "groups")
+    rows = sig.select("doc_id", "n_shingles", "key", "sig").join(F.broadcast(groups) if is_small(groups) else groups, "key", "left")
+    rows = rows.withColumn("first", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")))
+    classes = rows.where("key is not null and first = doc_id").groupBy("doc_id", "key").agg(F.first("sig").alias("sig"))
+    roots = linked(docs, sig, stored(classes.withColumnRenamed("doc_id", "id"), "classes"), size, similar)
+    out = rows.select("doc_id", "n_shingles", F.col("first").alias("id"))
     if roots is not None:
-        rows = rows.join(roots, "id", "left").withColumn("id", F.coalesce("root", "id"))
-    return rows.select("doc_id", "n_shingles", F.col("id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("id"), F.lit(True)).alias("kept"))
+        out = out.join(roots, "id", "left").withColumn("id", F.coalesce("root", "id"))
+    return out.select("doc_id", "n_shingles", F.col("id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def of_rows(docs: DataFrame, sig: DataFrame, size: int, similar: int) -> DataFrame:
+    """near_duplicates where unlike texts share an id: rows get ids of their own, and those of one document are tied together."""
+    rows = stored(docs.where("doc_id is not null").withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = stored(near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), size, similar).withColumnRenamed("doc_id", "row"), "found")
+    ids = rows.select("row", "doc_id")
+    ties = ids.join(ids.groupBy("doc_id").agg(F.min("row").alias("b")), "doc_id").select(F.col("row").alias("a"), "b")
+    roots = components(ties.unionByName(found.select(F.col("row").alias("a"), F.col("component_id").alias("b")))).withColumnRenamed("id", "row")
+    own = found.select("row", "n_shingles").join(ids, "row").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = own.join(least, "root").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.unionByName(sig.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from quarrystone.llm import bpe, language, mixing, neardup, secrets, suffixes, toxicity
+from quarrystone.llm.common import hashed
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -309,6 +310,29 @@ def test_near_duplicates_of_one_region(spark):
     assert got == {d: root(d) for d in sets}
 
 
+def test_near_duplicates_of_words_that_sums_confuse(spark):
+    """Thue-Morse words have equal polynomial hashes modulo 2**64; these texts have no shingle in common."""
+    bits = [bin(i).count("1") % 2 for i in range(1_024)]
+    words = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    rows = [(i + 1, " ".join([w] * 6)) for i, w in enumerate(words)] + [(3, words[0][:600] + " x y"), (4, words[1][:600] + " x y")]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    data = np.frombuffer("".join(words).encode() + b"ab", np.uint8)
+    cuts = np.array([0, 0, 1, 2, 3, 512, 1_024, 1_536, 2_048])
+    ends = np.array([1_024, 8, 9, 2, 20, 1_024, 2_048, 2_048, 2_050])
+    assert len(set(hashed(data, cuts, ends).tolist())) == len(cuts)
+    assert hashed(data, cuts, ends).tolist() == [int(hashed(data[a:b], np.array([0]), np.array([b - a]))[0]) for a, b in zip(cuts, ends, strict=True)]
+
+
+def test_near_duplicates_of_texts_under_one_id(spark):
+    """Documents that only a second text of an id ties together."""
+    rng = random.Random(21)
+    a, b = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=80)) for _ in range(2))
+    rows = [(7, a), (7, b), (3, a + " end"), (9, b), (9, b), (5, "alone here in this text"), (None, a), (8, None), (8, "")]
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect())
+    assert got == sorted([(7, 3, False), (7, 3, False), (3, 3, True), (9, 3, False), (9, 3, False), (5, 5, True), (-1, -1, True), (8, 8, True), (8, 8, True)])
+
+
 def brute_removed(rows):
     first = {}
     for d, t in rows:
