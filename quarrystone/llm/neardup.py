@@ -50,7 +50,7 @@ ROUNDS = (1, 8)
 #: Documents and shingles of a block of a region.
 MEMBERS, ITEMS = 1_000, 1_000_000
 #: Documents sampled and shingles kept to tell the common ones: this only orders shingles, any order gives the same links.
-SAMPLE, COMMON = 10_000, 200_000
+SAMPLE, COMMON = 60_000, 1_000_000
 #: Documents of one shingle up to which they are paired at once; beyond, they become a region.
 LONG = 64
 
@@ -321,17 +321,22 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def commons(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of docs (text) holds more than twice, sorted, and how often."""
+    """Shingles that several texts of a batch of sampled docs (text) hold, sorted, and how often at least: most of those that many documents share.
+
+    Only those leave their batch, so the many that one text holds alone cost no shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            for block in chunks([(t or "").encode() for t in batch.column(0).to_pylist()]):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(block, size)[0].view(np.int64))], ["token"])
+        for batch in batches:
+            held = [shingles(block, size)[0] for block in chunks([*{(t or "").encode() for t in batch.column(0).to_pylist()}])]
+            found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            several = counts > 1
+            yield pa.RecordBatch.from_arrays([pa.array(found[several].view(np.int64)), pa.array(counts[several])], ["token", "n"])
 
     share = max(1, docs.count() // SAMPLE)
     some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    found = some.mapInArrow(run, "token long").groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(COMMON).toArrow()
-    known, counts = found["token"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    found = some.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    known, counts = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(known)
     return known[order], counts[order]
 
