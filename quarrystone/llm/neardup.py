@@ -49,8 +49,8 @@ AT_ONCE = 8
 ROUNDS = (1, 8)
 #: Documents and shingles of a block of a region.
 MEMBERS, ITEMS = 1_000, 1_000_000
-#: Documents sampled and shingles kept to tell the common ones: this only orders shingles, any order gives the same links.
-SAMPLE, COMMON = 60_000, 1_000_000
+#: Shingles known as common, at most: this only orders shingles, any order gives the same links.
+COMMON = 1_000_000
 #: Documents of one shingle up to which they are paired at once; beyond, they become a region.
 LONG = 64
 
@@ -264,7 +264,7 @@ def agreeing(pairs: DataFrame, classes: DataFrame, least: float = AGREE) -> Data
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id, items: the shingle hashes of each document in ids, which has distinct ids."""
+    """id, items: the shingle hashes of each document in ids; both have distinct ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -277,7 +277,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     chosen = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), docs.doc_id == ids.id, "left_semi")
-    return chosen.mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
+    return chosen.mapInArrow(run, "id long, items binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -321,7 +321,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def commons(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a batch of sampled docs (text) hold, sorted, and how often at least: most of those that many documents share.
+    """Shingles that several texts of a batch of docs (text) hold, sorted, and how often at least: most of those that many documents share.
 
     Only those leave their batch, so the many that one text holds alone cost no shuffle.
     """
@@ -333,9 +333,7 @@ def commons(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             several = counts > 1
             yield pa.RecordBatch.from_arrays([pa.array(found[several].view(np.int64)), pa.array(counts[several])], ["token", "n"])
 
-    share = max(1, docs.count() // SAMPLE)
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    found = some.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
     known, counts = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(known)
     return known[order], counts[order]
@@ -535,9 +533,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = 80) -> DataFr
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = stored(signatures(docs, size, similar), "signatures")
-    sets = sig.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("key")).alias("least"), F.max(F.xxhash64("key")).alias("most"))
-    if sets.where("least <> most").limit(1).count():
+    sets = sig.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("key")).alias("least"), F.max(F.xxhash64("key")).alias("most"))
+    repeated, unlike = sets.agg(F.coalesce(F.max("n") > 1, F.lit(False)), F.coalesce(F.max(F.col("least") != F.col("most")), F.lit(False))).first()
+    if unlike:
         return of_rows(docs, sig, size, similar)
+    if repeated:
+        docs = docs.dropDuplicates(["doc_id"])  # of equal sets
     # of each set that several rows have, the smallest id; a set of one row only is a class without that
     groups = sig.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     groups = stored(groups.where("n > 1").select("key", "first"), "groups")

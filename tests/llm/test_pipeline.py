@@ -36,6 +36,17 @@ def test_stages(spark):
     assert last.where("not round_trip").count() == 0 and last.count() == docs.count()
 
 
+def test_near_copies_of_rows_that_share_an_id(spark):
+    """All texts of a kept id stay, once each and the same ones in every run, whatever the order of rows."""
+    a, b, c = ("one two three four five six seven eight nine ten", "eleven twelve thirteen fourteen fifteen sixteen", "some other text of more than five words")
+    rows = [(2, a, "en", "s", 1), (2, b, "en", "s", 1), (2, a, "de", "r", 2), (1, c, None, None, None), (1, c, "en", None, 3), (5, b, "en", "s", 1), (None, a, "en", "s", 1), (None, a, "en", "s", 1), (9, None, "en", "s", 0)]
+    want = sorted(map(str, [(2, a, "de", "r", 2), (2, b, "en", "s", 1), (1, c, None, None, None), (None, a, "en", "s", 1), (None, a, "en", "s", 1), (9, None, "en", "s", 0)]))
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+        assert sorted(str(tuple(r)) for r in corpus_pipeline.without_near_copies(spark, docs, SF).collect()) == want
+        rows = rows[::-1]
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_queries_run(spark, name):
     assert name in __spark_entry__.queries()
