@@ -26,12 +26,16 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of least id, and once if rows repeat it; rows without an id stay."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of least id; rows without an id stay.
+
+    Rows that share the id of a kept document stay once for each of their texts, with the least of their other columns.
+    """
     docs = docs.select(*COLUMNS)
     kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = named.dropDuplicates(["doc_id"])
+        rest = F.min(F.struct("lang", "source", "n_chars")).alias("x")
+        named = named.groupBy("doc_id", "text").agg(rest).select("doc_id", "text", "x.*").select(*COLUMNS)
     return named.unionByName(docs.where("doc_id is null"))
 
 
