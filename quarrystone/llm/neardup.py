@@ -126,25 +126,38 @@ def signature(sets: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefixes(sets: np.ndarray, begins: np.ndarray, similar: int, known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each set the n - ceil(similar * n / 100) + 1 first of its n shingles, the rarest first, and where each set's begin.
-
-    Of two linked sets these share one at least. known, counts: shingles known to be common and how often, sorted.
-    """
-    n = np.diff(begins)
-    of = np.repeat(np.arange(len(n)), n)
-    often = np.zeros(len(sets), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, sets), len(known) - 1)
-        often = np.where(known[at] == sets, counts[at], 0)
-    tokens = sets[np.lexsort((sets, often, of))]
-    keep = np.arange(len(sets)) - begins[:-1][of] < n[of] + similar * n[of] // -100 + 1
-    return tokens[keep], np.concatenate([[0], np.cumsum(np.bincount(of[keep], minlength=len(n)))])
-
-
-def signatures(docs: DataFrame, size: int, similar: int) -> DataFrame:
-    """doc_id, n_shingles, key (of the set; null if empty), sig, tokens (see prefixes)."""
-    known, counts = commons(docs, size)
+class Order:
+    """The order of shingles, the rarest first: by how often they are known to be held, then by themselves."""
+
+    def __init__(self, known: np.ndarray, counts: np.ndarray) -> None:
+        """known: sorted shingles."""
+        self.known, self.counts = known, counts
+
+    def often(self, tokens: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.zeros(len(tokens), np.int64)
+        at = np.minimum(np.searchsorted(self.known, tokens), len(self.known) - 1)
+        return np.where(self.known[at] == tokens, self.counts[at], 0)
+
+    def prefixes(self, sets: np.ndarray, begins: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each set the n - ceil(similar * n / 100) + 1 first of its n shingles, and where each set's begin. Of two linked sets these share one at least."""
+        n = np.diff(begins)
+        of = np.repeat(np.arange(len(n)), n)
+        tokens = sets[np.lexsort((sets, self.often(sets), of))]
+        keep = np.arange(len(sets)) - begins[:-1][of] < n[of] + similar * n[of] // -100 + 1
+        return tokens[keep], np.concatenate([[0], np.cumsum(np.bincount(of[keep], minlength=len(n)))])
+
+    def most_shared(self, x: np.ndarray, y: np.ndarray, n: int, m: int) -> int:
+        """What two sets of n and m shingles share at most, from their first ones: a shingle of one that comes before the last of the other's and isn't among them is in one set only."""
+        both = np.concatenate([x, y])
+        kinds, rank = np.unique(both[np.lexsort((both, self.often(both)))], return_index=True)
+        place = rank[np.searchsorted(kinds, both)]
+        a, b = place[: len(x)], place[len(x) :]
+        return min(n - int(((a < b[-1]) & ~np.isin(x, y)).sum()), m - int(((b < a[-1]) & ~np.isin(y, x)).sum()))
+
+
+def signatures(docs: DataFrame, size: int, similar: int, order: Order) -> DataFrame:
+    """doc_id, n_shingles, key (of the set; null if empty), sig, tokens (the set's first shingles in order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -155,7 +168,7 @@ def signatures(docs: DataFrame, size: int, similar: int) -> DataFrame:
                 sizes += np.diff(begins).tolist()
                 keys += [xxhash.xxh128_digest(sets[a:b]) if b > a else None for a, b in zip(cut, cut[1:], strict=False)]
                 sigs += [r.tobytes() for r in signature(sets, begins)]
-                rare, at = prefixes(sets, begins, similar, known, counts)
+                rare, at = order.prefixes(sets, begins, similar)
                 cut = at.tolist()
                 tokens += [rare[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (keys, sigs, tokens)]], ["doc_id", "n_shingles", "key", "sig", "tokens"])
@@ -320,8 +333,8 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def commons(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a batch of docs (text) hold, sorted, and how often at least: most of those that many documents share.
+def commons(docs: DataFrame, size: int) -> Order:
+    """By shingles that several texts of a batch of docs (text) hold, and how often at least: most of those that many documents share.
 
     Only those leave their batch, so the many that one text holds alone cost no shuffle.
     """
@@ -336,7 +349,7 @@ def commons(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
     known, counts = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(known)
-    return known[order], counts[order]
+    return Order(known[order], counts[order])
 
 
 def postings(sig: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -369,25 +382,23 @@ def contested(rows: DataFrame) -> DataFrame:
 def meeting(rows: DataFrame, similar: int) -> DataFrame:
     """a, b, region of contested postings: pairs of different components where up to LONG documents hold a token; else, with region true, each document beside the first one.
 
-    Pairs are left out only if their sizes, or what comes after the token, make a link impossible.
+    Pairs are left out only if a link is impossible: sizes too far apart, or too little left. Tokens that two sets share
+    stand in the same order in both, so their intersection is at most the shared ones among these and what comes after the
+    last of them. (A pair that shares a token of more than LONG documents isn't fully counted here, but meets in its region.)
     """
 
-    def solve(token: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        a, b = [ids[:0]], [ids[:0]]
+    def solve(token: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
         for s in range(1, LONG):
             i, j = np.arange(len(ids) - s), np.arange(s, len(ids))
             near = token[i] == token[j]
             if not near.any():
                 break
-            i, j = i[near], j[near]
-            most = np.minimum(n[i] - place[i], n[j] - place[j])  # shared ones, if this is the first
-            fits = (root[i] != root[j]) & (100 * n[i] >= similar * n[j]) & ((100 + similar) * most >= similar * (n[i] + n[j]))
-            a.append(ids[i[fits]])
-            b.append(ids[j[fits]])
-        ends = np.stack([np.concatenate(a), np.concatenate(b)])
-        ends.sort(axis=0)
-        ends = np.unique(ends, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
+            fits = near & (root[i] != root[j]) & (100 * n[i] >= similar * n[j])
+            i, j = i[fits], j[fits]
+            first = ids[i] < ids[j]
+            i, j = np.where(first, i, j), np.where(first, j, i)
+            rest = np.minimum(n[i] - 1 - place[i], n[j] - 1 - place[j])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], ids[j], rest, n[i] + n[j])], ["a", "b", "rest", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -396,16 +407,17 @@ def meeting(rows: DataFrame, similar: int) -> DataFrame:
             held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
             done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if done:
-                yield solve(*(x[:done] for x in held))
+                yield from solve(*(x[:done] for x in held))
                 held = [x[done:] for x in held]
         if held and len(held[0]):
-            yield solve(*held)
+            yield from solve(*held)
 
     many = stored(rows.groupBy("token").agg(F.count("*").alias("holders"), F.min("id").alias("first")).where(F.col("holders") > LONG).select("token", "first"), "many")
     few = many.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
     side = F.broadcast(many) if few else many
     ordered = rows.join(side, "token", "left_anti").select(*rows.columns).repartition("token").sortWithinPartitions("token", "n", "id")
-    pairs = ordered.mapInArrow(run, "a long, b long").distinct().withColumn("region", F.lit(False))
+    shared = ordered.mapInArrow(run, "a long, b long, rest long, sizes long").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("rest").alias("rest"), F.max("sizes").alias("sizes"))
+    pairs = shared.where((100 + similar) * (F.col("shared") + F.col("rest")) >= similar * F.col("sizes")).select("a", "b", F.lit(False).alias("region"))
     crowd = rows.join(side, "token").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct().withColumn("region", F.lit(True))
     return pairs.unionByName(crowd)
 
@@ -468,15 +480,33 @@ def compared(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return left.cogroup(right).applyInArrow(lambda one, two: solve(one, two.rename_columns(["other", "id", "root", "items"])), "a long, b long")
 
 
-def exact(docs: DataFrame, sig: DataFrame, nodes: DataFrame, size: int, similar: int) -> DataFrame:
+def hopeful(pairs: DataFrame, sig: DataFrame, order: Order, similar: int) -> DataFrame:
+    """The pairs (a, b) whose first shingles don't rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+            keep = [(100 + similar) * order.most_shared(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), n, m) >= similar * (n + m) for x, y, n, m in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    own = sig.where("key is not null").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "tokens")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    own = own.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    x, y = (own.select(F.col("id").alias(k), F.col("tokens").alias(f"tokens_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
+    sides = pairs.join(x, "a").join(y, "b").select("a", "b", "tokens_a", "tokens_b", "n_a", "n_b")
+    return sides.mapInArrow(run, "a long, b long").distinct()
+
+
+def exact(docs: DataFrame, sig: DataFrame, nodes: DataFrame, size: int, similar: int, order: Order) -> DataFrame:
     """a, b: links between the components of nodes (id, key, root) that have been found so far; enough to join all that are linked."""
     rows = contested(postings(sig, nodes))
     met = stored(meeting(rows, similar), "met")
     forget(rows)
     crowd = met.where("region").select("a", "b")
     some = crowd.limit(1).count() > 0
-    pairs = met.where("not region and a <> b").select("a", "b")
-    need = stored(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need")
+    pairs = stored(hopeful(met.where("not region").select("a", "b"), sig, order, similar), "pairs")
+    need = stored(pairs.unionByName(crowd).select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need")
     sets = stored(sets_of(docs, need, size), "sets")
     links = confirmed(pairs, sets, similar)
     if some:
@@ -485,17 +515,17 @@ def exact(docs: DataFrame, sig: DataFrame, nodes: DataFrame, size: int, similar:
         members = stored(ids.join(regions, "id", "left").withColumn("region", F.coalesce("region", "id")).join(nodes.select("id", "root"), "id"), "members")
         links = links.unionByName(compared(members, sets, similar))
     links = stored(links, "exact")
-    forget(met, need, sets)
+    forget(met, pairs, need, sets)
     return links
 
 
-def linked(docs: DataFrame, sig: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame | None:
+def linked(docs: DataFrame, sig: DataFrame, classes: DataFrame, size: int, similar: int, order: Order) -> DataFrame | None:
     """id, root of the classes that links join; None if there are none."""
     every = classes.select("id", "key")
     roots = joined(docs, classes, size, similar)
     nodes = every.withColumn("root", F.col("id")) if roots is None else every.join(roots, "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
     nodes = stored(nodes, "nodes")
-    missed = exact(docs, sig, nodes, size, similar)
+    missed = exact(docs, sig, nodes, size, similar, order)
     if missed.limit(1).count():
         roots = components(missed.unionByName(nodes.select(F.col("id").alias("a"), F.col("root").alias("b"))))
     return roots
@@ -532,7 +562,8 @@ def joined(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> Data
 def near_duplicates(docs: DataFrame, size: int = 5, similar: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = stored(signatures(docs, size, similar), "signatures")
+    order = commons(docs, size)
+    sig = stored(signatures(docs, size, similar, order), "signatures")
     sets = sig.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("key")).alias("least"), F.max(F.xxhash64("key")).alias("most"))
     repeated, unlike = sets.agg(F.coalesce(F.max("n") > 1, F.lit(False)), F.coalesce(F.max(F.col("least") != F.col("most")), F.lit(False))).first()
     if unlike:
@@ -545,7 +576,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = 80) -> DataFr
     rows = sig.select("doc_id", "n_shingles", "key", "sig").join(F.broadcast(groups) if is_small(groups) else groups, "key", "left")
     rows = rows.withColumn("first", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")))
     classes = rows.where("key is not null and first = doc_id").groupBy("doc_id", "key").agg(F.first("sig").alias("sig"))
-    roots = linked(docs, sig, stored(classes.withColumnRenamed("doc_id", "id"), "classes"), size, similar)
+    roots = linked(docs, sig, stored(classes.withColumnRenamed("doc_id", "id"), "classes"), size, similar, order)
     out = rows.select("doc_id", "n_shingles", F.col("first").alias("id"))
     if roots is not None:
         out = out.join(roots, "id", "left").withColumn("id", F.coalesce("root", "id"))
