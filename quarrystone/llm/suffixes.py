@@ -15,7 +15,8 @@ Scale. Equal fragments within a batch are sent once. Anchors are dealt by hash;
 often an anchor occurs. Texts meet their marks in small teams of documents.
 
 Edge cases. Null text is empty; texts shorter than LENGTH lose nothing. Rows that share an id don't remove each other's
-bytes. A null id counts as later than all others. Empty tables give empty results; extra columns are left out.
+bytes. A null id counts as later than all others, also than 2^63 - 1. Empty tables give empty results; extra columns are
+left out.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ WHOLE = np.uint64(2**64 - 1)
 ENTRY = np.dtype([("anchor", "<u4"), ("low", "<u4"), ("high", "<u2")])
 MARKS = "team int, send boolean, ids binary, cids binary, masks binary"
 NAMES = ["team", "send", "ids", "cids", "masks"]
-#: Documents of a team, about: their texts and marks meet in one call.
-TEAM = 400
+#: Documents of a team, about: their texts and marks meet in one call. Small teams make even partitions.
+TEAM = 150
 
 _hash = RollingHash()
 _u = np.uint64
@@ -103,12 +104,21 @@ def runs(*sorted_keys: np.ndarray) -> np.ndarray:
 
 
 def team_of(ids: np.ndarray, teams: int) -> np.ndarray:
-    return ((ids ^ ids >> 17) % teams).astype(np.int32)
+    """A team for each id, by two rounds of shifts that Spark's columns can do alike."""
+    x = ids.astype(np.uint64)
+    for _ in range(2):
+        x ^= x << _u(13)
+        x ^= x >> _u(7)
+        x ^= x << _u(17)
+    return ((x >> _u(33)) % _u(teams)).astype(np.int32)
 
 
 def teamed(docs: DataFrame, teams: int) -> DataFrame:
     """docs with the column that team_of gives."""
-    return docs.withColumn("team", F.pmod(F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", 17)), F.lit(teams)).cast("int"))
+    for _ in range(2):
+        for shift, by in ((F.shiftleft, 13), (F.shiftrightunsigned, 7), (F.shiftleft, 17)):
+            docs = docs.withColumn("team", F.col("team" if "team" in docs.columns else "doc_id").bitwiseXOR(shift("team" if "team" in docs.columns else "doc_id", by)))
+    return docs.withColumn("team", (F.shiftrightunsigned("team", 33) % teams).cast("int"))
 
 
 def marks(docs: np.ndarray, cids: np.ndarray, masks: np.ndarray | None, send: bool, teams: int) -> pa.RecordBatch:
@@ -410,13 +420,19 @@ def kept(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept, the bytes that stay, for every row of docs (doc_id, text)."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets, teams = parts(docs.sparkSession), max(1, -(-docs.count() // TEAM))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, named, low, high = docs.agg(F.count("*"), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    some = named < rows
+    down = int(some and high == LAST)  # the last number stands for null, so ids make room for it
+    if down and low == -LAST - 1:
+        raise ValueError("null ids can't stand beside both the least and the greatest id")
+    docs = docs.withColumn("doc_id", F.coalesce(F.col("doc_id") - F.lit(down), F.lit(LAST)))
+    buckets, teams = parts(docs.sparkSession), max(1, -(-rows // TEAM))
     first = stored(decided(exchange(docs, buckets, teams), buckets, teams), "fragments")
     own = teamed(docs, teams)
     unlike = stored(compared(sent(own, first.where("send"), buckets), buckets, teams), "windows")
     out = kept(own, first.where("not send").unionByName(unlike), buckets)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)) + F.lit(down)) if some else out
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
