@@ -13,7 +13,8 @@ over a whole document costs only as much as its words with features. The documen
 the sampled rows and weighted back to the shares of the labels, of the sum and of the largest of the words' marginals.
 
 Edge cases. Null or empty text: no words, the score of a text without features. Null ids are never held out nor learned
-from. Null labels are left out; of several labels of a document the toxic one counts. Without toxic or without clean labels
+from. Null labels are left out; of several labels of a document the toxic one counts, of several texts of an id the least is
+learned from. Without toxic or without clean labels
 every score is the share of toxic ones (0 without labels). Repeated rows score alike; extra columns are left out.
 """
 
@@ -23,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +63,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[Data
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(most).unionByName(known.where("toxic = 0").orderBy(*order).limit(most))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), counts
+    # copies of a row teach nothing new; they'd also make the sample as large as a repeated id makes it
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), counts
 
 
 def counted(rows: DataFrame) -> list[tuple[str, int, int]]:
@@ -210,16 +213,24 @@ class Field:
             self.weights = w + 0.15 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
 
 
-def marginals(n: int, hits: list[tuple[int, float]], chain: tuple[float, float, float, float, float]) -> list[float]:
-    """Of n words, whose weights differ from the bias only at hits: the probability that each hit is toxic."""
-    bias, start, w01, w10, w11 = chain
+@lru_cache(maxsize=8)
+def transfer(chain: tuple[float, float, float, float, float]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of a chain the parts of which powers of its matrix, up to a factor, are the first plus ratio**power times the second."""
+    bias, _, w01, w10, w11 = chain
     eb = math.exp(bias)
     m = np.array([[1.0, math.exp(w01) * eb], [math.exp(w10), math.exp(w11) * eb]])  # from a word to the next one without features
     values, vectors = np.linalg.eig(m)
     k = int(np.argmax(values))
     ratio = float(values[1 - k] / values[k])
     inverse = np.linalg.inv(vectors)
-    lead, rest = np.outer(vectors[:, k], inverse[k]), np.outer(vectors[:, 1 - k], inverse[1 - k])
+    return ratio, np.outer(vectors[:, k], inverse[k]), np.outer(vectors[:, 1 - k], inverse[1 - k])
+
+
+def marginals(n: int, hits: list[tuple[int, float]], chain: tuple[float, float, float, float, float]) -> list[float]:
+    """Of n words, whose weights differ from the bias only at hits: the probability that each hit is toxic."""
+    bias, start, *_ = chain
+    eb = math.exp(bias)
+    ratio, lead, rest = transfer(chain)
 
     def power(g: int) -> np.ndarray:
         return lead + ratio**g * rest
