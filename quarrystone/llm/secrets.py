@@ -1,9 +1,11 @@
 """Secret scans: patterns find assignments, access keys and hex runs; decoded base64 and hex confirm keys and tokens by structure.
 
 The method's own kinds: `jwt`, a signed token whose header decodes to a JSON object that names an algorithm; `pem`, a private
-key block whose body decodes to a key; `der` and `openssh`, base64 whose bytes are such a key; `hexkey`, hex that is. Bytes
-are a key if nested lengths agree to the last byte: DER tags from an outer sequence that starts with a version number, or
-OpenSSH's magic followed by length-prefixed fields. Random text fails these tests.
+key block whose body decodes to a key, or base64 of such a block; `der` and `openssh`, base64 whose bytes are such a key, in
+one run or wrapped into lines; `hexkey`, hex that is, with 0x before it or not. Bytes are a key if nested lengths agree to the
+last byte: DER tags from an outer sequence that starts with a version number, or with an algorithm and the octets that it
+encrypted, or OpenSSH's magic followed by length-prefixed fields. A block whose own headers say that it is encrypted holds
+whole cipher blocks instead. Random text fails these tests.
 
 Edge cases. A null text counts as empty. Texts are scanned whole. Spans are in code points, end exclusive; equal starts are
 ordered by kind as in KINDS. Repeated rows give repeated results; extra columns are left out by `scan` and kept by `redact`.
@@ -28,10 +30,13 @@ BASE = KINDS[:3]
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: A JSON object's base64 starts with e and one of these.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[w-z0-9_-][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s*[A-Za-z0-9-]+: [^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
-ANY_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])")
+#: Lines of equal length and what is left.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}(?:\r?\n[A-Za-z0-9+/]+)+={0,2}")
+ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?([0-9A-Fa-f]{32,})(?![0-9A-Za-z])")
 MAGIC = b"openssh-key-v1\0"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -82,6 +87,9 @@ def is_der_key(data: bytes) -> bool:
     if data[:1] != b"\x30" or not (outer := fields(data)) or len(outer) != 1:
         return False
     inner = fields(outer[0][1])
+    if inner and [t for t, _ in inner] == [0x30, 0x04]:  # encrypted
+        how = fields(inner[0][1])
+        return bool(how) and how[0][0] == 0x06 and len(inner[1][1]) >= 16 and not len(inner[1][1]) % 8
     if not inner or len(inner) < 3 or inner[0] not in ((2, b"\0"), (2, b"\1")):
         return False
     level = [x for t, x in inner if t & 0x20]
@@ -118,6 +126,21 @@ def key_kind(data: bytes | None) -> str | None:
     return "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
 
 
+def is_block(m: re.Match) -> bool:
+    """Whether a PEM block holds a key, or says that it is encrypted and holds whole cipher blocks."""
+    data = unpacked("".join(m[3].split()))
+    if "ENCRYPTED" in m[2] and "DEK-Info:" in m[2]:
+        return bool(data) and not len(data) % 8
+    return key_kind(data) is not None
+
+
+def base64_kind(text: str) -> str | None:
+    """What a run of base64 holds: a key, or the text of a PEM block."""
+    if (kind := key_kind(data := unpacked(text))) or not data or b"-----BEGIN " not in data:
+        return kind
+    return "pem" if any(map(is_block, PEM.finditer(data.decode("latin-1")))) else None
+
+
 def is_token(header: str, payload: str) -> bool:
     try:
         head, body = json.loads(unpacked(header) or b""), json.loads(unpacked(payload) or b"")
@@ -136,17 +159,26 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     if _RUN16 in raw.translate(_HEX):
         found += [("hex", *m.span()) for m in HEX.finditer(text)]
-        found += [("hexkey", *m.span()) for m in ANY_HEX.finditer(text) if not len(m[0]) % 2 and key_kind(bytes.fromhex(m[0]))]
-    if b"eyJ" in raw:
-        found += [("jwt", *m.span()) for m in JWT.finditer(text) if is_token(m[1], m[2])]
+        found += [("hexkey", *m.span()) for m in ANY_HEX.finditer(text) if not len(m[1]) % 2 and key_kind(bytes.fromhex(m[1]))]
     blocks = []
     if b"-----BEGIN " in raw:
-        blocks = [m.span() for m in PEM.finditer(text) if key_kind(unpacked("".join(m[2].split())))]
+        blocks = [m.span() for m in PEM.finditer(text) if is_block(m)]
         found += [("pem", *s) for s in blocks]
-    if _RUN24 in raw.translate(_BASE64):
-        for m in BASE64.finditer(text):
-            if m[0][0] in "Mb" and (kind := key_kind(unpacked(m[0]))) and not any(a <= m.start() < b for a, b in blocks):
-                found.append((kind, *m.span()))
+    if _RUN16 in (runs := raw.translate(_BASE64)):
+        if b"." in raw:
+            found += [("jwt", *m.span()) for m in JWT.finditer(text) if is_token(m[1], m[2])]
+        if _RUN24 in runs:
+            for m in BASE64.finditer(text):
+                if m[0][0] in "MbL" and (kind := base64_kind(m[0])) and not any(a <= m.start() < b for a, b in blocks):
+                    found.append((kind, *m.span()))
+                    blocks.append(m.span())
+            for m in WRAPPED.finditer(text) if b"\n" in raw else ():
+                if m[0][0] in "MbL" and not any(a <= m.start() < b for a, b in blocks):
+                    lines = m[0].split()
+                    for n in range(len(lines), 1, -1):  # words of the next lines may follow
+                        if len({*map(len, lines[: n - 1])}) == 1 and (kind := base64_kind("".join(lines[:n]))):
+                            found.append((kind, m.start(), m.start() + (m.end() - m.start() if n == len(lines) else re.match(r"\s*".join(map(re.escape, lines[:n])), m[0]).end())))
+                            break
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
