@@ -199,9 +199,12 @@ def first_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def matches(c: Column, pattern: str) -> Column:
-    """All matches of `pattern`: period (the last year before the match, else 2025), the groups of the pattern as text, and the match."""
-    whole = rf"(?s){BEFORE}({pattern})"
+def matches(c: Column, name: str, rest: str) -> Column:
+    """All matches of name and rest: period (the last year before the match, else 2025), the groups of rest as text, and the match.
+
+    The name is looked for first: looking back at every place would cost far more.
+    """
+    whole = rf"(?s)(?={name}){BEFORE}({name}{rest})"
     before, all_, value, unit = (F.regexp_extract_all(c, F.lit(whole), F.lit(i)) for i in (1, 2, 3, 4))
     return F.transform(F.arrays_zip(before.alias("before"), all_.alias("all"), value.alias("value"), unit.alias("unit")), lambda m: F.struct(F.coalesce(text.found(m.before, r"(?s)^.*(20\d{2})年"), F.lit("2025")).alias("period"), m.all.alias("all"), m.value.alias("value"), m.unit.alias("unit")))
 
@@ -210,7 +213,7 @@ def financial_metrics(df: DataFrame, keys: Sequence[str], column: str) -> DataFr
     """metric, period, value, unit: all amounts, the first of each period and metric, then all percentages. A net loss is a negative profit."""
     c, rows = F.col(column), []
     for metric, name in AMOUNTS:
-        found = matches(c, rf"{name}(?:约|超|估算)?\s*([+-]?\d+(?:\.\d+)?)\s*(万亿美元|亿美元|万亿元|亿元)")
+        found = matches(c, name, r"(?:约|超|估算)?\s*([+-]?\d+(?:\.\d+)?)\s*(万亿美元|亿美元|万亿元|亿元)")
 
         def fact(m: Column, metric: str = metric) -> Column:
             value, unit = text.scaled_amount(m["value"], m["unit"])
@@ -218,7 +221,7 @@ def financial_metrics(df: DataFrame, keys: Sequence[str], column: str) -> DataFr
 
         rows.append(F.transform(found, _unary(fact)))
     for metric, name in PERCENTS:
-        found = matches(c, rf"{name}(?:约|超)?\s*([+-]?\d+(?:\.\d+)?)(%)")
+        found = matches(c, name, r"(?:约|超)?\s*([+-]?\d+(?:\.\d+)?)(%)")
 
         def share(m: Column, metric: str = metric) -> Column:
             return F.struct(F.lit(metric).alias("metric"), m["period"].alias("period"), m["value"].cast("decimal(28,4)").alias("value"), F.lit("PERCENT").alias("unit"), F.lit(False).alias("once"))

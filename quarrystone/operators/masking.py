@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -48,6 +49,14 @@ def evidence_numbers(rows: DataFrame, person: str = "person_id", source: str = "
     return rows.where(F.col(source).isNotNull()).select(person, source).distinct().withColumn("evidence", F.concat(F.lit("SRC-"), F.row_number().over(w).cast("string")))
 
 
+@lru_cache(maxsize=100_000)
+def _pattern(name: str) -> re.Pattern:
+    pattern = GAP.join(map(re.escape, name))
+    if name.isascii() and name[:1].isalnum():
+        pattern = rf"(?<![A-Za-z0-9]){pattern}(?![A-Za-z0-9])"
+    return re.compile(pattern, re.IGNORECASE)
+
+
 @F.pandas_udf(StringType())
 def _replaced(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, names in batches:
@@ -55,10 +64,7 @@ def _replaced(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         for text, known in zip(texts, names, strict=True):
             if text and known is not None and len(known):
                 for name, alias in sorted(((k["name"], k["alias"]) for k in known), key=lambda k: (-len(k[0]), k[0])):
-                    pattern = GAP.join(map(re.escape, name))
-                    if name.isascii() and name[:1].isalnum():
-                        pattern = rf"(?<![A-Za-z0-9]){pattern}(?![A-Za-z0-9])"
-                    text = re.sub(pattern, lambda _, a=alias: a, text, flags=re.IGNORECASE)
+                    text = _pattern(name).sub(lambda _, a=alias: a, text)
             out.append(text)
         yield pd.Series(out, dtype=object)
 

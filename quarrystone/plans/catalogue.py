@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarrystone.plans import customers, documents, graphs, records, retrieval, workflows
+from quarrystone.plans import cells, customers, documents, graphs, property_graph, records, retrieval, workflows
 from quarrystone.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "panorama_sections"
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "customers", "documents", "graphs", "records", "retrieval", "workflows"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "cells", "customers", "documents", "graphs", "property_graph", "records", "retrieval", "workflows"]

@@ -47,7 +47,7 @@ def embedding_valid(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "reconcile_index",
-    """WITH a AS (SELECT doc_id AS id, lang AS body FROM documents WHERE doc_id % 7 <> 0),
+    """WITH a AS (SELECT doc_id AS id, lang AS body FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 5 = 0),
     b AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN 'xx' ELSE lang END AS body FROM documents WHERE doc_id % 5 <> 0)
     SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'MISSING' WHEN a.id IS NULL THEN 'EXTRA' ELSE 'MISMATCH' END AS verdict
     FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.body <> b.body""",
@@ -55,7 +55,7 @@ def embedding_valid(spark: SparkSession, d: str) -> DataFrame:
 def reconcile_index(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("body"))
     have = t.where("id % 5 <> 0").withColumn("body", F.when(F.col("id") % 11 == 0, "xx").otherwise(F.col("body")))
-    return R.index_check(t.where("id % 7 <> 0"), have, "id", ["body"])
+    return R.index_check(t.where("id % 7 <> 0 or id % 5 = 0"), have, "id", ["body"])
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import ids
 from quarrystone.operators import graph as G
-from quarrystone.plans.registry import ORACLES, query
+from quarrystone.plans.registry import query
 from quarrystone.sources.tables import table
 
 FP = "substr(sha256(concat_ws(chr(31), {})), 1, 24)"
@@ -111,9 +111,9 @@ def dangling_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "preflight_issues",
-    """WITH n AS (SELECT concat('n', p_size) AS id, CASE WHEN p_size > 48 THEN 'Alien' ELSE 'Person' END AS t FROM part WHERE p_partkey % 37 = 0),
-    r AS (SELECT concat('r', l_orderkey % 50) AS id, concat('n', l_linenumber) AS a, concat('n', l_suppkey % 60) AS b, CASE WHEN l_tax > 0.07 THEN 'HATES' ELSE 'WORKS_AT' END AS t FROM lineitem WHERE l_orderkey % 101 = 0),
-    e AS (SELECT concat('n', event_id % 900) AS id, concat('n', user_id % 70) AS s FROM events WHERE event_id % 53 = 0),
+    """WITH n AS (SELECT concat('n', p_size) AS id, CASE WHEN p_size > 48 THEN 'Alien' ELSE 'Person' END AS t FROM part),
+    r AS (SELECT concat('r', l_orderkey % 50) AS id, concat('n', l_linenumber) AS a, concat('n', l_suppkey % 60) AS b, CASE WHEN l_tax > 0.07 THEN 'HATES' ELSE 'WORKS_AT' END AS t FROM lineitem),
+    e AS (SELECT concat('n', event_id % 900) AS id, concat('n', user_id % 70) AS s FROM events),
     x AS (SELECT id FROM n UNION SELECT id FROM e)
     SELECT DISTINCT * FROM (
     SELECT 'DUPLICATE_NODE_ID' AS code, 'ERROR' AS severity, id FROM n GROUP BY id HAVING count(*) > 1
@@ -127,19 +127,6 @@ def dangling_edges(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'DANGLING_RELATION', 'ERROR', id FROM r WHERE a NOT IN (SELECT id FROM x) OR b NOT IN (SELECT id FROM x))""",
 )
 def preflight_issues(spark: SparkSession, d: str) -> DataFrame:
-    def name(c: Column) -> Column:
-        return F.concat(F.lit("n"), c.cast("string"))
-
-    n = table(spark, d, "part").where("p_partkey % 37 = 0").select(name(F.col("p_size")).alias("node_id"), F.when(F.col("p_size") > 48, "Alien").otherwise("Person").alias("node_type"))
-    r = table(spark, d, "lineitem").where("l_orderkey % 101 = 0").select(F.concat(F.lit("r"), (F.col("l_orderkey") % 50).cast("string")).alias("relation_id"), name(F.col("l_linenumber")).alias("start_node_id"), name(F.col("l_suppkey") % 60).alias("end_node_id"), F.when(F.col("l_tax") > 0.07, "HATES").otherwise("WORKS_AT").alias("relation_type"))
-    e = table(spark, d, "events").where("event_id % 53 = 0").select(name(F.col("event_id") % 900).alias("event_id"), name(F.col("user_id") % 70).alias("subject_node_id"))
-    return G.preflight(n, r, e)
-
-
-@query("preflight_issues_all", ORACLES["preflight_issues"].replace(" WHERE p_partkey % 37 = 0", "").replace(" WHERE l_orderkey % 101 = 0", "").replace(" WHERE event_id % 53 = 0", ""))
-def preflight_issues_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same checks over all parts, line items and events."""
-
     def name(c: Column) -> Column:
         return F.concat(F.lit("n"), c.cast("string"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.text import first_rule
 from quarrystone.operators import search as S
-from quarrystone.plans.registry import ORACLES, query
+from quarrystone.plans.registry import query
 from quarrystone.sources.tables import table
 
 _TERMS = "list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
@@ -19,7 +19,7 @@ _TERMS = "list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), lamb
 @query(
     "bm25_topk",
     f"""WITH t AS (SELECT doc_id, {_TERMS.format("text")} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t),
-    q AS (SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark WHERE item_id < 5),
+    q AS (SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark),
     p AS (SELECT term, doc_id, length, count(*) AS tf FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
     df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
     s AS (SELECT item_id AS query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
@@ -27,23 +27,24 @@ _TERMS = "list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), lamb
     SELECT query_id, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
 )
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    queries = table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     found = S.bm25(table(spark, d, "documents").select("doc_id", "text"), queries, 10)
     return found.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
 def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and those of ids divisible by 50 as queries."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return e, e.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    return e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
 
 
 COSINE = """SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
-    FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id < 8"""
+    FROM embeddings q JOIN embeddings e ON {} q.vec_id % 50 = 0"""
 
 
 @query(
     "vector_topk",
-    f"""SELECT query_id, vec_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({COSINE})) WHERE rank <= 10""",
+    f"""SELECT query_id, vec_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({COSINE.format("e.vec_id <> q.vec_id AND")})) WHERE rank <= 10""",
 )
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return S.cosine_top(*vectors(spark, d), 10).select("query_id", "vec_id", F.round("score", 4).alias("score"))
@@ -51,41 +52,15 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "vector_self_search",
-    """SELECT vec_id, vec_id AS nearest FROM embeddings WHERE vec_id < 8""",
+    f"""SELECT query_id AS vec_id, vec_id AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({COSINE.format("")})) WHERE rank = 1""",
 )
 def vector_self_search(spark: SparkSession, d: str) -> DataFrame:
-    """A stored vector finds itself first."""
+    """A stored vector finds itself, or an equal one of smaller id, first."""
     e, q = vectors(spark, d)
     shifted = q.select((F.col("query_id") + 1_000_000_000).alias("query_id"), "q")
     return S.cosine_top(e, shifted, 1).select((F.col("query_id") - 1_000_000_000).alias("vec_id"), F.col("vec_id").alias("nearest"))
 
 
-@query("bm25_topk_all", ORACLES["bm25_topk"].replace(" WHERE item_id < 5", ""))
-def bm25_topk_all(spark: SparkSession, d: str) -> DataFrame:
-    """All benchmark items as queries."""
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = S.bm25(table(spark, d, "documents").select("doc_id", "text"), queries, 10)
-    return found.select("query_id", "doc_id", F.round("score", 4).alias("score"))
-
-
-def every_50th(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """All vectors, and those of ids divisible by 50 as queries."""
-    e = vectors(spark, d)[0]
-    return e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-
-
-@query("vector_topk_all", ORACLES["vector_topk"].replace("q.vec_id < 8", "q.vec_id % 50 = 0"))
-def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
-    return S.cosine_top(*every_50th(spark, d), 10).select("query_id", "vec_id", F.round("score", 4).alias("score"))
-
-
-@query("vector_self_search_all", ORACLES["vector_self_search"].replace("vec_id < 8", "vec_id % 50 = 0"))
-def vector_self_search_all(spark: SparkSession, d: str) -> DataFrame:
-    e, q = every_50th(spark, d)
-    shifted = q.select((F.col("query_id") + 1_000_000_000).alias("query_id"), "q")
-    return S.cosine_top(e, shifted, 1).select((F.col("query_id") - 1_000_000_000).alias("vec_id"), F.col("vec_id").alias("nearest"))
-
-
 def lists(spark: SparkSession, d: str) -> DataFrame:
     """Two ranked lists of orders for each customer: by price and by date."""
     o = table(spark, d, "orders")
