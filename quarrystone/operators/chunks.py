@@ -144,6 +144,204 @@ def sibling_runs(blocks: DataFrame, key: str = "page_id", least: int = 3, gap: i
     return rows.groupBy(key, "run").agg(F.min("position").alias("first"), F.max("position").alias("last"), F.count("*").alias("size")).where(F.col("size") >= least)
 
 
+#: Forms of numbered lines that belong together, ends of a clause that is body text, and beginnings of a long one.
+BRACKETED, DECIMAL = r"(?d)^（(\d+)）(?U:\s*)(.*)$", r"(?d)^(\d+)[.．](?U:\s*)(.*)$"
+CLAUSE_ENDS, CLAUSE_BEGINS = r"[。！？；]$", r"^(?:甲方|乙方|本产品|本理财产品|投资者|客户|为|如|若|当|因)"
+CLAUSE_LENGTH, SPREAD = 24, 36
+
+
+def numbered_runs(blocks: DataFrame, form: str, gap: int, key: str = "page_id", parent: Column | None = None) -> DataFrame:
+    """blocks with _number, _body and _run of the lines of that form; null for others.
+
+    A run goes on with the next number, on the same or the next page, under the same parent, after at most `gap` paragraphs
+    or list items. blocks: key, position, kind, level, text, path, page_start, page_end.
+    """
+    text = strip(F.col("text"))
+    number = F.when(text.rlike(form), F.regexp_extract(text, form, 1).try_cast("int"))
+    here = Window.partitionBy(key).orderBy("position")
+    rows = blocks.withColumn("_number", number).withColumn("_body", F.when(number.isNotNull(), strip(F.regexp_extract(text, form, 2))))
+    wall = F.col("_number").isNull() & ~F.col("kind").isin("paragraph", "list")
+    rows = rows.withColumn("_at", F.row_number().over(here)).withColumn("_walls", F.count_if(wall).over(here)).withColumn("_parent", F.col("path") if parent is None else parent)
+    own = Window.partitionBy(key, F.isnotnull("_number")).orderBy("position")
+    before = {c: F.lag(c).over(own) for c in ("_number", "_at", "_walls", "_parent", "page_end")}
+    on = (F.col("_number") == before["_number"] + 1) & (F.col("_at") - before["_at"] <= gap + 1) & (F.col("_walls") == before["_walls"])
+    on = on & (F.col("page_start") - before["page_end"] <= 1) & F.col("_parent").eqNullSafe(before["_parent"])
+    run = F.sum((~F.coalesce(on, F.lit(False))).cast("int")).over(own)
+    return rows.withColumn("_run", F.when(F.col("_number").isNotNull(), run)).drop("_at", "_walls", "_parent")
+
+
+def _steadied(rows: DataFrame, key: str, odd: Column, steady: Column, kind: Column, which: Column) -> DataFrame:
+    """Headings `odd` of runs that are `steady` and for which `which` holds become body text of that kind; adds steadied."""
+    rows = rows.withColumn("_yes", F.coalesce(F.col("_run").isNotNull() & steady & odd & which, F.lit(False))).withColumn("_kind", kind)
+    rows = rows.withColumn("kind", F.when(F.col("_yes"), F.col("_kind")).otherwise(F.col("kind")))
+    return rows.withColumn("level", F.when(~F.col("_yes"), F.col("level"))).withColumn("steadied", F.col("_yes")).drop("_number", "_body", "_run", "_yes", "_kind")
+
+
+def steady_siblings(blocks: DataFrame, key: str = "page_id") -> DataFrame:
+    """Bracketed numbers of at least three in a row: single headings without a level among them become what their siblings are.
+
+    Left alone where headings are the majority, or bodies differ much in length and none is a sentence.
+    """
+    last = F.try_element_at(F.col("path"), F.lit(-1))
+    parent = F.when((F.col("kind") == "heading") & (F.size("path") > 0) & last.eqNullSafe(F.col("text")), F.slice("path", 1, F.size("path") - 1)).otherwise(F.col("path"))
+    rows = numbered_runs(blocks, BRACKETED, 2, key, parent)
+    w = Window.partitionBy(key, "_run")
+    odd, plain = (F.col("kind") == "heading") & F.col("level").isNull(), F.col("kind").isin("paragraph", "list")
+    told = F.count_if(plain & strip(F.col("text")).rlike(r"[。！？]$")).over(w) > 0
+    spread = F.max(F.length("_body")).over(w) - F.min(F.length("_body")).over(w)
+    steady = (F.count("*").over(w) >= 3) & (F.count_if(plain).over(w) >= F.count_if(odd).over(w)) & ((spread <= SPREAD) | told)
+    kind = F.when(F.count_if(F.col("kind") == "list").over(w) > 0, "list").otherwise("paragraph")
+    return _steadied(rows, key, odd, steady, kind, F.lit(True))
+
+
+def steady_clauses(blocks: DataFrame, key: str = "page_id") -> DataFrame:
+    """Decimal clauses of at least three in a row, of which at least half (and two) are body sentences: such sentences that the
+    parser made headings of level 3 become what most of the others are."""
+    nested = F.coalesce(strip(F.try_element_at(F.col("path"), F.lit(-1))).rlike(DECIMAL), F.lit(False))
+    rows = numbered_runs(blocks, DECIMAL, 1, key, F.when((F.size("path") > 0) & nested, F.slice("path", 1, F.size("path") - 1)).otherwise(F.col("path")))
+    w = Window.partitionBy(key, "_run")
+    odd, plain = (F.col("kind") == "heading") & (F.col("level") == 3), F.col("kind").isin("paragraph", "list")
+    sentence = F.col("_body").rlike(CLAUSE_ENDS) | ((F.length("_body") >= CLAUSE_LENGTH) & F.col("_body").rlike(CLAUSE_BEGINS))
+    size, plains = F.count("*").over(w), F.count_if(plain).over(w)
+    steady = (size >= 3) & (plains >= 2) & (F.count_if(sentence).over(w) >= F.greatest(F.lit(2), F.floor((size + 1) / 2)))
+    kind = F.when(F.count_if(F.col("kind") == "paragraph").over(w) * 2 >= plains, "paragraph").otherwise("list")
+    return _steadied(rows, key, odd, steady, kind, sentence)
+
+
+def squeezed(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)\s+", "")
+
+
+def table_units(rows: Column, pairs: Column) -> Column:
+    """What a table says, as lines: its key：value pairs at the row that holds both, then cells that no pair covers; rows of
+    digits alone are left out. Without pairs each row is a line. rows: array of arrays; pairs: array of (key, value)."""
+    cells = F.transform(F.coalesce(rows, F.array().cast("array<array<string>>")), lambda r: F.transform(r, lambda x: strip(F.coalesce(x, F.lit("")))))
+    known = F.transform(cells, lambda r: F.transform(r, squeezed))
+    trimmed = F.transform(pairs, lambda p: F.struct(strip(F.coalesce(p.key, F.lit(""))).alias("key"), strip(F.coalesce(p.value, F.lit(""))).alias("value")))
+    fine = F.filter(trimmed, lambda p: (p.key != "") | (p.value != ""))
+
+    def place(p: Column) -> Column:
+        key, value = squeezed(p.key), squeezed(p.value)
+        return F.array_position(F.transform(known, lambda r: ((key == "") | F.array_contains(r, key)) & ((value == "") | F.array_contains(r, value))), F.lit(True))
+
+    placed = F.transform(fine, lambda p: F.struct(F.concat(p.key, F.lit("："), p.value).alias("line"), place(p).alias("row")))
+    covered = F.transform(placed, lambda p: squeezed(p.line))
+
+    def lines(at: Column) -> Column:
+        return F.transform(F.filter(placed, lambda p: p.row == at), lambda p: p.line)
+
+    def alone(row: Column) -> Column:
+        full = F.filter(row, lambda x: x != "")
+        rest = F.filter(full, lambda x: ~F.exists(covered, lambda c: c.contains(squeezed(x))))
+        return F.when(F.exists(full, lambda x: ~x.rlike(r"(?U)^\d+$")), rest).otherwise(F.array().cast("array<string>"))
+
+    with_pairs = F.concat(F.flatten(F.transform(cells, lambda r, i: F.concat(lines(i + 1), alone(r)))), lines(F.lit(0)))
+    whole = F.transform(F.filter(cells, lambda r: F.exists(r, lambda x: x != "")), lambda r: F.array_join(r, " | "))
+    return F.when(F.size(fine) > 0, with_pairs).otherwise(whole)
+
+
+def table_chunks(tables: DataFrame, id_column: str, target: int = TARGET, most: int = MOST) -> DataFrame:
+    """id, position, content, tokens, split of tables (id, rows, pairs, text): units packed in order, one to a line.
+
+    A chunk ends when the next unit would make it longer than `most`, or when it has `target` tokens already. A unit that is
+    itself too long is split, and its chunks say so. A table without units is its text.
+    """
+    kind = tables.schema[id_column].dataType.simpleString()
+    units = table_units(F.col("rows"), F.col("pairs"))
+    plain = F.when(strip(F.col("text")) != "", F.array(strip(F.col("text")))).otherwise(F.array().cast("array<string>"))
+    rows = tables.select(id_column, F.when(F.size(units) > 0, units).otherwise(plain).alias("units"))
+
+    def packed(lines: Sequence[str]) -> Iterator[tuple[str, bool]]:
+        now: list[str] = []
+        size = 0
+        for line in lines:
+            if now and (size + 1 + len(line) > most or size >= target or len(line) > most):
+                yield "\n".join(now), False
+                now, size = [], 0
+            if len(line) > most:
+                yield from ((x, True) for x in pieces(line, len, target, most))
+            else:
+                size += len(line) + bool(now)
+                now.append(line)
+        if now:
+            yield "\n".join(now), False
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(i, n, c, len(c), s) for i, u in zip(b[id_column], b["units"], strict=True) if u is not None for n, (c, s) in enumerate(packed(list(u)), 1)]
+            yield pd.DataFrame(out, columns=[id_column, "position", "content", "tokens", "split"])
+
+    return rows.mapInPandas(run, f"`{id_column}` {kind}, position int, content string, tokens int, split boolean")
+
+
+#: The least text of a page that needs no OCR, contents that a product document should have, and its codes.
+PAGE_TEXT = 20
+IMPORTANT = ("产品概述", "投资运作", "相关费用", "风险揭示", "风险评级", "销售对象")
+CODE_NAMES = {"product_code": "产品代码", "sales_code": "销售代码"}
+
+
+def page_fallback(pages: DataFrame, blocks: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Blocks (key, kind, text, page_start, page_end) with a paragraph for each page (key, page, text) that has text but no block
+    with any; and issues (key, page, reason, severity): pages with next to no text, and pages that had to be filled in."""
+    pages = pages.withColumn("_enough", F.length(strip(F.coalesce("text", F.lit("")))) >= PAGE_TEXT)
+    held = blocks.where(strip(F.col("text")) != "").select(key, F.explode(F.sequence("page_start", "page_end")).alias("page")).distinct()
+    filled = pages.where("_enough").join(held, [key, "page"], "left_anti")
+    extra = filled.select(key, F.lit("paragraph").alias("kind"), "text", F.col("page").alias("page_start"), F.col("page").alias("page_end"))
+    poor = pages.where("not _enough").select(key, "page", F.lit("OCR_REQUIRED").alias("reason"), F.lit("WARNING").alias("severity"))
+    issues = poor.unionByName(filled.select(key, "page", F.lit("FALLBACK_PARSER_USED").alias("reason"), F.lit("INFO").alias("severity")))
+    return blocks.select(key, "kind", "text", "page_start", "page_end").unionByName(extra), issues
+
+
+def document_issues(documents: DataFrame, blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, reason, detail, severity of documents (key, product_code, sales_code, page_count) and their blocks (key, text):
+    no id or code, no pages, no blocks, important contents that no block names, and codes in the text that differ from the name's."""
+    codes = {f: F.regexp_extract_all("text", F.lit(rf"(?U){n}\s*[：:]?\s*([A-Za-z0-9]{{6,16}})"), F.lit(1)) for f, n in CODE_NAMES.items()}
+    seen = [F.coalesce(F.max(F.col("text").contains(w)), F.lit(False)).alias(f"_w{i}") for i, w in enumerate(IMPORTANT)]
+    by = blocks.groupBy(key).agg(F.count("*").alias("_n"), *seen, *[F.array_distinct(F.flatten(F.collect_list(c))).alias(f"_{f}") for f, c in codes.items()])
+    d = documents.join(by, key, "left")
+
+    def problem(when: Column, reason: str, detail: str, severity: str) -> Column:
+        return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(reason).alias("reason"), F.lit(detail).alias("detail"), F.lit(severity).alias("severity")))
+
+    blank = {c: F.coalesce(strip(F.col(c).cast("string")), F.lit("")) == "" for c in (key, "product_code")}
+    rows = [problem(blank[key], "MISSING_DOCUMENT_ID", "", "ERROR"), problem(blank["product_code"], "MISSING_PRODUCT_CODE", "", "ERROR")]
+    rows += [problem(F.coalesce("page_count", F.lit(0)) <= 0, "INVALID_PAGE_COUNT", "", "ERROR"), problem(F.col("_n").isNull(), "EMPTY_BLOCKS", "", "ERROR")]
+    rows += [problem(~F.coalesce(F.col(f"_w{i}"), F.lit(False)), "IMPORTANT_CONTENT_NOT_FOUND", w, "WARNING") for i, w in enumerate(IMPORTANT)]
+    rows += [problem((F.size(f"_{f}") > 0) & ~F.array_contains(f"_{f}", F.coalesce(F.col(f), F.lit(""))), "FILENAME_METADATA_MISMATCH", f, "WARNING") for f in CODE_NAMES]
+    return d.select(key, F.explode(F.array_compact(F.array(*rows))).alias("x")).select(key, "x.*")
+
+
+def document_status(documents: DataFrame, issues: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, status: FAILED with an error, SUCCESS_WITH_WARNINGS with a warning, else SUCCESS."""
+    worst = issues.groupBy(key).agg(F.max(F.col("severity") == "ERROR").alias("_e"), F.max(F.col("severity") == "WARNING").alias("_w"))
+    status = F.when(F.col("_e"), "FAILED").when(F.col("_w"), "SUCCESS_WITH_WARNINGS").otherwise("SUCCESS")
+    return documents.select(key).join(worst, key, "left").select(key, status.alias("status"))
+
+
+def embedding_batches(chunks: DataFrame, key: str, size: int = 10) -> DataFrame:
+    """Chunks (key, position, chunk_id, embedding_text) with batch and index: so many to a request, in order, within a document."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy("position", "chunk_id")) - 1
+    return chunks.withColumn("batch", F.floor(n / size).cast("int")).withColumn("index", (n % size).cast("int"))
+
+
+def embedded(batches: DataFrame, answers: DataFrame, key: str, dimensions: int) -> tuple[DataFrame, DataFrame]:
+    """chunk_id and vector of the batches that were answered whole, and (key, batch, problem) of the others.
+
+    answers: key, batch, index, vector. A batch stands or falls whole: repeated chunks, empty texts, another number of answers,
+    indexes that are repeated or not asked for, vectors of another length or with values that aren't finite.
+    """
+    asked = batches.groupBy(key, "batch").agg(F.count("*").alias("_n"), F.count_distinct("chunk_id").alias("_ids"), F.count_if(F.coalesce(strip(F.col("embedding_text")), F.lit("")) == "").alias("_blank"))
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fits = F.coalesce((F.size("vector") == dimensions) & finite, F.lit(False))
+    got = answers.groupBy(key, "batch").agg(F.count("*").alias("_got"), F.count_distinct("index").alias("_indexes"), F.min("index").alias("_least"), F.max("index").alias("_most"), F.count_if(~fits).alias("_bad"))
+    n = F.col("_n")
+    problem = F.when(F.col("_ids") < n, "DUPLICATE_CHUNK").when(F.col("_blank") > 0, "EMPTY_TEXT").when(F.coalesce("_got", F.lit(0)) != n, "ANSWER_COUNT")
+    problem = problem.when((F.col("_indexes") != n) | (F.col("_least") != 0) | (F.col("_most") != n - 1), "ANSWER_INDEX").when(F.col("_bad") > 0, "INVALID_VECTOR")
+    verdict = asked.join(got, [key, "batch"], "left").select(key, "batch", problem.alias("problem"))
+    whole = batches.join(verdict.where("problem is null").select(key, "batch"), [key, "batch"], "left_semi")
+    return whole.join(answers, [key, "batch", "index"]).select("chunk_id", "vector"), verdict.where("problem is not null")
+
+
 def markdown(blocks: DataFrame, key: str = "page_id") -> DataFrame:
     """key and the document as Markdown: headings by level, list items, paragraphs, in order of position."""
     line = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.coalesce("level", F.lit(6))), F.lit(" "), F.col("text"))).when(F.col("kind") == "list", F.concat(F.lit("- "), F.col("text"))).otherwise(F.col("text"))

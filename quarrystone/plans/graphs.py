@@ -34,9 +34,13 @@ def fingerprint_ids(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("uuid5_ids")
+@query(
+    "uuid5_ids",
+    f"""WITH c AS (SELECT doc_id, printf('D%06d_C0001', doc_id) AS chunk_id FROM documents), h AS (SELECT *, sha1(unhex('{ids.POINTS.hex}') || encode(chunk_id)) AS h FROM c)
+    SELECT doc_id, chunk_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substr('89ab', CAST(('0x' || h[17]) AS INTEGER) % 4 + 1, 1) || h[18:20], h[21:32]) AS point_id FROM h""",
+)
 def uuid5_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Point ids of chunks; SQL has no UUID of version 5 here, a test compares with the interpreter's."""
+    """Point ids of chunks: UUIDs of version 5."""
     chunk = F.format_string("D%06d_C0001", F.col("doc_id"))
     return table(spark, d, "documents").select("doc_id", chunk.alias("chunk_id"), ids.point_id(chunk).alias("point_id"))
 

@@ -147,9 +147,20 @@ def organization_roles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", name.alias("organization"), role.alias("role"), text.first_rule(name, rules.ORGANIZATIONS, "OTHER").alias("kind"))
 
 
-@query("redact_display")
+def masked_run(sql: str, left: str, hidden: int, right: str) -> str:
+    """SQL that hides digits between two parts. The oracle's engine can't look around, so the pattern takes its neighbours with it and is applied twice."""
+    for _ in range(2):
+        sql = f"regexp_replace({sql}, '(^|[^0-9])({left})[0-9]{{{hidden}}}({right})($|[^0-9])', '\\1\\2{'*' * hidden}\\3\\4', 'g')"
+    return sql
+
+
+MAIL = r"regexp_replace(%s, '([A-Za-z0-9._%%+-]{2})[A-Za-z0-9._%%+-]*(@[A-Za-z0-9.-]+\.[A-Za-z]{2,})', '\1***\2', 'g')"
+DISPLAYED = masked_run(MAIL % masked_run("text", "1[0-9]{2}", 4, "[0-9]{4}"), "[0-9]{6}", 8, "[0-9Xx]{4}")
+
+
+@query("redact_display", f"SELECT doc_id, {DISPLAYED} AS text FROM documents")
 def redact_display(spark: SparkSession, d: str) -> DataFrame:
-    """Phones, addresses and identity numbers half shown. The patterns look around, which the oracle's engine can't."""
+    """Phones, addresses and identity numbers half shown."""
     return table(spark, d, "documents").select("doc_id", security.redact_display(F.col("text")).alias("text"))
 
 
