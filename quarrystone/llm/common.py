@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -99,9 +100,23 @@ def fold(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def trim() -> None:
+    """Give a worker's freed memory back to the system: workers live on between stages, and what they keep stands beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
+def trimmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at their end the worker gives back what it has freed."""
+    yield from batches
+    trim()
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that a worker holds few texts at a time."""
-    for batch in batches:
+    for batch in trimmed(batches):
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import SPACES, documents, forget, hashed, is_small, mixed, sliced, stored
+from quarrystone.llm.common import SPACES, documents, forget, hashed, is_small, mixed, sliced, stored, trimmed
 
 HASHES, TREES, LEVELS, SHALLOW, NEAR, FAR = 64, 16, 8, 3, 7, 3
 #: Places of a signature in which candidates must agree: links at 0.8 do, all but about four in a million, which the exact pass finds.
@@ -181,7 +181,7 @@ def labels(classes: DataFrame) -> DataFrame:
     picks = [levels_of(t) for t in range(TREES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             n = batch.num_rows
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(n, HASHES)
             label = np.ascontiguousarray(np.stack([sig[:, p] for p in picks], 1).astype(">u2")).reshape(n * TREES, LEVELS)
@@ -233,7 +233,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
         part = TaskContext.get().partitionId()
         kept: tuple | None = None
         edge = []
-        for batch in batches:
+        for batch in trimmed(batches):
             for at in range(0, batch.num_rows, window):
                 now = arrays(batch.slice(at, window))
                 if kept is None:
@@ -266,7 +266,7 @@ def agreeing(pairs: DataFrame, classes: DataFrame, least: float = AGREE) -> Data
     """a, b, agree: the part of their signatures in which pairs agree, if it is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, HASHES) for i in (2, 3))
             agree = (x == y).mean(1)
             keep = pa.array(agree >= least)
@@ -297,7 +297,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """a, b of the pairs with 100 * intersection >= similar * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 n, m = len(x) // 8, len(y) // 8
@@ -340,7 +340,7 @@ def commons(docs: DataFrame, size: int) -> Order:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             held = [shingles(block, size)[0] for block in chunks([*{(t or "").encode() for t in batch.column(0).to_pylist()}])]
             found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
             several = counts > 1
@@ -402,7 +402,7 @@ def meeting(rows: DataFrame, similar: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        for batch in batches:
+        for batch in trimmed(batches):
             now = [batch.column(i).to_numpy().astype(np.int64) for i in range(5)]
             held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
             done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
@@ -484,7 +484,7 @@ def hopeful(pairs: DataFrame, sig: DataFrame, order: Order, similar: int) -> Dat
     """The pairs (a, b) whose first shingles don't rule a link out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             columns = [batch.column(i).to_pylist() for i in range(2, 6)]
             keep = [(100 + similar) * order.most_shared(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), n, m) >= similar * (n + m) for x, y, n, m in zip(*columns, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
