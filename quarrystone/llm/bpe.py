@@ -291,7 +291,7 @@ def checked(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:
         for batch in sliced(batches):
             texts = [t or "" for t in batch.column(text_column).to_pylist()]
             low = 0
-            for block in blocks(texts, 1_000_000):
+            for block in blocks(texts, 250_000):
                 ids = own.encode(block)
                 same = [own.decode(x) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, block, strict=True)]
                 part = batch.slice(low, len(block))
