@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm.common import documents, forget, is_small, small_join, stored, trimmed
+from quarrystone.llm.vectors import whole
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Entries of a group that shares a bound, about.
@@ -44,18 +45,6 @@ SLACK = 1e-9
 DIGIT = 31
 
 
-def whole(v: np.ndarray, scale: int, wide: bool) -> np.ndarray:
-    """floor(scale * x): float64, or Python's numbers if wide."""
-    if not wide:
-        return np.floor(scale * v)
-    out = np.empty(v.shape, object)
-    flat = out.reshape(-1)
-    for i, x in enumerate(v.reshape(-1).tolist()):
-        top, below = x.as_integer_ratio()
-        flat[i] = scale * top // below
-    return out
-
-
 def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact squared distances of all rows of x to all of c."""
     if x.dtype == object:

@@ -6,7 +6,7 @@ at the query's k-th best over a bounded sample of all rows, which no shard's ans
 from the start. Bounds equal to it are still searched, so ties go to the smaller id everywhere.
 
 Components become floor(scale * x), whole numbers; products are exact, in float64 as long as they fit and in whole numbers
-of any size beyond (scores are cut to 64 bits).
+of any size beyond, in the same tree (scores are cut to 64 bits, and ranked as cut).
 
 Edge cases. Vectors null or with null or non-finite components take no part. Vectors of unequal length are multiplied over
 the components that both have; an empty vector scores 0. Of rows that share an id one takes part (least bytes), and it is no
@@ -24,12 +24,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm.common import documents, stored
-from quarrystone.llm.vectors import matrix, prepared, sampled, searched
+from quarrystone.llm.vectors import matrix, prepared, sampled, searched, whole
 
 LEAF, SAMPLE = 64, 1_024
 EXACT = 2.0**53
 
 
+def cut(scores: np.ndarray) -> np.ndarray:
+    """Whole numbers of any size, cut to 64 bits; float64 ones are below 2^53."""
+    return np.clip(scores, -(2**63), 2**63 - 1) if scores.dtype == object else scores
+
+
 class Tree:
     """Median splits along the widest side of each box, down to leaves."""
 
@@ -58,7 +63,7 @@ class Tree:
         """(score, id), at most k, none below floor."""
         if not len(self.x):
             return []
-        bound = np.maximum(q * self.low, q * self.high).sum(1).tolist()
+        bound = cut(np.maximum(q * self.low, q * self.high).sum(1)).tolist()
         heap, best = [(-bound[0], 0)], []  # best: a heap of (score, -id)
         while heap:
             b, node = heapq.heappop(heap)
@@ -70,10 +75,10 @@ class Tree:
                         heapq.heappush(heap, (-bound[child], child))
                 continue
             a, z = self.spans[node]
-            scores = self.x[a:z] @ q
+            scores = cut(self.x[a:z] @ q)
             for i in np.flatnonzero(scores >= floor).tolist():
                 if (vec := int(self.ids[a + i])) != own:
-                    item = (float(scores[i]), -vec)
+                    item = (scores[i], -vec)
                     if len(best) < k:
                         heapq.heappush(best, item)
                     else:
@@ -83,16 +88,15 @@ class Tree:
         return [(s, -v) for s, v in best]
 
 
-def plain(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-    """The same in whole numbers of any size, for vectors whose products float64 can't hold."""
-    wide = [int(a) for a in q.tolist()]
-    scores = [(sum(int(a) * b for a, b in zip(row.tolist(), wide, strict=True)), -int(i)) for row, i in zip(x, ids, strict=True) if i != own]
-    return [(max(-(2**63), min(2**63 - 1, s)), -i) for s, i in heapq.nlargest(k, scores)]
+def fits(x: np.ndarray, q: np.ndarray, scale: float) -> bool:
+    """Whether float64 holds all products of scaled rows of x and q."""
+    x_most, q_most = (scale * min(float(np.abs(v).max(initial=0)), EXACT) + 1 for v in (x, q))
+    return x_most * q_most * max(1, x.shape[1]) < EXACT
 
 
 def top_k(df: DataFrame, every: int, k: int, scale: float = 256.0) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of df (vec_id, embedding) whose id is divisible by `every`."""
-    rows = prepared(df, lambda v: np.floor(scale * v), False)
+    rows = prepared(df, lambda v: v, False)
     sample = sampled(rows, SAMPLE)
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +104,8 @@ def top_k(df: DataFrame, every: int, k: int, scale: float = 256.0) -> DataFrame:
             q = matrix(batch.column(1), sample.shape[1])
             x = np.pad(sample, ((0, 0), (0, q.shape[1] - sample.shape[1])))
             out = np.full(len(q), -np.inf)
-            if len(x) > k and len(q) and np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, x.shape[1]) < EXACT:
+            if len(x) > k and len(q) and fits(x, q, scale):
+                x, q = whole(x, scale, False), whole(q, scale, False)
                 out = np.partition(q @ x.T, -(k + 1), axis=1)[:, -(k + 1)]  # one more, as the query itself may be in the sample
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["query_id", "v", "floor"])
 
@@ -113,10 +118,11 @@ def top_k(df: DataFrame, every: int, k: int, scale: float = 256.0) -> DataFrame:
             q = matrix(asked["v"], x.shape[1])
             x = np.pad(x, ((0, 0), (0, q.shape[1] - x.shape[1])))
             ids = own["vec_id"].to_numpy()
-            exact = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, x.shape[1]) < EXACT
-            tree = Tree(x, ids) if exact else None
+            wide = not fits(x, q, scale)
+            x, q = whole(x, scale, wide), whole(q, scale, wide)
+            tree = Tree(x, ids)
             for i, v, floor in zip(asked["query_id"].to_pylist(), q, asked["floor"].to_pylist(), strict=True):
-                found = tree.search(v, i, k, floor) if tree else plain(x, ids, v, i, k)
+                found = tree.search(v, i, k, floor)
                 out += [(i, vec, int(s)) for s, vec in found]
         return pa.table([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 

@@ -27,8 +27,8 @@ from quarrystone.llm.common import WORD, documents, is_small, small_join, stored
 
 #: Documents of a stratum, about.
 STRATUM = 4_000
-#: Newton steps at most, and the relative error at which they end.
-LOOKS, CLOSE = 40, 1e-6
+#: The relative error at which Newton steps end, and steps after which something is wrong: an interval is halved 1,100 times at most.
+CLOSE, LOOKS = 1e-6, 1_200
 
 
 def words(text: str | Column) -> Column:
@@ -71,15 +71,19 @@ def tilts(histogram: DataFrame, wanted: DataFrame, most: float, fits: bool) -> D
         middle = F.when(F.col("low") <= -1e4, 2 * F.col("tilt") - 1).when(F.col("high") >= 1e4, 2 * F.col("tilt") + 1).otherwise((F.col("low") + F.col("high")) / 2)
         tilt = F.when(F.col("off") == 0, F.col("tilt")).when(inside, step).otherwise(middle)
         now = stored(sums.select("source", "mean", "target", "low", "high", tilt.alias("tilt"), (F.abs("off") / F.greatest("target", F.lit(1.0))).alias("error")), "tilts")
-        if (now.agg(F.max("error")).first()[0] or 0.0) < CLOSE:
+        # an interval that has closed holds no nearer tilt in float64
+        closed = F.col("high") - F.col("low") <= 1e-15 * F.greatest(F.abs("low"), F.abs("high"))
+        if (now.where(~closed).agg(F.max("error")).first()[0] or 0.0) < CLOSE:
             break
+    else:
+        raise ArithmeticError("the tilts don't settle")
     return now.select("source", "mean", F.lit(False).alias("full"), "tilt").unionByName(facts.where("full").select("source", "mean", "full", F.lit(0.0).alias("tilt")))
 
 
-def strata(rated: DataFrame, most: float) -> DataFrame:
+def strata(rated: DataFrame, most: float, extra: tuple[str, ...] = ()) -> DataFrame:
     """Copies from rates: see the module. rated: id, source, size, rate, part; returns it with copies."""
     own = Window.partitionBy("source", "part")
-    order = ("size", "tie", "doc_id")
+    order = ("size", "tie", "doc_id", *extra)
     running = own.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     low = F.floor("rate")
     df = rated.withColumn("fraction", F.col("rate") - low).withColumn("sum", F.round(F.sum("fraction").over(running), 9))
@@ -95,9 +99,9 @@ def strata(rated: DataFrame, most: float) -> DataFrame:
     return df
 
 
-def mix(docs: DataFrame, pattern: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of docs (columns doc_id, text, source)."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words("text").alias("size"))
+def mix(docs: DataFrame, pattern: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for every row of docs (columns doc_id, text, source), with its columns `extra`."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words("text").alias("size"), *extra)
     slim = stored(slim.withColumn("tie", F.xxhash64("doc_id", "size")), "sizes")
     histogram = stored(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     sizes = histogram.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("source_size"))
@@ -110,7 +114,7 @@ def mix(docs: DataFrame, pattern: tuple[int, ...] = (3, 1, 2), share: float = 1.
     rate = most / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("tilt") * F.col("size") / F.col("mean")))))
     rated = rated.withColumn("rate", F.when(F.col("size") == 0, 0.0).when(F.col("full"), F.lit(float(most))).otherwise(rate))
     rated = rated.withColumn("part", F.pmod("tie", F.greatest(F.lit(1), F.ceil(F.col("n") / STRATUM))))
-    return strata(rated, most).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return strata(rated, most, extra).select("doc_id", "source", "size", *extra, "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

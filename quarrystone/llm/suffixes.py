@@ -418,21 +418,31 @@ def kept(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
     return docs.groupBy("team").cogroup(marks.select("team", "ids", "cids", "masks").groupBy("team")).applyInArrow(lambda a, b: solve(a, b), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def gap(docs: DataFrame, low: int) -> int:
+    """A number below the greatest id that no row has: just below the least one, or the first one free above it."""
+    if low > -LAST - 1:
+        return low - 1
+    ids = docs.where(F.col("doc_id") < LAST).select("doc_id").distinct()
+    return ids.select((F.col("doc_id") + 1).alias("doc_id")).join(ids, "doc_id", "left_anti").agg(F.min("doc_id")).first()[0]
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept, the bytes that stay, for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, named, low, high = docs.agg(F.count("*"), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
     some = named < rows
-    down = int(some and high == LAST)  # the last number stands for null, so ids make room for it
-    if down and low == -LAST - 1:
-        raise ValueError("null ids can't stand beside both the least and the greatest id")
-    docs = docs.withColumn("doc_id", F.coalesce(F.col("doc_id") - F.lit(down), F.lit(LAST)))
+    # the last number stands for null; ids above a number that isn't used make room for it
+    free = gap(docs, low) if some and high == LAST else LAST
+    docs = docs.withColumn("doc_id", F.coalesce(F.col("doc_id") - (F.col("doc_id") > free).cast("long"), F.lit(LAST)))
     buckets, teams = parts(docs.sparkSession), max(1, -(-rows // TEAM))
     first = stored(decided(exchange(docs, buckets, teams), buckets, teams), "fragments")
     own = teamed(docs, teams)
     unlike = stored(compared(sent(own, first.where("send"), buckets), buckets, teams), "windows")
     out = kept(own, first.where("not send").unionByName(unlike), buckets)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)) + F.lit(down)) if some else out
+    if not some:
+        return out
+    own = F.nullif("doc_id", F.lit(LAST))
+    return out.withColumn("doc_id", own + (own >= free).cast("long"))
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,18 @@ def packed(df: DataFrame, change: Callable[[np.ndarray], np.ndarray], nonzero: b
     return packs
 
 
+def whole(v: np.ndarray, scale: float, wide: bool) -> np.ndarray:
+    """floor(scale * x) of finite x: float64, or Python's numbers if wide."""
+    if not wide:
+        return np.floor(scale * v)
+    out, (up, down) = np.empty(v.shape, object), float(scale).as_integer_ratio()
+    flat = out.reshape(-1)
+    for i, x in enumerate(v.reshape(-1).tolist()):
+        top, below = x.as_integer_ratio()
+        flat[i] = up * top // (down * below)
+    return out
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, width: int = 0) -> np.ndarray:
     """Rows of float64; shorter ones are filled with zeros, so that a product covers the components that both have."""
     raw = column.to_pylist()

@@ -1,5 +1,8 @@
 """The pipeline's stages on a small corpus, and that every query runs."""
 
+import random
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +50,25 @@ def test_near_copies_of_rows_that_share_an_id(spark):
         rows = rows[::-1]
 
 
+def test_mix_takes_no_more_than_its_copies(spark):
+    """Rows that share id, source and size get together what the mix takes, unlike texts or not."""
+    rng = random.Random(1)
+    for rows in (
+        [(None, " ".join(rng.choice("abcdef") for _ in range(9)), None, "s", 9) for _ in range(301)],
+        [(i // 2, " ".join(rng.choice("abcdef") for _ in range(12)), "en", "sr"[i % 7 < 2], 12) for i in range(400)],
+        [(7, "one two three", lang, "s", n) for lang in ("de", "en") for n in (1, None) for _ in range(37)] + [(8, "x y", None, "r", 3), (8, None, None, "r", 3)],
+    ):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        want = {(r.doc_id, r.source): r.n for r in mixing.mix(docs).groupBy("doc_id", "source").agg(F.sum("taken").alias("n")).collect() if r.n}
+        out = corpus_pipeline.mixed(spark, docs, SF).collect()
+        got: dict = {}
+        for r in out:
+            got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + len((r.text or "").split())
+        assert got == want
+        times = Counter(map(tuple, out))
+        assert all(times[r] <= 2 * n for r, n in Counter(rows).items()) and set(times) <= set(rows)
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_queries_run(spark, name):
     assert name in __spark_entry__.queries()

@@ -455,6 +455,16 @@ def test_suffixes_of_frequent_anchors_and_extreme_ids(spark):
     assert sum(r.doc_id == 2**63 - 1 for r in alone) == 2 and not any(r.doc_id is None for r in alone)
 
 
+def test_suffixes_of_null_beside_both_extreme_ids(spark):
+    line = "a line of over fifty bytes that each of these rows holds, whatever its id may be: "
+    low, high = -(2**63), 2**63 - 1
+    rows = [(low, line + "a"), (low + 1, line + "b"), (low + 3, line + "c"), (5, line), (high, line + "only here and in a row without an id, this one too is long enough"), (None, line + "d"), (None, "only here and in a row without an id, this one too is long enough")]
+    want = brute_removed([(None if d is None else [low, low + 1, low + 3, 5, high].index(d), t) for d, t in rows])
+    got = suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    names = {low: 0, low + 1: 1, low + 3: 2, 5: 3, high: 4, None: -1}
+    assert sorted((names[r.doc_id], r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
+
+
 def test_longest_previous_factors():
     rng = np.random.default_rng(6)
     for _ in range(20):

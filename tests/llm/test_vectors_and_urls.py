@@ -37,6 +37,21 @@ def test_kdtree(vectors):
     assert kdtree.top_k(df.limit(0), 50, 5).count() == 0
 
 
+def test_kdtree_any_finite_number(spark):
+    """Products beyond float64 are exact, go through the tree, and are cut to 64 bits."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v) for i, v in enumerate((rng.normal(0, 1, (300, 5)) * 10.0 ** rng.integers(-4, 9, (300, 1))).tolist())]
+    rows += [(1_000, [1e307, 0.0, 1.0, 0.0, 0.0]), (1_001, [-1e307, 0.0, 1.0, 0.0, 0.0]), (1_050, [1.7e308, 1e300, 1.0, 0.0, 0.0])]
+    whole = {i: [256 * n // d for n, d in (x.as_integer_ratio() for x in v)] for i, v in rows}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got: dict = {}
+    for r in kdtree.top_k(df, 50, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in (i for i in whole if i % 50 == 0):
+        scores = [(max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))), -i) for i, v in whole.items() if i != q]
+        assert got[q] == [(-i, s) for s, i in sorted(scores, reverse=True)[:5]]
+
+
 def test_kdtree_large_numbers(spark):
     rows = [(i, [float(2**k), 1.0, -3.0]) for i, k in enumerate((0, 30, 60, 40, 60, 59))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
