@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.llm import bpe, mixing, neardup, secrets, toxicity
@@ -46,13 +46,30 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = stored(mixing.mix(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "copies")
-    own = docs.select(*COLUMNS).withColumn("_size", mixing.words("text"))
-    names = [F.col(c).alias(f"_{c}") for c in ("doc_id", "source")]
-    right = copies.select(*names, F.col("size").alias("_n"), F.array_repeat(F.lit(0), F.ceil(F.col("copies") / F.col("rows")).cast("int")).alias("_times"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_n"))
-    return own.join(right.hint("shuffle_hash"), same).withColumn("_time", F.explode("_times")).select(*COLUMNS)
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Rows that share id, source, size and text share what the mix takes of them: each gets as many copies as the others, but
+    that some in order of their other columns get one more.
+    """
+    own = docs.select(*COLUMNS).withColumn("_size", mixing.words("text")).withColumn("_text", F.xxhash64("text"))
+    taken = mixing.mix(own, extra=("_text",)).groupBy("doc_id", "source", "size", "_text").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    taken = stored(taken, "copies")
+    right = taken.select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_n"), F.col("_text").alias("_t"), "copies", "rows")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_n")) & (F.col("_text") == F.col("_t"))
+    found = own.join(right.hint("shuffle_hash"), same)
+    times = found.where("rows = 1").withColumn("_times", F.col("copies"))
+    if taken.where("rows > 1").limit(1).count():
+        twins = found.where("rows > 1").groupBy(*COLUMNS, "_size", "_text", "copies", "rows").agg(F.count("*").alias("_alike"))
+        running = Window.partitionBy("doc_id", "source", "_size", "_text").orderBy("lang", "n_chars", "text").rowsBetween(Window.unboundedPreceding, 0)
+        upto = twins.withColumn("_upto", F.sum("_alike").over(running))
+
+        def dealt(x: Column) -> Column:
+            """Copies that the first x rows get."""
+            return x * F.floor(F.col("copies") / F.col("rows")) + F.least(x, F.col("copies") % F.col("rows"))
+
+        upto = upto.withColumn("_times", dealt(F.col("_upto")) - dealt(F.col("_upto") - F.col("_alike")))
+        times = times.select(*COLUMNS, "_times").unionByName(upto.select(*COLUMNS, "_times"))
+    return times.withColumn("_time", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
