@@ -53,10 +53,16 @@ def section_paths(blocks: DataFrame, key: str = "page_id", levels: int = 3) -> D
     return df.withColumn("path", path).drop(*[f"_{x}{n}" for n in range(1, levels + 1) for x in "rh"])
 
 
+def padded(c: Column, width: int) -> Column:
+    """Numbers as text with zeros before them, never cut."""
+    t = c.cast("string")
+    return F.when(F.length(t) < width, F.lpad(t, width, "0")).otherwise(t)
+
+
 def block_ids(blocks: DataFrame, key: str, prefix: Column) -> DataFrame:
     """Adds block_id: prefix_B0001 and so on in reading order."""
     n = F.row_number().over(Window.partitionBy(key).orderBy("position"))
-    return blocks.withColumn("block_id", F.concat(prefix, F.lit("_B"), F.lpad(n.cast("string"), 4, "0")))
+    return blocks.withColumn("block_id", F.concat(prefix, F.lit("_B"), padded(n, 4)))
 
 
 def pieces(text: str, count: Callable[[str], int], target: int = TARGET, most: int = MOST) -> list[str]:
@@ -92,7 +98,7 @@ def chunked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
             yield pd.DataFrame(rows, columns=[id_column, "position", "content", "tokens"])
 
     found = docs.select(id_column, text_column).mapInPandas(run, f"`{id_column}` {kind}, position int, content string, tokens int")
-    name = F.concat(F.lit("D"), F.lpad(F.col(id_column).cast("string"), 6, "0"), F.lit("_C"), F.lpad(F.col("position").cast("string"), 4, "0"))
+    name = F.concat(F.lit("D"), padded(F.col(id_column), 6), F.lit("_C"), padded(F.col("position"), 4))
     return found.select(id_column, name.alias("chunk_id"), "position", "content", "tokens")
 
 

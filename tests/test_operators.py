@@ -128,12 +128,12 @@ def test_C09_C10(spark):
 def test_search_queries_are_whole(spark):
     items = {r[0] for r in spark.read.parquet(str(SF / "benchmark.parquet")).select("item_id").collect()}
     vecs = {r[0] for r in spark.read.parquet(str(SF / "embeddings.parquet")).where("vec_id % 50 = 0").select("vec_id").collect()}
-    found = {name: {r[0] for r in catalogue.QUERIES[name](spark, str(SF)).select(key).collect()} for name, key in (("bm25_topk_all", "query_id"), ("vector_topk_all", "query_id"), ("vector_self_search_all", "vec_id"))}
-    assert found == {"bm25_topk_all": items, "vector_topk_all": vecs, "vector_self_search_all": vecs}
+    found = {name: {r[0] for r in catalogue.QUERIES[name](spark, str(SF)).select(key).collect()} for name, key in (("bm25_topk", "query_id"), ("vector_topk", "query_id"), ("vector_self_search", "vec_id"))}
+    assert found == {"bm25_topk": items, "vector_topk": vecs, "vector_self_search": vecs}
 
 
 def test_preflight_is_whole(spark):
     """Every id of a node that two parts share is reported."""
     sizes = spark.read.parquet(str(SF / "part.parquet")).groupBy("p_size").count().where("count > 1").collect()
-    found = catalogue.QUERIES["preflight_issues_all"](spark, str(SF)).where("code = 'DUPLICATE_NODE_ID'").collect()
+    found = catalogue.QUERIES["preflight_issues"](spark, str(SF)).where("code = 'DUPLICATE_NODE_ID'").collect()
     assert {r.id for r in found} == {f"n{r.p_size}" for r in sizes}
