@@ -68,12 +68,28 @@ def block_ids(blocks: DataFrame, key: str, prefix: Column) -> DataFrame:
 def pieces(text: str, count: Callable[[str], int], target: int = TARGET, most: int = MOST) -> list[str]:
     """Parts of a text, each of at most `most` tokens, packed greedily up to `target`; cut at the strongest separator that helps."""
 
+    def fitting(t: str) -> int:
+        """Code points of the longest beginning of a text that has no more than `most` tokens, one at least."""
+        high = most
+        while high < len(t) and count(t[:high]) <= most:
+            high *= 2
+        low, high = 1, min(high, len(t))
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if count(t[:middle]) <= most else (low, middle - 1)
+        return low
+
     def cut(t: str, level: int) -> list[str]:
         if count(t) <= most:
             return [t]
         sep = SEPARATORS[level]
         if not sep:
-            return [t[i : i + most] for i in range(0, len(t), most)]
+            out, at = [], 0
+            while at < len(t):
+                n = fitting(t[at:] if at else t)
+                out.append(t[at : at + n])
+                at += n
+            return out
         parts = t.split(sep)
         parts = [p + sep for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
         return [x for p in parts for x in cut(p, level + 1)]

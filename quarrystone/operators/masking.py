@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DataType, StringType
 
 from quarrystone.functions import security
+from quarrystone.functions.records import canonical_json
 from quarrystone.functions.text import name_key, strip
 
 #: Alias letters of entity types; the customer is always P-1.
@@ -49,30 +50,103 @@ def evidence_numbers(rows: DataFrame, person: str = "person_id", source: str = "
     return rows.where(F.col(source).isNotNull()).select(person, source).distinct().withColumn("evidence", F.concat(F.lit("SRC-"), F.row_number().over(w).cast("string")))
 
 
-@lru_cache(maxsize=100_000)
-def _pattern(name: str) -> re.Pattern:
-    pattern = GAP.join(map(re.escape, name))
-    if name.isascii() and name[:1].isalnum():
-        pattern = rf"(?<![A-Za-z0-9]){pattern}(?![A-Za-z0-9])"
-    return re.compile(pattern, re.IGNORECASE)
+_GAPS = re.compile(GAP[:-1] + "+")
+#: Parts that a person's rows are dealt to, so that no person's texts are one task; names go to each.
+SALTS = 8
 
 
-@F.pandas_udf(StringType())
-def _replaced(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, names in batches:
-        out = []
-        for text, known in zip(texts, names, strict=True):
-            if text and known is not None and len(known):
-                for name, alias in sorted(((k["name"], k["alias"]) for k in known), key=lambda k: (-len(k[0]), k[0])):
-                    text = _pattern(name).sub(lambda _, a=alias: a, text)
-            out.append(text)
-        yield pd.Series(out, dtype=object)
+def _folded(c: str) -> str:
+    """A letter without case; letters that become several stay."""
+    up = c.upper()
+    low = (up if len(up) == 1 else c).lower()
+    return low if len(low) == 1 else c
+
+
+def _word(c: str) -> bool:
+    return c.isascii() and c.isalnum()
+
+
+class Names:
+    """All names of a person as one automaton (Aho-Corasick) over letters without case; gaps between letters are skipped.
+
+    A text is gone through once, whatever the number of names. Longer names win, then names in order, each from left to right.
+    """
+
+    def __init__(self, known: list[tuple[str, str]]) -> None:
+        import ahocorasick
+
+        self.alias, self.rank, self.find = dict(known), {}, ahocorasick.Automaton()
+        forms: dict[str, list[str]] = {}
+        for rank, name in enumerate(sorted(self.alias, key=lambda n: (-len(n), n))):
+            self.rank[name] = rank
+            if form := "".join(map(_folded, _GAPS.sub("", name))):
+                forms.setdefault(form, []).append(name)
+        for form, names in forms.items():
+            self.find.add_word(form, (len(form), names))
+        if forms:
+            self.find.make_automaton()
+        self.exact = {n: re.compile(GAP.join(map(re.escape, n)), re.IGNORECASE) for n in self.alias if _GAPS.search(n)}
+
+    def replaced(self, text: str | None) -> str | None:
+        if not text or not len(self.find):
+            return text
+        places = [i for i, c in enumerate(text) if not _GAPS.match(c)]
+        hits = []
+        for end, (size, names) in self.find.iter("".join(_folded(text[i]) for i in places)):
+            a, b = places[end - size + 1], places[end] + 1
+            hits += [(self.rank[n], a, b, n) for n in names if n not in self.exact or self.exact[n].fullmatch(text, a, b)]
+        taken, out = [], [*text]
+        state = bytearray(len(text) + 2)  # 1: taken by a name, so that an alias stands there
+        for _, a, b, name in sorted(hits):
+            if any(state[a + 1 : b + 1]):
+                continue
+            if name.isascii() and name[:1].isalnum():
+                left = state[a] or (a and _word(text[a - 1]))
+                right = state[b + 1] or (b < len(text) and _word(text[b]))
+                if left or right:
+                    continue
+            state[a + 1 : b + 1] = b"\1" * (b - a)
+            taken.append((a, b, self.alias[name]))
+        for a, b, alias in taken:
+            out[a] = alias
+            out[a + 1 : b] = [""] * (b - a - 1)
+        return "".join(out)
 
 
 def with_aliases(rows: DataFrame, bindings: DataFrame, column: str, person: str = "person_id") -> DataFrame:
-    """Texts with the person's names replaced, longest first, whatever spaces or zero-width characters stand between their letters."""
-    known = bindings.groupBy(person).agg(F.collect_list(F.struct("name", "alias")).alias("_names"))
-    return rows.join(known, person, "left").withColumn(column, _replaced(F.col(column), F.col("_names"))).drop("_names")
+    """Texts with the person's names replaced, longest first, whatever spaces or zero-width characters stand between their letters.
+
+    Names and rows of a person come in one sorted stream, names first: a task builds a person's automaton once and holds one
+    text at a time. Rows of a person are dealt to `SALTS` tasks.
+    """
+    columns = rows.columns
+    own = rows.withColumn("_salt", F.when(F.col(person).isNull(), F.pmod(F.xxhash64(column), F.lit(1 << 20))).otherwise(F.pmod(F.xxhash64(column), F.lit(SALTS))).cast("int"))
+    own = own.withColumn("_name", F.lit(None).cast("string")).withColumn("_alias", F.lit(None).cast("string"))
+    names = bindings.where(F.col(person).isNotNull() & F.col("name").isNotNull()).select(person, F.col("name").alias("_name"), F.col("alias").alias("_alias"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    stream = own.unionByName(names, allowMissingColumns=True).repartition(F.col(person), F.col("_salt")).sortWithinPartitions(F.col(person), F.col("_salt"), F.col("_name").isNull(), F.col("_name"))
+    at, key, text = len(columns), columns.index(person), columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whose, known, tool = None, [], None
+        for batch in batches:
+            people, salts, found, aliases_, texts = (batch.column(i).to_pylist() for i in (key, at, at + 1, at + 2, text))
+            out, keep = [], []
+            for i, person_ in enumerate(people):
+                if (person_, salts[i]) != whose:
+                    whose, known, tool = (person_, salts[i]), [], None
+                if found[i] is not None:
+                    known.append((found[i], aliases_[i]))
+                    continue
+                if tool is None and known:
+                    tool = Names(known)
+                keep.append(i)
+                out.append(tool.replaced(texts[i]) if tool else texts[i])
+            if keep:
+                some = batch.take(pa.array(keep, pa.int64()))
+                arrays = [pa.array(out, some.column(text).type) if i == text else some.column(i) for i in range(at)]
+                yield pa.RecordBatch.from_arrays(arrays, columns)
+
+    return stream.mapInArrow(run, rows.schema)
 
 
 def masked_text(rows: DataFrame, bindings: DataFrame, column: str, most: int = 600, person: str = "person_id") -> DataFrame:
@@ -132,9 +206,9 @@ def omissions(found: DataFrame, person: str = "person_id", most: int = 100) -> D
     return rows.where(F.col("number") <= most)
 
 
-def sealed(payload: Column, most: int = 256 * 1024) -> tuple[Column, Column, Column]:
-    """Canonical JSON of a struct, its SHA-256, and whether its bytes fit."""
-    body = F.to_json(payload)
+def sealed(payload: Column, most: int = 256 * 1024, kind: DataType | None = None) -> tuple[Column, Column, Column]:
+    """JSON of a struct, its SHA-256, and whether its bytes fit; with the payload's type keys are in order at all depths."""
+    body = F.to_json(payload) if kind is None else canonical_json(payload, kind)
     return body, F.sha2(body, 256), F.octet_length(body) <= most
 
 

@@ -25,9 +25,9 @@ def query_terms(c: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, doc_id, score, rank: docs (doc_id, text) by BM25 against queries (query_id, text).
 
-    Postings are counted once per term and document and cut down to the queries' terms before they are joined.
+    Null texts count as empty documents. Postings are counted once per term and document and cut down to the queries' terms before they are joined.
     """
-    tokens = docs.select("doc_id", terms(F.col("text")).alias("terms"))
+    tokens = docs.select("doc_id", terms(F.coalesce("text", F.lit(""))).alias("terms"))
     stats = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("mean"))
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     vocabulary = wanted.select("term").distinct()

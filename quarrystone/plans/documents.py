@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.operators import chunks as C
 from quarrystone.operators import relational as R
+from quarrystone.operators import streams
 from quarrystone.plans.registry import query
 from quarrystone.sources.tables import table
 
@@ -54,6 +55,39 @@ def chunks_text(spark: SparkSession, d: str) -> DataFrame:
     return C.chunked(table(spark, d, "documents")).select("doc_id", "chunk_id", "position", "tokens", F.sha2("content", 256).alias("content_sha256"))
 
 
+@query(
+    "section_chunks",
+    """WITH RECURSIVE b AS (SELECT doc_id, i, trim(line) AS line, CASE WHEN i % 11 = 10 THEN 'table' WHEN length(trim(line)) <= 40 THEN 'heading' ELSE 'paragraph' END AS kind, i % 3 + 1 AS level
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE trim(line) <> ''),
+    r AS (SELECT *, max(CASE WHEN kind = 'heading' AND level = 1 THEN i END) OVER w AS p1, max(CASE WHEN kind = 'heading' AND level = 2 THEN i END) OVER w AS p2, max(CASE WHEN kind = 'heading' AND level = 3 THEN i END) OVER w AS p3
+      FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    h AS (SELECT r.doc_id, r.i, r.line, r.kind, CASE WHEN r.p2 > coalesce(p1, -1) THEN p2 END AS q2, CASE WHEN r.p3 > coalesce(p1, -1) AND r.p3 > coalesce(p2, -1) THEN p3 END AS q3, p1 AS q1 FROM r),
+    t AS (SELECT h.doc_id, h.i, h.line, h.kind, list_filter([a.line, c.line, e.line], lambda x: x IS NOT NULL) AS path
+      FROM h LEFT JOIN b a ON a.doc_id = h.doc_id AND a.i = h.q1 LEFT JOIN b c ON c.doc_id = h.doc_id AND c.i = h.q2 LEFT JOIN b e ON e.doc_id = h.doc_id AND e.i = h.q3),
+    n AS (SELECT *, CASE WHEN kind = 'table' OR lag(kind) OVER w IS NULL OR lag(kind) OVER w = 'table' OR lag(path) OVER w <> path THEN 1 ELSE 0 END AS new FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM n),
+    u AS (SELECT doc_id, i, g, kind = 'table' AS tab, path, unnest(CASE WHEN kind = 'table' THEN list_filter(list_transform(string_split(line, ', '), lambda x: trim(x)), lambda x: x <> '') ELSE [line] END) AS unit,
+      unnest(range(len(CASE WHEN kind = 'table' THEN list_filter(list_transform(string_split(line, ', '), lambda x: trim(x)), lambda x: x <> '') ELSE [line] END))) AS k FROM g),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS s, length(unit) AS size FROM u),
+    f AS (SELECT doc_id, s, g, size, size AS held, CAST(1 AS BIGINT) AS c FROM o WHERE s = 1 UNION ALL
+      SELECT o.doc_id, o.s, o.g, o.size, CASE WHEN o.g <> f.g OR f.size > 500 OR o.size > 500 OR held + 1 + o.size > 500 OR held >= 400 THEN o.size ELSE held + 1 + o.size END,
+        CASE WHEN o.g <> f.g OR f.size > 500 OR o.size > 500 OR held + 1 + o.size > 500 OR held >= 400 THEN c + 1 ELSE c END FROM f JOIN o ON o.doc_id = f.doc_id AND o.s = f.s + 1),
+    k AS (SELECT doc_id, c, any_value(tab) AS tab, any_value(path) AS path, string_agg(unit, chr(10) ORDER BY s) AS content, min(i) AS first, max(i) AS last, max(o.size) > 500 AS cut FROM f JOIN o USING (doc_id, s) GROUP BY doc_id, c),
+    x AS (SELECT *, unnest(range(0, CASE WHEN cut THEN length(content) ELSE 1 END, 500)) AS a FROM k)
+    SELECT doc_id, CAST(p AS INTEGER) AS position, printf('D%06d_C%04d', doc_id, p) AS chunk_id, kind, path, sha256(content) AS content_sha256, CAST(length(content) AS INTEGER) AS tokens, first, last, cut FROM (
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY c, a) AS p, CASE WHEN tab THEN 'table' ELSE 'text' END AS kind, array_to_string(path, ' > ') AS path, CASE WHEN cut THEN substr(content, a + 1, 500) ELSE content END AS content,
+        CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, cut FROM x)""",
+)
+def section_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as blocks: short ones are headings, every eleventh one a table of its parts; sections to chunks in one pass over sorted blocks."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line")).select("doc_id", "position", F.trim("line").alias("text"))
+    kind = F.when(F.col("position") % 11 == 10, "table").when(F.length("text") <= 40, "heading").otherwise("paragraph")
+    blocks = lines.withColumn("kind", kind).withColumn("level", F.col("position") % 3 + 1)
+    blocks = blocks.withColumn("rows", F.when(F.col("kind") == "table", F.transform(F.split("text", ", "), lambda x: F.array(x))))
+    out = streams.chunked_blocks(blocks)
+    return out.select("doc_id", "position", "chunk_id", "kind", F.array_join("path", " > ").alias("path"), F.sha2("content", 256).alias("content_sha256"), "tokens", "first", "last", "cut")
+
+
 @query(
     "chunk_totals",
     """SELECT doc_id, CAST(length(text) AS BIGINT) AS characters FROM documents WHERE length(text) > 0""",

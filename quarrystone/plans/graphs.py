@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quarrystone.functions import ids
 from quarrystone.operators import graph as G
 from quarrystone.plans.registry import query
+from quarrystone.sources import graph_sink as sink
+from quarrystone.sources.shared import new_path
 from quarrystone.sources.tables import table
 
 FP = "substr(sha256(concat_ws(chr(31), {})), 1, 24)"
@@ -190,3 +192,23 @@ def verification_status(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "verified").otherwise("open")
     evidence = F.when(F.col("o_orderpriority").contains("URGENT"), "据传").otherwise("公告")
     return o.select("o_orderkey", G.verification(status, F.col("known").isNotNull(), evidence).alias("status"))
+
+
+@query(
+    "graph_store",
+    """SELECT concat('person:', c_custkey) AS id, 'Person' AS label, CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, '*') ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'VIP' END AS rank, NULL AS start_id FROM customer WHERE c_custkey % 50 <> 7
+    UNION ALL SELECT concat('order:', o_orderkey), 'PLACED', NULL, NULL, concat('person:', o_custkey) FROM orders WHERE o_orderkey % 40 <> 9""",
+)
+def graph_store(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes and relations through the sink: a run, its rerun, and a run that changes every third node; rows without a label or endpoint are lost alone."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    none = F.lit(None).cast("string")
+    nodes = c.select(F.concat(F.lit("person:"), "c_custkey").alias("id"), F.when(F.col("c_custkey") % 50 != 7, "Person").otherwise("no label").alias("label"), none.alias("start_id"), none.alias("end_id"), F.create_map(F.lit("name"), F.col("c_name"), F.lit("rank"), none).alias("properties"))
+    edges = o.select(F.concat(F.lit("order:"), "o_orderkey").alias("id"), F.lit("PLACED").alias("label"), F.concat(F.lit("person:"), "o_custkey").alias("start_id"), F.when(F.col("o_orderkey") % 40 != 9, "shop:1").alias("end_id"), F.create_map(F.lit("status"), F.col("o_orderstatus")).alias("properties"))
+    changed = nodes.where("id rlike '[0-9]$'").join(c.where("c_custkey % 3 = 0").select(F.concat(F.lit("person:"), "c_custkey").alias("id")), "id", "left_semi")
+    changed = changed.withColumn("properties", F.create_map(F.lit("name"), F.concat(F.col("properties")["name"], F.lit("*")), F.lit("rank"), F.lit("VIP")))
+    path = new_path(spark, "graph")
+    first = nodes.unionByName(edges)
+    for run, rows in (("first", first), ("second", changed), ("first", first)):
+        sink.write(rows, path, run)
+    return sink.graph(spark, path).select("id", "label", F.col("properties")["name"].alias("name"), F.col("properties")["rank"].alias("rank"), "start_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.functions import rules, security, strict, text
+from quarrystone.functions import records, rules, security, strict, text
 from quarrystone.plans.registry import query
 from quarrystone.sources.tables import table
 
@@ -270,3 +270,36 @@ def identifier_kinds(spark: SparkSession, d: str) -> DataFrame:
     s = F.when(k == 0, F.concat(F.lit("致电138"), n, F.lit("，编号"), t)).when(k == 1, F.concat(F.lit("见 a.b"), t, F.lit("@x-y.com "), t)).when(k == 2, F.concat(F.lit("证110101"), n, F.lit("123X。")))
     s = s.when(k == 3, "联系人：张三丰，已联系").when(k == 4, F.concat(F.lit("卡62220000"), n, F.lit("123。"))).otherwise(F.concat(F.lit("无 "), t))
     return table(spark, d, "customer").select("c_custkey", security.redact_direct(s).alias("text"), security.detected(s).alias("category"))
+
+
+@query(
+    "loose_keys",
+    """SELECT c_custkey, coalesce(CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN CAST(c_nationkey AS VARCHAR) WHEN 2 THEN c_name WHEN 3 THEN c_mktsegment END, '-') AS display_name FROM customer""",
+)
+def loose_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Records with keys of mixed styles: the name as it is, then without case and underscores, then the next name; blank values count as none."""
+    c = table(spark, d, "customer")
+    styles = (
+        F.create_map(F.lit("display_name"), F.col("c_name"), F.lit("DisplayName"), F.lit("other")),
+        F.create_map(F.lit("DISPLAY NAME"), F.lit(" "), F.lit("alias"), F.col("c_nationkey").cast("string")),
+        F.create_map(F.lit("Display_Name"), F.col("c_name"), F.lit("alias"), F.lit("other")),
+        F.create_map(F.lit("A-lias"), F.col("c_mktsegment"), F.lit("note"), F.col("c_name")),
+        F.create_map(F.lit("note"), F.col("c_name")),
+    )
+    record = styles[4]
+    for n in range(4):
+        record = F.when(F.col("c_custkey") % 5 == n, styles[n]).otherwise(record)
+    return c.select("c_custkey", F.coalesce(records.loose_value(record, "display_name", "alias"), F.lit("-")).alias("display_name"))
+
+
+@query(
+    "canonical_records",
+    """SELECT o_orderkey, sha256(concat('{"a":{"b":', o_orderkey % 7, ',"y":"', o_orderstatus, '"},"items":[{"k":"', o_orderpriority, '","v":', o_custkey, '}],"tags":{"p":"1","q":"', o_orderpriority, '"}}')) AS sha256 FROM orders""",
+)
+def canonical_records(spark: SparkSession, d: str) -> DataFrame:
+    """Nested records in either order of keys hash alike."""
+    item = F.struct(F.col("o_custkey").alias("v"), F.col("o_orderpriority").alias("k"))
+    tags = F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("q"), F.col("o_orderpriority"), F.lit("p"), F.lit("1"))).otherwise(F.create_map(F.lit("p"), F.lit("1"), F.lit("q"), F.col("o_orderpriority")))
+    inner = F.struct(F.col("o_orderstatus").alias("y"), (F.col("o_orderkey") % 7).alias("b"))
+    rows = table(spark, d, "orders").select("o_orderkey", F.struct(tags.alias("tags"), F.array(item).alias("items"), inner.alias("a")).alias("record"))
+    return rows.select("o_orderkey", F.sha2(records.canonical_json(F.col("record"), rows.schema["record"].dataType), 256).alias("sha256"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.text import first_rule
 from quarrystone.operators import search as S
-from quarrystone.plans.registry import query
+from quarrystone.operators.inverted import Index
+from quarrystone.plans.registry import ORACLES, query
+from quarrystone.sources.shared import new_path
 from quarrystone.sources.tables import table
 
 _TERMS = "list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
@@ -32,6 +34,20 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
+_CHANGED = "CASE WHEN doc_id % 10 = 3 THEN concat_ws(' ', lang, lang, substring(text, 101)) ELSE text END"
+
+
+@query("bm25_indexed", ORACLES["bm25_topk"].replace("FROM documents)", f"FROM (SELECT doc_id, {_CHANGED} AS text FROM documents WHERE doc_id % 10 <> 7))"))
+def bm25_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index: all documents indexed once, a tenth replaced by other texts, a tenth deleted, and searched by all items."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    index = Index.made(spark, new_path(spark, "index"), docs.select("doc_id", "text"))
+    changed = docs.where("doc_id % 10 = 3").select("doc_id", F.expr(_CHANGED).alias("text"))
+    index.put(changed, deleted=docs.where("doc_id % 10 = 7").select("doc_id"))
+    found, _ = index.top(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+    return found.select("query_id", "doc_id", F.round("score", 4).alias("score"))
+
+
 def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All vectors, and those of ids divisible by 50 as queries."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
