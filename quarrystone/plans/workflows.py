@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quarrystone.operators.workflow import answer_history, rolled_up, sessions
 from quarrystone.plans.registry import query
+from quarrystone.sources.shared import new_path
 from quarrystone.sources.tables import table
+from quarrystone.streaming import timed
 
 
 @query(
@@ -77,3 +79,21 @@ def resume_targets(spark: SparkSession, d: str) -> DataFrame:
 def event_sequence(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, d, "events").select("event_id", "user_id", F.row_number().over(w).cast("long").alias("sequence"))
+
+
+@query(
+    "answered_actions",
+    """WITH RECURSIVE s AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+    f AS (SELECT user_id, n, event_id, CASE WHEN ok THEN 'EXECUTED' ELSE 'FAILED' END AS outcome, CASE WHEN ok THEN event_id END AS held, ms AS since FROM s WHERE n = 1
+      UNION ALL SELECT s.user_id, s.n, s.event_id, CASE WHEN held IS NOT NULL AND s.ms < since + 10800000 THEN 'REPLAYED' WHEN s.ok THEN 'EXECUTED' ELSE 'FAILED' END,
+        CASE WHEN held IS NOT NULL AND s.ms < since + 10800000 THEN held WHEN s.ok THEN s.event_id END, CASE WHEN held IS NOT NULL AND s.ms < since + 10800000 THEN since ELSE s.ms END FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1)
+    SELECT user_id, event_id, outcome, coalesce(held, -1) AS result_of FROM f""",
+)
+def answered_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream of actions, an error being one that failed: results stand for 180 minutes, failures for none."""
+    path = f"{d.rstrip('/')}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")  # a pattern may stand for a file or a folder
+    actions = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("action_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
+    out = new_path(spark, "answers")
+    timed.answered(actions, late="3650 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(F.col("key").alias("user_id"), F.col("action_id").alias("event_id"), "outcome", F.coalesce("result_of", F.lit(-1)).alias("result_of"))

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from quarrystone.operators import masking, relational, search, streams
 from quarrystone.operators.chunks import chunked, pieces
 from quarrystone.operators.inverted import Index
 from quarrystone.sources import graph_sink as sink
+from quarrystone.streaming import timed
 
 WORDS = ["stone", "river", "light", "cloud", "银行", "理财产品", "x1", "Ünder", "green", "wave"]
 
@@ -222,6 +224,51 @@ def test_rows_get_the_names_of_their_person(spark):
         assert r.t == (one_by_one([(n, a) for q, n, a in names if q == p], old) if old else None) and (r.more == {"a": "b"} or r.k == 999)
 
 
+# state with time
+
+
+def run_stream(spark, build, schema, batches, folder):
+    """Rows out of a stream that is stopped and started again after each file."""
+    (folder / "in").mkdir()
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"draft{n}"))
+        part = next((folder / f"draft{n}").glob("part-*"))
+        part.rename(folder / "in" / f"{n}.parquet")
+        stream = build(spark.readStream.schema(schema).parquet(str(folder / "in")))
+        stream.writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(str(folder / "out")).collect()
+
+
+def at(minute):
+    return datetime(2024, 1, 1, tzinfo=UTC) + timedelta(minutes=minute)
+
+
+def test_results_stand_for_a_time(spark, tmp_path):
+    batches = [
+        [("a", 1, at(0), False), ("a", 2, at(5), True), ("b", 3, at(6), True), ("a", 4, at(7), False), (None, 5, at(7), True)],
+        [("a", 6, at(184), True), ("a", 7, at(185), True), ("b", 8, at(30), False), (None, 9, at(8), None)],
+        [("c", 10, at(600), False), ("c", 11, at(601), True)],
+        [("a", 12, at(602), False), ("b", 13, at(603), True), ("c", 14, at(604), None)],
+    ]
+    got = run_stream(spark, lambda s: timed.answered(s, 180, "200 minutes"), "key string, action_id long, ts timestamp, ok boolean", batches, tmp_path)
+    want = {1: ("FAILED", None), 2: ("EXECUTED", 2), 4: ("REPLAYED", 2), 3: ("EXECUTED", 3), 5: ("EXECUTED", 5), 6: ("REPLAYED", 2), 7: ("EXECUTED", 7), 8: ("REPLAYED", 3), 9: ("REPLAYED", 5)}
+    want |= {10: ("FAILED", None), 11: ("EXECUTED", 11), 12: ("FAILED", None), 13: ("EXECUTED", 13), 14: ("REPLAYED", 11)}
+    assert {r.action_id: (r.outcome, r.result_of) for r in got} == want
+
+
+def test_branches_meet_within_a_time(spark, tmp_path):
+    batches = [
+        [("w1", "P", 1, at(0)), ("w2", "P", 2, at(0)), ("w3", "P", 3, at(1)), ("w3", "R", 4, at(2)), ("w4", "R", 5, at(3)), ("w4", "R", 6, at(4)), ("w1", "X", 7, at(1))],
+        [("w1", "R", 8, at(20)), ("w4", "P", 9, at(40))],
+        [("w9", "P", 10, at(500))],
+        [("w9", "R", 11, at(510))],
+    ]
+    got = run_stream(spark, lambda s: timed.met(s, "P", "R", 30, "60 minutes"), "key string, branch string, result_id long, ts timestamp", batches, tmp_path)
+    rows = {tuple(r) for r in got}
+    assert {("w1", 1, 8, "MET"), ("w3", 3, 4, "MET"), ("w4", None, 5, "TIMED_OUT"), ("w9", 10, 11, "MET"), ("w2", 2, None, "TIMED_OUT")} <= rows
+    assert rows - {("w4", 9, None, "TIMED_OUT")} == {("w1", 1, 8, "MET"), ("w3", 3, 4, "MET"), ("w4", None, 5, "TIMED_OUT"), ("w9", 10, 11, "MET"), ("w2", 2, None, "TIMED_OUT")}
+
+
 # records
 
 
