@@ -85,9 +85,10 @@ class Index:
         at = [*self.segments(), -1]
         n = max(at) + 1
         rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), terms(F.coalesce("text", F.lit(""))).alias("words"))
-        one = rows.groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list("words"))).alias("words"))
-        one = self._put("docs", n, one.select(F.lit(n).cast("long").alias("segment"), "doc_id", F.size("words").cast("long").alias("length"), F.array_distinct("words").alias("terms"), "words"))
-        posted = one.select("doc_id", "length", F.explode("words").alias("term")).groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
+        if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():  # ids alone are cheap to compare
+            rows = rows.groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list("words"))).alias("words"))
+        one = self._put("docs", n, rows.select(F.lit(n).cast("long").alias("segment"), "doc_id", F.size("words").cast("long").alias("length"), F.array_distinct("words").alias("terms")))
+        posted = rows.select("doc_id", F.size("words").cast("long").alias("length"), F.explode("words").alias("term")).groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
         posted = posted.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(self.shards)))
         blocks = posted.groupBy("term", "shard").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "length"))).alias("postings"))
         blocks = blocks.select(F.lit(n).cast("long").alias("segment"), "term", "shard", "n", "most", "least", "postings", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"))

@@ -35,6 +35,8 @@ ARROW = pa.schema([("id", pa.string()), ("label", pa.string()), ("start_id", pa.
 FAILED = "id string, label string, reason string"
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 BATCH = 500
+#: Rows that a task holds before it writes them.
+GROUP = 5_000
 
 
 class Refused(ValueError):
@@ -74,7 +76,8 @@ class Files(Target):
     def __init__(self, options: dict[str, str]) -> None:
         super().__init__(options)
         self.store, self.root = fs.FileSystem.from_uri(options["path"])
-        self.name, self.writer = uuid.uuid4().hex, None
+        self.name, self.writer, self.held = uuid.uuid4().hex, None, []
+        self.waiting = 0
 
     def _path(self, kind: str) -> str:
         self.store.create_dir(f"{self.root}/{kind}", recursive=True)
@@ -83,13 +86,21 @@ class Files(Target):
     def merge(self, rows: list[dict]) -> None:
         for row in rows:
             checked(row)
-        table = pa.Table.from_pylist(rows, ARROW)
+        self.held.append(pa.Table.from_pylist(rows, ARROW))  # nothing counts before the commit, so rows wait for a row group
+        self.waiting += len(rows)
+        if self.waiting >= GROUP:
+            self._group()
+
+    def _group(self) -> None:
         if self.writer is None:
             self.writer = pq.ParquetWriter(self._path("rows"), ARROW, filesystem=self.store)
-        self.writer.write_table(table)
+        self.writer.write_table(pa.concat_tables(self.held).combine_chunks())
+        self.held, self.waiting = [], 0
 
     def closed(self, failed: list[tuple]) -> list[str]:
         out = []
+        if self.held:
+            self._group()
         if self.writer is not None:
             self.writer.close()
             out.append(f"rows/{self.name}.parquet")
