@@ -92,8 +92,7 @@ class Index:
         posted = posted.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(self.shards)))
         blocks = posted.groupBy("term", "shard").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "length"))).alias("postings"))
         blocks = blocks.select(F.lit(n).cast("long").alias("segment"), "term", "shard", "n", "most", "least", "postings", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-        dealt = blocks.repartition(F.col("bucket"), F.col("shard") % 8).sortWithinPartitions("bucket", "term", "shard")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{n}")
+        blocks.sortWithinPartitions("bucket", "term", "shard").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{n}")
         ids = one.select("doc_id")
         if deleted is not None:
             ids = ids.unionByName(deleted.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))).distinct()
