@@ -72,7 +72,7 @@ SPECULATION = ("推测", "可能", "据传", "传闻", "疑似", "或许", "未
 NULLS = ("", "-", "--", "/", "n/a", "na", "none", "null", "unknown", "未公开", "暂无", "不详", "未知", "无数据", "未披露")
 CURRENCIES = {"人民币": "CNY", "人民币元": "CNY", "rmb": "CNY", "cny": "CNY", "港元": "HKD", "港币": "HKD", "hkd": "HKD", "美元": "USD", "usd": "USD"}
 SYMBOLS = (("HK$", "HKD"), ("$", "USD"), ("¥", "CNY"), ("￥", "CNY"))
-UNITS = (("百万元", 10**6), ("千万元", 10**7), ("千元", 10**3), ("万元", 10**4), ("亿元", 10**8), ("百万", 10**6), ("千万", 10**7), ("千", 10**3), ("万", 10**4), ("亿", 10**8), ("元", 1))
+UNITS = (("元", 1), ("千元", 10**3), ("万元", 10**4), ("百万元", 10**6), ("千万元", 10**7), ("亿元", 10**8), ("千", 10**3), ("万", 10**4), ("百万", 10**6), ("千万", 10**7), ("亿", 10**8))
 ESTIMATES = ("不低于", "大约", "超过", "至少", "约", "近")
 MARITAL = {"已婚": "MARRIED", "未婚": "UNMARRIED", "离异": "DIVORCED", "丧偶": "WIDOWED"}
 PERSON_ENTERPRISE = {"CHAIRPERSON": "CHAIRMAN_OF", "CHAIRMAN": "CHAIRMAN_OF", "CEO": "CEO_OF", "CHIEF_EXECUTIVE": "CEO_OF", "FOUNDER": "FOUNDED", "WORKS_AT": "WORKS_AT", "EMPLOYEE": "WORKS_AT", "SHAREHOLDER": "HOLDS_SHARE", "ACTUAL_CONTROLLER": "CONTROLS", "CONTROLLER": "CONTROLS", "CORE_ASSOCIATED": "RELATED_TO"}

@@ -144,7 +144,7 @@ def money(c: Column, unit: Column | None = None, code: Column | None = None) ->
         return let(F.struct(sign.alias("sign"), word.alias("word"), bare.alias("bare")), lambda y: ended(t, y, ranged, estimated))
 
     def ended(t: Column, y: Column, ranged: Column, estimated: Column) -> Column:
-        own = F.nullif(F.regexp_extract(y.bare, "(百万元|千万元|千元|万元|亿元|百万|千万|千|万|亿|元)$", 1), F.lit(""))
+        own = F.nullif(F.regexp_extract(y.bare, f"({'|'.join(sorted((n for n, _ in rules.UNITS), key=len, reverse=True))})$", 1), F.lit(""))
         number = F.substring(y.bare, F.lit(1), F.length(y.bare) - F.coalesce(F.length(own), F.lit(0)))
         return let(F.struct(own.alias("own"), number.alias("number"), currency(code).alias("given")), lambda z: valued(t, y, z, ranged, estimated))
 
