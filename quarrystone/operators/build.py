@@ -1,10 +1,10 @@
 """A build of a graph that can be stopped anywhere and taken up again.
 
 A build has a folder. Each attempt in it is a row of stages, every one a table that counts once Spark's mark of a finished write
-stands beside it: `taken` (the records of this attempt), `elements` and `issues` (what they become), `accepted` (elements of persons
-without errors), then the sink's run of the attempt's name, and last `states`, which ends the attempt. Whoever calls `run` after a stop
+stands beside it: `taken` (the records of this attempt), `elements` and `issues` (what they become), then the sink's run
+of the attempt's name (elements of persons without errors), and last `states`, which ends the attempt. Whoever calls `run` after a stop
 goes on at the first stage without a mark, on the records that the attempt took, so the result is that of an unbroken run. A finished
-attempt is followed by one over the records that are new or have failed fewer than `attempts` times; finished persons are left alone.
+attempt is followed by one over the records that are new or have failed fewer than `attempts_each` times; finished persons are left alone.
 
 Owners (persons) are judged alone: an error among an owner's rows keeps all of that owner's elements out and nobody else's. Errors are
 given issues of severity ERROR, relations of which an end is no node of the same owner (DANGLING_RELATION), ids that stand for two
@@ -129,10 +129,10 @@ def run(records: DataFrame, make: Callable[[DataFrame], Made], path: str, attemp
     taken = stage(spark, f"{at}/taken", lambda: open_records)
     made = make(taken)
     elements = stage(spark, f"{at}/elements", lambda: made.elements.select("owner", *ELEMENT))
-    stored = graph(spark, path)
+    stored = sink.elements(spark, f"{path}/graph")
     found = stage(spark, f"{at}/issues", lambda: made.issues.select("owner", "issue_id", "reason", "severity").unionByName(_refusals(elements, stored)))
     wrong = found.where("severity = 'ERROR'")
-    accepted = stage(spark, f"{at}/accepted", lambda: elements.join(wrong.select("owner").distinct(), "owner", "left_anti"))
+    accepted = elements.join(wrong.select("owner").distinct(), "owner", "left_anti")
     if f"attempt_{n}" not in [m["run"] for m in sink.manifests(f"{path}/graph")]:
         sink.write(_once(accepted), f"{path}/graph", f"attempt_{n}")
     stage(spark, f"{at}/states", lambda: _states(taken, accepted, wrong, sink.failed(spark, f"{path}/graph").where(F.col("run") == f"attempt_{n}")))

@@ -9,6 +9,7 @@ from quarrystone.functions import ids
 from quarrystone.operators import build
 from quarrystone.operators.inclusions import inclusions
 from quarrystone.plans.registry import query
+from quarrystone.sources import graph_sink as sink
 from quarrystone.sources.shared import new_path
 from quarrystone.sources.tables import table
 
@@ -66,6 +67,6 @@ def graph_build_attempts(spark: SparkSession, d: str) -> DataFrame:
     for least in (0.0, -500.0):
         states = build.run(person_records(spark, d, least), lambda taken: build.persons_with_enterprises(taken, sources), path)
     doubts = build.issues(spark, path).where("severity = 'WARNING'").groupBy("owner").agg(F.count("*").alias("warnings"))
-    stored = build.graph(spark, path).where("label = 'Person'").select(F.col("id").alias("owner"), F.lit(True).alias("stored"))
+    stored = sink.elements(spark, f"{path}/graph").where("label = 'Person'").select(F.col("id").alias("owner"), F.lit(True).alias("stored"))
     rows = states.join(doubts, "owner", "left").join(stored, "owner", "left")
     return rows.select("owner", "state", "attempt", "nodes", "relations", F.array_join("reasons", ",").alias("reasons"), F.coalesce("warnings", F.lit(0)).alias("warnings"), F.coalesce("stored", F.lit(False)).alias("stored"))

@@ -224,11 +224,16 @@ def failed(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, "failed", FAILED).select("run", "id", "label", "reason")
 
 
+def elements(spark: SparkSession, path: str) -> DataFrame:
+    """id, label, start_id, end_id of the stored elements."""
+    rows = _files(spark, path, "rows", SCHEMA)
+    return rows.groupBy("id").agg(F.max(F.struct("run_order", "label", "start_id", "end_id")).alias("x")).select("id", "x.label", "x.start_id", "x.end_id")
+
+
 def graph(spark: SparkSession, path: str) -> DataFrame:
     """id, label, start_id, end_id, properties as all committed runs leave them."""
     rows = _files(spark, path, "rows", SCHEMA)
-    last = rows.groupBy("id").agg(F.max(F.struct("run_order", "label", "start_id", "end_id")).alias("x"))
     values = rows.select("id", "run_order", F.explode("properties").alias("k", "v")).where("v is not null")
     values = values.groupBy("id", "k").agg(F.max(F.struct("run_order", "v")).alias("x"))
     maps = values.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", F.col("x.v"))))).alias("properties"))
-    return last.select("id", "x.label", "x.start_id", "x.end_id").join(maps, "id", "left").withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>")))
+    return elements(spark, path).join(maps, "id", "left").withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>")))
