@@ -88,18 +88,18 @@ def graph(spark: SparkSession, path: str) -> DataFrame:
 def _found(rows: DataFrame, reason: str) -> DataFrame:
     """An ERROR issue of owners and ids."""
     made = ids.issue_id(F.lit(reason), F.lit("element"), F.col("owner"), F.coalesce("id", F.lit("")), F.lit(reason))
-    return rows.select("owner", made.alias("issue_id"), F.lit(reason).alias("reason"), F.lit("ERROR").alias("severity")).distinct()
+    return rows.select("owner", made.alias("issue_id"), F.lit(reason).alias("reason"), F.lit("ERROR").alias("severity"))
 
 
 def _refusals(elements: DataFrame, stored: DataFrame) -> DataFrame:
     """Issues of elements: ends without a node of the owner, and ids that stand for unlike things."""
     nodes = elements.where("start_id is null and end_id is null").select("owner", F.col("id").alias("end"))
     ends = elements.where("start_id is not null or end_id is not null").select("owner", "id", F.explode(F.array("start_id", "end_id")).alias("end"))
-    dangling = ends.join(nodes.distinct(), ["owner", "end"], "left_anti")
+    dangling = ends.join(nodes, ["owner", "end"], "left_anti")
     body = F.struct("label", "start_id", "end_id")
     seen = elements.select("id", body.alias("body")).unionByName(stored.select("id", body.alias("body")))
     unlike = seen.groupBy("id").agg(F.min("body").alias("a"), F.max("body").alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("id")
-    return _found(dangling, "DANGLING_RELATION").unionByName(_found(elements.join(unlike, "id", "left_semi"), "CONFLICTING_ID"))
+    return _found(dangling, "DANGLING_RELATION").unionByName(_found(elements.join(unlike, "id", "left_semi"), "CONFLICTING_ID")).distinct()
 
 
 def _once(elements: DataFrame) -> DataFrame:
@@ -119,12 +119,11 @@ def run(records: DataFrame, make: Callable[[DataFrame], Made], path: str, attemp
         n = len(known) + 1
         open_records = None
     if open_records is None or "_SUCCESS" not in shared.names(spark, f"{path}/attempt_{n}/taken"):
-        before = states(spark, path)
-        tries = _tables(spark, path, "states", STATES).groupBy("owner").agg(F.count("*").alias("tries"))
-        over = before.where("state = 'SUCCESS'").select("owner").unionByName(tries.where(F.col("tries") >= attempts_each).select("owner"))
-        open_records = records.where("owner is not null").join(over.distinct(), "owner", "left_anti")
+        tried = _tables(spark, path, "states", STATES).groupBy("owner").agg(F.max_by("state", "attempt").alias("state"), F.count("*").alias("tries"))
+        over = tried.where((F.col("state") == "SUCCESS") | (F.col("tries") >= attempts_each)).select("owner")
+        open_records = records.where("owner is not null").join(over, "owner", "left_anti")
         if n not in known and open_records.isEmpty():
-            return before
+            return states(spark, path)
     at = f"{path}/attempt_{n}"
     taken = stage(spark, f"{at}/taken", lambda: open_records)
     made = make(taken)
@@ -132,7 +131,7 @@ def run(records: DataFrame, make: Callable[[DataFrame], Made], path: str, attemp
     stored = sink.elements(spark, f"{path}/graph")
     found = stage(spark, f"{at}/issues", lambda: made.issues.select("owner", "issue_id", "reason", "severity").unionByName(_refusals(elements, stored)))
     wrong = found.where("severity = 'ERROR'")
-    accepted = elements.join(wrong.select("owner").distinct(), "owner", "left_anti")
+    accepted = elements.join(wrong.select("owner"), "owner", "left_anti")
     if f"attempt_{n}" not in [m["run"] for m in sink.manifests(f"{path}/graph")]:
         sink.write(_once(accepted), f"{path}/graph", f"attempt_{n}")
     stage(spark, f"{at}/states", lambda: _states(taken, accepted, wrong, sink.failed(spark, f"{path}/graph").where(F.col("run") == f"attempt_{n}")))
@@ -142,7 +141,7 @@ def run(records: DataFrame, make: Callable[[DataFrame], Made], path: str, attemp
 def _states(taken: DataFrame, accepted: DataFrame, wrong: DataFrame, lost: DataFrame) -> DataFrame:
     """owner, state, nodes, relations, reasons of one attempt."""
     refused = accepted.alias("e").join(lost.alias("l"), F.col("e.id").eqNullSafe(F.col("l.id")) & F.col("e.label").eqNullSafe(F.col("l.label"))).select("e.owner", F.col("l.reason"))
-    reasons = wrong.select("owner", "reason").unionByName(refused).distinct().groupBy("owner").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    reasons = wrong.select("owner", "reason").unionByName(refused).groupBy("owner").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
     node = F.col("start_id").isNull()
     counts = accepted.select("owner", "id", node.alias("node")).distinct().groupBy("owner").agg(F.count_if("node").alias("nodes"), F.count_if(~F.col("node")).alias("relations"))
     rows = taken.select("owner").distinct().join(reasons, "owner", "left").join(counts, "owner", "left")
