@@ -30,12 +30,23 @@ SHARD, BUCKETS = 128, 32
 FIRST = 20
 #: Room for scores that are rounded to six digits.
 ROOM = 1e-5
+#: Terms of all queries together up to which they are broadcast to the blocks.
+BROADCAST_ROWS = 50_000
 POSTINGS = "segment long, term string, shard long, n long, most long, least long, postings array<struct<doc_id long, tf long, length long>>, bucket int"
-DOCS = "segment long, doc_id long, length long, terms array<string>"
+DOCS = "segment long, doc_id long, length long, terms array<string>, counts array<int>"
 TERMS = "term string, df long"
 GONE = "segment long, doc_id long"
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """doc_id, length, terms, counts of rows (doc_id, words): sorted words are cut where they change, so no shuffle counts them."""
+    ordered = rows.select("doc_id", F.size("words").cast("long").alias("length"), F.array_sort("words").alias("words"))
+    changes = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: (i == F.size("words")) | (F.get("words", i) != F.get("words", i - 1)))
+    ordered = ordered.withColumn("ends", F.when(F.size("words") > 0, changes).otherwise(F.array().cast("array<int>")))
+    counts = F.transform("ends", lambda e, i: e - F.coalesce(F.get("ends", i - 1), F.lit(0)))
+    return ordered.select("doc_id", "length", F.transform("ends", lambda e: F.get("words", e - 1)).alias("terms"), counts.alias("counts"))
+
+
 class Index:
     """An index at a path; shards: how many shards documents are dealt to, fixed when it is made."""
 
@@ -87,10 +98,11 @@ class Index:
         rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), terms(F.coalesce("text", F.lit(""))).alias("words"))
         if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():  # ids alone are cheap to compare
             rows = rows.groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list("words"))).alias("words"))
-        one = self._put("docs", n, rows.select(F.lit(n).cast("long").alias("segment"), "doc_id", F.size("words").cast("long").alias("length"), F.array_distinct("words").alias("terms")))
-        posted = rows.select("doc_id", F.size("words").cast("long").alias("length"), F.explode("words").alias("term")).groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
-        posted = posted.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(self.shards)))
-        blocks = posted.groupBy("term", "shard").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "length"))).alias("postings"))
+        one = self._put("docs", n, _counted(rows).select(F.lit(n).cast("long").alias("segment"), "doc_id", "length", "terms", "counts"))
+        # documents move to their shards as they are; grouping by term and shard needs no further shuffle then
+        dealt = one.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(self.shards))).repartition("shard")
+        posted = dealt.select("shard", "doc_id", "length", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("shard", "doc_id", "length", F.col("x.terms").alias("term"), F.col("x.counts").cast("long").alias("tf"))
+        blocks = posted.groupBy("shard", "term").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "length"))).alias("postings"))
         blocks = blocks.select(F.lit(n).cast("long").alias("segment"), "term", "shard", "n", "most", "least", "postings", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"))
         blocks.sortWithinPartitions("bucket", "term", "shard").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{n}")
         ids = one.select("doc_id")
@@ -133,43 +145,49 @@ class Index:
         asked = asked.withColumn("first", F.coalesce(F.sum("df").over(rarer), F.lit(0)) < FIRST * k)
         asked = shared.stored(asked.withColumn("below", F.sum("strongest").over(weaker)).withColumn("whole", F.sum("strongest").over(own)), "asked")
 
-        def chosen(some: DataFrame, name: str) -> DataFrame:
-            """The blocks of some of the queries' terms that a step reads."""
-            return shared.stored(some.select("query_id", "idf", "bucket", "term", "segment", "shard", "n"), name)
+        few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        on, no_end = ["bucket", "term"], F.lit(True)
+
+        def near(rows: DataFrame, shards: DataFrame | None) -> DataFrame:
+            """Blocks of a query in some shards only, if shards (query_id, shard) says which."""
+            return rows if shards is None else rows.join(shards, ["query_id", "shard"], "left_semi")
 
-        def parts(some: DataFrame) -> DataFrame:
-            """query_id, doc_id, shard, part: what each posting of chosen blocks adds to its document's score."""
-            rows = posted.drop("n", "most", "least").join(some.drop("n"), ["bucket", "term", "segment", "shard"])
+        def parts(some: DataFrame, reach: Column = no_end, shards: DataFrame | None = None) -> DataFrame:
+            """query_id, doc_id, shard, part: what the postings in the blocks of a step's terms add to their documents' scores.
+
+            The queries' terms go to the blocks if a count has shown them to be few; postings aren't shuffled then, only sums are.
+            """
+            rows = posted.join(F.broadcast(some) if few else some, on).withColumn("bound", gain(F.col("most"), F.col("least"))).where(reach)
+            rows = near(rows.select("query_id", "segment", "shard", "idf", "postings"), shards)
             rows = rows.select("query_id", "segment", "shard", "idf", F.explode("postings").alias("p")).select("query_id", "segment", "shard", "idf", "p.*")
             return self._live(rows).select("query_id", "doc_id", "shard", gain(F.col("tf"), F.col("length")).alias("part"))
 
-        def floor(some: DataFrame, name: str) -> DataFrame:
+        def summed(some: DataFrame) -> DataFrame:
+            return some.groupBy("query_id", "doc_id", "shard").agg(F.sum("part").alias("part"))
+
+        def floor(some: DataFrame) -> DataFrame:
             """The k-th best of partial scores, which no result falls below."""
-            sums = some.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
-            ranked = sums.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") == k)
-            return ranked.select("query_id", (F.col("score") - ROOM).alias(name))
-
-        on = ["bucket", "term"]
-        first = chosen(asked.where("first").join(heads, on), "first")
-        early = shared.stored(parts(first), "early")
-        facts = asked.join(floor(early, "floor"), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+            ranked = some.withColumn("rank", F.row_number().over(own.orderBy(F.desc("part"), "doc_id"))).where(F.col("rank") == k)
+            return ranked.select("query_id", (F.col("part") - ROOM).alias("floor"))
+
+        start = asked.where("first")
+        early = shared.stored(summed(parts(start)), "early")
+        facts = asked.join(floor(early), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
         facts = shared.stored(facts.withColumn("strong", F.col("first") | (F.col("below") >= F.col("floor"))), "facts")
         # a document in a block that can't reach the floor, even with all other terms at their best, is no result
+        strong, weak = facts.where("strong and not first"), facts.where("not strong")
         reach = F.col("bound") + F.col("whole") - F.col("strongest") >= F.col("floor")
-        main = chosen(facts.where("strong and not first").join(heads, on).where(reach), "main")
-        known = shared.stored(parts(main).unionByName(early), "known")
-        rest = facts.where("not strong").groupBy("query_id").agg(F.sum("strongest").alias("rest"))
-        sums = known.groupBy("query_id", "doc_id", "shard").agg(F.sum("part").alias("part"))
-        sums = sums.join(rest, "query_id", "left").join(floor(known, "floor"), "query_id", "left")
+        known = shared.stored(summed(parts(strong, reach).unionByName(early)), "known")
+        rest = weak.groupBy("query_id").agg(F.sum("strongest").alias("rest"))
+        sums = known.join(rest, "query_id", "left").join(floor(known), "query_id", "left")
         candidates = sums.where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce("floor", F.lit(0.0)))
         candidates = shared.stored(candidates.select("query_id", "doc_id", "shard", "part"), "candidates")
-        near = heads.join(facts.where("not strong").select("query_id", "idf", *on), on).join(candidates.select("query_id", "shard").distinct(), ["query_id", "shard"], "left_semi")
-        late = chosen(near, "late")
-        added = parts(late).join(candidates.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+        held = candidates.select("query_id", "shard").distinct()
+        added = parts(weak, shards=held).join(candidates.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
         scores = candidates.unionByName(added).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
         out = scores.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
         counts = None
-        for step, some in (("first", first), ("main", main), ("late", late), ("all", asked.select("query_id", *on).join(heads, on))):
-            read = some.agg(F.lit(step).alias("step"), F.count("*").alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"))
+        for step, some, most, shards in (("first", start, no_end, None), ("main", strong, reach, None), ("late", weak, no_end, held), ("all", asked, no_end, None)):
+            read = near(some.join(heads, on).where(most), shards).agg(F.lit(step).alias("step"), F.count("*").alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"))
             counts = read if counts is None else counts.unionByName(read)
         return out.select("query_id", "doc_id", "score", "rank"), counts
