@@ -6,7 +6,8 @@ takes its number. A document that is put again, or deleted, hides its postings i
 
 A block holds the postings of one term in one shard of documents (documents are dealt to shards by hash, about `SHARD` in each), with its
 greatest frequency and least length, which bound its scores whatever the mean length has become. No block is larger than a shard, so
-terms that nearly all documents hold are many blocks.
+terms that nearly all documents hold are many blocks. A shard lies in one folder, its blocks in order of terms: footers rule out row
+groups without a query's terms, and a task that reads a shard has all parts of its documents' scores, which it adds up before they move.
 
 `top` finds the k best documents of each query in three steps. Rare terms of a query give partial scores; the k-th best is a floor. Terms whose
 bounds together stay below the floor can't bring a document in by themselves: only the other terms' blocks are read in full,
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from quarrystone.operators.search import K1, B, terms
 from quarrystone.sources import shared
 
-#: Documents of a shard, about, and folders that terms are dealt to.
-SHARD, BUCKETS = 128, 32
+#: Documents of a shard, about, the least number of shards (each is written by one task), and folders that shards are dealt to.
+SHARD, LEAST, BUCKETS = 2048, 8, 32
 #: Postings of rare terms that a query's floor is taken from, in multiples of k.
 FIRST = 20
 #: Room for scores that are rounded to six digits.
@@ -40,7 +41,7 @@ GONE = "segment long, doc_id long"
 
 def _counted(rows: DataFrame) -> DataFrame:
     """doc_id, length, terms, counts of rows (doc_id, words): sorted words are cut where they change, so no shuffle counts them."""
-    ordered = rows.select("doc_id", F.size("words").cast("long").alias("length"), F.array_sort("words").alias("words"))
+    ordered = rows.select("doc_id", F.size("words").cast("long").alias("length"), F.sort_array("words").alias("words"))
     changes = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: (i == F.size("words")) | (F.get("words", i) != F.get("words", i - 1)))
     ordered = ordered.withColumn("ends", F.when(F.size("words") > 0, changes).otherwise(F.array().cast("array<int>")))
     counts = F.transform("ends", lambda e, i: e - F.coalesce(F.get("ends", i - 1), F.lit(0)))
@@ -56,7 +57,7 @@ class Index:
     @staticmethod
     def made(spark: SparkSession, path: str, docs: DataFrame) -> Index:
         """A new index of docs (doc_id, text)."""
-        found = Index(spark, path, max(1, -(-docs.count() // SHARD)))
+        found = Index(spark, path, max(LEAST, -(-docs.count() // SHARD)))
         found.put(docs)
         return found
 
@@ -103,7 +104,7 @@ class Index:
         dealt = one.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(self.shards))).repartition("shard")
         posted = dealt.select("shard", "doc_id", "length", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("shard", "doc_id", "length", F.col("x.terms").alias("term"), F.col("x.counts").cast("long").alias("tf"))
         blocks = posted.groupBy("shard", "term").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "length"))).alias("postings"))
-        blocks = blocks.select(F.lit(n).cast("long").alias("segment"), "term", "shard", "n", "most", "least", "postings", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+        blocks = blocks.select(F.lit(n).cast("long").alias("segment"), "term", "shard", "n", "most", "least", "postings", F.pmod("shard", F.lit(BUCKETS)).cast("int").alias("bucket"))
         blocks.sortWithinPartitions("bucket", "term", "shard").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{n}")
         ids = one.select("doc_id")
         if deleted is not None:
@@ -133,11 +134,11 @@ class Index:
         def gain(tf: Column, size: Column) -> Column:
             return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.lit(mean)))
 
-        asked = shared.stored(wanted.join(df, "term").withColumn("idf", idf).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")), "asked")
-        posted = self._read("postings", POSTINGS)
-        heads = posted.drop("postings").join(asked.select("bucket", "term", "idf").distinct(), ["bucket", "term"])
+        asked = shared.stored(wanted.join(df, "term").withColumn("idf", idf), "asked")
+        posted = self._read("postings", POSTINGS).drop("bucket")
+        heads = posted.drop("postings").join(asked.select("term", "idf").distinct(), "term")
         # bounds and sizes of the blocks of the queries' terms: what to read is decided on these
-        heads = shared.stored(heads.select("bucket", "term", "segment", "shard", "n", gain(F.col("most"), F.col("least")).alias("bound")), "heads")
+        heads = shared.stored(heads.select("term", "segment", "shard", "n", gain(F.col("most"), F.col("least")).alias("bound")), "heads")
         own = Window.partitionBy("query_id")
         rarer = own.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
         weaker = own.orderBy("strongest", "term").rowsBetween(Window.unboundedPreceding, 0)
@@ -146,7 +147,7 @@ class Index:
         asked = shared.stored(asked.withColumn("below", F.sum("strongest").over(weaker)).withColumn("whole", F.sum("strongest").over(own)), "asked")
 
         few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        on, no_end = ["bucket", "term"], F.lit(True)
+        no_end = F.lit(True)
 
         def near(rows: DataFrame, shards: DataFrame | None) -> DataFrame:
             """Blocks of a query in some shards only, if shards (query_id, shard) says which."""
@@ -157,7 +158,7 @@ class Index:
 
             The queries' terms go to the blocks if a count has shown them to be few; postings aren't shuffled then, only sums are.
             """
-            rows = posted.join(F.broadcast(some) if few else some, on).withColumn("bound", gain(F.col("most"), F.col("least"))).where(reach)
+            rows = posted.join(F.broadcast(some) if few else some, "term").withColumn("bound", gain(F.col("most"), F.col("least"))).where(reach)
             rows = near(rows.select("query_id", "segment", "shard", "idf", "postings"), shards)
             rows = rows.select("query_id", "segment", "shard", "idf", F.explode("postings").alias("p")).select("query_id", "segment", "shard", "idf", "p.*")
             return self._live(rows).select("query_id", "doc_id", "shard", gain(F.col("tf"), F.col("length")).alias("part"))
@@ -188,6 +189,6 @@ class Index:
         out = scores.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
         counts = None
         for step, some, most, shards in (("first", start, no_end, None), ("main", strong, reach, None), ("late", weak, no_end, held), ("all", asked, no_end, None)):
-            read = near(some.join(heads, on).where(most), shards).agg(F.lit(step).alias("step"), F.count("*").alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"))
+            read = near(some.join(heads, "term").where(most), shards).agg(F.lit(step).alias("step"), F.count("*").alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"))
             counts = read if counts is None else counts.unionByName(read)
         return out.select("query_id", "doc_id", "score", "rank"), counts

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 TERM = r"[\p{L}\p{N}]+"
-#: Blocks of queries and their size up to which queries are broadcast to the rows.
-BLOCKS, BLOCK = 16, 500
+#: Blocks of queries, and numbers of all query vectors (of 8 bytes) up to which they are broadcast to the rows.
+BLOCKS, NUMBERS = 16, 4_000_000
 
 
 def terms(c: Column) -> Column:
     """Lower-case terms; runs of Han characters as overlapping pairs."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
+    text = F.lower(c)
+    words = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
     pairs = F.transform(words, lambda w: F.when(w.rlike(r"\p{IsHan}{2}"), F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array(w)))
-    return F.flatten(pairs)
+    return F.when(text.rlike(r"\p{IsHan}{2}"), F.flatten(pairs)).otherwise(words)  # texts without such runs keep their words as they are
 
 
 def query_terms(c: Column) -> Column:
@@ -41,21 +42,23 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cosine_top(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def cosine_top(rows: DataFrame, queries: DataFrame, k: int, own: bool = False) -> DataFrame:
     """query_id, vec_id, score, rank: exact cosine of queries (query_id, q) against all rows (vec_id, v), both of doubles.
 
-    The queries go to all rows in blocks; rows are never paired with each other.
+    The queries go to all rows in blocks; rows are never paired with each other. own: whether a query may find the row of its own id.
+    Each task keeps its k best of a query before rows move. Blocks are broadcast if a count of numbers has shown them to be small.
     """
 
     def norm(c: str) -> Column:
         return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
 
-    few = queries.limit(BLOCKS * BLOCK + 1).count() <= BLOCKS * BLOCK
+    few = (queries.agg(F.sum(F.greatest(F.size("q"), F.lit(1)))).first()[0] or 0) <= NUMBERS
     part = F.pmod(F.xxhash64("query_id"), F.lit(BLOCKS)) if few else F.xxhash64("query_id") % F.lit(10_000)
     block = queries.withColumn("q_norm", norm("q")).groupBy(part.alias("part")).agg(F.collect_list(F.struct("query_id", "q", "q_norm")).alias("block"))
     pairs = rows.withColumn("v_norm", norm("v")).crossJoin(F.broadcast(block) if few else block).select("vec_id", "v", "v_norm", F.explode("block").alias("x"))
     dot = F.aggregate(F.zip_with("v", F.col("x.q"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = pairs.select("vec_id", F.col("x.query_id").alias("query_id"), F.round(dot / (F.col("v_norm") * F.col("x.q_norm")), 6).alias("score")).where("vec_id <> query_id")
+    pairs = pairs if own else pairs.where(F.col("vec_id") != F.col("x.query_id"))
+    scored = pairs.select("vec_id", F.col("x.query_id").alias("query_id"), F.round(dot / (F.col("v_norm") * F.col("x.q_norm")), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
@@ -66,9 +69,11 @@ def fused(lists: DataFrame, key: str, item: str, k: int = 60) -> DataFrame:
 
 
 def round_robin(ranked: DataFrame, key: str, group: str, order: list[Column]) -> DataFrame:
-    """Rounds: the best of each group first, then the second ones; adds round and position."""
-    rounds = ranked.withColumn("round", F.row_number().over(Window.partitionBy(key, group).orderBy(*order)))
-    return rounds.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("round", *order)))
+    """Rounds: the best of each group first, then the second ones, groups always in the order of their best; adds round and position."""
+    own = Window.partitionBy(key)
+    rows = ranked.withColumn("_at", F.row_number().over(own.orderBy(*order)))
+    rows = rows.withColumn("round", F.row_number().over(Window.partitionBy(key, group).orderBy("_at"))).withColumn("_best", F.min("_at").over(Window.partitionBy(key, group)))
+    return rows.withColumn("position", F.row_number().over(own.orderBy("round", "_best"))).drop("_at", "_best")
 
 
 def recall_size(top: int) -> int:

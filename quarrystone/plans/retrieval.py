@@ -73,8 +73,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 def vector_self_search(spark: SparkSession, d: str) -> DataFrame:
     """A stored vector finds itself, or an equal one of smaller id, first."""
     e, q = vectors(spark, d)
-    shifted = q.select((F.col("query_id") + 1_000_000_000).alias("query_id"), "q")
-    return S.cosine_top(e, shifted, 1).select((F.col("query_id") - 1_000_000_000).alias("vec_id"), F.col("vec_id").alias("nearest"))
+    return S.cosine_top(e, q, 1, own=True).select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("nearest"))
 
 
 def lists(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +98,8 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "round_robin",
     f"""WITH {LISTS}, p AS (SELECT f.*, o_orderpriority, row_number() OVER (PARTITION BY f.o_custkey, o_orderpriority ORDER BY score DESC, first, f.o_orderkey) AS round FROM f JOIN orders USING (o_orderkey)),
-    n AS (SELECT o_custkey, o_orderkey, round, row_number() OVER (PARTITION BY o_custkey ORDER BY round, score DESC, first, o_orderkey) AS position FROM p)
+    b AS (SELECT *, first_value(row(-score, first, o_orderkey)) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY round) AS best FROM p),
+    n AS (SELECT o_custkey, o_orderkey, round, row_number() OVER (PARTITION BY o_custkey ORDER BY round, best) AS position FROM b)
     SELECT o_custkey, o_orderkey, CAST(round AS INTEGER) AS round, CAST(position AS INTEGER) AS position FROM n WHERE position <= 10""",
 )
 def round_robin(spark: SparkSession, d: str) -> DataFrame:
