@@ -31,7 +31,7 @@ SHARD, LEAST, BUCKETS = 2048, 8, 32
 FIRST = 20
 #: Room for scores that are rounded to six digits.
 ROOM = 1e-5
-#: Terms of all queries together up to which they are broadcast to the blocks.
+#: Terms of all queries together, and candidates, up to which they are broadcast to the blocks.
 BROADCAST_ROWS = 50_000
 POSTINGS = "segment long, term string, shard long, n long, most long, least long, postings array<struct<doc_id long, tf long, length long>>, bucket int"
 DOCS = "segment long, doc_id long, length long, terms array<string>, counts array<int>"
@@ -183,8 +183,11 @@ class Index:
         sums = known.join(rest, "query_id", "left").join(floor(known), "query_id", "left")
         candidates = sums.where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce("floor", F.lit(0.0)))
         candidates = shared.stored(candidates.select("query_id", "doc_id", "shard", "part"), "candidates")
-        held = candidates.select("query_id", "shard").distinct()
-        added = parts(weak, shards=held).join(candidates.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+        pairs, held = candidates.select("query_id", "doc_id"), candidates.select("query_id", "shard").distinct()
+        if pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            added = parts(weak, shards=F.broadcast(held)).join(F.broadcast(pairs), ["query_id", "doc_id"], "left_semi")
+        else:  # shards would be joined by moving whole blocks: postings alone are smaller
+            added = parts(weak).join(pairs, ["query_id", "doc_id"], "left_semi")
         scores = candidates.unionByName(added).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
         out = scores.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
         counts = None
