@@ -23,10 +23,11 @@ def query_terms(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"[\s,，;；、|/]+"), lambda t: t != ""))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score, rank: docs (doc_id, text) by BM25 against queries (query_id, text).
 
     Null texts count as empty documents. Postings are counted once per term and document and cut down to the queries' terms before they are joined.
+    within (doc_id): the documents that may be found; statistics are of all.
     """
     tokens = docs.select("doc_id", terms(F.coalesce("text", F.lit(""))).alias("terms"))
     stats = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("mean"))
@@ -34,6 +35,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     vocabulary = wanted.select("term").distinct()
     postings = tokens.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(F.broadcast(vocabulary) if queries.limit(10_001).count() <= 10_000 else vocabulary, "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    if within is not None:
+        postings = postings.join(within, "doc_id", "left_semi")
     scored = postings.join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))

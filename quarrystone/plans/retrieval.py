@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import first_rule
+from quarrystone.operators import evidence as E
 from quarrystone.operators import search as S
 from quarrystone.operators.inverted import Index
 from quarrystone.plans.registry import ORACLES, query
@@ -127,3 +128,58 @@ def metadata_match(spark: SparkSession, d: str) -> DataFrame:
 @query("first_rule_codes", "SELECT p_partkey, CASE WHEN contains(p_type, 'STEEL') THEN 'A' WHEN contains(p_type, 'BRASS') OR contains(p_type, 'TIN') THEN 'B' ELSE 'C' END AS code FROM part")
 def first_rule_codes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", first_rule(F.col("p_type"), ((("STEEL",), "A"), (("BRASS", "TIN"), "B")), "C").alias("code"))
+
+
+#: What the queries ask of products, and the hard condition.
+ASKED, PRICE = ["产品 economy，1-2年", "保本"], 980
+_FOUND = f"""income AS (SELECT *, CASE WHEN p_brand LIKE '%5' THEN '非保本浮动' WHEN p_brand LIKE '%4' THEN '保本固定' ELSE '其他' END AS income FROM part WHERE p_retailprice < {PRICE}),
+    e AS (SELECT p_partkey, contains(lower(concat_ws(chr(10), p_name, p_type, p_brand)), 'economy')::INT + (floor(p_size * 36.5) BETWEEN 365 AND 730)::INT + (income = '保本固定')::INT AS score, income = '非保本浮动' AS against FROM income),
+    m AS (SELECT * FROM e WHERE score > 0 AND NOT against), l AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_orderkey IN (SELECT doc_id FROM documents)),
+    f AS (SELECT l_orderkey AS doc_id, p_partkey AS product_id FROM m JOIN l ON p_partkey = l_partkey QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, p_partkey) = 1)"""
+
+
+def _found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    income = F.when(F.col("p_brand").endswith("5"), "非保本浮动").when(F.col("p_brand").endswith("4"), "保本固定").otherwise("其他")
+    none = F.lit(None).cast("string")
+    rows = table(spark, d, "part").where(F.col("p_retailprice") < PRICE).select(
+        F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_type").alias("product_category"), income.alias("income_type"), F.col("p_brand").alias("operation_mode"),
+        *[none.alias(c) for c in ("term_type", "liquidity_rule", "target_customer", "eligibility_conditions", "risk_level")], F.floor(F.col("p_size") * 36.5).alias("term_days"))
+    return E.matched(rows, ASKED)
+
+
+def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    found, notes = _found(spark, d)
+    vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("v"))
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "text").join(vecs, "chunk_id", "left")
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(vecs.select(F.col("chunk_id").alias("query_id"), F.col("v").alias("q")), "query_id", "left")
+    links = table(spark, d, "lineitem").select(F.col("l_partkey").alias("product_id"), F.col("l_orderkey").alias("document_id")).distinct()
+    out, issues = E.evidence(found, links, chunks, queries)
+    return out, notes.unionByName(issues)
+
+
+_SCORES = ORACLES["bm25_topk"].split("SELECT query_id, doc_id, round(score, 4)")[0].rstrip()
+
+
+@query(
+    "product_evidence",
+    f"""{_SCORES}, {_FOUND}, c AS ({COSINE.format("").replace("q.vec_id % 50 = 0", "q.vec_id IN (SELECT item_id FROM benchmark)")} AND e.vec_id IN (SELECT doc_id FROM f)),
+    r AS (SELECT query_id, doc_id, 0 AS list, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE doc_id IN (SELECT doc_id FROM f)
+      UNION ALL SELECT query_id, vec_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) FROM c),
+    u AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, min(list * 1000000 + rank) AS first FROM r WHERE rank <= 30 GROUP BY 1, 2),
+    o AS (SELECT u.*, product_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, u.doc_id) AS place FROM u JOIN f USING (doc_id)),
+    g AS (SELECT *, row_number() OVER (PARTITION BY query_id, product_id ORDER BY place) AS round, min(place) OVER (PARTITION BY query_id, product_id) AS best FROM o),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round, best) AS position FROM g)
+    SELECT query_id, doc_id AS chunk_id, product_id, CAST(round AS INTEGER) AS round, CAST(position AS INTEGER) AS position FROM n WHERE position <= 10""",
+)
+def product_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """For each benchmark item the ten best chunks of products that fit, product by product."""
+    return _evidence(spark, d)[0].drop("score")
+
+
+@query(
+    "product_issues",
+    f"""WITH {_FOUND} SELECT 'DOCUMENT_MAPPING' AS stage, 'MISSING_DOCUMENT_MAPPING' AS code, CAST(NULL AS BIGINT) AS query_id, p_partkey AS product_id FROM m WHERE p_partkey NOT IN (SELECT l_partkey FROM l)""",
+)
+def product_issues(spark: SparkSession, d: str) -> DataFrame:
+    """What a retrieval has to say about products and queries it could not serve."""
+    return _evidence(spark, d)[1]
