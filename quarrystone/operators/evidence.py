@@ -31,19 +31,20 @@ def _issues(rows: DataFrame, stage: str, code: str) -> DataFrame:
     return rows.select(F.lit(stage).alias("stage"), F.col(code).alias("code"), query.cast("long").alias("query_id"), product.cast("long").alias("product_id"))
 
 
-def evidence(found: DataFrame, links: DataFrame, chunks: DataFrame, queries: DataFrame, top: int = 10) -> tuple[DataFrame, DataFrame]:
+def evidence(found: DataFrame, links: DataFrame, chunks: DataFrame, queries: DataFrame, top: int = 10, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(query_id, chunk_id, product_id, score, round, position; issues) of the best chunks for each query.
 
     found: products (product_id, score); links (product_id, document_id); chunks (chunk_id, document_id, text, v); queries
-    (query_id, text, q). Term statistics are those of all chunks; only chunks of found products are ranked. Products take turns,
+    (query_id, text, q). vectors (chunk_id, v), where given, stand in for the chunks' v, so that texts need not be joined with them. Term statistics are those of all chunks; only chunks of found products are ranked. Products take turns,
     in the order of their best chunk.
     """
     known = chunks.select("document_id").distinct()
     owned, without = P.documents_of(found.select("product_id", (-F.col("score")).alias("position")), links.join(known, "document_id", "left_semi"))
-    inside = chunks.join(owned, "document_id")
+    inside = chunks.select("chunk_id", "document_id").join(owned, "document_id")  # ids only: texts and vectors stay where they are
     most = S.recall_size(top)
     by_text = S.bm25(chunks.select(F.col("chunk_id").alias("doc_id"), "text"), queries, most, within=inside.select(F.col("chunk_id").alias("doc_id")))
-    by_vector = S.cosine_top(inside.where("v is not null").select(F.col("chunk_id").alias("vec_id"), "v"), queries.where("q is not null").select("query_id", "q"), most, own=True)
+    given = (chunks if vectors is None else vectors).where("v is not null").join(inside, "chunk_id", "left_semi")
+    by_vector = S.cosine_top(given.select(F.col("chunk_id").alias("vec_id"), "v"), queries.where("q is not null").select("query_id", "q"), most, own=True)
     ranks = by_text.select("query_id", F.col("doc_id").alias("chunk_id"), F.lit(0).alias("list"), "rank").unionByName(by_vector.select("query_id", F.col("vec_id").alias("chunk_id"), F.lit(1).alias("list"), "rank"))
     scored = S.fused(ranks, "query_id", "chunk_id").join(inside.select("chunk_id", "product_id"), "chunk_id")
     out = S.round_robin(scored, "query_id", "product_id", [F.desc("score"), F.col("first"), F.col("chunk_id")]).where(F.col("position") <= top)

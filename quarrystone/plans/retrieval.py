@@ -150,10 +150,10 @@ def _found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     found, notes = _found(spark, d)
     vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("v"))
-    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "text").join(vecs, "chunk_id", "left")
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "text")
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(vecs.select(F.col("chunk_id").alias("query_id"), F.col("v").alias("q")), "query_id", "left")
     links = table(spark, d, "lineitem").select(F.col("l_partkey").alias("product_id"), F.col("l_orderkey").alias("document_id")).distinct()
-    out, issues = E.evidence(found, links, chunks, queries)
+    out, issues = E.evidence(found, links, chunks, queries, vectors=vecs)
     return out, notes.unionByName(issues)
 
 
