@@ -6,7 +6,7 @@ issues that this calls for come from `quality_issues`. All rules are expressions
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,16 +131,24 @@ def market_relations(df: DataFrame, keys: Sequence[str], column: str) -> DataFra
     return found.select(*keys, "position", "relation", "item", text.without_brackets(F.col("raw")).alias("name")).where("name <> ''")
 
 
+def event_type(c: Column, kind: str) -> Column:
+    """The type of an event's text. kind: POLICY, CAPITAL or OPERATING."""
+    if kind == "POLICY":
+        return text.first_rule(c, ((("政策导向",), "INDUSTRY_POLICY"),), "INDUSTRY_TREND")
+    table = rules.ENTERPRISE_EVENTS if kind == "CAPITAL" else (*rules.ENTERPRISE_EVENTS, rules.CAPITAL)
+    return text.first_rule(c, table, "CAPITAL_OPERATION" if kind == "CAPITAL" else "OPERATING_EVENT")
+
+
 def enterprise_events(df: DataFrame, keys: Sequence[str], column: str, kind: str) -> DataFrame:
     """event_type, risk_level of each part; parts that say there is none are skipped. kind: POLICY, CAPITAL or OPERATING."""
+    return enterprise_events_by(df, keys, column, {"event_type": kind})
+
+
+def enterprise_events_by(df: DataFrame, keys: Sequence[str], column: str, kinds: Mapping[str, str]) -> DataFrame:
+    """enterprise_events of several kinds (column of the type: kind) in one pass over the parts, which need no join."""
     rows = parts_of(df, keys, column).where(~F.col("part").startswith("无"))
     c = F.col("part")
-    if kind == "POLICY":
-        event = text.first_rule(c, ((("政策导向",), "INDUSTRY_POLICY"),), "INDUSTRY_TREND")
-    else:
-        table = rules.ENTERPRISE_EVENTS if kind == "CAPITAL" else (*rules.ENTERPRISE_EVENTS, rules.CAPITAL)
-        event = text.first_rule(c, table, "CAPITAL_OPERATION" if kind == "CAPITAL" else "OPERATING_EVENT")
-    return rows.select(*keys, "position", event.alias("event_type"), text.first_rule(c, rules.EVENT_RISK, "PENDING_VERIFICATION").alias("risk_level"), "part")
+    return rows.select(*keys, "position", *[event_type(c, kind).alias(name) for name, kind in kinds.items()], text.first_rule(c, rules.EVENT_RISK, "PENDING_VERIFICATION").alias("risk_level"), "part")
 
 
 def family_members(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:

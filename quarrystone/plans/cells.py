@@ -114,10 +114,8 @@ def etl_market_relations(spark: SparkSession, d: str) -> DataFrame:
 )
 def etl_enterprise_events(spark: SparkSession, d: str) -> DataFrame:
     rows = cells(spark, d, "第{s}次被监管处罚；董事长连任；完成回购；政策导向明确；无重大事件")
-    keys = ["p_partkey", "position"]
-    each = {k: E.enterprise_events(rows, KEYS, "cell", k) for k in ("OPERATING", "CAPITAL", "POLICY")}
-    first = each["OPERATING"].select(*keys, F.col("event_type").alias("operating"), F.col("risk_level").alias("risk"))
-    return first.join(each["CAPITAL"].select(*keys, F.col("event_type").alias("capital")), keys).join(each["POLICY"].select(*keys, F.col("event_type").alias("policy")), keys)
+    found = E.enterprise_events_by(rows, KEYS, "cell", {"operating": "OPERATING", "capital": "CAPITAL", "policy": "POLICY"})
+    return found.select("p_partkey", "position", "operating", "capital", "policy", F.col("risk_level").alias("risk"))
 
 
 @query(
