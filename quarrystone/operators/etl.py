@@ -30,8 +30,8 @@ AMOUNTS = (
     ("TOTAL_LIABILITIES", "总负债"), ("OPERATING_CASH_FLOW", "经营现金流"), ("CASH_RESERVES", "现金储备"), ("AUM", "管理资产规模"), ("OPERATING_PROFIT", "经营利润"), ("RND_EXPENSE", "研发投入"),
 )
 PERCENTS = (("GROSS_MARGIN", "毛利率"), ("NET_MARGIN", "净利率"), ("RND_RATIO", "研发投入占比"), ("OVERSEAS_REVENUE_RATIO", "海外收入占比"), ("INNOVATIVE_DRUG_REVENUE_RATIO", "创新药收入占比"))
-#: Text before a match in which its year is looked for.
-BEFORE = r"(?<=(^.{0,35}|.{36}))"
+#: Code points before a match in which its year is looked for.
+BEFORE = 36
 
 
 def exploded(df: DataFrame, keys: Sequence[str], rows: Column) -> DataFrame:
@@ -210,11 +210,20 @@ def first_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def matches(c: Column, name: str, rest: str) -> Column:
     """All matches of name and rest: period (the last year before the match, else 2025), the groups of rest as text, and the match.
 
-    The name is looked for first: looking back at every place would cost far more.
+    Most texts hold few of the names, so whether there is a match comes first. What stands before matches is cut from the text by its
+    place, as looking back from every place costs far more.
     """
-    whole = rf"(?s)(?={name}){BEFORE}({name}{rest})"
-    before, all_, value, unit = (F.regexp_extract_all(c, F.lit(whole), F.lit(i)) for i in (1, 2, 3, 4))
-    return F.transform(F.arrays_zip(before.alias("before"), all_.alias("all"), value.alias("value"), unit.alias("unit")), lambda m: F.struct(F.coalesce(text.found(m.before, r"(?s)^.*(20\d{2})年"), F.lit("2025")).alias("period"), m.all.alias("all"), m.value.alias("value"), m.unit.alias("unit")))
+    pattern, groups = rf"(?s){name}{rest}", rf"(?s)({name}{rest})"
+    both = F.struct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("found"), F.split(c, pattern).alias("between"))
+
+    def row(b: Column, m: Column, i: Column) -> Column:
+        start = F.length(F.array_join(F.slice(b["between"], F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(b["found"], F.lit(1), i), ""))
+        before = F.substring(c, F.greatest(start - BEFORE, F.lit(0)) + 1, F.least(start, F.lit(BEFORE)))
+        year = F.regexp_extract(before, r"(?s)^.*(20\d{2})年", 1)
+        return F.struct(F.when(year == "", "2025").otherwise(year).alias("period"), m.alias("all"), F.regexp_extract(m, groups, 2).alias("value"), F.regexp_extract(m, groups, 3).alias("unit"))
+
+    rows = F.flatten(F.transform(F.array(both), lambda b: F.transform(b["found"], lambda m, i: row(b, m, i))))  # in a lambda both are computed once
+    return F.when(c.rlike(pattern), rows).otherwise(F.array().cast("array<struct<period:string,all:string,value:string,unit:string>>"))
 
 
 def financial_metrics(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions import text
 from quarrystone.operators import etl as E
 from quarrystone.plans.registry import query
-from quarrystone.sources.tables import table
+from quarrystone.sources.tables import spread, table
 
 KEYS = ["p_partkey"]
 
@@ -17,7 +17,7 @@ def cells(spark: SparkSession, d: str, *pieces: str | Column) -> DataFrame:
     """p_partkey, p_size, cell: pieces of a cell, with {s} for the part's size."""
     size = F.col("p_size").cast("string")
     made = [F.replace(F.lit(p), F.lit("{s}"), size) if isinstance(p, str) else p for p in pieces]
-    return table(spark, d, "part").select("p_partkey", "p_size", F.concat(*made).alias("cell"))
+    return spread(table(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", "p_size", F.concat(*made).alias("cell"))
 
 
 def union(*rows: str, where: str = "") -> str:

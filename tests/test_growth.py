@@ -5,6 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
+from quarrystone.operators import etl
 from quarrystone.plans import catalogue
 
 
@@ -27,3 +28,12 @@ def test_F01_enterprise_events_take_one_pass(spark, tmp_path):
     df = catalogue.QUERIES["etl_enterprise_events"](spark, d)
     assert "Join" not in plan(df) and "Broadcast" not in plan(df)
     assert sorted((r.p_partkey, r.position, r.policy) for r in df.collect())[:3] == [(1, 0, "INDUSTRY_TREND"), (1, 0, "INDUSTRY_TREND"), (1, 1, "INDUSTRY_TREND")] and df.count() == 12
+
+
+def test_F04_metrics_rows_are_spread_and_years_looked_back_36_code_points(spark, tmp_path):
+    d = stored(spark, tmp_path, part=spark.range(100).selectExpr("id as p_partkey", "1 as p_size").coalesce(1))
+    assert "RoundRobinPartitioning" in plan(catalogue.QUERIES["etl_metrics"](spark, d))
+    cell = ["2021年" + "𠀀" * 31 + "净利润1亿元，净利润2亿元", "2021年" + "𠀀" * 32 + "净利润1亿元", "净利润1亿元2020年净利润2亿元；归母净利润3亿元"]
+    df = spark.createDataFrame(list(enumerate(cell)), "k int, cell string")
+    got = sorted((r.k, r.period, float(r.value)) for r in etl.financial_metrics(df, ["k"], "cell").collect())
+    assert got == [(0, "2021", 1.0), (0, "2025", 2.0), (1, "2025", 1.0), (2, "2020", 3.0), (2, "2025", 1.0)]
