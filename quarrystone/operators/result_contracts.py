@@ -5,7 +5,7 @@ A shape is a text, one of some values, a list, an object or anything that isn't
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -120,34 +120,51 @@ def _found(when: Column, path: Column, problem: str) -> Column:
     return F.when(F.coalesce(when, F.lit(False)), row).otherwise(F.array().cast(FOUND))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), an array, with the value computed once however often f names it."""
+    return F.flatten(F.transform(F.array(value), f))
+
+
 def departures(value: Column, shape: Shape, path: Column) -> Column:
     """Array of (field, problem) of a variant that should have that shape. What isn't a list or an object has one problem."""
-    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-    if isinstance(shape, Text | OneOf):
-        text = F.try_variant_get(value, "$", "string")
-        if isinstance(shape, OneOf):
-            return _found((kind != "STRING") | ~text.isin(*shape.values), path, "ENUM")
-        return _found((kind != "STRING") | (strip(text) == "") | ((F.length(text) > shape.most) if shape.most else F.lit(False)), path, "TEXT")
+    if isinstance(shape, Many):
+        return _once(F.try_variant_get(value, "$", "array<variant>"), lambda items: _list(items, shape, path))
+    if isinstance(shape, Object):
+        return _once(F.try_variant_get(value, "$", "map<string,variant>"), lambda fields: _object(fields, shape, path))
+    return _once(value, lambda v: _single(v, shape, path))
+
+
+def _single(value: Column, shape: Shape, path: Column) -> Column:
     if isinstance(shape, Positive):
         return _found(F.coalesce(F.try_variant_get(value, "$", "double"), F.lit(0.0)) <= 0, path, "NOT_POSITIVE")
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
     if isinstance(shape, Present):
         return _found(kind == "VOID", path, "MISSING")
-    if isinstance(shape, Many):
-        items = F.try_variant_get(value, "$", "array<variant>")
-        size = F.size(items)
-        wrong = ((size > shape.most) if shape.most is not None else F.lit(False)) | (size < shape.least)
-        rows = F.concat(_found(~kind.startswith("ARRAY"), path, "LIST"), _found(kind.startswith("ARRAY") & wrong, path, "SIZE"))
-        if shape.item is None:
-            return rows
-        item = shape.item
-        inner = F.flatten(F.transform(items, lambda x, i: departures(x, item, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
-        return F.concat(rows, F.coalesce(inner, F.array().cast(FOUND)))
-    is_object = kind.startswith("OBJECT")
-    parts = [departures(F.try_variant_get(value, f"$.{n}", "variant"), s, F.concat(F.when(path == "", "").otherwise(F.concat(path, F.lit("."))), F.lit(n))) for n, s in shape.fields.items()]
+    text = F.try_variant_get(value, "$", "string")
+    if isinstance(shape, OneOf):
+        return _found((kind != "STRING") | ~text.isin(*shape.values), path, "ENUM")
+    return _found((kind != "STRING") | (strip(text) == "") | ((F.length(text) > shape.most) if shape.most else F.lit(False)), path, "TEXT")
+
+
+def _list(items: Column, shape: Many, path: Column) -> Column:
+    """items: null where the value is no list."""
+    size = F.size(items)
+    wrong = ((size > shape.most) if shape.most is not None else F.lit(False)) | (size < shape.least)
+    rows = F.concat(_found(items.isNull(), path, "LIST"), _found(items.isNotNull() & wrong, path, "SIZE"))
+    if shape.item is None:
+        return rows
+    item = shape.item
+    inner = F.flatten(F.transform(items, lambda x, i: departures(x, item, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+    return F.concat(rows, F.coalesce(inner, F.array().cast(FOUND)))
+
+
+def _object(fields: Column, shape: Object, path: Column) -> Column:
+    """fields: null where the value is no object."""
+    parts = [departures(F.try_element_at(fields, F.lit(n)), s, F.concat(F.when(path == "", "").otherwise(F.concat(path, F.lit("."))), F.lit(n))) for n, s in shape.fields.items()]
     if shape.exact:
-        more = F.array_except(F.json_object_keys(F.to_json(value)), F.array(*[F.lit(n) for n in shape.fields]))
+        more = F.array_except(F.map_keys(fields), F.array(*[F.lit(n) for n in shape.fields]))
         parts.append(_found(F.size(more) > 0, path, "UNKNOWN_FIELD"))
-    return F.when(is_object, F.concat(*parts)).otherwise(F.array(F.struct(path.alias("field"), F.lit("OBJECT").alias("problem"))))
+    return F.when(fields.isNotNull(), F.concat(*parts)).otherwise(F.array(F.struct(path.alias("field"), F.lit("OBJECT").alias("problem"))))
 
 
 def parsed(c: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.operators import result_contracts as C
 from quarrystone.plans.registry import query
-from quarrystone.sources.tables import table
+from quarrystone.sources.tables import spread, table
 
 GOOD: dict[str, Any] = {
     "riskLevel": "LOW",
@@ -56,7 +56,7 @@ FAULTS = """(VALUES (2, '', 'OBJECT'), (3, 'riskLevel', 'ENUM'), (4, 'summary',
 
 def answers(spark: SparkSession, d: str, texts: list[str]) -> DataFrame:
     form = (F.col("c_custkey") % len(texts) + 1).cast("int")
-    return table(spark, d, "customer").select("c_custkey", F.element_at(F.array(*[F.lit(t) for t in texts]), form).alias("answer"))
+    return spread(table(spark, d, "customer").select("c_custkey")).select("c_custkey", F.element_at(F.array(*[F.lit(t) for t in texts]), form).alias("answer"))
 
 
 @query("customer_results", f"SELECT c_custkey, field, problem FROM customer JOIN {FAULTS} ON c_custkey % {len(ANSWERS)} = form")

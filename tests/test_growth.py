@@ -37,3 +37,9 @@ def test_F04_metrics_rows_are_spread_and_years_looked_back_36_code_points(spark,
     df = spark.createDataFrame(list(enumerate(cell)), "k int, cell string")
     got = sorted((r.k, r.period, float(r.value)) for r in etl.financial_metrics(df, ["k"], "cell").collect())
     assert got == [(0, "2021", 1.0), (0, "2025", 2.0), (1, "2025", 1.0), (2, "2020", 3.0), (2, "2025", 1.0)]
+
+
+def test_F05_answers_are_spread(spark, tmp_path):
+    d = stored(spark, tmp_path, customer=spark.range(100).selectExpr("id as c_custkey").coalesce(1))
+    assert "RoundRobinPartitioning" in plan(catalogue.QUERIES["customer_results"](spark, d))
+    assert "RoundRobinPartitioning" in plan(catalogue.QUERIES["scheme_results"](spark, d))
