@@ -9,7 +9,7 @@ from quarrystone.operators import chunks as C
 from quarrystone.operators import relational as R
 from quarrystone.operators import streams
 from quarrystone.plans.registry import query
-from quarrystone.sources.tables import table
+from quarrystone.sources.tables import spread, table
 
 
 #: Blocks of HTML by splitting at tags; the kinds and texts that follow each.
@@ -180,7 +180,7 @@ def tables(spark: SparkSession, d: str) -> DataFrame:
     name, brand, size = F.col("p_name"), F.col("p_brand"), F.col("p_size").cast("string")
     rows = F.array(F.array(F.lit("品 牌"), brand), F.array(size, F.lit(" 7")), F.array(F.lit(""), F.concat(F.lit("注："), name)))
     pairs = F.array(F.struct(F.lit("类型").alias("key"), F.col("p_type").alias("value")), F.struct(F.lit("品 牌").alias("key"), brand.alias("value")))
-    return table(spark, d, "part").select("p_partkey", rows.alias("rows"), F.when(F.col("p_partkey") % 3 > 0, pairs).alias("pairs"), F.lit("").alias("text"))
+    return spread(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_type")).select("p_partkey", rows.alias("rows"), F.when(F.col("p_partkey") % 3 > 0, pairs).alias("pairs"), F.lit("").alias("text"))
 
 
 @query(
@@ -199,7 +199,7 @@ def table_units(spark: SparkSession, d: str) -> DataFrame:
 def table_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Rows of 99 characters, p_size of them: five to a chunk."""
     rows = F.array_repeat(F.array(F.repeat(F.lit("x"), F.lit(99))), F.col("p_size"))
-    t = table(spark, d, "part").select("p_partkey", rows.alias("rows"), F.lit(None).cast("array<struct<key:string,value:string>>").alias("pairs"), F.lit("").alias("text"))
+    t = spread(table(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", rows.alias("rows"), F.lit(None).cast("array<struct<key:string,value:string>>").alias("pairs"), F.lit("").alias("text"))
     return C.table_chunks(t, "p_partkey").select("p_partkey", "position", "tokens")
 
 

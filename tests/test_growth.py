@@ -43,3 +43,9 @@ def test_F05_answers_are_spread(spark, tmp_path):
     d = stored(spark, tmp_path, customer=spark.range(100).selectExpr("id as c_custkey").coalesce(1))
     assert "RoundRobinPartitioning" in plan(catalogue.QUERIES["customer_results"](spark, d))
     assert "RoundRobinPartitioning" in plan(catalogue.QUERIES["scheme_results"](spark, d))
+
+
+def test_F12_tables_are_spread(spark, tmp_path):
+    d = stored(spark, tmp_path, part=spark.range(100).selectExpr("id as p_partkey", "7 as p_size", "'n' as p_name", "'b' as p_brand", "'t' as p_type").coalesce(1))
+    for name in ("table_chunks", "table_units"):
+        assert "RoundRobinPartitioning" in plan(catalogue.QUERIES[name](spark, d))
