@@ -5,7 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from quarrystone.operators import etl
+from quarrystone.operators import etl, search
 from quarrystone.plans import catalogue
 
 
@@ -49,3 +49,27 @@ def test_F12_tables_are_spread(spark, tmp_path):
     d = stored(spark, tmp_path, part=spark.range(100).selectExpr("id as p_partkey", "7 as p_size", "'n' as p_name", "'b' as p_brand", "'t' as p_type").coalesce(1))
     for name in ("table_chunks", "table_units"):
         assert "RoundRobinPartitioning" in plan(catalogue.QUERIES[name](spark, d))
+
+
+def test_F02_F03_vectors_are_searched_in_packs(spark):
+    rows = [(i, [float((i * 7 + j * 3) % 11 - 5) for j in range(4)]) for i in range(1, 60)] + [(60, None), (61, [1.0, None, 0.0, 0.0]), (62, [1.0]), (63, [1.0, 0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    q = v.where("vec_id % 5 = 0").selectExpr("vec_id as query_id", "v as q")
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a + b:
+            return None
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5), 6)
+
+    for own, k in ((False, 3), (True, 1), (False, 70)):
+        want = []
+        for i, a in rows:
+            if i % 5 == 0:
+                found = [(cosine(a, b), j) for j, b in rows if own or i != j]
+                found.sort(key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+                want += [(i, j, s, n) for n, (s, j) in enumerate(found[:k], 1)]
+        df = search.cosine_top(v, q, k, own=own)
+        assert "mapInArrow" in plan(df) or "MapInArrow" in plan(df)
+        assert sorted(map(tuple, df.collect())) == sorted(want)
+    zero = search.cosine_top(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], v.schema), spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, q array<double>"), 1)
+    assert [(r.vec_id, str(r.score)) for r in zero.collect()] == [(2, "nan")]
