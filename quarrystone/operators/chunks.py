@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import page_number, strip
 
 TARGET, MOST = 400, 500
+#: Code points of chunks that a task holds before it hands them on.
+HELD = 1_000_000
 SEPARATORS = ("\n\n", "\n", "。", "；", "，", "")
 
 
@@ -108,12 +111,25 @@ def chunked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     """id, chunk_id, position, content, tokens: whole texts in order; a code point counts as a token, as in a test without a tokenizer."""
     kind = docs.schema[id_column].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, n, c, len(c)) for i, t in zip(batch[id_column], batch[text_column], strict=True) if t for n, c in enumerate(pieces(t, len, target, most), 1)]
-            yield pd.DataFrame(rows, columns=[id_column, "position", "content", "tokens"])
+    def sent(held: list[tuple], first: pa.DataType) -> pa.RecordBatch:
+        columns = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(columns, [first, pa.int32(), pa.string(), pa.int32()], strict=True)], [id_column, "position", "content", "tokens"])
 
-    found = docs.select(id_column, text_column).mapInPandas(run, f"`{id_column}` {kind}, position int, content string, tokens int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for i in range(batch.num_rows):
+                t = batch.column(1)[i].as_py()
+                for n, c in enumerate(pieces(t, len, target, most) if t else (), 1):
+                    held.append((batch.column(0)[i].as_py(), n, c, len(c)))
+                    size += len(c)
+                    if size >= HELD:
+                        yield sent(held, batch.schema.field(0).type)
+                        held, size = [], 0
+            if held:
+                yield sent(held, batch.schema.field(0).type)
+
+    found = docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, position int, content string, tokens int")
     name = F.concat(F.lit("D"), padded(F.col(id_column), 6), F.lit("_C"), padded(F.col("position"), 4))
     return found.select(id_column, name.alias("chunk_id"), "position", "content", "tokens")
 

@@ -5,7 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from quarrystone.operators import etl, search
+from quarrystone.operators import chunks, etl, search
 from quarrystone.plans import catalogue
 
 
@@ -73,3 +73,11 @@ def test_F02_F03_vectors_are_searched_in_packs(spark):
         assert sorted(map(tuple, df.collect())) == sorted(want)
     zero = search.cosine_top(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], v.schema), spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, q array<double>"), 1)
     assert [(r.vec_id, str(r.score)) for r in zero.collect()] == [(2, "nan")]
+
+
+def test_F06_chunks_leave_a_task_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "HELD", 1_000)
+    docs = spark.createDataFrame([(i, "x" * 450 + "。" + "y" * 450) for i in range(7)] + [(7, None), (8, "")], "doc_id long, text string").coalesce(1)
+    df = chunks.chunked(docs)
+    assert "MapInArrow" in plan(df) and "MapInPandas" not in plan(df)
+    assert sorted((r.doc_id, r.position, r.tokens) for r in df.collect()) == [(i, n, t) for i in range(7) for n, t in ((1, 451), (2, 450))]
