@@ -9,7 +9,7 @@ from quarrystone.operators import chunks as C
 from quarrystone.operators import relational as R
 from quarrystone.operators import streams
 from quarrystone.plans.registry import query
-from quarrystone.sources.tables import spread, table
+from quarrystone.sources.tables import by_key, spread, table
 
 
 #: Blocks of HTML by splitting at tags; the kinds and texts that follow each.
@@ -145,7 +145,8 @@ CLAUSES = """b AS (SELECT l_orderkey AS doc_id, l_linenumber AS position, CASE l
 
 def clauses(spark: SparkSession, d: str, form: str, level: int | None) -> DataFrame:
     """Blocks of numbered lines, made from the lines of orders; lines of equal number are one."""
-    t = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_quantity")])
+    lines = by_key(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity"), "l_orderkey")  # all steps keep this partitioning
+    t = lines.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_quantity")])
     here = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
     numbered = F.col("l_quantity") <= 44
     number = F.count_if(numbered).over(here) + F.when((F.col("l_orderkey") % 3 == 0) & (F.col("l_linenumber") >= 5), 10).otherwise(0)
