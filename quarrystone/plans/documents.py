@@ -244,7 +244,7 @@ def document_status(spark: SparkSession, d: str) -> DataFrame:
 )
 def embedding_batches(spark: SparkSession, d: str) -> DataFrame:
     """Batches of three that weren't answered whole."""
-    t = table(spark, d, "lineitem")
+    t = by_key(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "l_orderkey")
     text = F.when(F.col("l_partkey") % 29 == 0, " ").otherwise("x")
     chunks = t.select("l_orderkey", F.col("l_linenumber").alias("position"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("chunk_id"), text.alias("embedding_text"), "l_quantity", "l_suppkey")
     batches = C.embedding_batches(chunks, "l_orderkey", 3)

@@ -84,9 +84,9 @@ def test_F06_chunks_leave_a_task_in_bounded_batches(spark, monkeypatch):
     assert sorted((r.doc_id, r.position, r.tokens) for r in df.collect()) == [(i, n, t) for i in range(7) for n, t in ((1, 451), (2, 450))]
 
 
-def test_F08_F11_partitions_grow_with_the_count(spark, tmp_path):
+def test_F08_F11_F13_partitions_grow_with_the_count(spark, tmp_path):
     assert tables.by_key(spark.range(101), "id", rows=10).rdd.getNumPartitions() == 11
     rows = spark.range(90).selectExpr("id div 7 as l_orderkey", "cast(id % 7 as int) as l_linenumber", "id as l_suppkey", "id as l_partkey", "cast(1 as double) as l_quantity")
     d = stored(spark, tmp_path, lineitem=rows)
-    for name in ("steady_clauses", "steady_siblings"):
+    for name in ("steady_clauses", "steady_siblings", "embedding_batches"):
         assert "REPARTITION_BY_NUM" in plan(catalogue.QUERIES[name](spark, d))
