@@ -6,7 +6,7 @@ manifest stands in the store; a killed task, attempt or job leaves files that no
 it again replaces its manifest, so a rerun with the same rows changes nothing, and the order of runs is that of their first commits.
 
 `Files` is the target at hand: one file of accepted rows and one of failed rows a task, in a folder that pyarrow opens (file, hdfs,
-s3). `graph` reads the elements as all committed runs leave them: properties that a later run sets replace earlier ones.
+s3). It takes columns: rows that are surely right pass as they are, and only the others are looked at one by one. `graph` reads the elements as all committed runs leave them: properties that a later run sets replace earlier ones.
 For a store with a client of its own, give a subclass of `Target` as option `target` (module:Class).
 
 Edge cases. Rows are refused with a reason for a blank id, a label that is no identifier, one endpoint without the other, or a blank
@@ -23,7 +23,9 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as fs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +37,10 @@ ARROW = pa.schema([("id", pa.string()), ("label", pa.string()), ("start_id", pa.
 FAILED = "id string, label string, reason string"
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 BATCH = 500
-#: Rows that a task holds before it writes them.
-GROUP = 5_000
+#: Rows, and bytes of rows, that a task holds before it writes them.
+GROUP, GROUP_BYTES = 50_000, 32_000_000
+#: Texts that have such a character aren't blank, whatever counts as a space.
+SEEN = r"[^\s\pZ\pC]"
 
 
 class Refused(ValueError):
@@ -54,12 +58,41 @@ def checked(row: dict) -> None:
         raise Refused("PROPERTY_NAME")
 
 
+def surely(batch: pa.RecordBatch) -> pa.BooleanArray:
+    """Rows that `checked` takes, judged by columns; rows of unusual spelling may be missing."""
+
+    def has(column: pa.Array, pattern: str) -> pa.Array:
+        return pc.fill_null(pc.match_substring_regex(column, pattern), False)
+
+    ends = [pc.fill_null(pc.greater(pc.binary_length(batch.column(c)), 0), False) for c in ("start_id", "end_id")]
+    good = pc.and_(pc.and_(has(batch.column("id"), SEEN), has(batch.column("label"), rf"\A{NAME.pattern[:-2]}\z")), pc.equal(*ends))
+    properties = batch.column("properties")
+    named = np.ones(len(properties), bool)
+    start, end = (properties.offsets[i].as_py() for i in (0, -1))
+    unsure = pc.invert(has(properties.keys.slice(start, end - start), SEEN)).to_numpy(zero_copy_only=False)
+    named[np.searchsorted(properties.offsets.to_numpy(), np.flatnonzero(unsure) + start, "right") - 1] = False
+    return pc.and_(good, pa.array(named))
+
+
 class Target:
     """Where one task's rows go."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.options = options
 
+    def take(self, batch: pa.RecordBatch) -> list[tuple]:
+        """Takes a batch whole, or its rows one by one if it fails; the rows that fail (id, label, reason)."""
+        rows, failed = batch.to_pylist(), []
+        try:
+            self.merge(rows)
+        except Exception:  # noqa: BLE001  whatever a store raises, the other rows of the batch go out alone
+            for row in rows:
+                try:
+                    self.merge([row])
+                except Exception as e:  # noqa: BLE001
+                    failed.append((row["id"], row["label"], str(e) if isinstance(e, Refused) else type(e).__name__))
+        return failed
+
     def merge(self, rows: list[dict]) -> None:
         """Takes all of the rows or raises and takes none."""
         raise NotImplementedError
@@ -77,25 +110,46 @@ class Files(Target):
         super().__init__(options)
         self.store, self.root = fs.FileSystem.from_uri(options["path"])
         self.name, self.writer, self.held = uuid.uuid4().hex, None, []
-        self.waiting = 0
+        self.waiting = self.bytes = 0
 
     def _path(self, kind: str) -> str:
         self.store.create_dir(f"{self.root}/{kind}", recursive=True)
         return f"{self.root}/{kind}/{self.name}.parquet"
 
+    def take(self, batch: pa.RecordBatch) -> list[tuple]:
+        if type(self).merge is not Files.merge:  # a subclass has checks of its own
+            return super().take(batch)
+        sure = surely(batch)
+        self._hold(pa.Table.from_batches([batch.filter(sure)]).cast(ARROW))
+        rest, failed, good = batch.filter(pc.invert(sure)).to_pylist(), [], []
+        for row in rest:
+            try:
+                checked(row)
+                good.append(row)
+            except Refused as e:
+                failed.append((row["id"], row["label"], str(e)))
+        self.merge(good)
+        return failed
+
     def merge(self, rows: list[dict]) -> None:
         for row in rows:
             checked(row)
-        self.held.append(pa.Table.from_pylist(rows, ARROW))  # nothing counts before the commit, so rows wait for a row group
-        self.waiting += len(rows)
-        if self.waiting >= GROUP:
+        self._hold(pa.Table.from_pylist(rows, ARROW))
+
+    def _hold(self, rows: pa.Table) -> None:
+        """Nothing counts before the commit, so rows wait for a row group."""
+        if rows.num_rows:
+            self.held.append(rows)
+        self.waiting += rows.num_rows
+        self.bytes += rows.nbytes
+        if self.waiting >= GROUP or self.bytes >= GROUP_BYTES:
             self._group()
 
     def _group(self) -> None:
         if self.writer is None:
             self.writer = pq.ParquetWriter(self._path("rows"), ARROW, filesystem=self.store)
         self.writer.write_table(pa.concat_tables(self.held).combine_chunks())
-        self.held, self.waiting = [], 0
+        self.held, self.waiting, self.bytes = [], 0, 0
 
     def closed(self, failed: list[tuple]) -> list[str]:
         out = []
@@ -136,17 +190,10 @@ class Writer(DataSourceArrowWriter):
         target, failed, merged = _target(self.options), [], 0
         for batch in iterator:
             for at in range(0, batch.num_rows, self.size):
-                rows = batch.slice(at, self.size).to_pylist()
-                try:
-                    target.merge(rows)
-                    merged += len(rows)
-                except Exception:  # noqa: BLE001  whatever a store raises, the other rows of the batch go out alone
-                    for row in rows:
-                        try:
-                            target.merge([row])
-                            merged += 1
-                        except Exception as e:  # noqa: BLE001
-                            failed.append((row["id"], row["label"], str(e) if isinstance(e, Refused) else type(e).__name__))
+                part = batch.slice(at, self.size)
+                lost = target.take(part)
+                failed += lost
+                merged += part.num_rows - len(lost)
         return Written(merged, len(failed), target.closed(failed))
 
     def commit(self, messages: list[Written | None]) -> None:

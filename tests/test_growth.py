@@ -3,11 +3,12 @@
 import contextlib
 import io
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarrystone.operators import chunks, etl, search
 from quarrystone.plans import catalogue
-from quarrystone.sources import tables
+from quarrystone.sources import graph_sink, tables
 
 
 def plan(df) -> str:
@@ -90,3 +91,19 @@ def test_F08_F11_F13_partitions_grow_with_the_count(spark, tmp_path):
     d = stored(spark, tmp_path, lineitem=rows)
     for name in ("steady_clauses", "steady_siblings", "embedding_batches"):
         assert "REPARTITION_BY_NUM" in plan(catalogue.QUERIES[name](spark, d))
+
+
+def test_F14_bad_rows_dont_make_a_sink_look_at_good_ones(spark, tmp_path, monkeypatch):
+    looked, check = [], graph_sink.checked
+    monkeypatch.setattr(graph_sink, "checked", lambda row: looked.append(row["id"]) or check(row))
+    kinds = [(i, "王", None, [("名", "x"), ("b", None)]) for i in range(600)] + [(i, "A", "e", None) for i in range(600, 1_200)]
+    rows = [{"id": f"{p}{i}", "label": "A b" if i % 100 == 7 else "A", "start_id": e and "s", "end_id": e, "properties": m} for i, p, e, m in kinds]
+    odd = [("", "A", None, "BLANK_ID"), ("\x1c", "A", None, "BLANK_ID"), (None, "A", None, "BLANK_ID"), ("x", None, None, "LABEL"), ("y", "A\n", None, "LABEL"), ("z", "A", "e", "ENDPOINT_NOT_FOUND")]
+    rows += [{"id": i, "label": n, "start_id": None, "end_id": e, "properties": None} for i, n, e, _ in odd] + [{"id": "w", "label": "A", "start_id": "", "end_id": None, "properties": [("a", "1"), ("\u3000", "2")]}]
+    batch = pa.RecordBatch.from_pylist(rows[::-1], graph_sink.ARROW).slice(0, len(rows))
+    done = graph_sink.Writer({"path": f"file://{tmp_path}"}).write(iter([batch.slice(0, 5), batch.slice(5)]))
+    assert (done.merged, done.failed) == (1_188, 19) and len(looked) < 30
+    graph_sink.commit(f"file://{tmp_path}", "one", {"merged": done.merged, "failed": done.failed, "names": done.names})
+    lost = {(r.id, r.reason) for r in graph_sink.failed(spark, f"file://{tmp_path}").collect()}
+    assert lost == {(i, reason) for i, _, _, reason in odd} | {("w", "PROPERTY_NAME")} | {(f"{p}{i}", "LABEL") for i, p, _, _ in kinds if i % 100 == 7}
+    assert graph_sink.graph(spark, f"file://{tmp_path}").count() == 1_188
