@@ -2,11 +2,13 @@
 
 import contextlib
 import io
+import math
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quarrystone.operators import chunks, etl, search
+from quarrystone.operators import chunks, etl, postings, search
 from quarrystone.plans import catalogue
 from quarrystone.sources import graph_sink, tables
 
@@ -107,3 +109,34 @@ def test_F14_bad_rows_dont_make_a_sink_look_at_good_ones(spark, tmp_path, monkey
     lost = {(r.id, r.reason) for r in graph_sink.failed(spark, f"file://{tmp_path}").collect()}
     assert lost == {(i, reason) for i, _, _, reason in odd} | {("w", "PROPERTY_NAME")} | {(f"{p}{i}", "LABEL") for i, p, _, _ in kinds if i % 100 == 7}
     assert graph_sink.graph(spark, f"file://{tmp_path}").count() == 1_188
+
+
+def test_F07_F09_F10_scores_are_summed_where_documents_are(spark, monkeypatch):
+    for name, n in (("DOCS", 7), ("POSTINGS", 40), ("QUERIES", 2), ("PARTS", 5), ("TEXTS", 90)):
+        monkeypatch.setattr(postings, name, n)
+    words = ["stone", "river", "w1", "Ünder", "银行理财", "银行x", "a_b"]
+    docs = [(i, " ".join(words[(i * j + j * j) % 7] for j in range(i % 9))) for i in range(40)] + [(50, "stone"), (50, "river"), (51, "stone w1"), (51, "river w1"), (52, None), (53, "")] + [(60 + i, "river, stone!") for i in range(30)]
+    asked = [(1, "stone w1"), (2, "RIVER 银行理财 x"), (3, "b river river"), (4, "nothing"), (5, None)]
+    terms = lambda rows: {k: v for k, v in spark.createDataFrame(rows, "k string, t string").select("k", search.terms(F.coalesce("t", F.lit("")))).collect()}
+    split = terms([(t, t) for _, t in docs + asked])
+    groups, mean = {}, sum(len(split[t]) for _, t in docs) / len(docs)
+    for i, t in docs:
+        groups.setdefault((i, len(split[t])), []).extend(split[t])
+    df, want = Counter(w for found in groups.values() for w in set(found)), {}
+    for (i, n), found in groups.items():
+        for q, t in asked:
+            for w in set(split[t]) & set(found):
+                tf = found.count(w)
+                want[q, i] = want.get((q, i), 0) + math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))
+    frames = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(asked, "query_id long, text string")
+    odd = spark.createDataFrame([(i,) for i in range(1, 90, 2)], "doc_id long")
+    for most, within in ((search.VOCABULARY, None), (search.VOCABULARY, odd), (2, None)):
+        monkeypatch.setattr(search, "VOCABULARY", most)
+        best = {}
+        for (q, i), s in want.items():
+            if within is None or i % 2:
+                best.setdefault(q, []).append((-round(s, 6), i))
+        got = search.bm25(*frames, 5, within=within)
+        assert "MapInArrow" in plan(got) and "BroadcastHashJoin" not in plan(got).split("MapInArrow")[0]
+        assert sorted((r.query_id, r.rank, r.doc_id, r.score) for r in got.collect()) == [(q, n, i, -s) for q in sorted(best) for n, (s, i) in enumerate(sorted(best[q])[:5], 1)]
+    assert search.bm25(frames[0].limit(0), frames[1], 5).count() == 0 == search.bm25(frames[0], frames[1].limit(0), 5).count()
