@@ -32,7 +32,12 @@ def dangling(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     """Relations of which an end is no node: one row for each end that is missing."""
     known = nodes.select(F.col("node_id").alias("end")).distinct()
     ends = relations.select("relation_id", F.explode(F.array("start_node_id", "end_node_id")).alias("end"))
-    return ends.join(known, "end", "left_anti").select("relation_id", F.col("end").alias("missing")).distinct()
+    return without(ends.distinct(), known, "end").select("relation_id", F.col("end").alias("missing"))
+
+
+def without(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't among known's keys (each once). An anti join would be moved to before an aggregation of rows, where all that repeat a key meet in one task."""
+    return rows.join(known.select(key, F.lit(True).alias("_known")), key, "left").where("_known is null").drop("_known")
 
 
 def first_kept(rows: DataFrame, key: str, position: str) -> DataFrame:
@@ -58,6 +63,8 @@ def preflight(nodes: DataFrame, relations: DataFrame, events: DataFrame) -> Data
     body = F.to_json(F.struct("start_node_id", "end_node_id", "relation_type"))
     again = relations.groupBy("relation_id").agg(F.count("*").alias("n"), F.countDistinct(body).alias("kinds")).where("n > 1")
     entity = nodes.select("node_id").unionByName(events.select(F.col("event_id").alias("node_id")))
+    subjects = events.select("event_id", F.col("subject_node_id").alias("node_id")).distinct()
+    both = nodes.select("node_id", F.lit(1).alias("kind")).unionByName(events.select(F.col("event_id").alias("node_id"), F.lit(2).alias("kind"))).groupBy("node_id").agg(F.min("kind").alias("least"), F.max("kind").alias("most"))
     found = [
         rows(nodes.groupBy("node_id").count().where("count > 1"), "DUPLICATE_NODE_ID", "ERROR", "node_id"),
         rows(events.groupBy("event_id").count().where("count > 1"), "DUPLICATE_EVENT_ID", "ERROR", "event_id"),
@@ -65,8 +72,8 @@ def preflight(nodes: DataFrame, relations: DataFrame, events: DataFrame) -> Data
         rows(again.where("kinds = 1"), "DUPLICATE_RELATION_CANDIDATE", "WARNING", "relation_id"),
         rows(nodes.where(~F.col("node_type").isin(*NODE_TYPES)), "INVALID_NODE_TYPE", "ERROR", "node_id"),
         rows(relations.where(~F.col("relation_type").isin(*RELATION_TYPES)), "INVALID_RELATION_TYPE", "ERROR", "relation_id"),
-        rows(nodes.select("node_id").intersect(events.select("event_id")), "ENTITY_ID_CONFLICT", "ERROR", "node_id"),
-        rows(events.join(nodes, events.subject_node_id == nodes.node_id, "left_anti"), "EVENT_SUBJECT_NOT_FOUND", "ERROR", "event_id"),
+        rows(both.where("least < most"), "ENTITY_ID_CONFLICT", "ERROR", "node_id"),
+        rows(without(subjects, nodes.select("node_id").distinct(), "node_id"), "EVENT_SUBJECT_NOT_FOUND", "ERROR", "event_id"),
         rows(dangling(relations, entity), "DANGLING_RELATION", "ERROR", "relation_id"),
     ]
     out = found[0]

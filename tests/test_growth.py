@@ -8,7 +8,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quarrystone.operators import chunks, etl, postings, search
+from quarrystone.operators import chunks, etl, graph, postings, search
 from quarrystone.plans import catalogue
 from quarrystone.sources import graph_sink, tables
 
@@ -140,3 +140,14 @@ def test_F07_F09_F10_scores_are_summed_where_documents_are(spark, monkeypatch):
         assert "MapInArrow" in plan(got) and "BroadcastHashJoin" not in plan(got).split("MapInArrow")[0]
         assert sorted((r.query_id, r.rank, r.doc_id, r.score) for r in got.collect()) == [(q, n, i, -s) for q in sorted(best) for n, (s, i) in enumerate(sorted(best[q])[:5], 1)]
     assert search.bm25(frames[0].limit(0), frames[1], 5).count() == 0 == search.bm25(frames[0], frames[1].limit(0), 5).count()
+
+
+def test_F17_preflight_joins_each_pair_of_ids_once(spark):
+    nodes = spark.createDataFrame([("n1", "Person"), ("n1", "Person"), ("n2", "Alien"), (None, "Person")] * 3, "node_id string, node_type string")
+    relations = spark.createDataFrame([("r1", "n1", "e1", "WORKS_AT"), ("r1", "n9", "n1", "WORKS_AT"), ("r2", None, "n1", "WORKS_AT")] * 3, "relation_id string, start_node_id string, end_node_id string, relation_type string")
+    events = spark.createDataFrame([("e1", "n1"), ("e2", "n9"), ("n2", "n1"), ("e3", None), (None, "n1")] * 3, "event_id string, subject_node_id string")
+    df = graph.preflight(nodes, relations, events)
+    assert "LeftAnti" not in plan(df) and "LeftSemi" not in plan(df)  # these are moved to before what drops repeated rows
+    got = {(r.code, r.id) for r in df.collect() if not r.code.startswith(("DUPLICATE", "INVALID"))}
+    assert got == {("ENTITY_ID_CONFLICT", "n2"), ("ENTITY_ID_CONFLICT", None), ("EVENT_SUBJECT_NOT_FOUND", "e2"), ("EVENT_SUBJECT_NOT_FOUND", "e3"), ("DANGLING_RELATION", "r1"), ("DANGLING_RELATION", "r2")}
+    assert sorted((r.relation_id, r.missing) for r in graph.dangling(relations.where("relation_id = 'r1'"), nodes).collect()) == [("r1", "e1"), ("r1", "n9")]
