@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,24 +32,32 @@ def answered(actions: DataFrame, minutes: int = 180, late: str = "1 hour") -> Da
             state.remove()
             return
         held = tuple(state.get) if state.exists else None  # (action_id, milliseconds)
-        rows = []
-        for r in pd.concat(list(batches)).sort_values(["at", "action_id"]).itertuples():
-            if held and r.at >= held[1] + minutes * MINUTE:
+        parts = list(batches)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        # a key has few rows, so what is done once a key is kept to arrays: a frame's own steps cost more than the rows
+        ids, times, fine = (rows[c].to_numpy() for c in ("action_id", "at", "ok"))
+        order = np.lexsort((ids, times))
+        ids, outcomes, results = ids[order], [], []
+        for i, at, ok in zip(ids.tolist(), times[order].tolist(), fine[order].tolist(), strict=True):
+            if held and at >= held[1] + minutes * MINUTE:
                 held = None
             if held:
-                rows.append((key[0], r.action_id, "REPLAYED", held[0]))
-            elif r.ok:
-                held = (int(r.action_id), int(r.at))
-                rows.append((key[0], r.action_id, "EXECUTED", r.action_id))
+                outcomes.append("REPLAYED")
+            elif ok:
+                held = (int(i), int(at))
+                outcomes.append("EXECUTED")
             else:
-                rows.append((key[0], r.action_id, "FAILED", None))
+                outcomes.append("FAILED")
+            results.append(held and held[0])
         ends = held and held[1] + minutes * MINUTE
         if held and ends > state.getCurrentWatermarkMs():
             state.update(held)
             state.setTimeoutTimestamp(ends)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(rows, columns=["key", "action_id", "outcome", "result_of"]).astype({"result_of": "Int64"})
+        none = np.array([r is None for r in results])
+        found = pd.arrays.IntegerArray(np.array([r or 0 for r in results], np.int64), none)
+        yield pd.DataFrame({"key": [key[0]] * len(ids), "action_id": ids, "outcome": outcomes, "result_of": found})
 
     kind = actions.schema["key"].dataType.simpleString()
     timed = actions.withWatermark("ts", late).select("key", F.col("action_id").cast("long").alias("action_id"), "ts", F.unix_millis("ts").alias("at"), F.coalesce("ok", F.lit(False)).alias("ok"))

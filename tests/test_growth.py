@@ -5,12 +5,15 @@ import io
 import math
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.operators import chunks, etl, graph, postings, search
 from quarrystone.plans import catalogue
 from quarrystone.sources import graph_sink, tables
+from quarrystone.streaming import timed
 
 
 def plan(df) -> str:
@@ -151,3 +154,27 @@ def test_F17_preflight_joins_each_pair_of_ids_once(spark):
     got = {(r.code, r.id) for r in df.collect() if not r.code.startswith(("DUPLICATE", "INVALID"))}
     assert got == {("ENTITY_ID_CONFLICT", "n2"), ("ENTITY_ID_CONFLICT", None), ("EVENT_SUBJECT_NOT_FOUND", "e2"), ("EVENT_SUBJECT_NOT_FOUND", "e3"), ("DANGLING_RELATION", "r1"), ("DANGLING_RELATION", "r2")}
     assert sorted((r.relation_id, r.missing) for r in graph.dangling(relations.where("relation_id = 'r1'"), nodes).collect()) == [("r1", "e1"), ("r1", "n9")]
+
+
+def test_F15_a_key_of_a_stream_costs_no_frames_of_its_own(spark, monkeypatch):
+    """The step of a key against plain pandas: nothing is sorted, cast or iterated as a frame."""
+    held = []
+
+    class State:
+        exists, hasTimedOut = False, False
+        update = setTimeoutTimestamp = remove = lambda self, *x: held.append(x)
+        getCurrentWatermarkMs = lambda self: 0
+
+    steps = []
+    frame = type(spark.range(1).groupBy("id"))
+    monkeypatch.setattr(frame, "applyInPandasWithState", lambda self, step, *a: steps.append(step))
+    timed.answered(spark.createDataFrame([], "key long, action_id long, ts timestamp, ok boolean"))
+    for name in ("sort_values", "itertuples", "astype"):
+        monkeypatch.setattr(pd.DataFrame, name, lambda *a, **b: pytest.fail("a step of a frame"))
+    minute = timed.MINUTE
+    rows = pd.DataFrame([(5, None, 190 * minute, False), (1, None, 10 * minute, True), (2, None, minute, False), (4, None, 189 * minute, True), (3, None, 10 * minute, True)], columns=["action_id", "ts", "at", "ok"])
+    for parts in ([rows], [rows[:2], rows[2:]]):
+        (out,) = steps[0]((7,), iter(parts), State())
+        got = list(zip(*[out[c].astype(object).where(out[c].notna(), None).tolist() for c in ("key", "action_id", "outcome", "result_of")], strict=True))
+        assert got == [(7, 2, "FAILED", None), (7, 1, "EXECUTED", 1), (7, 3, "REPLAYED", 1), (7, 4, "REPLAYED", 1), (7, 5, "FAILED", None)]
+    assert held == []
