@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.operators import products as P
 from quarrystone.operators import search as S
+from quarrystone.sources import shared
 
 ISSUE = "stage string, code string, query_id long, product_id long"
 
@@ -31,16 +32,26 @@ def _issues(rows: DataFrame, stage: str, code: str) -> DataFrame:
     return rows.select(F.lit(stage).alias("stage"), F.col(code).alias("code"), query.cast("long").alias("query_id"), product.cast("long").alias("product_id"))
 
 
+def _links_of(chosen: DataFrame, links: DataFrame, documents: DataFrame) -> DataFrame:
+    """product_id, document_id of the chosen products' links to documents, each once.
+
+    Links outside the documents' range of ids are left out as they are read, so that they aren't moved to be compared.
+    """
+    ends = documents.agg(F.min("document_id").alias("low"), F.max("document_id").alias("high")).first()
+    near = links.where(F.col("document_id").between(F.lit(ends.low), F.lit(ends.high)))
+    return near.join(documents, "document_id", "left_semi").join(chosen, "product_id", "left_semi").select("product_id", "document_id").distinct()
+
+
 def evidence(found: DataFrame, links: DataFrame, chunks: DataFrame, queries: DataFrame, top: int = 10, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(query_id, chunk_id, product_id, score, round, position; issues) of the best chunks for each query.
 
     found: products (product_id, score); links (product_id, document_id); chunks (chunk_id, document_id, text, v); queries
     (query_id, text, q). vectors (chunk_id, v), where given, stand in for the chunks' v, so that texts need not be joined with them. Term statistics are those of all chunks; only chunks of found products are ranked. Products take turns,
-    in the order of their best chunk.
+    in the order of their best chunk. Products, links and chunks in question are stored as ids, since several steps read them.
     """
-    known = chunks.select("document_id").distinct()
-    owned, without = P.documents_of(found.select("product_id", (-F.col("score")).alias("position")), links.join(known, "document_id", "left_semi"))
-    inside = chunks.select("chunk_id", "document_id").join(owned, "document_id")  # ids only: texts and vectors stay where they are
+    chosen = shared.stored(found.select("product_id", (-F.col("score")).alias("position")), "chosen")
+    owned, without = P.documents_of(chosen, shared.stored(_links_of(chosen, links, chunks.select("document_id")), "links"))
+    inside = shared.stored(chunks.select("chunk_id", "document_id").join(owned, "document_id"), "inside")  # ids only: texts and vectors stay where they are
     most = S.recall_size(top)
     by_text = S.bm25(chunks.select(F.col("chunk_id").alias("doc_id"), "text"), queries, most, within=inside.select(F.col("chunk_id").alias("doc_id")))
     given = (chunks if vectors is None else vectors).where("v is not null").join(inside, "chunk_id", "left_semi")

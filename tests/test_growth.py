@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.operators import chunks, etl, graph, postings, search
+from quarrystone.operators import chunks, etl, evidence, graph, postings, search
 from quarrystone.plans import catalogue
 from quarrystone.sources import graph_sink, tables
 from quarrystone.streaming import timed
@@ -145,6 +145,37 @@ def test_F07_F09_F10_scores_are_summed_where_documents_are(spark, monkeypatch):
     assert search.bm25(frames[0].limit(0), frames[1], 5).count() == 0 == search.bm25(frames[0], frames[1].limit(0), 5).count()
 
 
+def test_F07_F09_terms_are_found_without_patterns_over_texts(spark, monkeypatch):
+    odd = ["", "a_b  c", "é\u0301x", "王", "王王 a王王b 王", "\U00020000\U00020000x", "ß½²٣", "\U0010ffffz", "x", "x" * 9, " ", "\u3042\u4e00\u4e01、\u4e8c", *["".join(map(chr, range(c, c + 97))) for c in range(32, 0x800, 97)]]
+    want = [sorted(r.t) for r in spark.createDataFrame(list(enumerate(odd)), "i int, t string").orderBy("i").select(search.terms(F.col("t")).alias("t")).collect()]
+    monkeypatch.setattr(postings.pc, "replace_substring_regex", lambda *a, **b: pytest.fail("a pattern over whole texts"))
+    lower = pa.array(["cut", *[t.lower() for t in odd], None])
+    for texts in (lower, lower.cast(pa.large_string())):
+        found, at = postings.words(texts[1:])
+        got = [[] for _ in range(len(odd) + 1)]
+        for i, w in zip(at.tolist(), found.to_pylist(), strict=True):
+            got[i].append(w)
+        assert [sorted(g) for g in got] == [*want, []]
+    assert len(postings.words(lower[:0])[0]) == 0
+
+
+def test_F07_F09_evidence_reads_links_and_products_once(spark, tmp_path):
+    """What several steps read are ids that are stored; links beyond the documents' ids are not moved."""
+    frames = {
+        "found": spark.createDataFrame([(1, 3), (2, 1), (3, 0)], "product_id long, score int"),
+        "links": spark.createDataFrame([(1, 10), (1, 10), (2, 10), (2, 20), (3, 15), (2, 5), (2, 99), (None, 10), (1, None)], "product_id long, document_id long"),
+        "chunks": spark.createDataFrame([(100, 10, "gold fund"), (200, 20, "gold"), (201, 20, "bond"), (300, None, "gold")], "chunk_id long, document_id long, text string"),
+        "queries": spark.createDataFrame([(1, "gold", None)], "query_id long, text string, q array<double>"),
+    }
+    d = stored(spark, tmp_path, **frames)
+    vectors = spark.createDataFrame([], "chunk_id long, v array<double>")
+    out, issues = evidence.evidence(*[tables.table(spark, d, n) for n in frames], vectors=vectors)
+    for df in (out, issues):
+        assert not [f for f in df.inputFiles() if "/links.parquet" in f or "/found.parquet" in f]
+    assert sorted((r.chunk_id, r.product_id) for r in out.collect()) == [(100, 1), (200, 2)]
+    assert [(r.code, r.product_id) for r in issues.collect()] == [("MISSING_DOCUMENT_MAPPING", 3)]
+
+
 def test_F17_preflight_joins_each_pair_of_ids_once(spark):
     nodes = spark.createDataFrame([("n1", "Person"), ("n1", "Person"), ("n2", "Alien"), (None, "Person")] * 3, "node_id string, node_type string")
     relations = spark.createDataFrame([("r1", "n1", "e1", "WORKS_AT"), ("r1", "n9", "n1", "WORKS_AT"), ("r2", None, "n1", "WORKS_AT")] * 3, "relation_id string, start_node_id string, end_node_id string, relation_type string")
