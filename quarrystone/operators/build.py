@@ -96,9 +96,8 @@ def _refusals(elements: DataFrame, stored: DataFrame) -> DataFrame:
     nodes = elements.where("start_id is null and end_id is null").select("owner", F.col("id").alias("end"))
     ends = elements.where("start_id is not null or end_id is not null").select("owner", "id", F.explode(F.array("start_id", "end_id")).alias("end"))
     dangling = ends.join(nodes, ["owner", "end"], "left_anti")
-    body = F.struct("label", "start_id", "end_id")
-    seen = elements.select("id", body.alias("body")).unionByName(stored.select("id", body.alias("body")))
-    unlike = seen.groupBy("id").agg(F.min("body").alias("a"), F.max("body").alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("id")
+    body = ("id", "label", "start_id", "end_id")
+    unlike = elements.select(*body).unionByName(stored.select(*body)).distinct().groupBy("id").count().where("count > 1").select("id")  # no sort of all
     return _found(dangling, "DANGLING_RELATION").unionByName(_found(elements.join(unlike, "id", "left_semi"), "CONFLICTING_ID")).distinct()
 
 
@@ -159,7 +158,7 @@ def persons_with_enterprises(taken: DataFrame, sources: DataFrame) -> Made:
     profile = taken.select("person_id", "marital_status", "birth_date", "source_id", "verification_status")
     nodes, doubts = B.person_nodes(taken.select("person_id", "full_name", "person_type").dropDuplicates(["person_id"]), profile, sources)
     links = taken.select("owner", "person_id", F.explode("links").alias("l")).select("owner", "person_id", F.col("l.relation_id").alias("person_enterprise_relation_id"), "l.enterprise_id", "l.enterprise_name", "l.relation_type", "l.raw_text", "l.source_id", "l.verification_status")
-    related, unsure = B.enterprise_relations(links, sources)
+    related, unsure = B.enterprise_relations(links, sources, keep=["owner"])  # with their owners, who need not be looked up
     none = F.lit(None).cast("string")
 
     def row(owner, name, *ends):
@@ -173,6 +172,5 @@ def persons_with_enterprises(taken: DataFrame, sources: DataFrame) -> Made:
     bonds = related.select(*row(F.col("start_node_id"), (F.col("relation_id"), F.col("relation_type")), F.col("start_node_id"), F.col("end_node_id")), status.alias("properties"))
     blank = B.issue(taken.where("coalesce(trim(full_name), '') = ''"), "MISSING_NAME", "ERROR", "person", "person_id", "full_name", "no name")
     of_person = blank.unionByName(doubts).withColumn("owner", ids.person_id(F.col("source_pk")))
-    of_link = unsure.join(links.select("owner", F.col("person_enterprise_relation_id").cast("string").alias("source_pk")).distinct(), "source_pk")
-    found = [df.select("owner", "issue_id", "reason", "severity") for df in (of_person, of_link)]
+    found = [df.select("owner", "issue_id", "reason", "severity") for df in (of_person, unsure)]
     return Made(people.unionByName(firms).unionByName(bonds), found[0].unionByName(found[1]).distinct())

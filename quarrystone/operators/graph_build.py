@@ -48,11 +48,11 @@ def with_status(df: DataFrame, sources: DataFrame, evidence: str | None = None)
     return df.join(known, "source_id", "left").withColumn("status", verification(F.col("verification_status"), F.col("_known").isNotNull(), text)).drop("_known")
 
 
-def issue(df: DataFrame, reason: str | Column, severity: str, table: str, key: str, field: str, message: str) -> DataFrame:
-    """An issue per row of df. The id hangs on the message, so messages are constants."""
+def issue(df: DataFrame, reason: str | Column, severity: str, table: str, key: str, field: str, message: str, keep: Sequence[str] = ()) -> DataFrame:
+    """An issue per row of df, with the columns to keep. The id hangs on the message, so messages are constants."""
     code = F.lit(reason) if isinstance(reason, str) else reason
     made = ids.issue_id(code, F.lit(table), F.col(key), F.lit(field), F.lit(message))
-    return df.select(made.alias("issue_id"), code.alias("reason"), F.lit(severity).alias("severity"), F.lit(table).alias("source_table"), F.col(key).cast("string").alias("source_pk"), F.lit(field).alias("field_name"), F.lit(message).alias("message"))
+    return df.select(made.alias("issue_id"), code.alias("reason"), F.lit(severity).alias("severity"), F.lit(table).alias("source_table"), F.col(key).cast("string").alias("source_pk"), F.lit(field).alias("field_name"), F.lit(message).alias("message"), *keep)
 
 
 def distinct_issues(*parts: DataFrame) -> DataFrame:
@@ -101,14 +101,18 @@ def relation(df: DataFrame, start: Column, kind: Column, end: Column, table: str
     return df.select(made.alias("relation_id"), start.alias("start_node_id"), end.alias("end_node_id"), kind.alias("relation_type"), "source_id", "status", properties(df, columns).alias("properties"))
 
 
-def enterprise_relations(links: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Relations of persons and enterprises by type; unknown types, and strict ones that aren't confirmed, are issues."""
+def enterprise_relations(links: DataFrame, sources: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Relations of persons and enterprises by type; unknown types, and strict ones that aren't confirmed, are issues.
+
+    keep: columns of the links that their issues get; issues then come once for each row.
+    """
     rows = with_status(links, sources, "raw_text").withColumn("_kind", mapped(F.col("relation_type"), rules.PERSON_ENTERPRISE))
     good = rows.where("_kind is not null")
     made = relation(good, ids.person_id(F.col("person_id")), F.col("_kind"), ids.enterprise_id(F.col("enterprise_id")), "person_enterprise_relation", "person_enterprise_relation_id", ["title", "valid_from", "valid_to", "source_level"])
-    unknown = issue(rows.where("_kind is null"), "UNKNOWN_ENUM", "WARNING", "person_enterprise_relation", "person_enterprise_relation_id", "relation_type", "unknown relation type")
+    unknown = issue(rows.where("_kind is null"), "UNKNOWN_ENUM", "WARNING", "person_enterprise_relation", "person_enterprise_relation_id", "relation_type", "unknown relation type", keep)
     unsure = good.where(strict_relation(F.col("_kind"), F.col("status")).isNotNull())
-    return made, distinct_issues(unknown, issue(unsure, "STRICT_RELATION_VERIFICATION", "WARNING", "person_enterprise_relation", "person_enterprise_relation_id", "verification_status", "control and shares must be confirmed"))
+    unsure = issue(unsure, "STRICT_RELATION_VERIFICATION", "WARNING", "person_enterprise_relation", "person_enterprise_relation_id", "verification_status", "control and shares must be confirmed", keep)
+    return made, unknown.unionByName(unsure) if keep else distinct_issues(unknown, unsure)
 
 
 def career_relations(career: DataFrame, entities: DataFrame, explicit: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.operators import chunks, etl, evidence, graph, postings, search
+from quarrystone.operators import build, chunks, etl, evidence, graph, postings, search
 from quarrystone.plans import catalogue
 from quarrystone.sources import graph_sink, tables
 from quarrystone.streaming import timed
@@ -209,3 +209,24 @@ def test_F15_a_key_of_a_stream_costs_no_frames_of_its_own(spark, monkeypatch):
         got = list(zip(*[out[c].astype(object).where(out[c].notna(), None).tolist() for c in ("key", "action_id", "outcome", "result_of")], strict=True))
         assert got == [(7, 2, "FAILED", None), (7, 1, "EXECUTED", 1), (7, 3, "REPLAYED", 1), (7, 4, "REPLAYED", 1), (7, 5, "FAILED", None)]
     assert held == []
+
+
+def test_F16_issues_of_links_bring_their_owners(spark):
+    link = "relation_id long, enterprise_id long, enterprise_name string, relation_type string, raw_text string, source_id long, verification_status string"
+    links = [(1, 5, "Firm", "FRIEND", "", 1, "open"), (1, 5, "Firm", "FRIEND", "", 1, "open"), (2, 5, "Firm", "controller", "", 1, "open"), (3, 6, "Firm", "EMPLOYEE", "", 1, "open")]
+    rows = [(f"person:{i}", i, "n", "t", None, None, 1, "open", links if i == 1 else [(9, 5, "Firm", "FRIEND", "", 1, "open")]) for i in (1, 2)]
+    taken = spark.createDataFrame(rows, f"owner string, person_id long, full_name string, person_type string, marital_status string, birth_date string, source_id long, verification_status string, links array<struct<{link.replace(' ', ':').replace(',:', ',')}>>")
+    made = build.persons_with_enterprises(taken, spark.createDataFrame([(1,)], "source_id long"))
+    assert "Join [source_pk" not in plan(made.issues)  # no look-up among all links
+    assert sorted((r.owner, r.reason) for r in made.issues.collect()) == [("person:1", "STRICT_RELATION_VERIFICATION"), ("person:1", "UNKNOWN_ENUM"), ("person:2", "UNKNOWN_ENUM")]
+
+
+def test_F16_unlike_elements_are_found_without_sorting_all(spark):
+    element = "owner string, id string, label string, start_id string, end_id string"
+    rows = [("a", "same", "L", None, None), ("b", "same", "L", None, None), ("a", "ends", "L", "same", None), ("b", "ends", "L", None, "same"), ("a", "label", None, None, None), ("b", "label", "L", None, None), ("a", "old", "L", None, None), ("a", "kept", "L", None, None), ("a", None, "L", None, None), ("b", None, "M", None, None)]
+    stored_rows = spark.createDataFrame([("old", "M", None, None), ("kept", "L", None, None)], element.removeprefix("owner string, "))
+    df = build._refusals(spark.createDataFrame(rows, element), stored_rows)
+    assert "SortAggregate" not in plan(df)
+    found = {(r.owner, r.reason) for r in df.collect()}
+    assert found == {("a", "DANGLING_RELATION"), ("b", "DANGLING_RELATION"), ("a", "CONFLICTING_ID"), ("b", "CONFLICTING_ID")}
+    assert df.where("reason = 'CONFLICTING_ID'").count() == 5
