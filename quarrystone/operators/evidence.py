@@ -18,10 +18,14 @@ ISSUE = "stage string, code string, query_id long, product_id long"
 
 
 def matched(eligible: DataFrame, terms: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Products that fit the terms, by products.selected, and issues: preferences that conflict, no product at all, or none that fits."""
-    found = P.selected(eligible, terms)
+    """product_id, score, issue of the products that products.selected takes, in no order, and issues: preferences that conflict, no product at all, or none that fits.
+
+    Products are scored once and stored as ids, since several steps read them.
+    """
+    rows = shared.stored(P.scored(eligible, terms).select("product_id", "recognized", "score", "contradicted"), "scored")
+    found = P.fitting(rows).select("product_id", "score", "issue")
     conflict = _issues(found.where("issue is not null"), "METADATA", "issue")
-    state = eligible.agg(F.count("*").alias("n")).crossJoin(found.agg(F.count("*").alias("kept")))  # a row each
+    state = rows.agg(F.count("*").alias("n")).crossJoin(found.agg(F.count("*").alias("kept")))  # a row each
     none = state.where("kept = 0").select(F.lit(None).cast("long").alias("product_id"), F.when(F.col("n") == 0, "NO_ELIGIBLE_PRODUCT").otherwise("NO_METADATA_MATCH").alias("code"))
     return found, conflict.unionByName(_issues(none, "METADATA", "code"))
 
@@ -49,9 +53,7 @@ def evidence(found: DataFrame, links: DataFrame, chunks: DataFrame, queries: Dat
     (query_id, text, q). vectors (chunk_id, v), where given, stand in for the chunks' v, so that texts need not be joined with them. Term statistics are those of all chunks; only chunks of found products are ranked. Products take turns,
     in the order of their best chunk. Products, links and chunks in question are stored as ids, since several steps read them.
     """
-    chosen = shared.stored(found.select("product_id", (-F.col("score")).alias("position")), "chosen")
-    owned, without = P.documents_of(chosen, shared.stored(_links_of(chosen, links, chunks.select("document_id")), "links"))
-    inside = shared.stored(chunks.select("chunk_id", "document_id").join(owned, "document_id"), "inside")  # ids only: texts and vectors stay where they are
+    inside, without = _inside(found, links, chunks)
     most = S.recall_size(top)
     by_text = S.bm25(chunks.select(F.col("chunk_id").alias("doc_id"), "text"), queries, most, within=inside.select(F.col("chunk_id").alias("doc_id")))
     given = (chunks if vectors is None else vectors).where("v is not null").join(inside, "chunk_id", "left_semi")
@@ -59,6 +61,29 @@ def evidence(found: DataFrame, links: DataFrame, chunks: DataFrame, queries: Dat
     ranks = by_text.select("query_id", F.col("doc_id").alias("chunk_id"), F.lit(0).alias("list"), "rank").unionByName(by_vector.select("query_id", F.col("vec_id").alias("chunk_id"), F.lit(1).alias("list"), "rank"))
     scored = S.fused(ranks, "query_id", "chunk_id").join(inside.select("chunk_id", "product_id"), "chunk_id")
     out = S.round_robin(scored, "query_id", "product_id", [F.desc("score"), F.col("first"), F.col("chunk_id")]).where(F.col("position") <= top)
+    return out.select("query_id", "chunk_id", "product_id", "score", "round", "position"), _unserved(without, queries, ranks.select("query_id").distinct())
+
+
+def issues(found: DataFrame, links: DataFrame, chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """The issues of evidence alone, for the same tables: whether a query finds anything is asked of all texts and vectors, but nothing is scored or ranked."""
+    inside, without = _inside(found, links, chunks)
+    within = inside.select("chunk_id")
+    by_text = S.answered(chunks.select(F.col("chunk_id").alias("doc_id"), "text"), queries, within.select(F.col("chunk_id").alias("doc_id")))
+    given = (chunks if vectors is None else vectors).where("v is not null").join(within, "chunk_id", "left_semi")
+    some = given.agg(F.count("*").alias("n")).where("n > 0").select()  # a row if there are any: every vector of a query has nearest ones then
+    by_vector = queries.where("q is not null").select("query_id").crossJoin(F.broadcast(some))
+    return _unserved(without, queries, by_text.unionByName(by_vector))
+
+
+def _inside(found: DataFrame, links: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """chunk_id, document_id, product_id of the found products' chunks, and products without a document."""
+    chosen = shared.stored(found.select("product_id", (-F.col("score")).alias("position")), "chosen")
+    owned, without = P.documents_of(chosen, shared.stored(_links_of(chosen, links, chunks.select("document_id")), "links"))
+    return shared.stored(chunks.select("chunk_id", "document_id").join(owned, "document_id"), "inside"), without  # ids only: texts and vectors stay where they are
+
+
+def _unserved(without: DataFrame, queries: DataFrame, served: DataFrame) -> DataFrame:
+    """Issues of products without a document and of queries that aren't served (query_id)."""
     unmapped = _issues(without.withColumn("code", F.lit("MISSING_DOCUMENT_MAPPING")), "DOCUMENT_MAPPING", "code")
-    silent = _issues(queries.join(ranks.select("query_id").distinct(), "query_id", "left_anti").withColumn("code", F.lit("NO_PRODUCT_EVIDENCE")), "RETRIEVAL", "code")
-    return out.select("query_id", "chunk_id", "product_id", "score", "round", "position"), unmapped.unionByName(silent)
+    silent = _issues(queries.join(served, "query_id", "left_anti").withColumn("code", F.lit("NO_PRODUCT_EVIDENCE")), "RETRIEVAL", "code")
+    return unmapped.unionByName(silent)

@@ -48,14 +48,18 @@ def _split(query: str) -> list[str]:
 
 
 def selected(products: DataFrame, queries: list[str]) -> DataFrame:
-    """Products by score and id: all if no term is known to any, else those without contradiction that match, else those that match at all, with `issue`."""
-    rows = scored(products, queries)
+    """Products that fit, by score and id."""
+    return fitting(scored(products, queries)).orderBy(F.desc("score"), "product_id")
+
+
+def fitting(rows: DataFrame) -> DataFrame:
+    """Of scored products all if no term is known to any, else those without contradiction that match, else those that match at all, with `issue`."""
     seen = rows.agg(F.max("recognized").alias("_seen"), F.max((~F.col("contradicted") & (F.col("score") > 0)).cast("int")).alias("_good"))
     rows = rows.crossJoin(F.broadcast(seen))  # one row
     free = F.col("_seen") == 0
     keep = free | (F.col("score") > 0) & ((F.col("_good") == 0) | ~F.col("contradicted"))
     note = F.when(~free & (F.col("_good") == 0), "METADATA_PREFERENCE_FALLBACK")
-    return rows.where(keep).withColumn("issue", note).drop("_seen", "_good").orderBy(F.desc("score"), "product_id")
+    return rows.where(keep).withColumn("issue", note).drop("_seen", "_good")
 
 
 def documents_of(products: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

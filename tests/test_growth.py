@@ -176,6 +176,34 @@ def test_F07_F09_evidence_reads_links_and_products_once(spark, tmp_path):
     assert [(r.code, r.product_id) for r in issues.collect()] == [("MISSING_DOCUMENT_MAPPING", 3)]
 
 
+def test_F09_issues_take_neither_scores_nor_ranks(spark, tmp_path, monkeypatch):
+    """Issues alone against those of the ranked evidence, then those of the query while nothing may be scored or ranked, or products read again."""
+    found = spark.createDataFrame([(1, 3), (2, 1), (2, 1), (3, 0), (None, 1)], "product_id long, score int")
+    links = spark.createDataFrame([(1, 10), (1, 10), (2, 20), (2, 99), (None, 10), (1, None), (7, 30)], "product_id long, document_id long")
+    texts = [(100, 10, "gold fund"), (101, 10, None), (101, 30, "twice"), (200, 20, "王王王 x"), (300, 30, "silver"), (None, 10, "void"), (400, None, "lost")]
+    asked = [(1, "GOLD, gold", None), (2, "silver", None), (3, "王王", None), (4, "王", None), (5, "twice", None), (6, "void", None), (7, "lost", None), (8, None, None), (9, "", [1.0, None]), (9, "silver", None), (None, "gold", [1.0, 0.0]), (10, "silver", []), (11, "silver", [0.0, 2.0])]
+    chunks, queries = spark.createDataFrame(texts, "chunk_id long, document_id long, text string"), spark.createDataFrame(asked, "query_id long, text string, q array<double>")
+    none = {2, 4, 6, 7, 8, None}
+    rows = lambda df: sorted(((r.stage, r.code, r.query_id, r.product_id) for r in df.collect()), key=str)
+    for vecs, most in (([(100, [0.0]), (300, [1.0, 1.0]), (200, None), (None, [1.0])], search.VOCABULARY), ([(300, [1.0, 1.0]), (200, None)], 2)):
+        vectors = spark.createDataFrame(vecs, "chunk_id long, v array<double>")
+        monkeypatch.setattr(search, "VOCABULARY", most)
+        got = rows(evidence.issues(found, links, chunks, queries, vectors=vectors))
+        assert most == 2 or got == rows(evidence.evidence(found, links, chunks, queries, vectors=vectors)[1])
+        assert {r[2] for r in got if r[1] == "NO_PRODUCT_EVIDENCE"} == none | (set() if most > 2 else {9, 10, 11})
+    d = stored(
+        spark, tmp_path,
+        part=spark.createDataFrame([(1, "economy", "t", "Brand#11", 1, 900.0), (2, "n", "economy", "Brand#12", 1, 900.0), (3, "economy", "t", "Brand#15", 1, 900.0), (4, "economy", "t", "Brand#11", 1, 990.0)], "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double"),
+        lineitem=spark.createDataFrame([(1, 5), (3, 6), (2, 77)], "l_partkey long, l_orderkey long"), documents=spark.createDataFrame([(5, "gold"), (6, "silver")], "doc_id long, text string"),
+        embeddings=spark.createDataFrame([(6, [1.0])], "vec_id long, embedding array<float>"), benchmark=spark.createDataFrame([(1, "gold"), (2, "silver"), (6, "silver")], "item_id long, text string"),
+    )
+    for name in ("bm25", "cosine_top", "fused", "round_robin"):
+        monkeypatch.setattr(search, name, lambda *a, **b: pytest.fail("a rank that no issue needs"))
+    df = catalogue.QUERIES["product_issues"](spark, d)
+    assert not [f for f in df.inputFiles() if "/part.parquet" in f or "/lineitem.parquet" in f]
+    assert rows(df) == sorted([("DOCUMENT_MAPPING", "MISSING_DOCUMENT_MAPPING", None, 2), ("RETRIEVAL", "NO_PRODUCT_EVIDENCE", 2, None), ("RETRIEVAL", "NO_PRODUCT_EVIDENCE", 6, None)], key=str)
+
+
 def test_F17_preflight_joins_each_pair_of_ids_once(spark):
     nodes = spark.createDataFrame([("n1", "Person"), ("n1", "Person"), ("n2", "Alien"), (None, "Person")] * 3, "node_id string, node_type string")
     relations = spark.createDataFrame([("r1", "n1", "e1", "WORKS_AT"), ("r1", "n9", "n1", "WORKS_AT"), ("r2", None, "n1", "WORKS_AT")] * 3, "relation_id string, start_node_id string, end_node_id string, relation_type string")
